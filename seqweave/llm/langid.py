@@ -218,12 +218,13 @@ def identify(docs: DataFrame, langs: list[str], net: ByteGRU | None, text: str =
     return docs.mapInArrow(label, with_schema(docs, "lang_pred string, score double"))
 
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def trained(docs: DataFrame) -> tuple[list[str], ByteGRU | None]:
     """The network for a table of documents: held-out documents teach nothing."""
-    return fit(sample(docs.where(F.coalesce(~HELD_OUT, F.lit(False))), "text", "lang", "doc_id"))
+    return fit(sample(docs.where(~held_out()), "text", "lang", "doc_id"))
 
 
 def accepted(docs: DataFrame, reject: float = REJECT) -> DataFrame:
@@ -235,4 +236,4 @@ def accepted(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs.select("doc_id", "text"), *trained(docs))
-    return out.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -103,7 +103,7 @@ def test_simhash_links_complete(spark):
 
 def test_langid_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = langid.identify(docs, *langid.trained(docs)).where(langid.HELD_OUT).select("lang", "lang_pred").collect()
+    out = langid.identify(docs, *langid.trained(docs)).where(langid.held_out()).select("lang", "lang_pred").collect()
     assert sum(r.lang == r.lang_pred for r in out) > 0.95 * len(out)
     odd = spark.createDataFrame([(1, None), (2, "123 ..."), (3, ""), (4, "été")], "doc_id long, text string")
     got = {r.doc_id: r for r in langid.identify(odd, *langid.trained(docs)).collect()}
