@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, linededup, packing, pii, secrets, simhash
+from . import decontaminate, langid, linededup, neighbours, packing, passages, pii, secrets, simhash, suffixdedup
 
 
 def queries() -> dict:
@@ -14,8 +14,11 @@ def queries() -> dict:
         "op3_simhash": simhash.op3,
         "op4_langid": langid.op4,
         "op5_secrets": secrets.op5,
+        "op6_embeddings": neighbours.op6,
         "op7_pack": packing.op7,
         "op8_pii": pii.op8,
+        "op9_passages": passages.op9,
+        "op10_suffix_dedup": suffixdedup.op10,
         "pipeline": corpus_pipeline.run,
     }
 
