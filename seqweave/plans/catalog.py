@@ -1,4 +1,344 @@
-"""Queries over the given tables, and their SQL twins."""
+"""Queries over the given tables, and their SQL twins.
 
+References are the rows of benchmark, reads the rows of documents, mates neighbouring turns of conversations.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from ..functions import scalars as S
+from ..operators import chaining, collection, matching, suffix
+
+K = 25
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def reads(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq"))
+
+
+def refs(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("ref_id"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), F.col("text").alias("seq"))
+
+
+def found(spark, sf) -> DataFrame:
+    return matching.smems(reads(spark, sf), refs(spark, sf), K)
+
+
+def index(spark, sf) -> DataFrame:
+    return collection.seqidx(refs(spark, sf), 1)
+
+
+INDEX_SQL = """WITH idx AS (SELECT item_id AS ref_id, 'item' || item_id AS name, CAST(coalesce(sum(length(text) + 1) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(text) AS len FROM benchmark)
+"""
+
+
+@query(INDEX_SQL + "SELECT ref_id, name, start, len FROM idx")
+def seqidx_build(spark, sf):
+    return index(spark, sf)
+
+
+def located(spark, sf):
+    end = index(spark, sf).agg(F.max(F.col("start") + F.col("len")).alias("n"))
+    asked = table(spark, sf, "documents").select("doc_id", "n_chars").crossJoin(F.broadcast(end)).select("doc_id", F.pmod(F.col("doc_id") * 7919 + F.col("n_chars"), F.col("n")).alias("pos"), F.pmod(F.col("n_chars"), F.lit(100)).alias("width"))
+    return collection.locate(asked, index(spark, sf))
+
+
+LOCATED_SQL = INDEX_SQL + """, ask AS (SELECT doc_id, (doc_id * 7919 + n_chars) % (SELECT max(start + len) FROM idx) AS pos, n_chars % 100 AS width FROM documents),
+loc AS (SELECT doc_id, pos, width, ref_id, name, start, len, pos - start AS "offset" FROM ask JOIN idx ON pos >= start AND pos < start + len)
+"""
+
+
+@query(LOCATED_SQL + 'SELECT doc_id, pos, ref_id, name, "offset" FROM loc')
+def locate_position(spark, sf):
+    return located(spark, sf).select("doc_id", "pos", "ref_id", "name", "offset")
+
+
+@query(LOCATED_SQL + 'SELECT doc_id, "offset" + width <= len AS valid FROM loc')
+def interval_valid(spark, sf):
+    return collection.valid(located(spark, sf), "width").select("doc_id", "valid")
+
+
+@query(LOCATED_SQL + 'SELECT doc_id, pos, start + "offset" AS lifted FROM loc')
+def lift_identity(spark, sf):
+    return collection.lift(located(spark, sf), collection.identity_lift(index(spark, sf))).select("doc_id", "pos", "lifted")
+
+
+@query(LOCATED_SQL + 'SELECT a.doc_id, b.doc_id AS other, abs(a.pos - b.pos) < 10 AND a.ref_id = b.ref_id AS same FROM loc a JOIN loc b ON b.doc_id = a.doc_id + 1')
+def same_region(spark, sf):
+    a = located(spark, sf).select("doc_id", "pos", "ref_id")
+    b = a.select(F.col("doc_id").alias("other"), (F.col("doc_id") - 1).alias("doc_id"), F.col("pos").alias("pos2"), F.col("ref_id").alias("ref2"))
+    return a.join(b, "doc_id").select("doc_id", "other", ((F.abs(F.col("pos") - F.col("pos2")) < 10) & (F.col("ref_id") == F.col("ref2"))).alias("same"))
+
+
+DNA_SQL = "regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGT'), '[^ACGT]', 'N', 'gs')"
+
+
+@query(f"SELECT doc_id, sha256(reverse(translate(s, 'ACGTacgt', 'TGCATGCA'))) AS digest FROM (SELECT doc_id, {DNA_SQL} AS s FROM documents)")
+def revcomp(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(S.revcomp(S.dna_view(F.col("text"))), 256).alias("digest"))
+
+
+@query(f"SELECT doc_id, sha256(translate(regexp_replace(s, '[^ACGTacgt]', '4', 'gs'), 'ACGTacgt', '01230123')) AS digest FROM (SELECT doc_id, {DNA_SQL} AS s FROM documents)")
+def nt4_encode(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(S.nt4(S.dna_view(F.col("text"))), 256).alias("digest"))
+
+
+HITS_SQL = f"""WITH rd AS (SELECT doc_id AS read_id, text AS seq FROM documents WHERE length(text) >= {K}),
+rf AS (SELECT item_id AS ref_id, text AS seq FROM benchmark WHERE length(text) >= {K}),
+qk AS (SELECT read_id, i AS qpos, substr(seq, i + 1, {K}) AS kmer FROM (SELECT read_id, seq, unnest(range(0, length(seq) - {K - 1})) AS i FROM rd)),
+rk AS (SELECT ref_id, i AS rpos, substr(seq, i + 1, {K}) AS kmer FROM (SELECT ref_id, seq, unnest(range(0, length(seq) - {K - 1})) AS i FROM rf)),
+hits AS (SELECT read_id, qpos, ref_id, rpos FROM qk JOIN rk USING (kmer))
+"""
+MEMS_SQL = HITS_SQL + f""", isl AS (SELECT *, rpos - qpos AS diag, qpos - row_number() OVER (PARTITION BY read_id, ref_id, rpos - qpos ORDER BY qpos) AS g FROM hits),
+run AS (SELECT read_id, ref_id, diag + min(qpos) AS rpos, min(qpos) AS qs, max(qpos) + {K} AS qe FROM isl GROUP BY read_id, ref_id, diag, g),
+iv AS (SELECT DISTINCT read_id, qs, qe FROM run),
+mem AS (SELECT k.read_id, k.qs, k.qe FROM (SELECT *, max(qe) OVER (PARTITION BY read_id ORDER BY qs, qe DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM iv) k JOIN rd USING (read_id)
+        WHERE (pm IS NULL OR qe > pm) AND regexp_matches(substr(rd.seq, qs + 1, qe - qs), '[^N]')),
+occ AS (SELECT read_id, qs, qe, ref_id, rpos FROM mem JOIN run USING (read_id, qs, qe))
+"""
+
+
+@query(HITS_SQL + "SELECT read_id, qpos, ref_id, rpos FROM hits")
+def kmer_hits(spark, sf):
+    return matching.kmer_hits(reads(spark, sf), refs(spark, sf), K)
+
+
+@query(MEMS_SQL + "SELECT read_id, qs, qe FROM mem")
+def smem_intervals(spark, sf):
+    return found(spark, sf).select("read_id", "qs", "qe")
+
+
+@query(MEMS_SQL + "SELECT read_id, qs, qe, ref_id, rpos FROM occ")
+def smem_occurrences(spark, sf):
+    return matching.occurrences(found(spark, sf))
+
+
+@query(MEMS_SQL + "SELECT read_id, qs, qe FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY qe - qs DESC, qs) AS n FROM mem) WHERE n = 1")
+def longest_mem(spark, sf):
+    return matching.longest(found(spark, sf))
+
+
+@query(MEMS_SQL + "SELECT count(*) FILTER (m >= 25) AS over_25, count(*) FILTER (m >= 50) AS over_50, count(*) FILTER (m >= 75) AS over_75 FROM (SELECT max(qe - qs) AS m FROM mem GROUP BY read_id)")
+def reads_over_threshold(spark, sf):
+    best = matching.longest(found(spark, sf)).select((F.col("qe") - F.col("qs")).alias("m"))
+    return best.agg(*(F.count_if(F.col("m") >= t).alias(f"over_{t}") for t in (25, 50, 75)))
+
+
+@query(MEMS_SQL + "SELECT doc_id AS read_id FROM documents WHERE doc_id IN (SELECT read_id FROM mem)")
+def semi_matched_reads(spark, sf):
+    return reads(spark, sf).join(found(spark, sf), "read_id", "left_semi").select("read_id")
+
+
+@query(MEMS_SQL + "SELECT doc_id AS read_id FROM documents WHERE doc_id NOT IN (SELECT read_id FROM mem)")
+def anti_unmatched_reads(spark, sf):
+    return reads(spark, sf).join(found(spark, sf), "read_id", "left_anti").select("read_id")
+
+
+@query(MEMS_SQL + "SELECT read_id, qs, qe, ref_id, rpos FROM (SELECT *, row_number() OVER (PARTITION BY read_id, qs, qe, ref_id ORDER BY rpos) AS n FROM occ) WHERE n <= 1000")
+def seed_cap(spark, sf):
+    return matching.seed_cap(matching.occurrences(found(spark, sf)), 1000)
+
+
+@query(MEMS_SQL + "SELECT read_id, qs, qe, n_occ FROM (SELECT *, n_occ / sum(n_occ) OVER (PARTITION BY read_id) AS share FROM (SELECT read_id, qs, qe, count(*) AS n_occ FROM occ GROUP BY ALL)) WHERE share <= 0.5")
+def freq_filter(spark, sf):
+    return matching.frequency_filter(found(spark, sf), 0.5).select("read_id", "qs", "qe", F.col("n_occ").cast("long").alias("n_occ"))
+
+
+@query(MEMS_SQL + """, d AS (SELECT *, qs % 2 AS dir FROM mem), m AS (SELECT *, coalesce(avg(qe - qs) FILTER (dir = 0) OVER (PARTITION BY read_id), 0) AS m0, coalesce(avg(qe - qs) FILTER (dir = 1) OVER (PARTITION BY read_id), 0) AS m1 FROM d)
+SELECT read_id, qs, qe, dir FROM m WHERE NOT ((dir = 0 AND m1 - m0 > 50) OR (dir = 1 AND m0 - m1 > 50))""")
+def direction_filter(spark, sf):
+    with_dir = found(spark, sf).withColumn("dir", F.pmod(F.col("qs"), F.lit(2)))
+    return matching.direction_filter(with_dir, 50.0).select("read_id", "qs", "qe", "dir")
+
+
+@query(MEMS_SQL + """, s AS (SELECT read_id, qs, qe, ref_id, count(*) AS c FROM occ GROUP BY ALL), t AS (SELECT read_id, sum(c) AS n, max(c) AS hi, min(c) AS lo FROM s GROUP BY read_id, qs, qe)
+SELECT read_id, count(*) AS n_unique, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS max_freq, CAST(min(n) AS BIGINT) AS min_freq, max(hi) AS highest_occ, min(lo) AS lowest_occ FROM t GROUP BY read_id""")
+def mem_stats_csv(spark, sf):
+    return matching.mem_stats(found(spark, sf))
+
+
+@query(MEMS_SQL + "SELECT CAST(read_id AS VARCHAR) AS qname, 256 AS flag, 'item' || ref_id AS rname, rpos + 1 AS pos, (qe - qs) || 'M' AS cigar, substr(seq, qs + 1, qe - qs) AS match FROM occ JOIN rd USING (read_id)")
+def mem_sam_rows(spark, sf):
+    return matching.mem_sam(found(spark, sf), reads(spark, sf), refs(spark, sf).select("ref_id", "name"))
+
+
+@query(MEMS_SQL + "SELECT (SELECT count(*) FROM documents) AS processed, (SELECT count(DISTINCT read_id) FROM mem) AS aligned")
+def run_counters(spark, sf):
+    hit = found(spark, sf).select("read_id").distinct().withColumn("hit", F.lit(1))
+    return reads(spark, sf).join(hit, "read_id", "left").agg(F.count("*").alias("processed"), F.count("hit").alias("aligned"))
+
+
+# ---- suffix structures ----
+
+
+def chars(spark, sf):
+    return suffix.characters(refs(spark, sf))
+
+
+def array(spark, sf):
+    return suffix.suffix_array(chars(spark, sf))
+
+
+def transform(spark, sf):
+    c = chars(spark, sf)
+    return suffix.bwt(c, suffix.suffix_array(c))
+
+
+SA_SQL = """WITH x AS (SELECT string_agg(text || chr(2), '' ORDER BY item_id) || chr(1) AS s FROM benchmark),
+sa AS (SELECT i, row_number() OVER (ORDER BY substr(s, i + 1)) - 1 AS rank FROM (SELECT s, unnest(range(0, length(s))) AS i FROM x)),
+b AS (SELECT rank, i, ord(substr((SELECT s FROM x), CASE WHEN i = 0 THEN length((SELECT s FROM x)) ELSE i END, 1)) AS c FROM sa)
+"""
+RUN_SQL = SA_SQL + """, r0 AS (SELECT *, CASE WHEN c = lag(c) OVER (ORDER BY rank) THEN 0 ELSE 1 END AS new FROM b),
+r1 AS (SELECT *, sum(new) OVER (ORDER BY rank) - 1 AS run FROM r0),
+rn AS (SELECT CAST(run AS BIGINT) AS run_id, min(c) AS head, min(rank) AS start, count(*) AS len, min_by(i, rank) AS sa_first, max_by(i, rank) AS sa_last FROM r1 GROUP BY run)
+"""
+LCP_SQL = SA_SQL + """, pr AS (SELECT rank, i, lag(i) OVER (ORDER BY rank) AS j FROM sa),
+lc AS (SELECT rank, coalesce((SELECT max(n) FROM (SELECT unnest(range(0, 500)) AS n) WHERE j IS NOT NULL AND substr((SELECT s FROM x), i + 1, n) = substr((SELECT s FROM x), j + 1, n)), 0) AS lcp FROM pr)
+"""
+
+
+@query(SA_SQL + "SELECT rank, i FROM sa")
+def suffix_array(spark, sf):
+    return array(spark, sf).select("rank", "i")
+
+
+@query(SA_SQL + "SELECT rank, c FROM b")
+def bwt(spark, sf):
+    return transform(spark, sf).select("rank", "c")
+
+
+@query(RUN_SQL + "SELECT run_id, head, start, len, sa_first, sa_last FROM rn")
+def bwt_runs(spark, sf):
+    return suffix.runs(transform(spark, sf))
+
+
+@query(SA_SQL + ", n AS (SELECT c, count(*) AS n FROM b GROUP BY c) SELECT c, n, CAST(coalesce(sum(n) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS f FROM n")
+def f_column(spark, sf):
+    return suffix.f_column(transform(spark, sf))
+
+
+@query(SA_SQL + "SELECT rank, row_number() OVER (ORDER BY c, rank) - 1 AS lf FROM b")
+def lf_mapping(spark, sf):
+    return suffix.lf(transform(spark, sf))
+
+
+@query(SA_SQL + "SELECT i, lag(i) OVER (ORDER BY rank) AS prev FROM sa")
+def phi(spark, sf):
+    return suffix.phi(array(spark, sf))
+
+
+@query(SA_SQL + "SELECT i, lead(i) OVER (ORDER BY rank) AS next FROM sa")
+def phi_inv(spark, sf):
+    return suffix.phi_inv(array(spark, sf))
+
+
+@query()
+def lcp_array(spark, sf):
+    c = chars(spark, sf)
+    return suffix.lcp(c, suffix.suffix_array(c))
+
+
+@query()
+def thresholds(spark, sf):
+    c = chars(spark, sf)
+    sa = suffix.suffix_array(c)
+    return suffix.thresholds(suffix.runs(suffix.bwt(c, sa)), suffix.lcp(c, sa))
+
+
+@query(RUN_SQL + "SELECT CAST(sum(len) AS BIGINT) AS n, count(*) AS r, sum(len) / count(*) AS n_over_r, log2(sum(len) / count(*)) AS log2_n_over_r FROM rn")
+def run_summary(spark, sf):
+    return suffix.summary(suffix.runs(transform(spark, sf)))
+
+
+# ---- pairs, scores, flags ----
+
+
+def pairs(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    first = turns.where(F.pmod("turn", F.lit(2)) == 0)
+    second = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("n2"))
+    return first.join(second, ["conv_id", "turn"])
+
+
+PAIR_SQL = "WITH p AS (SELECT a.conv_id, a.turn, length(a.text) AS n, length(b.text) AS n2 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0)\n"
+
+
+@query(PAIR_SQL + "SELECT conv_id, turn, n, n2 FROM p")
+def mate_pairs(spark, sf):
+    return pairs(spark, sf)
+
+
+@query(PAIR_SQL + "SELECT count(*) AS n, round(avg(n + n2), 4) AS mean, round(var_pop(n + n2), 4) AS var_pop, round(var_samp(n + n2), 4) AS var_samp, round(stddev_pop(n + n2), 4) AS sd FROM p")
+def insert_stats(spark, sf):
+    x = F.col("n") + F.col("n2")
+    return pairs(spark, sf).agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.var_pop(x), 4).alias("var_pop"), F.round(F.var_samp(x), 4).alias("var_samp"), F.round(F.stddev_pop(x), 4).alias("sd"))
+
+
+@query(PAIR_SQL + "SELECT count(*) AS n, round(avg(n + n2), 4) AS mean, round(var_pop(n + n2), 4) AS var_pop FROM p")
+def moment_merge(spark, sf):
+    """Moments of each conversation, merged: counts, means and sums of squared deviations add up with the shift of the means."""
+    x = F.col("n") + F.col("n2")
+    part = pairs(spark, sf).groupBy("conv_id").agg(F.count("*").alias("c"), F.avg(x).alias("m"), (F.var_pop(x) * F.count("*")).alias("s"))
+    whole = part.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("mean"), F.sum("s").alias("s"), F.sum(F.col("c") * F.col("m") * F.col("m")).alias("q"))
+    return whole.select("n", F.round("mean", 4).alias("mean"), F.round((F.col("s") + F.col("q")) / F.col("n") - F.col("mean") * F.col("mean"), 4).alias("var_pop"))
+
+
+@query("SELECT doc_id, n_chars, CAST(trunc(20 + 8 * ln(n_chars)) AS INTEGER) AS min_score FROM documents WHERE n_chars > 0")
+def min_scores(spark, sf):
+    return table(spark, sf, "documents").where("n_chars > 0").select("doc_id", "n_chars", S.min_score(F.col("n_chars")).alias("min_score"))
+
+
+SCORED_SQL = "WITH s AS (SELECT l.doc_id, 100 + l.doc_id % 900 AS len, (2 * (100 + l.doc_id % 900)) - 6 * (l.doc_id % 7) AS score, CASE WHEN l.doc_id % 3 = 0 THEN 0 ELSE (100 + l.doc_id % 900) END AS second, l.doc_id % 4 AS sub_n FROM labels l)\n"
+
+
+def scored(spark, sf):
+    length = 100 + F.pmod("doc_id", F.lit(900))
+    return table(spark, sf, "labels").select("doc_id", length.alias("len"), (2 * length - 6 * F.pmod("doc_id", F.lit(7))).alias("score"), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit(0)).otherwise(length).alias("second"), F.pmod("doc_id", F.lit(4)).alias("sub_n"))
+
+
+@query(SCORED_SQL + """, t AS (SELECT *, CASE WHEN second > 0 THEN second ELSE 50 END AS sub, 1.0::DOUBLE - (len * 2 - score) / 6.0::DOUBLE / len AS idn FROM s)
+SELECT doc_id, CASE WHEN sub >= score THEN 0 ELSE greatest(0, least(60, CAST(trunc(6.02::DOUBLE * (score - sub) / 2.0::DOUBLE * pow((CASE WHEN len < 50 THEN 1.0 ELSE 3.0::DOUBLE / ln(len) END) * idn * idn, 2) + 0.499::DOUBLE) AS INTEGER)
+  - CASE WHEN sub_n > 0 THEN CAST(trunc(4.343::DOUBLE * ln(sub_n + 1) + 0.499::DOUBLE) AS INTEGER) ELSE 0 END)) END AS mapq FROM t""")
+def mapq_se(spark, sf):
+    return scored(spark, sf).select("doc_id", S.mapq_se(F.col("score"), F.col("second"), F.col("sub_n"), F.col("len")).alias("mapq"))
+
+
+@query("""SELECT doc_id, (CASE WHEN quality = 0 THEN 4 ELSE 0 END) + (CASE WHEN doc_id % 2 = 1 AND quality = 1 THEN 16 ELSE 0 END)
+ + 1 + (CASE WHEN quality = 1 AND toxic = 0 THEN 2 ELSE 0 END) + (CASE WHEN toxic = 1 THEN 8 ELSE 0 END) + (CASE WHEN doc_id % 2 = 0 AND toxic = 0 THEN 32 ELSE 0 END) + (CASE WHEN doc_id % 4 < 2 THEN 64 ELSE 128 END) AS flag FROM labels""")
+def sam_flags(spark, sf):
+    odd = F.pmod("doc_id", F.lit(2)) == 1
+    flag = S.sam_flag(F.lit(True), F.col("quality") == 1, F.col("toxic") == 0, odd, ~odd, F.pmod("doc_id", F.lit(4)) < 2)
+    return table(spark, sf, "labels").select("doc_id", flag.alias("flag"))
+
+
+@query(MEMS_SQL + "SELECT DISTINCT read_id, score FROM (SELECT read_id, qe - qs AS score, dense_rank() OVER (PARTITION BY read_id ORDER BY qe - qs DESC) AS k FROM mem) WHERE k <= 4")
+def topk_distinct_scores(spark, sf):
+    score = found(spark, sf).select("read_id", (F.col("qe") - F.col("qs")).alias("score"))
+    return score.withColumn("k", F.dense_rank().over(W.partitionBy("read_id").orderBy(F.desc("score")))).where("k <= 4").select("read_id", "score").distinct()
+
+
+@query()
+def chains(spark, sf):
+    return chaining.chains(found(spark, sf), index(spark, sf))
+
+
+@query()
+def best_chain(spark, sf):
+    return chaining.best(chaining.chains(found(spark, sf), index(spark, sf)))
