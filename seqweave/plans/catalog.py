@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators import chaining, collection, matching, suffix
+from ..operators import chaining, collection, matching, statistics, suffix
+from ..sources import sinks, variants
 
 K = 25
 QUERIES: dict = {}
@@ -185,6 +186,83 @@ def run_counters(spark, sf):
     return reads(spark, sf).join(hit, "read_id", "left").agg(F.count("*").alias("processed"), F.count("hit").alias("aligned"))
 
 
+# ---- matching statistics and text forms ----
+
+WORDS_SQL = MEMS_SQL + f""", pl AS (SELECT doc_id AS read_id, i, substr(text, i + 1, {K - 1}) AS ahead FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS i FROM documents)),
+wd AS (SELECT DISTINCT substr(text, i + 1, n) AS word FROM (SELECT text, i, unnest(range(1, {K})) AS n FROM (SELECT text, unnest(range(0, length(text))) AS i FROM benchmark)) WHERE i + n <= length(text)),
+sh AS (SELECT read_id, i, max(n) AS len FROM (SELECT read_id, i, ahead, unnest(range(1, length(ahead) + 1)) AS n FROM pl) JOIN wd ON substr(ahead, 1, n) = word GROUP BY ALL),
+lo AS (SELECT read_id, i, max(qe - i) AS len FROM (SELECT read_id, qe, unnest(range(qs, qe - {K - 1})) AS i FROM mem) GROUP BY ALL),
+ms AS (SELECT read_id, i, coalesce(lo.len, sh.len, 0) AS len FROM pl LEFT JOIN sh USING (read_id, i) LEFT JOIN lo USING (read_id, i))
+"""
+
+
+def statistics_of(spark, sf) -> DataFrame:
+    return statistics.matching_statistics(reads(spark, sf), refs(spark, sf), found(spark, sf), K)
+
+
+@query(WORDS_SQL + """SELECT read_id, count(*) AS n, CAST(sum(len) AS BIGINT) AS total, max(len) AS longest, sha256('>' || read_id || chr(10) || string_agg(len, ' ' ORDER BY i)) AS digest FROM ms GROUP BY read_id""")
+def ms_lengths(spark, sf):
+    n = F.col("lengths")
+    text = sinks.lengths_text(F.col("read_id").cast("string"), n)
+    total = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
+    return statistics_of(spark, sf).select("read_id", F.size(n).cast("long").alias("n"), total.alias("total"), F.array_max(n).alias("longest"), F.sha2(text, 256).alias("digest"))
+
+
+@query(WORDS_SQL + """, e AS (SELECT *, lag(len) OVER (PARTITION BY read_id ORDER BY i) AS prev FROM ms)
+SELECT read_id, count(*) AS n, sha256('>' || read_id || chr(10) || string_agg('(' || i || ',' || len || ')', ' ' ORDER BY i)) AS digest FROM e WHERE prev IS NULL OR len >= prev GROUP BY read_id""")
+def mem_list(spark, sf):
+    m = statistics_of(spark, sf).select("read_id", statistics.mem_list(F.col("lengths")).alias("mems"))
+    return m.select("read_id", F.size("mems").cast("long").alias("n"), F.sha2(sinks.mems_text(F.col("read_id").cast("string"), F.col("mems")), 256).alias("digest"))
+
+
+@query(MEMS_SQL + """SELECT read_id || chr(9) || 256 || chr(9) || 'item' || ref_id || chr(9) || (rpos + 1) || chr(9) || 0 || chr(9) || (qe - qs) || 'M' || chr(9) || '*' || chr(9) || 0 || chr(9) || 0 || chr(9) || '*' || chr(9) || '*' || chr(9) || 'AS:i:' || (2 * (qe - qs)) AS line FROM occ""")
+def mem_sam_lines(spark, sf):
+    rows = matching.mem_sam(found(spark, sf), reads(spark, sf), refs(spark, sf).select("ref_id", "name")).withColumn("AS", 2 * F.length("match"))
+    return rows.select(sinks.sam_line(rows.drop("match")).alias("line"))
+
+
+@query("SELECT item_id AS ref_id, sha256('>item' || item_id || chr(10) || regexp_replace(text, '(.{60})', '\\1' || chr(10), 'gs')) AS digest FROM benchmark WHERE length(text) % 60 <> 0")
+def fasta_records(spark, sf):
+    return refs(spark, sf).where(F.length("seq") % 60 != 0).select("ref_id", F.sha2(sinks.fasta_text(F.col("name"), F.col("seq")), 256).alias("digest"))
+
+
+#: Each document asks for an edit of an item: its place, the letters replaced and those put there follow from doc_id.
+CALLS_SQL = """WITH x AS (SELECT 'item' || b.item_id AS chrom, lang AS sample, CAST(d.doc_id % 2 + 1 AS INTEGER) AS hap, (d.doc_id * 37) % (length(b.text) - 10) + 2 AS pos, d.doc_id, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE lang IS NOT NULL AND length(b.text) > 20),
+calls AS (SELECT DISTINCT chrom, sample, hap, pos, substr(text, pos, 1 + doc_id % 3) AS ref, substr('ZQX', 1, 1 + (doc_id // 3) % 3) AS alt FROM x),
+v AS (SELECT * FROM (SELECT *, max(pos + length(ref)) OVER (PARTITION BY chrom, sample, hap ORDER BY pos, ref, alt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM calls) WHERE e IS NULL OR pos >= e)
+"""
+
+
+def calls(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("sample"), F.pmod("doc_id", F.lit(40)).alias("ref_id"))
+    both = d.join(refs(spark, sf).where(F.length("seq") > 20), "ref_id")
+    pos = (F.col("doc_id") * 37) % (F.length("seq") - 10) + 2
+    ref = F.substr("seq", F.col("pos").cast("int"), (1 + F.col("doc_id") % 3).cast("int"))
+    alt = F.substr(F.lit("ZQX"), F.lit(1), (1 + F.floor(F.col("doc_id") / 3) % 3).cast("int"))
+    return variants.applied(both.withColumn("pos", pos).select(F.col("name").alias("chrom"), "sample", (F.col("doc_id") % 2 + 1).cast("int").alias("hap"), "pos", ref.alias("ref"), alt.alias("alt")).distinct())
+
+
+@query(CALLS_SQL + "SELECT chrom, sample, hap, pos, ref, alt FROM v")
+def applied_variants(spark, sf):
+    return calls(spark, sf)
+
+
+@query(CALLS_SQL + """, p AS (SELECT v.*, text, coalesce(lag(pos + length(ref)) OVER (PARTITION BY chrom, sample, hap ORDER BY pos), 1) AS f FROM v JOIN benchmark ON chrom = 'item' || item_id)
+SELECT chrom AS name, sample, hap, string_agg(substr(text, f, pos - f) || alt, '' ORDER BY pos) || substr(any_value(text), max(pos + length(ref))) AS seq FROM p GROUP BY chrom, sample, hap""")
+def haplotype_sequences(spark, sf):
+    return variants.haplotypes(refs(spark, sf).select("name", "seq"), calls(spark, sf))
+
+
+@query(CALLS_SQL + """, s AS (SELECT *, coalesce(sum(length(alt) - length(ref)) OVER (PARTITION BY chrom, sample, hap ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sh, least(length(ref), length(alt)) AS c FROM v),
+g AS (SELECT chrom, sample, hap, pos, pos - 1 + c AS r0, pos - 1 + length(ref) AS r1, pos - 1 + c + sh AS q0, pos - 1 + length(alt) + sh AS q1 FROM s),
+k AS (SELECT chrom, sample, hap, pos, q1 AS src, r1 AS dst, q0 FROM g UNION ALL SELECT DISTINCT chrom, sample, hap, 0, 0, 0, NULL FROM g),
+eq AS (SELECT k.*, coalesce(lead(q0) OVER (PARTITION BY chrom, sample, hap ORDER BY pos), src + length(text) - dst) AS stop FROM k JOIN benchmark ON chrom = 'item' || item_id)
+SELECT chrom AS name, sample, hap, CAST(src AS BIGINT) AS src_start, CAST(stop AS BIGINT) AS src_end, CAST(dst AS BIGINT) AS dst_start, '=' AS op FROM eq WHERE stop > src
+UNION ALL SELECT chrom, sample, hap, CAST(q0 AS BIGINT), CAST(q1 AS BIGINT), CAST(r0 AS BIGINT), 'I' FROM g WHERE q1 > q0""")
+def lift_segments(spark, sf):
+    return variants.lift_segments(refs(spark, sf).select("name", "seq"), calls(spark, sf))
+
+
 # ---- suffix structures ----
 
 

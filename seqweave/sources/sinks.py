@@ -36,7 +36,7 @@ def write_sam(records: DataFrame, index: DataFrame, path: str) -> None:
 
 def fasta_text(name: Column, seq: Column, width: int = 60) -> Column:
     """A FASTA record with lines of `width` characters."""
-    lines = F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
+    lines = F.regexp_replace(seq, f"(?s)(.{{{width}}})(?=.)", "$1\n")
     return F.concat(F.lit(">"), name, F.lit("\n"), lines)
 
 
