@@ -20,10 +20,11 @@ class ChainConfig:
 
 
 def anchors(mems: DataFrame, index: DataFrame) -> DataFrame:
-    """One row for each occurrence of each match: x and y are the ends in the collection and the read, w the length."""
+    """One row for each occurrence of each match: x and y are the ends in the collection and the read, w the length; start and len are
+    those of the sequence."""
     occ = mems.select("read_id", "qs", "qe", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "o.*")
     w = F.col("qe") - F.col("qs")
-    return occ.join(index.select("ref_id", "start"), "ref_id").select("read_id", (F.col("start") + F.col("rpos") + w - 1).alias("x"), (F.col("qe") - 1).alias("y"), w.alias("w"))
+    return occ.join(index.select("ref_id", "start", "len"), "ref_id").select("read_id", "ref_id", "start", "len", (F.col("start") + F.col("rpos") + w - 1).alias("x"), (F.col("qe") - 1).alias("y"), w.alias("w"))
 
 
 def solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, cfg: ChainConfig) -> list[tuple[int, list[int]]]:
@@ -77,17 +78,30 @@ def solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, cfg: ChainConfig) -> list
     return out
 
 
-def chains(mems: DataFrame, index: DataFrame, cfg: ChainConfig = ChainConfig()) -> DataFrame:
-    """(read_id, chain, score, n_anchors, x0, x1, y0, y1): first and last anchors' ends. The anchors of one read are solved
-    together."""
+CHAINS = "read_id long, ref_id long, chain int, score long, n_anchors int, x0 long, x1 long, y0 long, y1 long, start long, len long, anchors array<struct<x:long,y:long,w:long>>"
+
+
+def solved(found: DataFrame, cfg: ChainConfig = ChainConfig(), within: bool = True) -> DataFrame:
+    """CHAINS of anchors. With `within` a chain stays inside one sequence, and each pair of read and sequence is solved by itself, so a
+    read that occurs in very many sequences is not one task; without, all anchors of a read are solved together and ref_id is
+    that of the first anchor."""
 
-    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y", "w"])
-        x, y, w = (pdf[c].to_numpy() for c in "xyw")
-        rows = [(pdf.read_id.iloc[0], k, s, len(c), x[c[0]], x[c[-1]], y[c[0]], y[c[-1]]) for k, (s, c) in enumerate(solve(x, y, w, cfg))]
-        return pd.DataFrame(rows, columns=["read_id", "chain", "score", "n_anchors", "x0", "x1", "y0", "y1"])
+        x, y, w, ref, start, size = (pdf[c].to_numpy() for c in ("x", "y", "w", "ref_id", "start", "len"))
+        rows = []
+        for k, (score, c) in enumerate(solve(x, y, w, cfg)):
+            steps = [{"x": int(x[i]), "y": int(y[i]), "w": int(w[i])} for i in c]
+            rows.append((pdf.read_id.iloc[0], ref[c[0]], k, score, len(c), x[c[0]], x[c[-1]], y[c[0]], y[c[-1]], start[c[0]], size[c[0]], steps))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in CHAINS.split(", ")])
 
-    return anchors(mems, index).groupBy("read_id").applyInPandas(solved, "read_id long, chain int, score long, n_anchors int, x0 long, x1 long, y0 long, y1 long")
+    return found.groupBy("read_id", *(["ref_id"] if within else [])).applyInPandas(solve_group, CHAINS)
+
+
+def chains(mems: DataFrame, index: DataFrame, cfg: ChainConfig = ChainConfig()) -> DataFrame:
+    """(read_id, chain, score, n_anchors, x0, x1, y0, y1): first and last anchors' ends. The anchors of one read are solved
+    together."""
+    return solved(anchors(mems, index), cfg, within=False).select("read_id", "chain", "score", "n_anchors", "x0", "x1", "y0", "y1")
 
 
 def best(found: DataFrame) -> DataFrame:

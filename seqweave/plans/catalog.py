@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators import chaining, collection, matching, statistics, suffix
+from ..operators import alignment, chaining, collection, matching, statistics, suffix
 from ..sources import sinks, variants
 
 K = 25
@@ -420,3 +420,26 @@ def chains(spark, sf):
 @query()
 def best_chain(spark, sf):
     return chaining.best(chaining.chains(found(spark, sf), index(spark, sf)))
+
+
+# ---- alignment: the items of benchmark are the reads, the documents the collection ----
+
+
+def item_reads(spark, sf) -> DataFrame:
+    return refs(spark, sf).select(F.col("ref_id").alias("read_id"), "seq")
+
+
+def document_refs(spark, sf) -> DataFrame:
+    return reads(spark, sf).select(F.col("read_id").alias("ref_id"), F.concat(F.lit("doc"), F.col("read_id").cast("string")).alias("name"), "seq").where("seq <> ''")
+
+
+@query()
+def align_candidates(spark, sf):
+    docs = document_refs(spark, sf)
+    return alignment.found(item_reads(spark, sf), docs, collection.seqidx(docs))
+
+
+@query()
+def align_se(spark, sf):
+    docs, items = document_refs(spark, sf), item_reads(spark, sf)
+    return alignment.single(alignment.found(items, docs, collection.seqidx(docs)), items, docs)
