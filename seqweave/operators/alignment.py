@@ -184,16 +184,22 @@ def found(reads: DataFrame, refs: DataFrame, index: DataFrame, cfg: AlignConfig
     return out.withColumn("strand", F.pmod("read_id", F.lit(2)).cast("int")).withColumn("read_id", F.floor(F.col("read_id") / 2))
 
 
+def regions(found: DataFrame, reads: DataFrame) -> DataFrame:
+    """Candidates that reach the least score for their read's length, with n, that length; of those at most 10 apart on one sequence and
+    strand the best stays."""
+    good = found.join(reads.select("read_id", F.length("seq").alias("n")), "read_id").where(F.col("score") >= S.min_score(F.col("n")))
+    region = W.partitionBy("read_id", "ref_id", "strand").orderBy("pos")
+    starts = F.coalesce((F.col("pos") - F.lag("pos").over(region) >= 10).cast("int"), F.lit(1))
+    kept = good.withColumn("_new", starts).withColumn("_region", F.sum("_new").over(region))
+    return kept.withColumn("_k", F.row_number().over(W.partitionBy("read_id", "ref_id", "strand", "_region").orderBy(F.desc("score"), "pos", "cigar"))).where("_k = 1").drop("_k", "_new", "_region")
+
+
 def single(found: DataFrame, reads: DataFrame, refs: DataFrame, cfg: AlignConfig = AlignConfig()) -> DataFrame:
     """One SAM row for each read: its best alignment (of equals the first sequence, place and strand), the second-best score, the
     places that score as well, and mapping quality. Alignments under the least score for the read's length do not count;
     a read without any is unmapped. Candidates at most 10 apart on one sequence and strand are one region."""
     size = reads.select("read_id", "seq", F.length("seq").alias("n"))
-    good = found.join(size.select("read_id", "n"), "read_id").where(F.col("score") >= S.min_score(F.col("n")))
-    region = W.partitionBy("read_id", "ref_id", "strand").orderBy("pos")
-    starts = F.coalesce((F.col("pos") - F.lag("pos").over(region) >= 10).cast("int"), F.lit(1))
-    kept = good.withColumn("_new", starts).withColumn("_region", F.sum("_new").over(region))
-    one = kept.withColumn("_k", F.row_number().over(W.partitionBy("read_id", "ref_id", "strand", "_region").orderBy(F.desc("score"), "pos", "cigar"))).where("_k = 1")
+    one = regions(found, reads)
     read = W.partitionBy("read_id")
     ordered = one.withColumn("_k", F.row_number().over(read.orderBy(F.desc("score"), "ref_id", "pos", "strand")))
     top = F.max("score").over(read)

@@ -81,6 +81,12 @@ def mem_stats(mems: DataFrame) -> DataFrame:
     return seeds.groupBy("read_id").agg(F.count("*").alias("n_unique"), F.sum("n").alias("total"), F.max("n").alias("max_freq"), F.min("n").alias("min_freq"), F.max("hi").alias("highest_occ"), F.min("lo").alias("lowest_occ"))
 
 
+def averages(mems: DataFrame) -> DataFrame:
+    """Per read: mean length of its matches, the mean weighted by occurrences, and the length of all occurrences together."""
+    n, w = F.size("occs").cast("long"), (F.col("qe") - F.col("qs")).cast("long")
+    return mems.groupBy("read_id").agg(F.avg(w).alias("mean"), (F.sum(w * n) / F.sum(n)).alias("weighted"), F.sum(w * n).alias("total_len"))
+
+
 def mem_sam(mems: DataFrame, reads: DataFrame, names: DataFrame) -> DataFrame:
     """One secondary SAM record for each occurrence of each match: flag 256, CIGAR of one M run, the matching part of the read."""
     n = F.col("qe") - F.col("qs")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators import alignment, chaining, collection, matching, statistics, suffix
+from ..operators import alignment, chaining, collection, extending, lifting, matching, pairing, statistics, suffix
 from ..sources import sinks, variants
 
 K = 25
@@ -443,3 +443,58 @@ def align_candidates(spark, sf):
 def align_se(spark, sf):
     docs, items = document_refs(spark, sf), item_reads(spark, sf)
     return alignment.single(alignment.found(items, docs, collection.seqidx(docs)), items, docs)
+
+
+@query()
+def extend_longest(spark, sf):
+    docs = document_refs(spark, sf)
+    return extending.extended(item_reads(spark, sf), docs, collection.seqidx(docs))
+
+
+# ---- pairs: both ends of an item, on opposite strands, in a DNA-like view of items and documents ----
+
+
+def item_mates(spark, sf) -> DataFrame:
+    """Both ends of items of 200 letters or more; every twelfth letter of the second mate of odd items is changed, so it has no seed."""
+    items = table(spark, sf, "benchmark").where(F.length("text") >= 200).select(F.col("item_id").alias("pair_id"), S.dna_view(F.col("text")).alias("seq"))
+    changed = F.when(F.pmod("pair_id", F.lit(2)) == 1, F.regexp_replace(F.right("seq", F.lit(70)), "(.{11}).", "$1A")).otherwise(F.right("seq", F.lit(70)))
+    first = items.select("pair_id", F.lit(0).alias("mate"), F.left("seq", F.lit(70)).alias("seq"))
+    return first.unionByName(items.select("pair_id", F.lit(1).alias("mate"), S.revcomp(changed).alias("seq")))
+
+
+@query()
+def align_pe(spark, sf):
+    docs = document_refs(spark, sf).withColumn("seq", S.dna_view(F.col("seq")))
+    mates = item_mates(spark, sf)
+    return pairing.sam_rows(alignment.found(pairing.read_ids(mates), docs, collection.seqidx(docs)), mates, docs)
+
+
+@query("""WITH s AS (SELECT doc_id, 300 + doc_id % 200 AS score, (doc_id * 7) % 290 AS second, doc_id % 3 AS sub_n FROM labels)
+SELECT doc_id, greatest(0, least(60, CAST(trunc(6.02::DOUBLE * (score - second) / 2 + 0.499::DOUBLE) AS INTEGER) - CASE WHEN sub_n > 0 THEN CAST(trunc(4.343::DOUBLE * ln(sub_n + 1) + 0.499::DOUBLE) AS INTEGER) ELSE 0 END)) AS mapq FROM s""")
+def mapq_pe(spark, sf):
+    i = F.col("doc_id")
+    return table(spark, sf, "labels").select("doc_id", pairing.mapq_pair(300 + i % 200, (i * 7) % 290, i % 3).alias("mapq"))
+
+
+@query(LOCATED_SQL + """SELECT a.doc_id, CASE WHEN b.pos > a.pos THEN b.pos + b.width - a.pos ELSE b.pos - a.pos - a.width END AS tlen FROM loc a JOIN loc b ON b.doc_id = a.doc_id + 1 AND a.ref_id = b.ref_id""")
+def template_lengths(spark, sf):
+    a = located(spark, sf).select("doc_id", "pos", "width", "ref_id")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), "ref_id", F.col("pos").alias("pos2"), F.col("width").alias("width2"))
+    return a.join(b, ["doc_id", "ref_id"]).select("doc_id", pairing.template_length(F.col("pos"), F.col("width"), F.col("pos2"), F.col("width2")).alias("tlen"))
+
+
+@query(MEMS_SQL + """, s AS (SELECT read_id, qs, qe, count(*) AS n FROM occ GROUP BY ALL)
+SELECT read_id, avg(qe - qs) AS mean, CAST(sum((qe - qs) * n) AS DOUBLE) / sum(n) AS weighted, CAST(sum((qe - qs) * n) AS BIGINT) AS total_len FROM s GROUP BY read_id""")
+def mem_averages(spark, sf):
+    return matching.averages(found(spark, sf))
+
+
+@query(ORACLES["lift_segments"].replace("SELECT chrom AS name", ", seg AS (SELECT chrom AS name", 1) + """)
+SELECT name, sample, hap, min(dst_start) FILTER (op = '=') AS ref_pos, CAST(sum(src_end - src_start) FILTER (op = '=') AS BIGINT) AS n_m, CAST(coalesce(sum(src_end - src_start) FILTER (op = 'I'), 0) AS BIGINT) AS n_i,
+  CAST(max(dst_start + src_end - src_start) FILTER (op = '=') - min(dst_start) FILTER (op = '=') - sum(src_end - src_start) FILTER (op = '=') AS BIGINT) AS n_d FROM seg GROUP BY name, sample, hap""")
+def lift_cigar(spark, sf):
+    on = ["name", "sample", "hap"]
+    whole = haplotype_sequences(spark, sf).where("seq <> ''").select(F.concat_ws("/", *on).alias("key"), *on, F.lit(0).cast("long").alias("pos"), F.concat(F.length("seq"), F.lit("M")).alias("cigar"))
+    out = lifting.lift_cigars(whole, lift_segments(spark, sf), on)
+    count = lambda op: F.aggregate(F.regexp_extract_all("ref_cigar", F.lit(rf"(\d+){op}"), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return out.select(*on, "ref_pos", *(count(op).alias(f"n_{op.lower()}") for op in "MID"))
