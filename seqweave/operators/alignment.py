@@ -228,6 +228,13 @@ def single(found: DataFrame, reads: DataFrame, refs: DataFrame, cfg: AlignConfig
     )
 
 
+def tied(found: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
+    """(read_id, rname, pos, score): further places that score as well as the one that `single` reports; pos is 1-based."""
+    read = W.partitionBy("read_id")
+    order = regions(found, reads).withColumn("_top", F.max("score").over(read)).where("score = _top").withColumn("_k", F.row_number().over(read.orderBy("ref_id", "pos", "strand")))
+    return order.where("_k > 1").join(refs.select("ref_id", F.col("name").alias("rname")), "ref_id").select("read_id", "rname", (F.col("pos") + 1).alias("pos"), "score")
+
+
 def replayed(read: str, cigar: str, md: str) -> str:
     """The reference letters that a read, its CIGAR and MD stand for."""
     at, kept = 0, []

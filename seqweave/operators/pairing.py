@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions import scalars as S
 from . import alignment
+from .distributed import cut
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def rescued(placed: DataFrame, mates: DataFrame, refs: DataFrame, model: DataFra
     last = F.when(F.col("strand") == 1, F.col("p") + F.col("pn") + most + F.col("n")).otherwise(F.col("p") - least)
     windows = asked.join(seqs, ["pair_id", "mate"]).crossJoin(F.broadcast(model)).where("mean IS NOT NULL").withColumn("lo", F.greatest(F.lit(0), first).cast("long")).withColumn("hi", last.cast("long")).where("hi > lo")
     seq = F.when(F.col("strand") == 1, S.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq")
-    cut = windows.select("pair_id", "mate", "ref_id", "strand", "lo", "hi", "n", seq).join(refs.select("ref_id", F.col("seq").alias("target")), "ref_id").withColumn("target", F.expr("substring(target, cast(lo + 1 as int), cast(hi - lo as int))")).where("target <> ''")
+    near = windows.select("pair_id", "mate", "ref_id", "strand", "lo", "hi", "n", seq).join(refs.select("ref_id", F.col("seq").alias("target")), "ref_id").withColumn("target", F.expr("substring(target, cast(lo + 1 as int), cast(hi - lo as int))")).where("target <> ''")
 
     def search(batches):
         for pdf in batches:
@@ -95,7 +96,7 @@ def rescued(placed: DataFrame, mates: DataFrame, refs: DataFrame, model: DataFra
                 rows.append((c.pair_id, c.ref_id, c.strand, c.lo + at, score, cigar, md, nm, c.n, c.mate))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in RESCUED.split(", ")])
 
-    found = cut.mapInPandas(search, RESCUED).where(F.col("score") >= S.min_score(F.col("n")))
+    found = near.mapInPandas(search, RESCUED).where(F.col("score") >= S.min_score(F.col("n")))
     return found.select((F.col("pair_id") * 2 + F.col("mate")).alias("read_id"), *PLACE).distinct()
 
 
@@ -123,12 +124,12 @@ def sam_rows(found: DataFrame, mates: DataFrame, refs: DataFrame, cfg: PairConfi
     """Two SAM rows for each pair. The best concordant placement (mates rescued included) is the pair's; without one, each mate takes
     its own best. found: candidates of alignment.found for read_ids(mates)."""
     penalty = max(scores.match + scores.mismatch, scores.gap_open + scores.gap_extend)
-    placed = alignment.regions(found, read_ids(mates)).select("read_id", *PLACE)
+    placed = cut(alignment.regions(found, read_ids(mates)).select("read_id", *PLACE))
     near = concordant(placed, cfg.reach)
-    model = fragment_model(near)
-    more = rescued(placed, mates, refs, model, cfg, scores)
+    model = cut(fragment_model(near))
+    more = cut(rescued(placed, mates, refs, model, cfg, scores))
     every = placed.withColumn("rescued", F.lit(False)).unionByName(more.withColumn("rescued", F.lit(True)))
-    pairs = total(near.unionByName(concordant(every.select("read_id", *PLACE), cfg.reach)).distinct(), model, scores.match)
+    pairs = total(concordant(every.select("read_id", *PLACE), cfg.reach), model, scores.match)
     pair = W.partitionBy("pair_id")
     ranked = pairs.withColumn("_k", F.row_number().over(pair.orderBy(F.desc("total"), "fwd", "rev"))).withColumn("_top", F.max("total").over(pair))
     best = ranked.withColumn("second", F.coalesce(F.max(F.when(F.col("_k") > 1, F.col("total"))).over(pair), F.lit(0))).withColumn("sub_n", F.count_if(F.col("total") >= F.col("_top") - penalty).over(pair) - 1).where("_k = 1")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .collection import seqidx
-from .distributed import cut, ranked
+from .distributed import cut, ranked, running_sum
 
 SEPARATOR, TERMINATOR = 2, 1
 
@@ -80,6 +80,16 @@ def lf(b: DataFrame) -> DataFrame:
     return ranked(b.select("rank", "c"), ["c", "rank"], "lf").select("rank", "lf")
 
 
+def run_ranks(run_table: DataFrame) -> DataFrame:
+    """(run_id, head, head_rank, run_head_rank, lf): places and runs of the run's own character before it, and LF of its first place.
+    What is broadcast has a row for each character. One order by character and run serves all three, so the runs of a frequent character are dealt over tasks."""
+    summed = running_sum(run_table.select("run_id", "head", "len"), "len", ["head", "run_id"], "lf")
+    numbered = ranked(run_table.select("run_id", "head"), ["head", "run_id"], "k").select("run_id", "k")
+    both = cut(summed.select("run_id", "head", "lf").join(numbered, "run_id"))
+    first = both.groupBy("head").agg(F.min("lf").alias("f"), F.min("k").alias("k0"))
+    return both.join(F.broadcast(first), "head").select("run_id", "head", (F.col("lf") - F.col("f")).alias("head_rank"), (F.col("k") - F.col("k0")).alias("run_head_rank"), "lf")
+
+
 def lcp(chars: DataFrame, sa: DataFrame) -> DataFrame:
     """(rank, lcp) with the suffix before, by joins only: ranks of prefixes of 2^j characters are compared from long to short."""
     levels = [chars.select("i", F.col("c").cast("long").alias("r"))]

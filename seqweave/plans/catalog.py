@@ -327,6 +327,13 @@ def phi_inv(spark, sf):
     return suffix.phi_inv(array(spark, sf))
 
 
+@query(RUN_SQL + """, w AS (SELECT run_id, head, coalesce(sum(len) OVER (PARTITION BY head ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hr, row_number() OVER (PARTITION BY head ORDER BY run_id) - 1 AS rr FROM rn),
+f AS (SELECT head, coalesce(sum(n) OVER (ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM (SELECT head, sum(len) AS n FROM rn GROUP BY head))
+SELECT run_id, head, CAST(hr AS BIGINT) AS head_rank, rr AS run_head_rank, CAST(hr + f AS BIGINT) AS lf FROM w JOIN f USING (head)""")
+def run_ranks(spark, sf):
+    return suffix.run_ranks(suffix.runs(transform(spark, sf)))
+
+
 @query()
 def lcp_array(spark, sf):
     c = chars(spark, sf)
