@@ -4,10 +4,10 @@ Seeds are grams of WORDS consecutive words, of which each window of WINDOW grams
 that occurs again is joined with its first occurrence (least doc_id), not with all others, so a passage of many copies gives
 as many matches as it has occurrences. The matches of a document with another are chained in order: runs on one diagonal become
 blocks; a Fenwick tree over the places in the other document gives each block its best predecessor under linear gap costs; chains
-are cut at gaps of more than GAP characters. Both passages of each chain are fetched, extended word by word past
-single differences, and aligned; those of at least MIN_WORDS words and IDENTITY (longest common subsequence of
-words over the longer side) are reported. A chain of one seed must be backed by 2 * SUPPORT equal words next to it, SUPPORT on
-either side or all on one, as every run of WORDS + 3 * SUPPORT - 1 equal words around a seed is.
+are cut at gaps of more than GAP characters. Both passages of every chain, also of one seed, are fetched, extended word by word
+past differences until DROP equal words would be needed to make up for them, and aligned; those of at least MIN_WORDS words and
+IDENTITY (longest common subsequence of words over the longer side) are reported. Every run of WORDS + WINDOW - 1 equal words
+holds a seed on both sides.
 
 Results are places in code points, ends exclusive, in documents other than the one with the first occurrence. Within one
 document repeats are not looked for; repeated rows give repeated results. Null and empty texts have no passages.
@@ -25,11 +25,11 @@ from .common import spans_of_rows, stored, table, text_bytes
 from .decontaminate import Words
 from .suffixdedup import window_minima
 
-WORDS, WINDOW, SUPPORT, GAP, MIN_WORDS, IDENTITY, MARGIN = 5, 32, 8, 400, 40, 0.8, 400
+WORDS, WINDOW, GAP, MIN_WORDS, IDENTITY, MARGIN, DROP = 5, 8, 400, 40, 0.8, 500, 8
 GAP_COST = 0.05
 CHUNK = 1 << 20
 
-SEEDS = "id long, doc_id long, c0 int, c1 int, h long, b1 int, b2 int, a1 int, a2 int"
+SEEDS = "id long, doc_id long, c0 int, c1 int, h long"
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -43,8 +43,7 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, words: int, window: int) -> DataFrame:
-    """Seeds of docs (id, doc_id, text): place in code points, hash, and hashes of twice SUPPORT words before (b1 the nearer, b2) and
-    after (a1, a2), 0 where the text ends earlier."""
+    """Seeds of docs (id, doc_id, text): place in code points and hash."""
 
     def pick(batches):
         for batch in batches:
@@ -69,19 +68,11 @@ def seeds(docs: DataFrame, words: int, window: int) -> DataFrame:
                     continue
                 at = np.unique((np.concatenate(chosen) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
                 row = np.searchsorted(w.first, at, "right") - 1
-                side = _rolled(w.hashes, SUPPORT)
-                near = np.zeros(len(w.hashes) + 1, np.int32)
-                near[: len(side)] = (side >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                beside = []
-                for shift in (-SUPPORT, -2 * SUPPORT, words, words + SUPPORT):
-                    k = at + shift
-                    whole = (k >= w.first[row]) & (k + SUPPORT <= w.first[row + 1])
-                    beside.append(pa.array(np.where(whole, near[np.clip(k, 0, len(near) - 1)], 0)))
                 chars = np.zeros(len(w.low) + 1, np.int64)
                 np.cumsum((w.low & 0xC0) != 0x80, out=chars[1:])
                 origin = chars[offsets[lo : hi + 1] - offsets[lo]][row]
                 c0, c1 = chars[w.starts[at]] - origin, chars[w.ends[at + words - 1]] - origin
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), doc_ids.take(pa.array(lo + row)), pa.array(c0.astype(np.int32)), pa.array(c1.astype(np.int32)), pa.array(h[at].view(np.int64)), *beside], names=[x.split()[0] for x in SEEDS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), doc_ids.take(pa.array(lo + row)), pa.array(c0.astype(np.int32)), pa.array(c1.astype(np.int32)), pa.array(h[at].view(np.int64))], names=[x.split()[0] for x in SEEDS.split(", ")])
 
     return docs.mapInArrow(pick, SEEDS)
 
@@ -141,7 +132,7 @@ CHAINS = "id long, rid long, rdoc long, c0 int, c1 int, r0 int, r1 int"
 
 
 def chained(matches: DataFrame, gap: int) -> DataFrame:
-    """Chains of matches (id, rid, rdoc, c0, c1, r0, r1, backed), which come sorted by id, rid, c0, r0 in each partition."""
+    """Chains of matches (id, rid, rdoc, c0, c1, r0, r1), which come sorted by id, rid, c0, r0 in each partition."""
 
     def run(batches):
         rest = None
@@ -159,15 +150,13 @@ def chained(matches: DataFrame, gap: int) -> DataFrame:
             yield solve(rest, np.array([rest.num_rows]))
 
     def solve(part: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        ids, rids, rdocs, c0, c1, r0, r1, backed = (part.column(n).to_numpy() for n in ("id", "rid", "rdoc", "c0", "c1", "r0", "r1", "backed"))
+        ids, rids, rdocs, c0, c1, r0, r1 = (part.column(n).to_numpy() for n in ("id", "rid", "rdoc", "c0", "c1", "r0", "r1"))
         out, lo = [], 0
         for hi in edges.tolist():
             if hi > len(ids):
                 break
-            if hi - lo > 1 or backed[lo]:
-                for chain in chains(blocks(c0[lo:hi], c1[lo:hi], r0[lo:hi], r1[lo:hi], gap), gap):
-                    if sum(b[4] for b in chain) > 1 or backed[lo + chain[0][5]]:
-                        out.append((ids[lo], rids[lo], rdocs[lo], chain[0][0], max(b[1] for b in chain), chain[0][2], max(b[3] for b in chain)))
+            for chain in chains(blocks(c0[lo:hi], c1[lo:hi], r0[lo:hi], r1[lo:hi], gap), gap):
+                out.append((ids[lo], rids[lo], rdocs[lo], chain[0][0], max(b[1] for b in chain), chain[0][2], max(b[3] for b in chain)))
             lo = hi
         cols = list(zip(*out, strict=True)) or [()] * 7
         types = [pa.int64()] * 3 + [pa.int32()] * 4
@@ -201,18 +190,27 @@ def common_words(a: list[str], b: list[str]) -> int:
 
 
 def extended(a: list[str], b: list[str]) -> tuple[int, int]:
-    """How many words of a and b agree from the start, past single differences that three equal words follow."""
-    i, j, n, m = 0, 0, len(a), len(b)
-    while True:
-        while i < n and j < m and a[i] == b[j]:
-            i, j = i + 1, j + 1
-        for di, dj in ((1, 1), (1, 0), (0, 1)):
-            ahead = a[i + di : i + di + 3]
-            if len(ahead) == 3 and ahead == b[j + dj : j + dj + 3]:
-                i, j = i + di, j + dj
-                break
-        else:
-            return i, j
+    """How many words of a and b belong together from the start. On each diagonal the farthest place after d differences is kept;
+    an equal word is worth one, a changed word costs two, a word of one side two and a half. A diagonal is given up DROP below the
+    best, where the extension ends."""
+    n, m, d = len(a), len(b), 0
+    best, ends, reach = -1, (0, 0), {0: 0}  # scores are doubled
+    while reach:
+        alive = {}
+        for k, i in reach.items():
+            j = i + k
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            score = i + j - 6 * d
+            if score > best:
+                best, ends = score, (i, j)
+            alive[k] = i
+        reach, d = {}, d + 1
+        for k, i in alive.items():
+            for to, at in ((k, i + 1), (k + 1, i), (k - 1, i + 1)):
+                if at <= n and at + to <= m and 2 * at + to - 6 * d >= best - 2 * DROP and at > reach.get(to, -1):
+                    reach[to] = at
+    return ends
 
 
 def _low(text: str) -> str:
@@ -257,10 +255,8 @@ def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, ga
     # grouped results are written before they are joined: a join of two plain shuffles can split a hot seed
     again = stored(found.groupBy("h").count().where("count > 1").select("h"))
     found = stored(found.join(again, "h", "left_semi"))
-    first = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "id", "c0", "c1", "b1", "b2", "a1", "a2")).alias("f")))
-    same = lambda c: (F.col(c) == F.col(f"f.{c}")) & (F.col(c) != 0)
-    backed = (same("b1") & same("a1")) | (same("b1") & same("b2")) | (same("a1") & same("a2"))
-    matches = found.join(first, "h").where("id <> f.id").select("id", F.col("f.id").alias("rid"), F.col("f.doc_id").alias("rdoc"), "c0", "c1", F.col("f.c0").alias("r0"), F.col("f.c1").alias("r1"), backed.alias("backed")).distinct()
+    first = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "id", "c0", "c1")).alias("f")))
+    matches = found.join(first, "h").where("id <> f.id").select("id", F.col("f.id").alias("rid"), F.col("f.doc_id").alias("rdoc"), "c0", "c1", F.col("f.c0").alias("r0"), F.col("f.c1").alias("r1")).distinct()
     lines = stored(chained(matches.repartition("id").sortWithinPartitions("id", "rid", "c0", "r0"), gap))
     key = ["id", "rid", "c0", "r0"]
     ask = lambda side, who, lo, hi: lines.select(*key, "rdoc", "c1", "r1", F.lit(side).alias("side"), F.col(who).alias("tid"), F.greatest(F.lit(0), F.col(lo) - MARGIN).alias("lo"), (F.col(hi) + MARGIN).alias("hi"))

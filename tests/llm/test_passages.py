@@ -72,3 +72,20 @@ def test_repeated_rows_give_the_same_passages(spark):
     got = [(r.doc_id, tuple(r.passages)) for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(i for i, _ in got) == [1, 2, 2, 3]
     assert len({p for i, p in got if i == 2}) == 1 and all(bool(p) == (i == 2) for i, p in got)
+
+
+def test_passages_with_many_edits_are_found(spark):
+    rng = random.Random(6)
+    rows, planted = [], {}
+    for rate in (0.05, 0.10, 0.15):
+        for n in range(51, 101):
+            passage = words(rng, n)
+            edited = [w if rng.random() >= rate else f"changed{rng.randrange(10**6)}" for w in passage]
+            if lcs(passage, edited) < 0.82 * n:
+                continue
+            k = len(rows)
+            rows += [(k, " ".join(words(rng, 60) + passage + words(rng, 60))), (k + 1, " ".join(words(rng, 60) + edited + words(rng, 60)))]
+            planted.setdefault(rate, []).append(k)
+    got = {r.doc_id: {p.rdoc for p in r.passages} for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {rate: sum(k in got[k + 1] for k in ks) / len(ks) for rate, ks in planted.items()}
+    assert recall[0.05] >= 0.98 and recall[0.10] >= 0.95 and recall[0.15] >= 0.85, recall
