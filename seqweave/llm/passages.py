@@ -1,8 +1,9 @@
 """Substring dedup (operator 9): fuzzy passages by collinear chaining.
 
 Seeds are grams of WORDS consecutive words, of which each window of WINDOW grams contributes the one with the least hash. A seed
-that occurs again is joined with its first occurrence (least doc_id), not with all others, so a passage of many copies gives
-as many matches as it has occurrences. The matches of a document with another are chained in order: runs on one diagonal become
+that occurs again is joined with its first occurrence (least doc_id), and with the first ones among those that also have the same
+4 or 12 words before or after it, not with all others: at most five matches for each occurrence, and a common phrase still meets
+the copies of its own passage. The matches of a document with another are chained in order: runs on one diagonal become
 blocks; a Fenwick tree over the places in the other document gives each block its best predecessor under linear gap costs; chains
 are cut at gaps of more than GAP characters. Both passages of every chain, also of one seed, are fetched, extended word by word
 past differences until DROP equal words would be needed to make up for them, and aligned; those of at least MIN_WORDS words and
@@ -29,7 +30,11 @@ WORDS, WINDOW, GAP, MIN_WORDS, IDENTITY, MARGIN, DROP = 5, 8, 400, 40, 0.8, 500,
 GAP_COST = 0.05
 CHUNK = 1 << 20
 
-SEEDS = "id long, doc_id long, c0 int, c1 int, h long"
+#: Occurrences of a seed from which on it is joined by grouped minima, not by one sorted group in a task.
+HOT = 5000
+
+SEEDS = "id long, doc_id long, c0 int, c1 int, h long, b4 int, a4 int, b12 int, a12 int"
+CONTEXTS = {"b4": (-4, 4), "a4": (WORDS, 4), "b12": (-12, 12), "a12": (WORDS, 12)}
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -43,7 +48,8 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def seeds(docs: DataFrame, words: int, window: int) -> DataFrame:
-    """Seeds of docs (id, doc_id, text): place in code points and hash."""
+    """Seeds of docs (id, doc_id, text): place in code points, hash, and hashes of 4 and 12 words before and after, 0 where the text
+    ends earlier."""
 
     def pick(batches):
         for batch in batches:
@@ -68,15 +74,74 @@ def seeds(docs: DataFrame, words: int, window: int) -> DataFrame:
                     continue
                 at = np.unique((np.concatenate(chosen) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
                 row = np.searchsorted(w.first, at, "right") - 1
+                sides = {}
+                for n in {n for _, n in CONTEXTS.values()}:
+                    side = _rolled(w.hashes, n)
+                    sides[n] = np.zeros(len(w.hashes) + 1, np.int32)
+                    sides[n][: len(side)] = (side >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                beside = []
+                for shift, n in CONTEXTS.values():
+                    k = at + (shift if shift < 0 else words)
+                    whole = (k >= w.first[row]) & (k + n <= w.first[row + 1])
+                    beside.append(pa.array(np.where(whole, sides[n][np.clip(k, 0, len(w.hashes))], 0)))
                 chars = np.zeros(len(w.low) + 1, np.int64)
                 np.cumsum((w.low & 0xC0) != 0x80, out=chars[1:])
                 origin = chars[offsets[lo : hi + 1] - offsets[lo]][row]
                 c0, c1 = chars[w.starts[at]] - origin, chars[w.ends[at + words - 1]] - origin
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), doc_ids.take(pa.array(lo + row)), pa.array(c0.astype(np.int32)), pa.array(c1.astype(np.int32)), pa.array(h[at].view(np.int64))], names=[x.split()[0] for x in SEEDS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), doc_ids.take(pa.array(lo + row)), pa.array(c0.astype(np.int32)), pa.array(c1.astype(np.int32)), pa.array(h[at].view(np.int64)), *beside], names=[x.split()[0] for x in SEEDS.split(", ")])
 
     return docs.mapInArrow(pick, SEEDS)
 
 
+MATCHES = "id long, rid long, rdoc long, c0 int, c1 int, r0 int, r1 int"
+
+
+def matched(found: DataFrame, hot: int = HOT) -> DataFrame:
+    """Matches of repeated seeds (as in SEEDS, count) with the first occurrence of the seed and of the seed in each of its contexts."""
+
+    def solve(part: pa.Table) -> pa.RecordBatch:
+        h, ids = part.column("h").to_numpy(), part.column("id").to_numpy()
+        pairs = []
+        for c in (None, *CONTEXTS):
+            k = part.column(c).to_numpy() if c else np.ones(len(h), np.int32)
+            order = np.lexsort((k, h))  # stable: the first of a class stays in front
+            new = np.ones(len(h), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])
+            to = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            use = (k[order] != 0) & (ids[order] != ids[to])
+            pairs.append(np.stack([order[use], to[use]], axis=1))
+        at, to = (pa.array(x) for x in np.unique(np.concatenate(pairs), axis=0).T)
+        at, to = part.take(at), part.take(to)
+        cols = [at["id"], to["id"], to["doc_id"], at["c0"], at["c1"], to["c0"], to["c1"]]
+        return pa.RecordBatch.from_arrays([x.combine_chunks() for x in cols], names=[x.split()[0] for x in MATCHES.split(", ")])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
+            h = now.column("h").to_numpy()
+            edges = np.flatnonzero(h[1:] != h[:-1]) + 1
+            last = int(edges[-1]) if len(edges) else 0
+            rest = now.slice(last)
+            if last:
+                yield solve(now.slice(0, last))
+        if rest is not None and rest.num_rows:
+            yield solve(rest)
+
+    out = found.where(F.col("count") <= hot).drop("count").repartition("h").sortWithinPartitions("h", "doc_id", "id", "c0").mapInArrow(run, MATCHES)
+    often = found.where(F.col("count") > hot)
+    if often.isEmpty():
+        return out.distinct()
+    for key in (["h"], *(["h", c] for c in CONTEXTS)):
+        some = often.where(F.col(key[-1]) != 0) if len(key) > 1 else often
+        # grouped results are written before they are joined: a join of two plain shuffles can split a hot seed
+        first = stored(some.groupBy(*key).agg(F.min(F.struct("doc_id", "id", "c0", "c1")).alias("f")))
+        met = some.join(first, key).where("id <> f.id")
+        out = out.unionByName(met.select("id", F.col("f.id").alias("rid"), F.col("f.doc_id").alias("rdoc"), "c0", "c1", F.col("f.c0").alias("r0"), F.col("f.c1").alias("r1")))
+    return out.distinct()
+
+
 def blocks(c0, c1, r0, r1, gap: int) -> list[list[int]]:
     """Matches in order of c0, those in a row on one diagonal joined: [c0, c1, r0, r1, seeds, first match]."""
     diagonal = r0 - c0
@@ -249,14 +314,12 @@ def aligned(text: str, other: str, q: tuple[int, int], r: tuple[int, int], least
 PASSAGES = "id long, rdoc long, c0 int, c1 int, r0 int, r1 int, n_words int, identity double"
 
 
-def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
-    """Passages of docs (id, doc_id, text) that repeat, nearly, in the document with the first occurrence of their seeds."""
+def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS, identity: float = IDENTITY, hot: int = HOT) -> DataFrame:
+    """Passages of docs (id, doc_id, text) that repeat, nearly, in a document with a first occurrence of their seeds or of those in context."""
     found = stored(seeds(docs, words, window))
     # grouped results are written before they are joined: a join of two plain shuffles can split a hot seed
-    again = stored(found.groupBy("h").count().where("count > 1").select("h"))
-    found = stored(found.join(again, "h", "left_semi"))
-    first = stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "id", "c0", "c1")).alias("f")))
-    matches = found.join(first, "h").where("id <> f.id").select("id", F.col("f.id").alias("rid"), F.col("f.doc_id").alias("rdoc"), "c0", "c1", F.col("f.c0").alias("r0"), F.col("f.c1").alias("r1")).distinct()
+    again = stored(found.groupBy("h").count().where("count > 1"))
+    matches = matched(stored(found.join(again, "h")), hot)
     lines = stored(chained(matches.repartition("id").sortWithinPartitions("id", "rid", "c0", "r0"), gap))
     key = ["id", "rid", "c0", "r0"]
     ask = lambda side, who, lo, hi: lines.select(*key, "rdoc", "c1", "r1", F.lit(side).alias("side"), F.col(who).alias("tid"), F.greatest(F.lit(0), F.col(lo) - MARGIN).alias("lo"), (F.col(hi) + MARGIN).alias("hi"))
