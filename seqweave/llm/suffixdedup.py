@@ -13,6 +13,9 @@ other anchors, is what is removed around it.
    that compares two suffixes only beyond the prefix they are known to share with the last one put out. In the merged order,
    neighbouring suffixes are joined by falling common prefix, keeping each set ordered by left context, which gives the
    longest left agreement at every right agreement.
+4. Grams of more than HOT classes (a line in very many documents) never meet in one task. The windows of LENGTH bytes around
+   their anchors are compared by 128-bit hashes in grouped counts instead: first the core that STEP neighbouring windows share,
+   which settles most, then each window of the cores that occur again. It removes the same bytes as step 3.
 
 Edge cases: null text is empty; texts shorter than LENGTH lose nothing; a string may overlap its other occurrence;
 repeated rows are occurrences of each other and give repeated results; an empty table gives no rows.
@@ -35,6 +38,8 @@ LENGTH, GRAM = 400, 64
 CHUNK = 1 << 19
 #: Suffixes that one merging task gets, about.
 BUCKET = 40_000
+#: Classes of a gram from which on its windows are counted instead; windows that share one core.
+HOT, STEP = 4_000, 24
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _cache: dict[int, np.ndarray] = {}
@@ -278,7 +283,45 @@ def sorted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int) -
     return rows.select("_k1", "_k2", "text", "at").mapInArrow(runs, "bucket int, run binary").groupBy("bucket").applyInArrow(merge, "_k1 long, _k2 long, start int, stop int")
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+WINDOWS = "_k1 long, _k2 long, pos int, k int, w1 long, w2 long"
+
+
+def windows_again(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """Of asked (_k1, _k2, pos, k): those whose `width` bytes from pos - k on are in their text and also at another pos with this k."""
+    places = asked.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("pos", "k")).alias("at"))
+    rows = docs.dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"]).select("_k1", "_k2", "text", "at")
+
+    def digests(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            raw = memoryview(data)
+            for i, at in enumerate(batch.column(3)):
+                pos, k = (at.values.field(n).to_numpy().astype(np.int64) for n in ("pos", "k"))
+                start = pos - k + offsets[i]
+                ok = (pos >= k) & (start + width <= offsets[i + 1])
+                pos, k, start = pos[ok], k[ok], start[ok]
+                w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : a + width]) for a in start.tolist()]), "<i8").reshape(-1, 2)
+                same = lambda n, m=len(pos), i=i: batch.column(n).take(pa.array(np.full(m, i)))
+                yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(pos.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], names=[x.split()[0] for x in WINDOWS.split(", ")])
+
+    found = stored(rows.mapInArrow(digests, WINDOWS))
+    key = ["k", "w1", "w2"]
+    again = stored(found.groupBy(*key).count().where("count > 1").select(*key))
+    return found.join(again, key, "left_semi").select("_k1", "_k2", "pos", "k")
+
+
+def counted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int, step: int = STEP) -> DataFrame:
+    """What sorted_reaches gives for picked (_k1, _k2, pos), by counts of windows: no gram or window meets in one task."""
+    last = length - gram
+    step = min(step, last + 1)
+    cores = windows_again(docs, picked.select("_k1", "_k2", "pos", F.explode(F.sequence(F.lit(0), F.lit(last), F.lit(step))).alias("k")), length - step + 1)
+    each = cores.select("_k1", "_k2", "pos", F.explode(F.sequence("k", F.least(F.col("k") + step - 1, F.lit(last)))).alias("k"))
+    begin = F.col("pos") - F.col("k")
+    # windows of one anchor lie around its gram, so their union is one range
+    return windows_again(docs, each, length).groupBy("_k1", "_k2", "pos").agg(F.min(begin).alias("start"), (F.max(begin) + length).alias("stop")).drop("pos")
+
+
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(_k1, _k2, start, stop): byte ranges to remove from docs (_k1, _k2, text); they may overlap."""
     key, context = ["gram"], ["gram", "c1", "c2"]
     found = stored(anchors(docs, length, gram))
@@ -287,8 +330,13 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     classes = found.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "pos")).alias("one"))
     classes = stored(classes)
     copies = found.join(classes.where("n > 1").select(*context), context, "left_semi").select("_k1", "_k2", "start", "stop")
-    several = classes.groupBy(*key).count().where("count > 1").select(*key)
-    picked = stored(classes.join(several, key, "left_semi").select("one.*", "gram"))
+    # written before it is joined: a join of two plain shuffles can split a hot gram
+    several = stored(classes.groupBy(*key).count().where("count > 1"))
+    picked = stored(classes.join(several, key).select("one.*", "gram", (F.col("count") > hot).alias("often")))
+    often = picked.where("often").select("_k1", "_k2", "pos")
+    if not often.isEmpty():
+        copies = copies.unionByName(counted_reaches(docs, often, length, gram))
+    picked = picked.where("NOT often")
     buckets = max(1, -(-picked.count() // BUCKET))
     picked = picked.select("_k1", "_k2", "pos", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("bucket"))
     return copies.unionByName(sorted_reaches(docs, picked, length, gram)).distinct()
@@ -307,10 +355,10 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,stop:int>>, kept binary"
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, the removed spans and the bytes kept (with digest: their SHA-256 instead)."""
     docs = docs.select(*row_key("doc_id", "text"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = removals(docs.select("_k1", "_k2", "text"), length, gram).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    gone = removals(docs.select("_k1", "_k2", "text"), length, gram, hot).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
 
     def cut(batches):
         for batch in batches:

@@ -49,3 +49,24 @@ def test_merge_of_front_coded_runs():
     for (a, _, _), (b, _, n) in zip(got, got[1:], strict=False):
         assert n == S.common(a, b)
     assert sorted(p for _, p, _ in got) == sorted(p for r in runs for _, p in r)
+
+
+def test_hot_grams_are_not_merged_in_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    random_text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    lines = [random_text(n) for n in (14, 19, 20, 33)]
+    texts = [random_text(rng.randint(0, 30)) + rng.choice(lines) + random_text(rng.randint(0, 30)) for _ in range(200)]
+    texts += [random_text(9) + lines[0] + x + lines[0] + x for x in (random_text(3), random_text(8))] + made(3, "abcdefghij")
+    sizes = []
+    plain = S.sorted_reaches
+
+    def watched(docs, picked, *args):
+        sizes.extend(r["count"] for r in picked.groupBy("bucket").count().collect())
+        return plain(docs, picked, *args)
+
+    monkeypatch.setattr(S, "sorted_reaches", watched)
+    monkeypatch.setattr(S, "BUCKET", 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.deduplicated(docs, 20, 6, hot=10).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts], 20)))
+    assert max(sizes) <= 40
