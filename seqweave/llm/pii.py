@@ -2,7 +2,7 @@ r"""PII (operator 8): patterns propose, checksums confirm, context adjusts the s
 
 A pattern's matches are put between marks (U+0001; those of the text are first replaced by U+0002, which no pattern can
 match either) and the text is split at the marks, so every second part is a match and lengths give places. Matches that fail
-their check are dropped. `iban` spans are added to the base kinds and need the mod-97 check. Each span's score starts from
+their check are dropped. `iban` spans are added to the base kinds, have the length of their country where it is known, and need the mod-97 check. Each span's score starts from
 its kind and rises if a context word stands within 40 characters before or after it in the text between matches.
 
 Positions are code points, ends exclusive. Null text is empty. Repeated rows give repeated results.
@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import table
 
+#: Countries by the length of their account numbers.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_KNOWN = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+
 # Fixed values. The possessive forms and look-behinds match the same spans as the plain patterns in their comments.
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -24,7 +28,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the length of the country, whatever follows; else 15 to 34 characters, up to a number of known length
+    "iban": rf"(?<![A-Za-z0-9])(?:{_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_KNOWN})\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))",
 }
 NEEDS = {"email": "@", "phone": "+"}  # texts without these have no match
 BASE_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8}

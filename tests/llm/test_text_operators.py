@@ -178,6 +178,18 @@ def test_pii(spark):
     assert [(x.start, x.end, x.score) for x in iban[0].iban] == [(6, 33, 1.0)] and not iban[1].iban
 
 
+def test_iban_before_upper_case_words(spark):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    texts = [f"{n}{after}" for n in numbers for after in ("", " BIC COBADEFFXXX", " Please pay", " OK then", ".", " 12", f" {numbers[0]}")]
+    got = pii.scan(frame(spark, ["IBAN " + t for t in texts])).orderBy("doc_id").collect()
+    for t, r in zip(texts, got, strict=True):
+        number = next(n for n in numbers if t.startswith(n))
+        want = [(5, 5 + len(number))] + ([(len(t) + 5 - 22, len(t) + 5)] if t.endswith(f" {numbers[0]}") else [])
+        assert [(x.start, x.end) for x in r.iban] == want, t
+    other = ["ZZ89370400440532013000 BIC", "DE89370400440532013000X", "DE89370400440532013001 BIC", "AB12 CDEF GHIJ KLMN DE89 3704 0044 0532 0130 00"]
+    assert [len(r.iban) for r in pii.scan(frame(spark, other)).orderBy("doc_id").collect()] == [0, 0, 0, 1]
+
+
 def test_tokenizer_is_the_public_one():
     t = packing.Tokenizer()
     rng = random.Random(9)
