@@ -458,14 +458,17 @@ def extend_longest(spark, sf):
     return extending.extended(item_reads(spark, sf), docs, collection.seqidx(docs))
 
 
-# ---- pairs: both ends of an item, on opposite strands, in a DNA-like view of items and documents ----
+# ---- pairs: both halves of an item, on opposite strands, in a DNA-like view of items and documents ----
 
 
 def item_mates(spark, sf) -> DataFrame:
-    """Both ends of items of 200 letters or more; every twelfth letter of the second mate of odd items is changed, so it has no seed."""
-    items = table(spark, sf, "benchmark").where(F.length("text") >= 200).select(F.col("item_id").alias("pair_id"), S.dna_view(F.col("text")).alias("seq"))
-    changed = F.when(F.pmod("pair_id", F.lit(2)) == 1, F.regexp_replace(F.right("seq", F.lit(70)), "(.{11}).", "$1A")).otherwise(F.right("seq", F.lit(70)))
-    first = items.select("pair_id", F.lit(0).alias("mate"), F.left("seq", F.lit(70)).alias("seq"))
+    """Both halves of every item; every twelfth letter of the second mate of odd items is changed, so it has no seed. Short and empty
+    items give short and empty mates."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("pair_id"), S.dna_view(F.coalesce("text", F.lit(""))).alias("seq"))
+    half = F.floor(F.length("seq") / 2).cast("int")
+    second = F.substr("seq", half + 1)
+    changed = F.when(F.pmod("pair_id", F.lit(2)) == 1, F.regexp_replace(second, "(.{11}).", "$1A")).otherwise(second)
+    first = items.select("pair_id", F.lit(0).alias("mate"), F.left("seq", half).alias("seq"))
     return first.unionByName(items.select("pair_id", F.lit(1).alias("mate"), S.revcomp(changed).alias("seq")))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from seqweave.plans.catalog import ORACLES, QUERIES
+from seqweave.plans.catalog import ORACLES, QUERIES, item_mates
 from tests.oracles import difference
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +16,10 @@ def test_twin(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_pairs_hold_whole_items(spark):
+    items = {r.item_id: len(r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    mates = {(r.pair_id, r.mate): len(r.seq) for r in item_mates(spark, SF).collect()}
+    assert {i: mates[i, 0] + mates[i, 1] for i in items} == items and len(mates) == 2 * len(items)
+    assert QUERIES["align_pe"](spark, SF).count() == 2 * len(items)
