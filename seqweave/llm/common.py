@@ -44,6 +44,16 @@ def row_key(*cols: Column | str) -> list[Column]:
     return [F.xxhash64(*cols, F.lit(1)).alias("_k1"), F.xxhash64(F.lit(2), *reversed(cols)).alias("_k2")]
 
 
+def fresh(df: DataFrame, n: int = 1) -> list[str]:
+    """n column names that df does not have, whatever the case of its own."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"_x{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row offsets (null rows are empty), without copying the text."""
     if isinstance(column, pa.ChunkedArray):

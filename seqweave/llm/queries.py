@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL}
+    return {"op1_line_dedup": linededup.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op8_pii": pii.OP8_SQL}
