@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set (tests, local mode)."""
+    """The shared folder named by the cluster; a temporary one only in local mode without one. A cluster without one is an error, as
+    executors do not see each other's local folders."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="seqweave-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -35,13 +42,35 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and columns stay prunable."""
     path = f"{checkpoint_dir(df.sparkSession)}/seqweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (log := _log.get()) is not None:
+        log.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(*cols: Column | str) -> list[Column]:
+_log: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
+@contextmanager
+def stored_paths() -> Iterator[list[str]]:
+    """The folders that stored() writes meanwhile, in this thread."""
+    token = _log.set([])
+    try:
+        yield _log.get()
+    finally:
+        _log.reset(token)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of stored() that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(*cols: Column | str, names: tuple[str, str] = ("_k1", "_k2")) -> list[Column]:
     """128 bits that identify a row by its content, never null: repeated rows share one key and one result."""
     cols = [F.col(c) if isinstance(c, str) else c for c in cols]
-    return [F.xxhash64(*cols, F.lit(1)).alias("_k1"), F.xxhash64(F.lit(2), *reversed(cols)).alias("_k2")]
+    return [F.xxhash64(*cols, F.lit(1)).alias(names[0]), F.xxhash64(F.lit(2), *reversed(cols)).alias(names[1])]
 
 
 def fresh(df: DataFrame, n: int = 1) -> list[str]:

@@ -6,14 +6,15 @@ threshold, within `band` standard errors and one site at least, get exact distin
 wherever they occur.
 
 Edge cases: null text stays null and has no lines; empty lines are kept; a null site counts as no site; a document of which
-nothing stays has the empty text; repeated rows give repeated results; an empty table gives no rows.
+nothing stays has the empty text; repeated rows give repeated results; an empty table gives no rows; n_lines and n_removed replace
+columns of these names, all others are kept whatever their names; a text of any length is one row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, row_key, table
+from .common import cut, fresh, row_key, table
 
 #: Sites from which on a line is boilerplate, log2 of the sketch's buckets, and standard errors that count as near.
 MIN_SITES, LG_K, BAND = 10, 10, 3
@@ -40,14 +41,15 @@ def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     """docs with boilerplate lines taken out of the text, and n_lines and n_removed (which replace columns of that name)."""
     bad = cut(boilerplate(docs, min_sites, lg_k, band, text, site).withColumn("bad", F.lit(True)))
     marked = lines(docs, text, site).select("_k1", "_k2", "pos", "h1", "h2").join(bad, ["h1", "h2"]).select("_k1", "_k2", "pos").distinct()
-    removed = marked.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list("pos")).alias("_gone"))
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    k1, k2, lost, whole = fresh(docs, 4)
+    removed = marked.groupBy(F.col("_k1").alias(k1), F.col("_k2").alias(k2)).agg(F.array_sort(F.collect_list("pos")).alias(lost))
+    gone = F.coalesce(lost, F.array().cast("array<int>"))
     # the removed positions cut the line numbers into stretches that stay
-    bounds = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_all")))
-    stay = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_gone") + 1), lambda i: F.slice("_all", F.get(bounds, i - 1) + 2, F.get(bounds, i) - F.get(bounds, i - 1) - 1)))
-    out = docs.select("*", *row_key("doc_id", text, site)).join(removed, ["_k1", "_k2"], "left").withColumn("_all", F.split(text, "\n", -1))
-    out = out.withColumns({"n_lines": F.coalesce(F.size("_all").cast("long") * F.col(text).isNotNull().cast("long"), F.lit(0)), "n_removed": F.size(gone).cast("long")})
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
+    bounds = F.concat(F.array(F.lit(-1)), F.col(lost), F.array(F.size(whole)))
+    stay = F.flatten(F.transform(F.sequence(F.lit(1), F.size(lost) + 1), lambda i: F.slice(whole, F.get(bounds, i - 1) + 2, F.get(bounds, i) - F.get(bounds, i - 1) - 1)))
+    out = docs.select("*", *row_key("doc_id", text, site, names=(k1, k2))).join(removed, [k1, k2], "left").withColumn(whole, F.split(text, "\n", -1))
+    out = out.withColumns({"n_lines": F.coalesce(F.size(whole).cast("long") * F.col(text).isNotNull().cast("long"), F.lit(0)), "n_removed": F.size(gone).cast("long")})
+    kept = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
     added = [c for c in ("n_lines", "n_removed")]
     return out.withColumn(text, kept).select(*[c for c in docs.columns if c not in added], *added)
 

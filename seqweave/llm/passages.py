@@ -1,17 +1,24 @@
 """Substring dedup (operator 9): fuzzy passages by collinear chaining.
 
-Seeds are grams of WORDS consecutive words, of which each window of WINDOW grams contributes the one with the least hash. A seed
-that occurs again is joined with its first occurrence (least doc_id), and with the first ones among those that also have the same
-4 or 12 words before or after it, not with all others: at most five matches for each occurrence, and a common phrase still meets
-the copies of its own passage. The matches of a document with another are chained in order: runs on one diagonal become
-blocks; a Fenwick tree over the places in the other document gives each block its best predecessor under linear gap costs; chains
-are cut at gaps of more than GAP characters. Both passages of every chain, also of one seed, are fetched, extended word by word
-past differences until DROP equal words would be needed to make up for them, and aligned; those of at least MIN_WORDS words and
-IDENTITY (longest common subsequence of words over the longer side) are reported. Every run of WORDS + WINDOW - 1 equal words
-holds a seed on both sides.
-
-Results are places in code points, ends exclusive, in documents other than the one with the first occurrence. Within one
-document repeats are not looked for; repeated rows give repeated results. Null and empty texts have no passages.
+Seeds are grams of WORDS consecutive words, of which each window of WINDOW grams contributes the one with the least hash. With a
+seed go eight bits of each of the SIDE words before and after it. A seed that occurs again is joined with its first occurrence,
+with the first ones among those that also have the same 4 or 8 words before or after it, and with its last occurrence in the
+same document: at most six matches for each occurrence, not one for each pair, and a common phrase still meets the copies of its
+own passage. A match goes on if NEEDED of the SIDE words on one side agree, shifted by one word at most: in a passage of
+MIN_WORDS words and IDENTITY, one side of each seed is long enough for that. Seeds that very many documents hold are found in a
+bounded sample and are joined by grouped minima instead of in one task; the matches are the same.
+
+The matches of a document with another, or with itself, are chained in order: runs on one diagonal become blocks; a Fenwick tree
+over the places in the other document gives each block its best predecessor under linear gap costs; chains are cut at gaps of
+more than GAP characters. Both passages of every chain, also of one seed, are fetched, extended word by word past differences
+until DROP equal words would be needed to make up for them, and aligned; where an extension comes to the end of what was
+fetched, it is done again with a wider margin. Passages of at least MIN_WORDS words and IDENTITY (longest common subsequence of
+words over the longer side) are reported: for the later document, or the later place in one document, with all its partners, and
+for the holder of the first place as ranges.
+
+Results are places in code points, ends exclusive. Edge cases: null and empty texts have no passages; repeated rows of one doc_id
+and text are one document and give the same passages each; rows of one doc_id with different texts are different documents, and
+so are rows without doc_id; an empty table gives no rows; texts of any length are read whole; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,21 +27,26 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import spans_of_rows, stored, table, text_bytes
+from .common import row_key, spans_of_rows, stored, table, text_bytes
 from .decontaminate import Words
 from .suffixdedup import window_minima
 
 WORDS, WINDOW, GAP, MIN_WORDS, IDENTITY, MARGIN, DROP = 5, 8, 400, 40, 0.8, 500, 8
 GAP_COST = 0.05
+SIDE, NEEDED = 8, 4
 CHUNK = 1 << 20
 
-#: Occurrences of a seed from which on it is joined by grouped minima, not by one sorted group in a task.
-HOT = 5000
+#: A seed with more occurrences than this, as far as a sample of about SAMPLED documents tells, is joined by grouped minima.
+HOT, SAMPLED, MOST_HOT = 5000, 20_000, 100_000
+#: Chains, of 60 bytes each, that are sent to the texts instead of dealing out both.
+FEW = 50_000
 
-SEEDS = "id long, doc_id long, c0 int, c1 int, h long, b4 int, a4 int, b12 int, a12 int"
-CONTEXTS = {"b4": (-4, 4), "a4": (WORDS, 4), "b12": (-12, 12), "a12": (WORDS, 12)}
+#: `at` holds the place in code points (start << 32 | end); `before` and `after` a byte for each word, the nearest one on top.
+SEEDS = "h long, id long, at long, before long, after long"
+#: Bytes of `before` or `after` that make a class of contexts.
+CONTEXTS = [("after", 4), ("after", 8), ("before", 4), ("before", 8)]
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -47,14 +59,15 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def seeds(docs: DataFrame, words: int, window: int) -> DataFrame:
-    """Seeds of docs (id, doc_id, text): place in code points, hash, and hashes of 4 and 12 words before and after, 0 where the text
-    ends earlier."""
+def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = None, only: bool = False) -> DataFrame:
+    """SEEDS of docs (id, text), without those of sorted hashes `hot`, or with `only` just those."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None and len(hot) else None
 
     def pick(batches):
+        often = shared.value if shared else np.zeros(0, np.int64)
         for batch in batches:
-            ids, doc_ids = batch.column(0).to_numpy(), batch.column(1)
-            data, offsets = text_bytes(batch.column(2))
+            ids = batch.column(0).to_numpy()
+            data, offsets = text_bytes(batch.column(1))
             for lo, hi in spans_of_rows(offsets, CHUNK):
                 w = Words(data, offsets[lo : hi + 1])
                 h = _rolled(w.hashes, words)
@@ -73,73 +86,132 @@ def seeds(docs: DataFrame, words: int, window: int) -> DataFrame:
                 if not chosen:
                     continue
                 at = np.unique((np.concatenate(chosen) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+                if len(often) or only:
+                    key = h[at].view(np.int64)
+                    at = at[np.isin(key, often) == only]
                 row = np.searchsorted(w.first, at, "right") - 1
-                sides = {}
-                for n in {n for _, n in CONTEXTS.values()}:
-                    side = _rolled(w.hashes, n)
-                    sides[n] = np.zeros(len(w.hashes) + 1, np.int32)
-                    sides[n][: len(side)] = (side >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                beside = []
-                for shift, n in CONTEXTS.values():
-                    k = at + (shift if shift < 0 else words)
-                    whole = (k >= w.first[row]) & (k + n <= w.first[row + 1])
-                    beside.append(pa.array(np.where(whole, sides[n][np.clip(k, 0, len(w.hashes))], 0)))
+                small = np.maximum(w.hashes >> np.uint64(56), np.uint64(1))
+                sides = []
+                for begin, step in ((at - 1, -1), (at + words, 1)):
+                    packed = np.zeros(len(at), np.uint64)
+                    for j in range(SIDE):
+                        k = begin + step * j
+                        inside = (k >= w.first[row]) & (k < w.first[row + 1])
+                        packed = packed << np.uint64(8) | np.where(inside, small[np.clip(k, 0, len(small) - 1)], np.uint64(0))
+                    sides.append(pa.array(packed.view(np.int64)))
                 chars = np.zeros(len(w.low) + 1, np.int64)
                 np.cumsum((w.low & 0xC0) != 0x80, out=chars[1:])
                 origin = chars[offsets[lo : hi + 1] - offsets[lo]][row]
-                c0, c1 = chars[w.starts[at]] - origin, chars[w.ends[at + words - 1]] - origin
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), doc_ids.take(pa.array(lo + row)), pa.array(c0.astype(np.int32)), pa.array(c1.astype(np.int32)), pa.array(h[at].view(np.int64)), *beside], names=[x.split()[0] for x in SEEDS.split(", ")])
+                place = (chars[w.starts[at]] - origin) << 32 | (chars[w.ends[at + words - 1]] - origin)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[lo + row]), pa.array(place), *sides], names=["h", "id", "at", "before", "after"])
 
-    return docs.mapInArrow(pick, SEEDS)
+    return docs.select("id", "text").mapInArrow(pick, SEEDS)
 
 
-MATCHES = "id long, rid long, rdoc long, c0 int, c1 int, r0 int, r1 int"
+def frequent(docs: DataFrame, words: int, window: int, hot: int) -> np.ndarray:
+    """Sorted hashes of the seeds with more than about `hot` occurrences: eight at least in a sample of documents, MOST_HOT at most.
+    They only decide which way a seed is joined."""
+    n = docs.count()
+    share = max(1, n // SAMPLED)
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else docs
+    counts = seeds(some, words, window).groupBy("h").count().where(F.col("count") > max(7, hot // share))
+    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count")).limit(MOST_HOT).select("h").collect()], np.int64))
 
 
-def matched(found: DataFrame, hot: int = HOT) -> DataFrame:
-    """Matches of repeated seeds (as in SEEDS, count) with the first occurrence of the seed and of the seed in each of its contexts."""
+def _bytes(x: np.ndarray) -> np.ndarray:
+    """The bytes of each number, the top one first."""
+    return np.ascontiguousarray(x).astype(">i8").view(np.uint8).reshape(-1, SIDE)
 
-    def solve(part: pa.Table) -> pa.RecordBatch:
-        h, ids = part.column("h").to_numpy(), part.column("id").to_numpy()
-        pairs = []
-        for c in (None, *CONTEXTS):
-            k = part.column(c).to_numpy() if c else np.ones(len(h), np.int32)
-            order = np.lexsort((k, h))  # stable: the first of a class stays in front
-            new = np.ones(len(h), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])
-            to = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-            use = (k[order] != 0) & (ids[order] != ids[to])
-            pairs.append(np.stack([order[use], to[use]], axis=1))
-        at, to = (pa.array(x) for x in np.unique(np.concatenate(pairs), axis=0).T)
-        at, to = part.take(at), part.take(to)
-        cols = [at["id"], to["id"], to["doc_id"], at["c0"], at["c1"], to["c0"], to["c1"]]
-        return pa.RecordBatch.from_arrays([x.combine_chunks() for x in cols], names=[x.split()[0] for x in MATCHES.split(", ")])
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many words of each packed side x have an equal in y at the same place or next to it."""
+    a, b = _bytes(x), _bytes(y)
+    hit = a == b
+    hit[:, 1:] |= a[:, 1:] == b[:, :-1]
+    hit[:, :-1] |= a[:, :-1] == b[:, 1:]
+    return (hit & (a != 0)).sum(axis=1)
+
+
+def promising(before: np.ndarray, after: np.ndarray, before2: np.ndarray, after2: np.ndarray) -> np.ndarray:
+    return (alike(after, after2) >= NEEDED) | (alike(before, before2) >= NEEDED)
+
+
+MATCHES = "id long, rid long, at long, rat long"
+
+
+def context(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n nearest words of packed sides, and whether the text has as many."""
+    near = values.view(np.uint64) >> np.uint64(8 * (SIDE - n))
+    return near, (near & np.uint64(255)) != 0  # words that lack are zeros at the far end
+
+
+def matched_rows(h: np.ndarray, ids: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    """MATCHES of whole groups of seeds, which come in order of h, id, at."""
+    often = np.zeros(len(h), bool)
+    often[1:] = h[1:] == h[:-1]
+    often[:-1] |= often[1:]
+    h, ids, at, before, after = (x[often] for x in (h, ids, at, before, after))
+    again = np.flatnonzero((h[1:] == h[:-1]) & (ids[1:] == ids[:-1])) + 1
+    pairs = [np.stack([again, again - 1], axis=1)]
+    side = {"before": before, "after": after}
+    for c, n in ((None, 0), *CONTEXTS):
+        k, whole = context(side[c], n) if c else (np.zeros(len(h), np.uint64), np.ones(len(h), bool))
+        order = np.lexsort((k, h)) if c else np.arange(len(h))  # stable: the first of a class stays in front
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])
+        to = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        own = new.copy()  # the first place of each document in the class; its others are matched with the place before
+        own[1:] |= ids[order][1:] != ids[order][:-1]
+        use = own & whole[order] & (ids[order] != ids[to])
+        pairs.append(np.stack([order[use], to[use]], axis=1))
+    i, j = np.unique(np.concatenate(pairs), axis=0).T
+    good = promising(before[i], after[i], before[j], after[j])
+    i, j = i[good], j[good]
+    return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(at[i]), pa.array(at[j])], names=["id", "rid", "at", "rat"])
+
+
+def matched(docs: DataFrame, words: int = WORDS, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """MATCHES of the seeds of docs (id, text)."""
+    names = ["h", "id", "at", "before", "after"]
 
     def run(batches):
         rest = None
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
-            h = now.column("h").to_numpy()
-            edges = np.flatnonzero(h[1:] != h[:-1]) + 1
+            now = [batch.column(c).to_numpy() for c in names]
+            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            edges = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
             last = int(edges[-1]) if len(edges) else 0
-            rest = now.slice(last)
+            rest = [x[last:] for x in now]
             if last:
-                yield solve(now.slice(0, last))
-        if rest is not None and rest.num_rows:
-            yield solve(rest)
+                yield matched_rows(*(x[:last] for x in now))
+        if rest is not None and len(rest[0]):
+            yield matched_rows(*rest)
+
+    often = frequent(docs, words, window, hot)
+    out = seeds(docs, words, window, often).repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(run, MATCHES)
+    return out.unionByName(matched_often(stored(seeds(docs, words, window, often, only=True)))).distinct() if len(often) else out
+
+
+def matched_often(found: DataFrame) -> DataFrame:
+    """MATCHES of seeds that are frequent: first occurrences are grouped minima, which are pre-aggregated and written before they are
+    joined, as a join of two plain shuffles can split a frequent seed."""
+    last = F.lag(F.struct("at", "before", "after")).over(W.partitionBy("h", "id").orderBy("at"))
+    met = found.withColumn("f", last).where("f IS NOT NULL").withColumn("rid", F.col("id")).select("id", "rid", "at", "before", "after", "f")
+    for c, n in ((None, 0), *CONTEXTS):
+        near = F.shiftrightunsigned(c, 8 * (SIDE - n)) if c else F.lit(0).cast("long")
+        whole = near.bitwiseAND(F.lit(255)) != 0 if c else F.lit(True)  # words that lack are zeros at the far end
+        some = found.withColumn("k", near).where(whole)
+        first = stored(some.groupBy("h", "k").agg(F.min(F.struct("id", "at", "before", "after")).alias("f")))
+        own = some.groupBy("h", "k", "id").agg(F.min(F.struct("at", "before", "after")).alias("o")).select("h", "k", "id", "o.*")
+        met = met.unionByName(own.join(first, ["h", "k"]).where("id <> f.id").select("id", F.col("f.id").alias("rid"), "at", "before", "after", F.struct("f.at", "f.before", "f.after").alias("f")))
+    flat = met.select("id", "rid", "at", F.col("f.at").alias("rat"), "before", "after", F.col("f.before").alias("before2"), F.col("f.after").alias("after2"))
+
+    def keep(batches):
+        for batch in batches:
+            good = promising(*(batch.column(c).to_numpy() for c in ("before", "after", "before2", "after2")))
+            yield batch.select(["id", "rid", "at", "rat"]).filter(pa.array(good))
 
-    out = found.where(F.col("count") <= hot).drop("count").repartition("h").sortWithinPartitions("h", "doc_id", "id", "c0").mapInArrow(run, MATCHES)
-    often = found.where(F.col("count") > hot)
-    if often.isEmpty():
-        return out.distinct()
-    for key in (["h"], *(["h", c] for c in CONTEXTS)):
-        some = often.where(F.col(key[-1]) != 0) if len(key) > 1 else often
-        # grouped results are written before they are joined: a join of two plain shuffles can split a hot seed
-        first = stored(some.groupBy(*key).agg(F.min(F.struct("doc_id", "id", "c0", "c1")).alias("f")))
-        met = some.join(first, key).where("id <> f.id")
-        out = out.unionByName(met.select("id", F.col("f.id").alias("rid"), F.col("f.doc_id").alias("rdoc"), "c0", "c1", F.col("f.c0").alias("r0"), F.col("f.c1").alias("r1")))
-    return out.distinct()
+    return flat.mapInArrow(keep, MATCHES)
 
 
 def blocks(c0, c1, r0, r1, gap: int) -> list[list[int]]:
@@ -193,11 +265,11 @@ def chains(found: list[list[int]], gap: int = GAP, cost: float = GAP_COST) -> li
     return out
 
 
-CHAINS = "id long, rid long, rdoc long, c0 int, c1 int, r0 int, r1 int"
+CHAINS = "id long, rid long, c0 int, c1 int, r0 int, r1 int"
 
 
 def chained(matches: DataFrame, gap: int) -> DataFrame:
-    """Chains of matches (id, rid, rdoc, c0, c1, r0, r1), which come sorted by id, rid, c0, r0 in each partition."""
+    """CHAINS of MATCHES, which come sorted by id, rid, at, rat in each partition."""
 
     def run(batches):
         rest = None
@@ -211,20 +283,19 @@ def chained(matches: DataFrame, gap: int) -> DataFrame:
             if last:
                 yield solve(now.slice(0, last), edges)
         if rest is not None and rest.num_rows:
-            ids, rids = rest.column("id").to_numpy(), rest.column("rid").to_numpy()
             yield solve(rest, np.array([rest.num_rows]))
 
     def solve(part: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        ids, rids, rdocs, c0, c1, r0, r1 = (part.column(n).to_numpy() for n in ("id", "rid", "rdoc", "c0", "c1", "r0", "r1"))
+        ids, rids, at, rat = (part.column(n).to_numpy() for n in ("id", "rid", "at", "rat"))
+        low = np.int64(0xFFFFFFFF)
+        c0, c1, r0, r1 = at >> 32, at & low, rat >> 32, rat & low
         out, lo = [], 0
         for hi in edges.tolist():
-            if hi > len(ids):
-                break
             for chain in chains(blocks(c0[lo:hi], c1[lo:hi], r0[lo:hi], r1[lo:hi], gap), gap):
-                out.append((ids[lo], rids[lo], rdocs[lo], chain[0][0], max(b[1] for b in chain), chain[0][2], max(b[3] for b in chain)))
+                out.append((ids[lo], rids[lo], chain[0][0], max(b[1] for b in chain), chain[0][2], max(b[3] for b in chain)))
             lo = hi
-        cols = list(zip(*out, strict=True)) or [()] * 7
-        types = [pa.int64()] * 3 + [pa.int32()] * 4
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        types = [pa.int64()] * 2 + [pa.int32()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in CHAINS.split(", ")])
 
     return matches.mapInArrow(run, CHAINS)
@@ -290,9 +361,10 @@ def _places(text: str, n: int, from_end: bool) -> tuple[int, int]:
     return found[0].start(), found[-1].end()
 
 
-def aligned(text: str, other: str, q: tuple[int, int], r: tuple[int, int], least: int = 0) -> tuple[int, int, int, int, int, float] | None:
-    """text and other with the places q and r of a chain in them -> places after extension, words, identity; None below `least`
-    words. The chain's ends are ends of seeds, so equal words stand there on both sides."""
+def aligned(text: str, other: str, q: tuple[int, int], r: tuple[int, int], least: int = 0, cut: tuple[bool, bool, bool, bool] = (False,) * 4) -> tuple | None:
+    """text and other with the places q and r of a chain in them -> places after extension, words, identity, and whether an
+    extension came near an end where the text was cut (start and end of text, start and end of other) and may go on; None if it is
+    settled below `least` words. The chain's ends are ends of seeds, so equal words stand there on both sides."""
     text, other = _low(text), _low(other)
     core, core2 = text[q[0] : q[1]], other[r[0] : r[1]]
     left, left2 = _WORD.findall(text[: q[0]])[::-1], _WORD.findall(other[: r[0]])[::-1]
@@ -301,71 +373,113 @@ def aligned(text: str, other: str, q: tuple[int, int], r: tuple[int, int], least
     i1, j1 = extended(right, right2)
     x = _WORD.findall(core)
     n = len(x) + i0 + i1
-    if n < least:
+    more = any(c and len(w) - k <= DROP + 2 for c, w, k in zip(cut, (left, right, left2, right2), (i0, i1, j0, j1), strict=True))
+    if n < least and not more:
         return None
     y = x if core == core2 else _WORD.findall(core2)
     equal = len(x) if core == core2 else common_words(x, y)
     equal += common_words(left[:i0], left2[:j0]) + common_words(right[:i1], right2[:j1])
     start = lambda t, s, k: _places(t[: s[0]], k, True)[0] if k else s[0]
     stop = lambda t, s, k: s[1] + (_places(t[s[1] :], k, False)[1] if k else 0)
-    return start(text, q, i0), stop(text, q, i1), start(other, r, j0), stop(other, r, j1), n, equal / max(n, len(y) + j0 + j1)
-
-
-PASSAGES = "id long, rdoc long, c0 int, c1 int, r0 int, r1 int, n_words int, identity double"
-
-
-def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS, identity: float = IDENTITY, hot: int = HOT) -> DataFrame:
-    """Passages of docs (id, doc_id, text) that repeat, nearly, in a document with a first occurrence of their seeds or of those in context."""
-    found = stored(seeds(docs, words, window))
-    # grouped results are written before they are joined: a join of two plain shuffles can split a hot seed
-    again = stored(found.groupBy("h").count().where("count > 1"))
-    matches = matched(stored(found.join(again, "h")), hot)
-    lines = stored(chained(matches.repartition("id").sortWithinPartitions("id", "rid", "c0", "r0"), gap))
-    key = ["id", "rid", "c0", "r0"]
-    ask = lambda side, who, lo, hi: lines.select(*key, "rdoc", "c1", "r1", F.lit(side).alias("side"), F.col(who).alias("tid"), F.greatest(F.lit(0), F.col(lo) - MARGIN).alias("lo"), (F.col(hi) + MARGIN).alias("hi"))
-    # only ids of repeated rows are grouped: the join of requests with texts stays one of plain shuffles, so a document that very many
-    # chains ask for is split
-    repeated = stored(docs.groupBy("id").count().where("count > 1").select("id"))
-    once = docs.join(repeated, "id", "left_anti").select("id", "text")
-    texts = once.unionByName(docs.join(repeated, "id", "left_semi").select("id", "text").dropDuplicates(["id"])).withColumnRenamed("id", "tid")
-    slices = ask(0, "id", "c0", "c1").unionByName(ask(1, "rid", "r0", "r1")).join(texts, "tid")
-    slices = slices.select(*key, "rdoc", "c1", "r1", "side", F.expr("substring(text, lo + 1, hi - lo)").alias("part"))
+    return start(text, q, i0), stop(text, q, i1), start(other, r, j0), stop(other, r, j1), n, equal / max(n, len(y) + j0 + j1), more
+
+
+PASSAGES = "id long, rid long, c0 int, c1 int, r0 int, r1 int, n_words int, identity double, more boolean"
+
+
+def compared(lines: DataFrame, texts: DataFrame, margin: int, min_words: int, identity: float, few: bool = False) -> DataFrame:
+    """PASSAGES of chains with the texts (id, text) up to `margin` characters around them; rows with `more` are the chains that need a
+    wider margin. With few the chains are sent to the texts."""
+    key = ["id", "rid", "c0", "c1", "r0", "r1"]
+    ask = lambda side, who, lo, hi: lines.select(*key, F.lit(side).alias("side"), F.col(who).alias("tid"), F.greatest(F.lit(0), F.col(lo) - margin).alias("lo"), (F.col(hi) + margin).alias("hi"))
+    asks = ask(0, "id", "c0", "c1").unionByName(ask(1, "rid", "r0", "r1"))
+    slices = texts.withColumnRenamed("id", "tid").join(F.broadcast(asks) if few else asks, "tid")
+    slices = slices.select(*key, "side", F.expr("substring(text, lo + 1, hi - lo)").alias("part"))
     one = lambda side: F.max(F.when(F.col("side") == side, F.col("part")))
-    pairs = slices.groupBy(*key, "rdoc", "c1", "r1").agg(one(0).alias("a"), one(1).alias("b"))
+    pairs = slices.groupBy(*key).agg(one(0).alias("a"), one(1).alias("b"))
 
     def align(batches):
         for batch in batches:
             out = []
-            cols = [batch.column(n).to_pylist() for n in ("id", "rdoc", "c0", "c1", "r0", "r1")]
-            for (who, rdoc, c0, c1, r0, r1), a, b in zip(zip(*cols, strict=True), batch.column("a"), batch.column("b"), strict=True):
-                p, q = max(0, c0 - MARGIN), max(0, r0 - MARGIN)
-                got = aligned(a.as_py(), b.as_py(), (c0 - p, c1 - p), (r0 - q, r1 - q), min_words)
-                if got and got[5] >= identity:
-                    out.append((who, rdoc, got[0] + p, got[1] + p, got[2] + q, got[3] + q, got[4], got[5]))
-            back = list(zip(*out, strict=True)) or [()] * 8
-            types = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()]
+            cols = [batch.column(n).to_pylist() for n in key]
+            for (who, rid, c0, c1, r0, r1), a, b in zip(zip(*cols, strict=True), batch.column("a"), batch.column("b"), strict=True):
+                p, q = max(0, c0 - margin), max(0, r0 - margin)
+                a, b = a.as_py(), b.as_py()
+                cut = (p > 0, len(a) == c1 + margin - p, q > 0, len(b) == r1 + margin - q)
+                got = aligned(a, b, (c0 - p, c1 - p), (r0 - q, r1 - q), min_words, cut)
+                if got and got[6]:
+                    out.append((who, rid, c0, c1, r0, r1, 0, 0.0, True))
+                elif got and got[5] >= identity:
+                    out.append((who, rid, got[0] + p, got[1] + p, got[2] + q, got[3] + q, got[4], got[5], False))
+            back = list(zip(*out, strict=True)) or [()] * 9
+            types = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(back, types, strict=True)], names=[x.split()[0] for x in PASSAGES.split(", ")])
 
     return pairs.mapInArrow(align, PASSAGES)
 
 
+def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS, identity: float = IDENTITY, hot: int = HOT, margin: int = MARGIN) -> DataFrame:
+    """Passages of docs (id, text; ids differ) that repeat, nearly, at a place with a first occurrence of their seeds or of those in
+    context, or earlier in the document."""
+    lines = stored(chained(matched(docs, words, window, hot).repartition("id").sortWithinPartitions("id", "rid", "at", "rat"), gap))
+    out = None
+    while True:
+        now = stored(compared(lines, docs, margin, min_words, identity, lines.count() <= FEW))
+        done = now.where("NOT more").drop("more")
+        out = done if out is None else out.unionByName(done)
+        lines = now.where("more").select("id", "rid", "c0", "c1", "r0", "r1")
+        if lines.isEmpty():
+            return out
+        margin *= 16
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (id, doc_id, text) with an id of their own each, and rows (id, doc_id, n_chars) of the table. A doc_id that no two
+    rows share is the id; else equal rows are one document, and documents are numbered."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        docs = docs.select(F.col("doc_id").alias("id"), "doc_id", "text")
+        return docs, docs.select("id", "doc_id", F.length("text").alias("n_chars"))
+    keyed = docs.select(*row_key("doc_id", "text"), "doc_id", "text")
+    one = stored(keyed.dropDuplicates(["_k1", "_k2"]).withColumn("id", F.monotonically_increasing_id()))
+    return one.select("id", "doc_id", "text"), keyed.select("_k1", "_k2", "doc_id", F.length("text").alias("n_chars")).join(one.select("_k1", "_k2", "id"), ["_k1", "_k2"]).drop("_k1", "_k2")
+
+
+LISTED = "array<struct<c0:int,c1:int,rdoc:bigint,r0:int,r1:int,n_words:int,identity:double>>"
+HELD = "array<struct<c0:int,c1:int,n:bigint>>"
+
+
 def find(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_chars, and passages: an array of (c0, c1, rdoc, r0, r1, n_words, identity) by place."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    listed = found_passages(keyed, **options).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("c0", "c1", "rdoc", "r0", "r1", "n_words", "identity"))).alias("passages"))
-    out = keyed.select("id", "doc_id", F.length("text").alias("n_chars")).join(listed, "id", "left")
-    return out.select("doc_id", "n_chars", F.coalesce("passages", F.array().cast("array<struct<c0:int,c1:int,rdoc:bigint,r0:int,r1:int,n_words:int,identity:double>>")).alias("passages"))
+    """doc_id, n_chars, passages: an array of (c0, c1, rdoc, r0, r1, n_words, identity) by place, and held: the ranges (c0, c1, n) of the
+    document that n later passages repeat."""
+    whole, rows = identified(docs)
+    found = found_passages(whole.select("id", "text"), **options)
+    names = whole.select(F.col("id").alias("rid"), F.col("doc_id").alias("rdoc"))
+    listed = found.join(names, "rid").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("c0", "c1", "rdoc", "r0", "r1", "n_words", "identity"))).alias("passages"))
+    # pre-aggregated by start, so what meets for one document is bounded by its length
+    starts = found.groupBy("rid", "r0").agg(F.max("r1").alias("r1"), F.count("*").alias("n"))
+    held = starts.groupBy(F.col("rid").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("r0").alias("c0"), F.col("r1").alias("c1"), "n"))).alias("held"))
+    out = rows.join(listed, "id", "left").join(held, "id", "left")
+    return out.select("doc_id", "n_chars", F.coalesce("passages", F.array().cast(LISTED)).alias("passages"), F.coalesce("held", F.array().cast(HELD)).alias("held"))
+
+
+def covered(ranges):
+    """Characters in the union of sorted ranges (c0, c1)."""
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    grow = lambda a, p: F.struct((a["n"] + F.greatest(F.lit(0), p["c1"] - F.greatest(p["c0"], a["to"]))).alias("n"), F.greatest(a["to"], p["c1"]).alias("to"))
+    return F.aggregate(ranges, begin, grow, lambda a: a["n"]).cast("long")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     out = find(table(spark, sf_dir, "documents"))
-    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
-    grow = lambda a, p: F.struct((a["n"] + F.greatest(F.lit(0), p["c1"] - F.greatest(p["c0"], a["to"]))).alias("n"), F.greatest(a["to"], p["c1"]).alias("to"))
+    place = lambda p: F.struct(p["c0"].alias("c0"), p["c1"].alias("c1"))
     return out.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
-        F.aggregate("passages", begin, grow, lambda a: a["n"]).cast("long").alias("n_repeated"),
+        covered(F.array_sort(F.concat(F.transform("passages", place), F.transform("held", place)))).alias("n_shared"),
+        covered(F.col("passages")).alias("n_repeated"),
         F.size("passages").cast("long").alias("n_passages"),
         F.array_sort(F.array_distinct(F.col("passages.rdoc"))).alias("first_in"),
         F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["c0"], p["c1"], p["rdoc"], p["r0"], p["r1"], F.format_number(p["identity"], 3))), ",").alias("passages"),
+        F.array_join(F.transform("held", lambda p: F.concat_ws(":", p["c0"], p["c1"], p["n"])), ",").alias("held"),
     )

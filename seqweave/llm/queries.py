@@ -24,4 +24,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op8_pii": pii.OP8_SQL}
+    return {
+        "op1_line_dedup": linededup.OP1_SQL,
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op5_secrets": secrets.OP5_SQL,
+        "op6_embeddings": neighbours.OP6_SQL,
+        "op8_pii": pii.OP8_SQL,
+        "op10_suffix_dedup": suffixdedup.OP10_SQL,
+    }

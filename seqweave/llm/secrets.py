@@ -6,7 +6,8 @@ belongs to an access identifier), and `endpoint`, a URL. They are reported only
 interval join within the document keeps a key with an access identifier at most `scope` characters away, and an endpoint
 that has an access identifier and a key or assignment at most `scope` characters away.
 
-Positions are code points, ends exclusive. Null text is empty and has no spans. Repeated rows give repeated results.
+Positions are code points, ends exclusive. Edge cases: null text is empty and has no spans; repeated rows give repeated results; spans of
+one start come by kind as listed; an empty table gives no rows; texts of any length are read whole; further columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_spans(text: str) -> list[tuple[str, int, int]]:
-    found = [("key", m.start(), m.end()) for m in KEY.finditer(text) if not m[0].islower() and not m[0].isupper() and any(c.isdigit() for c in m[0])]
+    found = [("key", m.start(), m.end()) for m in KEY.finditer(text) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
     if "http" in text:
         found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     return found
@@ -107,3 +108,24 @@ def op5(spark, sf_dir: str) -> DataFrame:
         in_order(F.concat("base", "linked"), (*BASE, "key", "endpoint")).alias("spans"),
         F.size("linked").cast("long").alias("n_linked"),
     )
+
+
+def _sql_spans(kind: str, pattern: str, check: str) -> str:
+    return f"""
+{kind} AS (SELECT doc_id, '{kind}' AS kind, CAST(s AS BIGINT) AS s, CAST(s + length(x) AS BIGINT) AS e FROM (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM (SELECT doc_id, unnest(p) AS x, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM d))) WHERE i % 2 = 1 AND {check})"""
+
+
+_either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+_SQL_ASSIGN = f"""({"|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key")))})["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)"""
+_NEAR = "x.doc_id = a.doc_id AND a.s <= x.e + {0} AND x.s <= a.e + {0}".format(SCOPE)
+OP5_SQL = f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),{_sql_spans("assign", _SQL_ASSIGN, f"length(regexp_extract(x, '{_SQL_ASSIGN}', 2)) >= 8")},{_sql_spans("access", "AKIA[A-Z0-9]+", "length(x) >= 16")},{_sql_spans("hex", "[0-9a-f]{32,}", "true")},
+{_sql_spans("key", "[A-Za-z0-9+/]{40,}", "length(x) = 40 AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]')")},{_sql_spans("endpoint", "https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?", "true")},
+base AS (SELECT *, 1 AS k FROM assign UNION ALL SELECT *, 2 FROM access UNION ALL SELECT *, 3 FROM hex),
+keys AS (SELECT *, 4 AS k FROM key x WHERE EXISTS (SELECT 1 FROM access a WHERE {_NEAR})),
+ends AS (SELECT *, 5 AS k FROM endpoint x WHERE EXISTS (SELECT 1 FROM access a WHERE {_NEAR}) AND EXISTS (SELECT 1 FROM (SELECT doc_id, s, e FROM keys UNION ALL SELECT doc_id, s, e FROM assign) a WHERE {_NEAR})),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM ends),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE)}, count(*) FILTER (k > 3) AS n_linked,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k <= 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM documents LEFT JOIN g USING (doc_id)
+"""

@@ -8,7 +8,8 @@ share whole halves, do not all meet in one bucket. The join's candidates are ver
 links are closed to components. Copies share a fingerprint and are one vertex.
 
 Edge cases: null, empty and blank texts have fingerprint zero, linked like any other; repeated rows give repeated results;
-rows whose doc_id is null get their fingerprint, and the least non-null doc_id of their component.
+rows whose doc_id is null get their fingerprint, and the least non-null doc_id of their component; an empty table gives no rows; texts
+of any length are read whole; a column `fp` is replaced where fingerprints are added, all others are kept.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut, replaced, stored, table, with_schema
+from .common import components, cut, fresh, replaced, row_key, stored, table, with_schema
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 
@@ -102,17 +103,14 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the least doc_id. Repeated rows of it are reduced to one; of a group without
-    any doc_id one row stays."""
-    found = stored(fingerprinted(docs.select("doc_id", "text")).drop("text"))
-    of = _classes(found)
-    keep = found.join(of, "fp").where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    lone = of.where("component_id IS NULL").select("fp", "root")
-    nameless = docs.where("doc_id IS NULL")
-    if nameless.isEmpty():
-        return named
-    return named.unionByName(fingerprinted(nameless).join(lone, "fp").dropDuplicates(["root"]).select(*docs.columns))
+    """One row of each group: the one with the least doc_id (rows without one come last), of several texts with that doc_id one of them,
+    of repeated rows one. Every group keeps a row."""
+    k1, k2 = fresh(docs, 2)
+    found = stored(fingerprinted(docs.select("doc_id", "text", *row_key("doc_id", "text"))).drop("text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k1", "_k2")).alias("one")
+    keep = found.join(_classes(found), "fp").groupBy("root").agg(least).select(F.col("one._k1").alias(k1), F.col("one._k2").alias(k2))
+    keyed = docs.select("*", *row_key("doc_id", "text", names=(k1, k2)))
+    return keyed.join(keep, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

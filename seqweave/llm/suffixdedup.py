@@ -36,6 +36,8 @@ from .common import row_key, spans_of_rows, stored, table, text_bytes
 
 LENGTH, GRAM = 400, 64
 CHUNK = 1 << 19
+#: Low bits of a gram's hash that give way to places: the same for texts up to a gigabyte, so that equal windows choose equal anchors.
+BITS = 30
 #: Suffixes that one merging task gets, about.
 BUCKET = 40_000
 #: Classes of a gram from which on its windows are counted instead; windows that share one core.
@@ -81,7 +83,9 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(data, gram)
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
+    bits = np.uint64(BITS)
+    if len(data) >> BITS:  # one text of a gigabyte
+        bits = np.uint64(len(data).bit_length())
     ranked = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)  # ties go to the leftmost
     least = window_minima(ranked, length - gram + 1)  # one for each window start
     whole = np.zeros(len(least), bool)
@@ -383,3 +387,15 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digest
 def op10(spark, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+#: Bytes are pairs of hexadecimal digits; strings of LENGTH bytes are counted by their MD5.
+OP10_SQL = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - {LENGTH - 1})) AS i FROM d)),
+m AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM m),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n) GROUP BY doc_id, run),
+p AS (SELECT r.*, x, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM r JOIN d USING (doc_id)),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM p GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
