@@ -7,8 +7,10 @@ far the search may jump, and buckets of patterns by the hash of their last block
 compared word by word, so hashes decide nothing by themselves. The positions of a batch are searched in
 many lanes at once, each of which jumps by its own shifts.
 
-Edge cases: null or empty text has no words, is never contaminated; items without words have no window and are
-never found; repeated rows give repeated results; null item_ids are left out of the item list.
+Edge cases: null or empty text has no words, is never contaminated; items without words have no window and are never found; the
+windows of an item without an id mark words like any others, but name no item; repeated rows give repeated results, repeated items
+count once; an empty table of documents gives no rows, an empty benchmark no hits; the added columns replace those of their names;
+texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, replaced, spans_of_rows, table, text_bytes, with_schema
+from .common import cut, fresh, replaced, spans_of_rows, table, text_bytes, with_schema
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark of more text than this is searched in several shards, one after another.
@@ -75,26 +77,45 @@ class Words:
         return b" ".join(self.word(j) for j in range(i, i + m))
 
 
+class Patterns:
+    """The words of all items of a shard, as Words has them for documents; built chunk by chunk, so that temporary arrays stay small."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        offsets = np.cumsum([0, *map(len, raw)])
+        low, starts, ends, first, hashes, words = [], [], [], [], [], 0
+        for lo, hi in spans_of_rows(offsets, CHUNK):
+            w = Words(data, offsets[lo : hi + 1])
+            shift = int(offsets[lo])
+            low.append(w.low)
+            starts.append((w.starts + shift).astype(np.uint32))
+            ends.append((w.ends + shift).astype(np.uint32))
+            first.append(w.first[:-1] + words)
+            hashes.append(w.hashes)
+            words += len(w.starts)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.low, self.starts, self.ends, self.hashes = join(low, np.uint8), join(starts, np.uint32), join(ends, np.uint32), join(hashes, np.uint64)
+        self.first = np.append(join(first, np.int64), words).astype(np.int64)
+
+    def window(self, i: int, m: int) -> bytes:
+        return b" ".join(self.low[self.starts[j] : self.ends[j]].tobytes() for j in range(i, i + m))
+
+
 class WuManber:
-    """Patterns of m words each: {window: items it is part of}."""
-
-    def __init__(self, m: int, windows: dict[bytes, set[str]]):
-        self.m, self.block = m, min(2, m)
-        self.texts = list(windows)
-        self.items = [windows[t] for t in self.texts]
-        hashes = []
-        for t in self.texts:
-            raw = np.frombuffer(t, np.uint8)
-            hashes.append(Words(raw, np.array([0, len(raw)])).hashes)
-        self.hashes = np.array(hashes, np.uint64).reshape(len(hashes), m)
-        self.bits = np.uint64(max(8, min(22, int(len(hashes) * m).bit_length() + 4)))
-        self.shift = np.full(1 << int(self.bits), m - self.block + 1, np.uint8)
+    """Windows of m words each, given by their first words among the patterns' and the items that own them."""
+
+    def __init__(self, m: int, words: Patterns, starts: np.ndarray, owners: np.ndarray):
+        self.m, self.block, self.words = m, min(2, m), words
+        h = words.hashes
+        self.bits = np.uint64(max(8, min(22, int(len(starts) * m).bit_length() + 4)))
+        self.shift = np.full(1 << int(self.bits), min(255, m - self.block + 1), np.uint8)
         for j in range(self.block - 1, m):
-            at = self._slot(self._block(self.hashes[:, j], self.hashes[:, j - 1]))
-            np.minimum.at(self.shift, at, np.uint8(m - 1 - j))
-        suffix = self._block(self.hashes[:, -1], self.hashes[:, m - 2] if m > 1 else self.hashes[:, -1])
-        self.order = np.argsort(suffix, kind="stable")
-        self.suffix = suffix[self.order]
+            at = self._slot(self._block(h[starts + j], h[starts + max(0, j - 1)]))
+            np.minimum.at(self.shift, at, np.uint8(min(255, m - 1 - j)))
+        suffix = self._block(h[starts + m - 1], h[starts + max(0, m - 2)])
+        order = np.argsort(suffix, kind="stable")
+        self.suffix, self.starts, self.owners = suffix[order], starts[order].astype(np.uint32), owners[order].astype(np.uint32)
 
     def _block(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         return last if self.block == 1 else _mix(before * np.uint64(0xD6E8FEB86659FD93) + last)
@@ -103,7 +124,7 @@ class WuManber:
         return (h >> (np.uint64(64) - self.bits)).astype(np.int64)
 
     def find(self, w: Words) -> list[tuple[int, int]]:
-        """(first word, pattern) of every occurrence within one row."""
+        """(first word, item) of every occurrence within one row."""
         m, n = self.m, len(w.hashes)
         if n < m:
             return []
@@ -125,47 +146,53 @@ class WuManber:
         if not len(at):
             return []
         start = np.repeat(at, count) - m + 1
-        which = self.order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        which = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
         row = np.searchsorted(w.first, start, "right") - 1
         ok = start + m <= w.first[row + 1]
         start, which = start[ok], which[ok]
-        same = (w.hashes[start[:, None] + np.arange(m)] == self.hashes[which]).all(axis=1)
-        return [(i, p) for i, p in zip(start[same].tolist(), which[same].tolist(), strict=True) if w.window(i, m) == self.texts[p]]
-
-
-def searchers(items: list[tuple[str, str | None]], window: int) -> list[WuManber]:
-    """Searchers for the windows of (item id, text) rows, one for each window length."""
-    by_length: dict[int, dict[bytes, set[str]]] = {}
-    for item, text in items:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        w = Words(raw, np.array([0, len(raw)]))
-        n = len(w.starts)
-        m = min(window, n)
-        for i in range(n - m + 1 if n else 0):
-            by_length.setdefault(m, {}).setdefault(w.window(i, m), set()).add(item)
-    return [WuManber(m, x) for m, x in sorted(by_length.items())]
+        theirs = self.starts[which].astype(np.int64)
+        for j in range(m):
+            same = w.hashes[start + j] == self.words.hashes[theirs + j]
+            start, which, theirs = start[same], which[same], theirs[same]
+        return [(i, int(self.owners[p])) for i, p, k in zip(start.tolist(), which.tolist(), theirs.tolist(), strict=True) if w.window(i, m) == self.words.window(k, m)]
+
+
+def searchers(texts: list[str], window: int) -> list[WuManber]:
+    """Searchers for the windows of items' texts, one for each window length; items are known by their number."""
+    words = Patterns(texts)
+    n = np.diff(words.first)
+    length = np.minimum(window, n)
+    out = []
+    for m in np.unique(length[n > 0]).tolist():
+        items = np.flatnonzero(length == m)
+        count = n[items] - m + 1
+        owners = np.repeat(items, count)
+        starts = np.repeat(words.first[items] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        out.append(WuManber(m, words, starts, owners))
+    return out
 
 
 ADDED = "n_words long, hit_words array<int>, items array<string>"
 
 
-def _annotate(docs: DataFrame, items: list, window: int, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _annotate(docs: DataFrame, items: list[tuple[str | None, str]], window: int, text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(([i for i, _ in items], searchers([t for _, t in items], window)))
 
     def search(batches):
-        finders = searchers(shared.value, window)
+        ids, finders = shared.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
             n_words, hit, found = [], [], []
             for lo, hi in spans_of_rows(offsets, CHUNK):
                 w = Words(data, offsets[lo : hi + 1])
                 n_words += np.diff(w.first).tolist()
-                places, names = [[] for _ in range(hi - lo)], [set() for _ in range(hi - lo)]
+                places, names = [set() for _ in range(hi - lo)], [set() for _ in range(hi - lo)]
                 for f in finders:
                     hits = f.find(w)
-                    for (i, p), row in zip(hits, (np.searchsorted(w.first, [i for i, _ in hits], "right") - 1).tolist(), strict=True):
-                        places[row].append((i - int(w.first[row]), f.m))
-                        names[row] |= f.items[p]
+                    for (i, item), row in zip(hits, (np.searchsorted(w.first, [i for i, _ in hits], "right") - 1).tolist(), strict=True):
+                        places[row].add((i - int(w.first[row]), f.m))
+                        if ids[item] is not None:
+                            names[row].add(ids[item])
                 hit += [sorted({i + j for i, m in x for j in range(m)}) for x in places]
                 found += [sorted(x) for x in names]
             yield replaced(batch, {"n_words": pa.array(n_words, pa.int64()), "hit_words": pa.array(hit, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))})
@@ -177,22 +204,24 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str
     """docs with n_words, hit_words (sorted numbers of the words that are part of a benchmark window) and items
     (sorted ids of the items met). Columns of docs with these names are replaced.
 
-    The patterns of a shard of at most about shard_bytes of benchmark text are sent to the tasks. A larger benchmark is
-    dealt into shards by hash; the documents then pass one shard after the other and the results are merged row by row.
+    The searchers of a shard of at most about shard_bytes of benchmark text (some seven bytes for each of these) are built once and sent
+    to the workers. A larger benchmark is dealt into shards by hash; the documents then pass one shard after the other and the
+    results are merged row by row.
     """
-    pairs = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    pairs = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
     total = pairs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = -(-total // shard_bytes) or 1
     if shards == 1:
         return _annotate(docs, [tuple(r) for r in pairs.collect()], window, text)
     taken = [c for c in docs.columns if c not in ("n_words", "hit_words", "items")]
+    hit, names = fresh(docs, 2)
     out = docs.select(*taken).withColumns({"hit_words": F.expr("array()").cast("array<int>"), "items": F.expr("array()").cast("array<string>")})
     for k in range(shards):
-        part = [tuple(r) for r in pairs.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == k).collect()]
-        out = out.withColumnsRenamed({"hit_words": "_hit", "items": "_items"})
+        part = [tuple(r) for r in pairs.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k).collect()]
+        out = out.withColumnsRenamed({"hit_words": hit, "items": names})
         out = _annotate(out, part, window, text)
-        out = out.withColumns({"hit_words": F.array_sort(F.array_union("_hit", "hit_words")), "items": F.array_sort(F.array_union("_items", "items"))})
-        out = cut(out.drop("_hit", "_items"))
+        out = out.withColumns({"hit_words": F.array_sort(F.array_union(hit, "hit_words")), "items": F.array_sort(F.array_union(names, "items"))})
+        out = cut(out.drop(hit, names))
     return out
 
 
@@ -222,7 +251,7 @@ s AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
       FROM (SELECT doc_id, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS i FROM d, (SELECT DISTINCT m FROM p))),
 h AS (SELECT s.doc_id, s.i, s.m, p.item FROM s JOIN p ON s.m = p.m AND s.win = p.win),
 c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY 1),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+t AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
        sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)

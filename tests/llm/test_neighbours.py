@@ -2,7 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from seqweave.llm import neighbours as N
+from tests.oracles import difference
+
+SF = "/root/testdata/sf0.001"
 
 
 def truth(vectors, threshold=0.9):
@@ -46,16 +50,33 @@ def test_against_brute_force(spark, monkeypatch, block):
         assert got[i] == (0, i)
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dim,turns", [(64, 1), (64, 8), (768, 1)])
+def test_estimates_are_unbiased_and_bounded(dim, turns):
     rng = np.random.default_rng(4)
-    x, y = rng.normal(size=(400, 64)), rng.normal(size=(400, 64))
-    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-    turn = N.rotation(64, 0)
-    code = np.sign(y @ turn.T) / 8
-    factor = (code * (y @ turn.T)).sum(axis=1)
-    off = (x @ turn.T) @ code.T / factor - x @ y.T
-    assert abs(off.mean()) < 0.003
-    assert (np.abs(off) < N.BOUND * np.sqrt(1 - factor**2) / factor / np.sqrt(63)).mean() > 0.999
+    x, y = (N.units(rng.normal(size=(400, dim))) for _ in range(2))
+    y = N.units(y + x * rng.uniform(0, 2, size=(400, 1)))  # the diagonal holds pairs at all angles
+    code, factor, level, step = N.encoded(y, turns)
+    signs = np.unpackbits(code, axis=1, count=dim * turns).astype("f4") * 2 - 1
+    query = N.rough(N.encoded(x, turns)[2], N.encoded(x, turns)[3], dim)
+    about, error = N.estimates(signs, factor, query @ N.rotations(dim, turns).T.astype("f4"), N.encoded(x, turns)[3], dim, turns)
+    off = about - y @ x.T
+    assert abs(off.mean()) < 0.003 and abs(np.diag(off).mean()) < 0.02
+    assert (np.abs(off) < error).mean() > 0.999 and (np.abs(np.diag(off)) < np.diag(error)).mean() > 0.99
+
+
+def test_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    dim, rows = 64, []
+    for _ in range(700):
+        a, b = N.units(rng.normal(size=(2, dim)))
+        b = N.units((b - (a @ b) * a)[None])[0]
+        c = rng.uniform(0.9, 0.93)
+        rows += [a.tolist(), (c * a + np.sqrt(1 - c * c) * b).tolist()]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in N.deduplicated(df).collect()}
+    want = {i: n for i, (n, _) in truth(rows).items()}
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.94 * sum(want.values())
 
 
 def test_empty_and_small_tables(spark):
@@ -64,3 +85,7 @@ def test_empty_and_small_tables(spark):
     two = spark.createDataFrame([(5, [1.0, 0.0]), (3, [1.0, 0.1]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in N.deduplicated(two).collect()}
     assert got == {5: (2, 3, False), 3: (2, 3, True), None: (2, 3, False)}
+
+
+def test_every_way_gives_the_rows_of_the_query(spark):
+    assert difference(entry.queries()["op6_embeddings"](spark, SF), entry.oracle_sql()["op6_embeddings"], SF) is None

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from seqweave.llm import passages as P
 
 
@@ -100,3 +102,82 @@ def test_copies_meet_when_earlier_documents_have_all_their_phrases(spark):
     for hot in (P.HOT, 2):
         got = {r.doc_id: {p.rdoc for p in r.passages} for r in P.find(df, hot=hot).collect()}
         assert {i: x for i, x in got.items() if x} == {53: {52}}
+
+
+def test_both_ways_of_joining_seeds_give_the_same_matches(spark):
+    rng = random.Random(8)
+    pool = [words(rng, rng.randint(10, 60)) for _ in range(6)]
+    texts = [" ".join(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(pool) if rng.random() < 0.6 else words(rng, 20))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    plain = sorted(map(tuple, P.matched(df, hot=10**6).collect()))
+    assert plain == sorted(map(tuple, P.matched(df, hot=1).collect())) and len(plain) > 100 and len(P.frequent(df, P.WORDS, P.WINDOW, 1)) > 10
+
+
+def test_repeats_within_a_document_and_holders(spark):
+    rng = random.Random(9)
+    passage, line = words(rng, 60), words(rng, 12)
+    texts = [words(rng, 30) + passage + words(rng, 90) + passage + words(rng, 20), passage, line * 40]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in P.find(df).collect()}
+    first, second = len(" ".join(texts[0][:30])) + 1, len(" ".join(texts[0][:180])) + 1
+    n = len(" ".join(passage))
+    (own,) = got[0].passages
+    assert (own.rdoc, own.r0, own.c0, own.c1 - own.c0) == (0, first, second, n)
+    assert {p.rdoc for p in got[1].passages} == {0} and not got[1].held
+    assert [(h.c0, h.c1, h.n) for h in got[0].held] == [(first, first + n, 2)]
+    assert sum(p.c1 - p.c0 for p in got[2].passages) > 0.9 * len(" ".join(texts[2]))
+
+
+def test_extension_goes_on_past_the_margin(spark):
+    rng = random.Random(10)
+    passage = words(rng, 900)
+    changed = [w if k % 7 else f"x{k}" for k, w in enumerate(passage)]
+    changed[440:452] = passage[440:452]
+    df = spark.createDataFrame([(0, " ".join(words(rng, 20) + passage)), (1, " ".join(changed + words(rng, 20)))], "doc_id long, text string")
+    for margin in (60, P.MARGIN):
+        (r,) = P.find(df, margin=margin).where("doc_id = 1").collect()
+        n = len(" ".join(changed))
+        assert any(p.c0 < 60 and p.c1 > n - 60 for p in r.passages), (margin, [(p.c0, p.c1) for p in r.passages], n)
+
+
+def test_coverage_of_edited_passages_of_a_pool(spark):
+    """Documents of passages from a pool, each edited by itself, and words of their own: what is found against what was put there."""
+    rng = random.Random(11)
+    pool, texts, truth = [words(rng, rng.randint(50, 120)) for _ in range(25)], [], []
+    last: dict[int, list[list[str]]] = {}
+    for _ in range(120):
+        text, marks = words(rng, rng.randint(5, 60)), []
+        marks = [None] * len(text)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(pool))
+            part = [x for w in pool[k] for x in ([w] if rng.random() > 0.08 else rng.choice([[], ["neu" + w], [w, "ein" + w]]))]
+            known = any(lcs(part, old) >= 0.84 * max(len(part), len(old)) for old in last.get(k, []))
+            last.setdefault(k, []).append(part)
+            fill = words(rng, rng.randint(5, 60))
+            text, marks = text + part + fill, marks + [known] * len(part) + [None] * len(fill)
+        texts.append(text)
+        truth.append(marks)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.passages for r in P.find(df).collect()}
+    found = wanted = wrong = alone = 0
+    for i, (text, marks) in enumerate(zip(texts, truth, strict=True)):
+        at = 0
+        for w, mark in zip(text, marks, strict=True):
+            hit = any(p.c0 <= at < p.c1 for p in got[i])
+            wanted, found = wanted + (mark is True), found + (mark is True and hit)
+            alone, wrong = alone + (mark is None), wrong + (mark is None and hit)
+            at += len(w) + 1
+    assert found >= 0.9 * wanted and wrong <= 0.01 * alone, (found, wanted, wrong, alone)
+
+
+def test_odd_rows(spark):
+    rng = random.Random(12)
+    a, b = (" ".join(words(rng, 60)) for _ in range(2))
+    rows = [(1, a, "x"), (1, b, "y"), (None, a, "z"), (None, None, "z"), (2, "", "z"), (3, b + " " + a, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").withColumn("_k1", F.lit("clash")).withColumn("rid", F.lit(0))
+    got = P.find(df).collect()
+    assert len(got) == len(rows)
+    assert sum(bool(r.passages or r.held) for r in got) == 4
+    long = " ".join(words(rng, 40_000))
+    got = {r.doc_id: r for r in P.find(spark.createDataFrame([(1, long), (2, "a b c " + long)], "doc_id long, text string")).collect()}
+    assert max(p.c1 - p.c0 for p in got[2].passages) == len(long)

@@ -4,7 +4,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from seqweave.llm import suffixdedup as S
+from tests.oracles import difference
 
 
 def brute(texts, length):
@@ -70,3 +72,21 @@ def test_hot_grams_are_not_merged_in_one_task(spark, monkeypatch):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.deduplicated(docs, 20, 6, hot=10).collect()}
     assert got == dict(enumerate(brute([t.encode() for t in texts], 20)))
     assert max(sizes) <= 40
+
+
+def test_query_and_clashing_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    assert difference(entry.queries()["op10_suffix_dedup"](spark, sf), entry.oracle_sql()["op10_suffix_dedup"], sf) is None
+    rows = [(1, "x" * 30, 5, "a"), (1, "x" * 30, 6, "b"), (None, "y" * 25, 7, "c"), (2, None, 8, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k1 int, gram string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in S.deduplicated(df, 20, 6).collect())
+    assert got == [(0, 25, 25), (1, 30, 30), (1, 30, 30), (2, 0, 0)]
+
+
+def test_anchors_do_not_depend_on_the_chunk():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 3000).astype(np.uint8)
+    long = np.concatenate([rng.integers(97, 123, 1 << 17).astype(np.uint8), text])
+    one, _ = S.anchors_of(text, np.array([0, len(text)]), 400, 64)
+    two, _ = S.anchors_of(long, np.array([0, 1 << 17, len(long)]), 400, 64)
+    assert one.tolist() == [x - (1 << 17) for x in two.tolist() if x >= 1 << 17]

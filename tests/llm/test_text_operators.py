@@ -28,7 +28,7 @@ def corpus(spark):
     return [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()] + [None, "", " ", "\n\n", "é" * 50, "A-b_c 1.2.3.4.5 x@y.z" * 30]
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & {"op1_line_dedup", "op2_decontaminate"}))
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_decontaminate", "op5_secrets", "op8_pii"])
 def test_sql_twin(spark, name):
     assert difference(entry.queries()[name](spark, SF), entry.oracle_sql()[name], SF) is None
 
@@ -39,6 +39,9 @@ def test_line_dedup_cases(spark):
     out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.deduplicated(docs, min_sites=3).collect()}
     assert out == {0: ("a\nb", 3, 1), 1: ("", 1, 1), 2: (None, 0, 0), 3: ("", 1, 0), 4: ("x\n\n", 4, 1), 5: ("", 2, 2), 6: ("once\nonce", 2, 0)}
     assert linededup.deduplicated(docs.limit(0)).count() == 0
+    odd = docs.union(docs).withColumns({c: F.lit("clash") for c in ("_k1", "_k2", "_gone", "_all", "_x0", "pos", "h1")})
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed, r._k1, r._all) for r in linededup.deduplicated(odd, min_sites=3).collect())
+    assert got == Counter({(i, *x, "clash", "clash"): 2 for i, x in out.items()})
 
 
 def words(t):
@@ -48,7 +51,7 @@ def words(t):
 def test_decontaminate(spark):
     texts = ["one two three four five", "x one Two three FOUR y", None, "", "zwei drei", "three four three four", "één twee", "alpha"]
     bench = spark.createDataFrame([(1, "one two three four"), (2, "three, four"), (3, None), (4, "..."), (5, "één"), (6, "two three four five"), (None, "alpha"), (2, "three, four")], "item_id long, text string")
-    items = [(1, "one two three four"), (2, "three four"), (5, "één"), (6, "two three four five")]
+    items = [(1, "one two three four"), (2, "three four"), (5, "één"), (6, "two three four five"), (None, "alpha")]
     for shard in (1 << 20, 12):
         got = {r.doc_id: (r.n_words, list(r.hit_words), list(r["items"])) for r in decontaminate.annotate(frame(spark, texts), bench, window=3, shard_bytes=shard).collect()}
         for i, t in enumerate(texts):
@@ -60,8 +63,27 @@ def test_decontaminate(spark):
                     for k in range(len(w) - m + 1):
                         if w[k : k + m] == p[s : s + m]:
                             hit |= set(range(k, k + m))
-                            names.add(str(item))
+                            names |= {str(item)} if item else set()
             assert got[i] == (len(w), sorted(hit), sorted(names)), (shard, i)
+    twice = frame(spark, texts).union(frame(spark, texts)).withColumns({"items": F.lit("clash"), "_x0": F.lit(1)})
+    assert Counter((r.doc_id, tuple(r.hit_words)) for r in decontaminate.annotate(twice, bench, window=3, shard_bytes=12).collect()) == Counter({(i, tuple(x[1])): 2 for i, x in got.items()})
+    assert decontaminate.annotate(frame(spark, texts).limit(0), bench).count() == 0
+    assert decontaminate.annotate(frame(spark, texts), bench.limit(0)).where("size(hit_words) > 0").isEmpty()
+
+
+def test_searcher_of_a_large_benchmark_is_built_in_bounded_time_and_space():
+    import time
+
+    rng = np.random.default_rng(3)
+    vocabulary = np.array(["w%x" % k for k in range(50_000)])
+    texts = [" ".join(vocabulary[rng.integers(0, len(vocabulary), 200)]) for _ in range(4000)]
+    began = time.time()
+    (searcher,) = decontaminate.searchers(texts, 10)
+    assert time.time() - began < 20
+    held = sum(x.nbytes for x in (searcher.suffix, searcher.starts, searcher.owners, searcher.shift, searcher.words.low, searcher.words.hashes, searcher.words.starts, searcher.words.ends))
+    assert held < 10 * sum(map(len, texts)) + (8 << 20)
+    raw = np.frombuffer(texts[7].encode(), np.uint8)
+    assert [x for x in searcher.find(decontaminate.Words(raw, np.array([0, len(raw)]))) if x[1] == 7] == [(i, 7) for i in range(191)]
 
 
 def test_simhash(spark):
@@ -86,6 +108,9 @@ def test_simhash(spark):
     assert got == {i: (fps[i], find(i)) for i in range(len(texts))}
     kept = [r.doc_id for r in simhash.representatives(frame(spark, texts).union(frame(spark, texts[:3]))).collect()]
     assert sorted(kept) == [i for i in range(len(texts)) if find(i) == i]
+    odd = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "quite another text of its own"), (1, "alpha beta gamma delta"), (None, "a third one stands here alone"), (5, "a third one stands here alone")], "doc_id long, text string").withColumns({"fp": F.lit("clash"), "_k1": F.lit(0)})
+    assert sorted((r.doc_id, r.text[:5]) for r in simhash.representatives(odd).collect()) == [(1, "alpha"), (1, "quite"), (5, "a thi")]
+    assert simhash.representatives(odd.limit(0)).count() == 0 and simhash.grouped(odd.limit(0)).count() == 0
 
 
 def test_simhash_links_complete(spark):
@@ -147,6 +172,27 @@ def test_secrets(spark):
     assert all(not got[i].linked for i in (2, 3, 4, 7))
 
 
+def test_linked_secrets_against_brute_force(spark):
+    rng = random.Random(4)
+    bits = [f"AKIA{'Q7' * 8}", "Ab1" * 13 + "x", "a" * 40, "https://s3.example.com/x", "http://h", "secret=abcdefgh1", "f" * 32, "." * 150, " ", "é ", "\n", "token: short"]
+    texts = ["".join(rng.choice(bits) + " " for _ in range(rng.randint(1, 14))) for _ in range(300)] + [None, "", f"AKIA{'Q7' * 8} " + "." * 70_000 + " " + "Ab1" * 13 + "x"]
+    docs = frame(spark, texts).union(frame(spark, texts[:5])).withColumns({c: F.lit("clash") for c in ("base", "weak", "_k1", "cell")})
+    got = defaultdict(list)
+    for r in secrets.scan(docs).collect():
+        got[r.doc_id].append(r)
+    total = 0
+    for i, t in enumerate(texts):
+        base, weak = secrets.base_spans(t or ""), secrets.weak_spans(t or "")
+        near = lambda x, kinds, pool: any(s <= x[2] + secrets.SCOPE and x[1] <= e + secrets.SCOPE for k, s, e in pool if k in kinds)
+        keys = [x for x in weak if x[0] == "key" and near(x, ("access",), base)]
+        ends = [x for x in weak if x[0] == "endpoint" and near(x, ("access",), base) and near(x, ("key", "assign"), keys + base)]
+        total += len(keys) + len(ends)
+        assert len(got[i]) == (2 if i < 5 else 1)
+        for r in got[i]:
+            assert sorted(tuple(x) for x in r.linked) == sorted(keys + ends)
+    assert total > 100 and secrets.scan(docs.limit(0)).count() == 0
+
+
 def luhn(d):
     return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
@@ -178,6 +224,25 @@ def test_pii(spark):
     assert [(x.start, x.end, x.score) for x in iban[0].iban] == [(6, 33, 1.0)] and not iban[1].iban
 
 
+def test_pii_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    bits = ["a@b.c", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "+49 (30) 1234567", "é", " ", " x ", "GB82 WEST 1234 5698 7654 32", "call ", "bank\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(150)] + [None, "", " a@b.cc" * 3000]
+    frame(spark, texts).union(frame(spark, texts[:4])).write.parquet(f"{tmp_path}/documents.parquet")
+    count = Counter()
+    for r in pii.op8(spark, str(tmp_path)).collect():
+        count[r.doc_id] += 1
+        slow = slow_pii(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[0] == k for x in slow) for k in pii.BASE)
+        shown = ",".join(f"{k}:{s}:{e}" for k, s, e in slow)
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        ibans = [f"iban:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![A-Za-z0-9])GB82 WEST 1234 5698 7654 32(?![A-Za-z0-9])", texts[r.doc_id] or "")]
+        assert r.spans == ",".join([*shown.split(",")[: len(slow)], *ibans])
+    assert count == Counter({i: 2 if i < 4 else 1 for i in range(len(texts))})
+    odd = frame(spark, ["x 1.2.3.4"]).withColumns({c: F.lit("clash") for c in ("_text", "_x0", "_x1")})
+    assert pii.scan(odd).select("_x0", "_text", F.size("ip")).first() == ("clash", "clash", 1) and pii.scan(odd.limit(0)).count() == 0
+
+
 def test_iban_before_upper_case_words(spark):
     numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
     texts = [f"{n}{after}" for n in numbers for after in ("", " BIC COBADEFFXXX", " Please pay", " OK then", ".", " 12", f" {numbers[0]}")]
@@ -226,3 +291,19 @@ def test_packing(spark, capacity):
             left.append(capacity - n)
     assert len(bins) == len(left)
     assert Counter(capacity - sum(p.length for p in b) for b in bins.values()) == Counter(left)
+
+
+def test_packing_odd_tables(spark):
+    docs = frame(spark, ["a b", "a b", None]).withColumns({c: F.lit("clash") for c in ("length", "rank", "salt", "piece")})
+    got = packing.pack(docs.union(docs)).collect()
+    assert len(got) == 6 and len({(r.sequence_id, r.offset) for r in got}) == 6 and {r.sequence_id for r in got} == {0}
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_langid_odd_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, net = langid.trained(docs)
+    few = docs.limit(3).withColumns({"score": F.lit("clash"), "lang_pred": F.lit(1)})
+    got = Counter((r.doc_id, r.lang_pred, r.score) for r in langid.identify(few.union(few), langs, net).collect())
+    assert set(got.values()) == {2} and langid.identify(few.limit(0), langs, net).count() == 0
+    assert langid.trained(docs.limit(0)) == ([], None)
