@@ -38,8 +38,9 @@ GAP_COST = 0.05
 SIDE, NEEDED = 8, 4
 CHUNK = 1 << 20
 
-#: A seed with more occurrences than this, as far as a sample of about SAMPLED documents tells, is joined by grouped minima.
-HOT, SAMPLED, MOST_HOT = 5000, 20_000, 100_000
+#: A seed in more documents than this, as far as a sample of about SAMPLED of them tells, is joined by grouped minima; below, its
+#: occurrences are a few megabytes in one task.
+HOT, SAMPLED, MOST_HOT = 100_000, 20_000, 100_000
 #: Chains, of 60 bytes each, that are sent to the texts instead of dealing out both.
 FEW = 50_000
 
@@ -112,6 +113,8 @@ def frequent(docs: DataFrame, words: int, window: int, hot: int) -> np.ndarray:
     """Sorted hashes of the seeds with more than about `hot` occurrences: eight at least in a sample of documents, MOST_HOT at most.
     They only decide which way a seed is joined."""
     n = docs.count()
+    if n <= hot:
+        return np.zeros(0, np.int64)
     share = max(1, n // SAMPLED)
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else docs
     counts = seeds(some, words, window).groupBy("h").count().where(F.col("count") > max(7, hot // share))
