@@ -1,7 +1,7 @@
 """Substring dedup (operator 9): fuzzy passages by collinear chaining.
 
 Seeds are grams of WORDS consecutive words, of which each window of WINDOW grams contributes the one with the least hash. With a
-seed go eight bits of each of the SIDE words before and after it. A seed that occurs again is joined with its first occurrence,
+seed go six bits of each of the SIDE words before and after it. A seed that occurs again is joined with its first occurrence,
 with the first ones among those that also have the same 4 or 8 words before or after it, and with its last occurrence in the
 same document: at most six matches for each occurrence, not one for each pair, and a common phrase still meets the copies of its
 own passage. A match goes on if NEEDED of the SIDE words on one side agree, shifted by one word at most: in a passage of
@@ -33,9 +33,11 @@ from .common import row_key, spans_of_rows, stored, table, text_bytes
 from .decontaminate import Words
 from .suffixdedup import window_minima
 
-WORDS, WINDOW, GAP, MIN_WORDS, IDENTITY, MARGIN, DROP = 5, 8, 400, 40, 0.8, 500, 8
+WORDS, WINDOW, GAP, MIN_WORDS, IDENTITY, DROP = 5, 8, 400, 40, 0.8, 8
+#: Characters fetched to either side of a chain at first: enough to settle one that does not reach MIN_WORDS.
+MARGIN = 350
 GAP_COST = 0.05
-SIDE, NEEDED = 8, 4
+SIDE, NEEDED, BITS = 8, 4, 6
 CHUNK = 1 << 20
 
 #: A seed in more documents than this, as far as a sample of about SAMPLED of them tells, is joined by grouped minima; below, its
@@ -44,9 +46,9 @@ HOT, SAMPLED, MOST_HOT = 100_000, 20_000, 100_000
 #: Chains, of 60 bytes each, that are sent to the texts instead of dealing out both.
 FEW = 50_000
 
-#: `at` holds the place in code points (start << 32 | end); `before` and `after` a byte for each word, the nearest one on top.
+#: `h` has 48 bits; `at` is the place in code points (start << 32 | end); `before` and `after` have BITS for each word, the nearest on top.
 SEEDS = "h long, id long, at long, before long, after long"
-#: Bytes of `before` or `after` that make a class of contexts.
+#: Words of `before` or `after` that make a class of contexts.
 CONTEXTS = [("after", 4), ("after", 8), ("before", 4), ("before", 8)]
 
 
@@ -87,24 +89,25 @@ def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = Non
                 if not chosen:
                     continue
                 at = np.unique((np.concatenate(chosen) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+                key = (h[at] >> np.uint64(16)).view(np.int64)
                 if len(often) or only:
-                    key = h[at].view(np.int64)
-                    at = at[np.isin(key, often) == only]
+                    part = np.isin(key, often) == only
+                    at, key = at[part], key[part]
                 row = np.searchsorted(w.first, at, "right") - 1
-                small = np.maximum(w.hashes >> np.uint64(56), np.uint64(1))
+                small = np.maximum(w.hashes >> np.uint64(64 - BITS), np.uint64(1))
                 sides = []
                 for begin, step in ((at - 1, -1), (at + words, 1)):
                     packed = np.zeros(len(at), np.uint64)
                     for j in range(SIDE):
                         k = begin + step * j
                         inside = (k >= w.first[row]) & (k < w.first[row + 1])
-                        packed = packed << np.uint64(8) | np.where(inside, small[np.clip(k, 0, len(small) - 1)], np.uint64(0))
+                        packed = packed << np.uint64(BITS) | np.where(inside, small[np.clip(k, 0, len(small) - 1)], np.uint64(0))
                     sides.append(pa.array(packed.view(np.int64)))
                 chars = np.zeros(len(w.low) + 1, np.int64)
                 np.cumsum((w.low & 0xC0) != 0x80, out=chars[1:])
                 origin = chars[offsets[lo : hi + 1] - offsets[lo]][row]
                 place = (chars[w.starts[at]] - origin) << 32 | (chars[w.ends[at + words - 1]] - origin)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[lo + row]), pa.array(place), *sides], names=["h", "id", "at", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + row]), pa.array(place), *sides], names=["h", "id", "at", "before", "after"])
 
     return docs.select("id", "text").mapInArrow(pick, SEEDS)
 
@@ -117,18 +120,19 @@ def frequent(docs: DataFrame, words: int, window: int, hot: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     share = max(1, n // SAMPLED)
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else docs
-    counts = seeds(some, words, window).groupBy("h").count().where(F.col("count") > max(7, hot // share))
-    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("count")).limit(MOST_HOT).select("h").collect()], np.int64))
+    counts = seeds(some, words, window).groupBy("h").agg(F.count_distinct("id").alias("n")).where(F.col("n") > max(7, hot // share))
+    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("n")).limit(MOST_HOT).select("h").collect()], np.int64))
 
 
-def _bytes(x: np.ndarray) -> np.ndarray:
-    """The bytes of each number, the top one first."""
-    return np.ascontiguousarray(x).astype(">i8").view(np.uint8).reshape(-1, SIDE)
+def _words(x: np.ndarray) -> np.ndarray:
+    """The words of packed sides, the nearest first."""
+    shift = np.arange(BITS * (SIDE - 1), -1, -BITS)
+    return (x[:, None] >> shift & ((1 << BITS) - 1)).astype(np.uint8)
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many words of each packed side x have an equal in y at the same place or next to it."""
-    a, b = _bytes(x), _bytes(y)
+    a, b = _words(x), _words(y)
     hit = a == b
     hit[:, 1:] |= a[:, 1:] == b[:, :-1]
     hit[:, :-1] |= a[:, :-1] == b[:, 1:]
@@ -144,8 +148,8 @@ MATCHES = "id long, rid long, at long, rat long"
 
 def context(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n nearest words of packed sides, and whether the text has as many."""
-    near = values.view(np.uint64) >> np.uint64(8 * (SIDE - n))
-    return near, (near & np.uint64(255)) != 0  # words that lack are zeros at the far end
+    near = values >> BITS * (SIDE - n)
+    return near, (near & ((1 << BITS) - 1)) != 0  # words that lack are zeros at the far end
 
 
 def matched_rows(h: np.ndarray, ids: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
@@ -158,7 +162,7 @@ def matched_rows(h: np.ndarray, ids: np.ndarray, at: np.ndarray, before: np.ndar
     pairs = [np.stack([again, again - 1], axis=1)]
     side = {"before": before, "after": after}
     for c, n in ((None, 0), *CONTEXTS):
-        k, whole = context(side[c], n) if c else (np.zeros(len(h), np.uint64), np.ones(len(h), bool))
+        k, whole = context(side[c], n) if c else (np.zeros(len(h), np.int64), np.ones(len(h), bool))
         order = np.lexsort((k, h)) if c else np.arange(len(h))  # stable: the first of a class stays in front
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])
@@ -201,8 +205,8 @@ def matched_often(found: DataFrame) -> DataFrame:
     last = F.lag(F.struct("at", "before", "after")).over(W.partitionBy("h", "id").orderBy("at"))
     met = found.withColumn("f", last).where("f IS NOT NULL").withColumn("rid", F.col("id")).select("id", "rid", "at", "before", "after", "f")
     for c, n in ((None, 0), *CONTEXTS):
-        near = F.shiftrightunsigned(c, 8 * (SIDE - n)) if c else F.lit(0).cast("long")
-        whole = near.bitwiseAND(F.lit(255)) != 0 if c else F.lit(True)  # words that lack are zeros at the far end
+        near = F.shiftright(c, BITS * (SIDE - n)) if c else F.lit(0).cast("long")
+        whole = near.bitwiseAND(F.lit((1 << BITS) - 1)) != 0 if c else F.lit(True)  # words that lack are zeros at the far end
         some = found.withColumn("k", near).where(whole)
         first = stored(some.groupBy("h", "k").agg(F.min(F.struct("id", "at", "before", "after")).alias("f")))
         own = some.groupBy("h", "k", "id").agg(F.min(F.struct("at", "before", "after")).alias("o")).select("h", "k", "id", "o.*")

@@ -99,7 +99,7 @@ def test_copies_meet_when_earlier_documents_have_all_their_phrases(spark):
     texts = [passage[i : i + 5] for i in range(52)]  # a text of one gram has it as its seed
     texts += [words(rng, 40) + passage + words(rng, 40), words(rng, 70) + passage + words(rng, 20)]
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    for hot in (P.HOT, 2):
+    for hot in (P.HOT, 1):
         got = {r.doc_id: {p.rdoc for p in r.passages} for r in P.find(df, hot=hot).collect()}
         assert {i: x for i, x in got.items() if x} == {53: {52}}
 
@@ -110,7 +110,7 @@ def test_both_ways_of_joining_seeds_give_the_same_matches(spark):
     texts = [" ".join(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(pool) if rng.random() < 0.6 else words(rng, 20))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     plain = sorted(map(tuple, P.matched(df, hot=10**6).collect()))
-    assert plain == sorted(map(tuple, P.matched(df, hot=1).collect())) and len(plain) > 100 and len(P.frequent(df, P.WORDS, P.WINDOW, 1)) > 10
+    assert plain == sorted(map(tuple, P.matched(df, hot=1).collect())) and len(plain) > 100 and len(P.frequent(df, P.WORDS, P.WINDOW, 1)) > 5
 
 
 def test_repeats_within_a_document_and_holders(spark):
