@@ -1,10 +1,10 @@
 """Substring dedup (operator 9): fuzzy passages by collinear chaining.
 
 Seeds are grams of WORDS consecutive words, of which each window of WINDOW grams contributes the one with the least hash. With a
-seed go six bits of each of the SIDE words before and after it. A seed that occurs again is joined with its first occurrence,
-with the first ones among those that also have the same 4 or 8 words before or after it, and with its last occurrence in the
-same document: at most six matches for each occurrence, not one for each pair, and a common phrase still meets the copies of its
-own passage. A match goes on if NEEDED of the SIDE words on one side agree, shifted by one word at most: in a passage of
+seed go six bits of each of the SIDE words before and after it. A seed that occurs again in a document is matched there with its place before, without leaving the document. Of each document the
+first occurrence of a seed, and the first with the same 4 or 8 words before or after it, go on; they are joined with the first
+document's seed, or seed and words: at most five matches for each, not one for each pair, and a common phrase still meets the
+copies of its own passage. A match goes on if NEEDED of the SIDE words on one side agree, shifted by one word at most: in a passage of
 MIN_WORDS words and IDENTITY, one side of each seed is long enough for that. Seeds that very many documents hold are found in a
 bounded sample and are joined by grouped minima instead of in one task; the matches are the same.
 
@@ -27,7 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import row_key, spans_of_rows, stored, table, text_bytes
 from .decontaminate import Words
@@ -43,10 +43,9 @@ CHUNK = 1 << 20
 #: A seed in more documents than this, as far as a sample of about SAMPLED of them tells, is joined by grouped minima; below, its
 #: occurrences are a few megabytes in one task.
 HOT, SAMPLED, MOST_HOT = 100_000, 20_000, 100_000
-#: Chains, of 60 bytes each, that are sent to the texts instead of dealing out both.
-FEW = 50_000
 
 #: `h` has 48 bits; `at` is the place in code points (start << 32 | end); `before` and `after` have BITS for each word, the nearest on top.
+#: A negative h marks a match within a document, which is known from the start: `before` is then the earlier place.
 SEEDS = "h long, id long, at long, before long, after long"
 #: Words of `before` or `after` that make a class of contexts.
 CONTEXTS = [("after", 4), ("after", 8), ("before", 4), ("before", 8)]
@@ -62,6 +61,34 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def firsts(h: np.ndarray, before: np.ndarray, after: np.ndarray):
+    """For seeds alone and for each context: (order by class, whether a class begins there, whether the text has all the words)."""
+    side = {"before": before, "after": after}
+    for c, n in ((None, 0), *CONTEXTS):
+        k, whole = context(side[c], n) if c else (np.zeros(len(h), np.int64), np.ones(len(h), bool))
+        order = np.lexsort((k, h))  # stable: the first of a class stays in front
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])
+        yield order, new, whole[order]
+
+
+def within(row: np.ndarray, h: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For seeds in order of their places: those that go on, and pairs (place, place before) of one seed in one row."""
+    order = np.lexsort((h, row))
+    same = (row[order][1:] == row[order][:-1]) & (h[order][1:] == h[order][:-1])
+    keep = np.ones(len(h), bool)
+    if not same.any():
+        return keep, order[:0], order[:0]
+    again, last = order[1:][same], order[:-1][same]
+    some = np.unique(np.concatenate([again, last]))
+    keep[again] = False
+    group = np.unique(np.stack([row[some], h[some]]), axis=1, return_inverse=True)[1].reshape(-1)
+    for by, new, whole in firsts(group, before[some], after[some]):
+        keep[some[by[new & whole]]] = True
+    good = promising(before[again], after[again], before[last], after[last])
+    return keep, again[good], last[good]
+
+
 def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = None, only: bool = False) -> DataFrame:
     """SEEDS of docs (id, text), without those of sorted hashes `hot`, or with `only` just those."""
     shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None and len(hot) else None
@@ -102,12 +129,19 @@ def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = Non
                         k = begin + step * j
                         inside = (k >= w.first[row]) & (k < w.first[row + 1])
                         packed = packed << np.uint64(BITS) | np.where(inside, small[np.clip(k, 0, len(small) - 1)], np.uint64(0))
-                    sides.append(pa.array(packed.view(np.int64)))
+                    sides.append(packed.view(np.int64))
                 chars = np.zeros(len(w.low) + 1, np.int64)
                 np.cumsum((w.low & 0xC0) != 0x80, out=chars[1:])
                 origin = chars[offsets[lo : hi + 1] - offsets[lo]][row]
                 place = (chars[w.starts[at]] - origin) << 32 | (chars[w.ends[at + words - 1]] - origin)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + row]), pa.array(place), *sides], names=["h", "id", "at", "before", "after"])
+                rows = [key, ids[lo + row], place, *sides]
+                keep, again, before = within(row, key, *sides)
+                if len(again) and not only:
+                    own = [-1 - (ids[lo + row[again]] & ((1 << 47) - 1)), rows[1][again], place[again], place[before], np.zeros(len(again), np.int64)]
+                    rows = [np.concatenate([x[keep], y]) for x, y in zip(rows, own, strict=True)]
+                else:
+                    rows = [x[keep] for x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["h", "id", "at", "before", "after"])
 
     return docs.select("id", "text").mapInArrow(pick, SEEDS)
 
@@ -154,27 +188,24 @@ def context(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def matched_rows(h: np.ndarray, ids: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
     """MATCHES of whole groups of seeds, which come in order of h, id, at."""
+    known = h < 0
+    done = [ids[known], ids[known], at[known], before[known]]
     often = np.zeros(len(h), bool)
     often[1:] = h[1:] == h[:-1]
     often[:-1] |= often[1:]
+    often &= ~known
     h, ids, at, before, after = (x[often] for x in (h, ids, at, before, after))
-    again = np.flatnonzero((h[1:] == h[:-1]) & (ids[1:] == ids[:-1])) + 1
-    pairs = [np.stack([again, again - 1], axis=1)]
-    side = {"before": before, "after": after}
-    for c, n in ((None, 0), *CONTEXTS):
-        k, whole = context(side[c], n) if c else (np.zeros(len(h), np.int64), np.ones(len(h), bool))
-        order = np.lexsort((k, h)) if c else np.arange(len(h))  # stable: the first of a class stays in front
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (k[order][1:] != k[order][:-1])
+    pairs = []
+    for order, new, whole in firsts(h, before, after):
         to = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        own = new.copy()  # the first place of each document in the class; its others are matched with the place before
+        own = new.copy()  # the first place of each document in the class
         own[1:] |= ids[order][1:] != ids[order][:-1]
-        use = own & whole[order] & (ids[order] != ids[to])
+        use = own & whole & (ids[order] != ids[to])
         pairs.append(np.stack([order[use], to[use]], axis=1))
     i, j = np.unique(np.concatenate(pairs), axis=0).T
     good = promising(before[i], after[i], before[j], after[j])
     i, j = i[good], j[good]
-    return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(at[i]), pa.array(at[j])], names=["id", "rid", "at", "rat"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(done, (ids[i], ids[j], at[i], at[j]), strict=True)], names=["id", "rid", "at", "rat"])
 
 
 def matched(docs: DataFrame, words: int = WORDS, window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -202,15 +233,15 @@ def matched(docs: DataFrame, words: int = WORDS, window: int = WINDOW, hot: int
 def matched_often(found: DataFrame) -> DataFrame:
     """MATCHES of seeds that are frequent: first occurrences are grouped minima, which are pre-aggregated and written before they are
     joined, as a join of two plain shuffles can split a frequent seed."""
-    last = F.lag(F.struct("at", "before", "after")).over(W.partitionBy("h", "id").orderBy("at"))
-    met = found.withColumn("f", last).where("f IS NOT NULL").withColumn("rid", F.col("id")).select("id", "rid", "at", "before", "after", "f")
+    met = None
     for c, n in ((None, 0), *CONTEXTS):
         near = F.shiftright(c, BITS * (SIDE - n)) if c else F.lit(0).cast("long")
         whole = near.bitwiseAND(F.lit((1 << BITS) - 1)) != 0 if c else F.lit(True)  # words that lack are zeros at the far end
         some = found.withColumn("k", near).where(whole)
         first = stored(some.groupBy("h", "k").agg(F.min(F.struct("id", "at", "before", "after")).alias("f")))
         own = some.groupBy("h", "k", "id").agg(F.min(F.struct("at", "before", "after")).alias("o")).select("h", "k", "id", "o.*")
-        met = met.unionByName(own.join(first, ["h", "k"]).where("id <> f.id").select("id", F.col("f.id").alias("rid"), "at", "before", "after", F.struct("f.at", "f.before", "f.after").alias("f")))
+        now = own.join(first, ["h", "k"]).where("id <> f.id").select("id", F.col("f.id").alias("rid"), "at", "before", "after", F.struct("f.at", "f.before", "f.after").alias("f"))
+        met = now if met is None else met.unionByName(now)
     flat = met.select("id", "rid", "at", F.col("f.at").alias("rat"), "before", "after", F.col("f.before").alias("before2"), F.col("f.after").alias("after2"))
 
     def keep(batches):
@@ -394,13 +425,12 @@ def aligned(text: str, other: str, q: tuple[int, int], r: tuple[int, int], least
 PASSAGES = "id long, rid long, c0 int, c1 int, r0 int, r1 int, n_words int, identity double, more boolean"
 
 
-def compared(lines: DataFrame, texts: DataFrame, margin: int, min_words: int, identity: float, few: bool = False) -> DataFrame:
+def compared(lines: DataFrame, texts: DataFrame, margin: int, min_words: int, identity: float) -> DataFrame:
     """PASSAGES of chains with the texts (id, text) up to `margin` characters around them; rows with `more` are the chains that need a
-    wider margin. With few the chains are sent to the texts."""
+    wider margin."""
     key = ["id", "rid", "c0", "c1", "r0", "r1"]
     ask = lambda side, who, lo, hi: lines.select(*key, F.lit(side).alias("side"), F.col(who).alias("tid"), F.greatest(F.lit(0), F.col(lo) - margin).alias("lo"), (F.col(hi) + margin).alias("hi"))
-    asks = ask(0, "id", "c0", "c1").unionByName(ask(1, "rid", "r0", "r1"))
-    slices = texts.withColumnRenamed("id", "tid").join(F.broadcast(asks) if few else asks, "tid")
+    slices = ask(0, "id", "c0", "c1").unionByName(ask(1, "rid", "r0", "r1")).join(texts.withColumnRenamed("id", "tid"), "tid")
     slices = slices.select(*key, "side", F.expr("substring(text, lo + 1, hi - lo)").alias("part"))
     one = lambda side: F.max(F.when(F.col("side") == side, F.col("part")))
     pairs = slices.groupBy(*key).agg(one(0).alias("a"), one(1).alias("b"))
@@ -431,7 +461,7 @@ def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, ga
     lines = stored(chained(matched(docs, words, window, hot).repartition("id").sortWithinPartitions("id", "rid", "at", "rat"), gap))
     out = None
     while True:
-        now = stored(compared(lines, docs, margin, min_words, identity, lines.count() <= FEW))
+        now = stored(compared(lines, docs, margin, min_words, identity))
         done = now.where("NOT more").drop("more")
         out = done if out is None else out.unionByName(done)
         lines = now.where("more").select("id", "rid", "c0", "c1", "r0", "r1")
