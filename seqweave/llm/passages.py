@@ -136,7 +136,7 @@ def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = Non
                 place = (chars[w.starts[at]] - origin) << 32 | (chars[w.ends[at + words - 1]] - origin)
                 rows = [key, ids[lo + row], place, *sides]
                 keep, again, before = within(row, key, *sides)
-                if len(again) and not only:
+                if len(again):
                     own = [-1 - (ids[lo + row[again]] & ((1 << 47) - 1)), rows[1][again], place[again], place[before], np.zeros(len(again), np.int64)]
                     rows = [np.concatenate([x[keep], y]) for x, y in zip(rows, own, strict=True)]
                 else:
@@ -233,7 +233,7 @@ def matched(docs: DataFrame, words: int = WORDS, window: int = WINDOW, hot: int
 def matched_often(found: DataFrame) -> DataFrame:
     """MATCHES of seeds that are frequent: first occurrences are grouped minima, which are pre-aggregated and written before they are
     joined, as a join of two plain shuffles can split a frequent seed."""
-    met = None
+    known, found, met = found.where("h < 0"), found.where("h >= 0"), None
     for c, n in ((None, 0), *CONTEXTS):
         near = F.shiftright(c, BITS * (SIDE - n)) if c else F.lit(0).cast("long")
         whole = near.bitwiseAND(F.lit((1 << BITS) - 1)) != 0 if c else F.lit(True)  # words that lack are zeros at the far end
@@ -249,7 +249,7 @@ def matched_often(found: DataFrame) -> DataFrame:
             good = promising(*(batch.column(c).to_numpy() for c in ("before", "after", "before2", "after2")))
             yield batch.select(["id", "rid", "at", "rat"]).filter(pa.array(good))
 
-    return flat.mapInArrow(keep, MATCHES)
+    return flat.mapInArrow(keep, MATCHES).unionByName(known.select("id", F.col("id").alias("rid"), "at", F.col("before").alias("rat")))
 
 
 def blocks(c0, c1, r0, r1, gap: int) -> list[list[int]]:
