@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
-from . import chaining, matching
+from . import chaining, collection, matching
+from .distributed import stored
 
 LOW = -(1 << 28)
 TILE = 512
@@ -160,8 +161,8 @@ def candidates(chains: DataFrame, reads: DataFrame, refs: DataFrame, cfg: AlignC
     whole = top.join(reads.select("read_id", "seq"), "read_id").withColumn("n", F.length("seq"))
     first = F.greatest(F.lit(0).cast("long"), F.col("x0") - F.col("start") - F.col("y0") - cfg.context)
     last = F.least(F.col("len"), F.col("x1") - F.col("start") + F.col("n") - F.col("y1") + cfg.context)
-    asked = whole.select("read_id", "ref_id", "seq", "score", "start", "anchors", first.alias("lo"), last.alias("hi"))
-    windows = asked.join(refs.select("ref_id", F.col("seq").alias("target")), "ref_id").withColumn("target", F.expr("substring(target, cast(lo + 1 as int), cast(hi - lo as int))"))
+    asked = stored(whole.select("read_id", "ref_id", "seq", "score", "start", "anchors", first.alias("lo"), last.alias("hi")))
+    windows = asked.join(collection.windows(asked, refs), ["ref_id", "lo", "hi"])
 
     def align(batches):
         for pdf in batches:

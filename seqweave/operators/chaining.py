@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
@@ -84,18 +84,40 @@ CHAINS = "read_id long, ref_id long, chain int, score long, n_anchors int, x0 lo
 def solved(found: DataFrame, cfg: ChainConfig = ChainConfig(), within: bool = True) -> DataFrame:
     """CHAINS of anchors. With `within` a chain stays inside one sequence, and each pair of read and sequence is solved by itself, so a
     read that occurs in very many sequences is not one task; without, all anchors of a read are solved together and ref_id is
-    that of the first anchor."""
+    that of the first anchor. Groups follow one another in sorted partitions; one group at a time is in memory."""
+    keys = ["read_id", "ref_id"] if within else ["read_id"]
+    columns = ["read_id", "ref_id", "x", "y", "w", "start", "len"]
 
-    def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y", "w"])
-        x, y, w, ref, start, size = (pdf[c].to_numpy() for c in ("x", "y", "w", "ref_id", "start", "len"))
-        rows = []
+    def solve_group(who: int, ref, x, y, w, start, size, out: list) -> None:
         for k, (score, c) in enumerate(solve(x, y, w, cfg)):
             steps = [{"x": int(x[i]), "y": int(y[i]), "w": int(w[i])} for i in c]
-            rows.append((pdf.read_id.iloc[0], ref[c[0]], k, score, len(c), x[c[0]], x[c[-1]], y[c[0]], y[c[-1]], start[c[0]], size[c[0]], steps))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in CHAINS.split(", ")])
-
-    return found.groupBy("read_id", *(["ref_id"] if within else [])).applyInPandas(solve_group, CHAINS)
+            out.append((who, int(ref[c[0]]), k, score, len(c), int(x[c[0]]), int(x[c[-1]]), int(y[c[0]]), int(y[c[-1]]), int(start[c[0]]), int(size[c[0]]), steps))
+
+    def flush(rows: list[np.ndarray], edges: list[int]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            solve_group(int(rows[0][lo]), *(r[lo:hi] for r in rows[1:]), out)
+        step = pa.struct([("x", pa.int64()), ("y", pa.int64()), ("w", pa.int64())])
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.list_(step)]
+        cols = list(zip(*out, strict=True)) or [()] * 12
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in CHAINS.split("array", 1)[0].split(", ")][:11] + ["anchors"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in columns]
+            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            new = np.zeros(max(0, len(now[0]) - 1), bool)
+            for c in range(len(keys)):
+                new |= now[c][1:] != now[c][:-1]
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+            yield flush(now, edges)
+            rest = [x[edges[-1] :] for x in now]
+        if rest is not None and len(rest[0]):
+            yield flush(rest, [0, len(rest[0])])
+
+    rows = found.select(*(F.col(c).cast("long").alias(c) for c in columns))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *(c for c in ("x", "y", "w"))).mapInArrow(run, CHAINS)
 
 
 def chains(mems: DataFrame, index: DataFrame, cfg: ChainConfig = ChainConfig()) -> DataFrame:

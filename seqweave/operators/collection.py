@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .distributed import running_sum
@@ -39,3 +40,28 @@ def lift(located: DataFrame, segments: DataFrame) -> DataFrame:
     inside = (F.col("offset") >= F.col("src_start")) & (F.col("offset") < F.col("src_end"))
     moved = F.when(F.col("op") == "I", F.col("dst_start")).otherwise(F.col("dst_start") + F.col("offset") - F.col("src_start"))
     return located.join(segments, "ref_id").where(inside).withColumn("lifted", F.col("dst_base") + moved).drop("src_start", "src_end", "dst_start", "dst_base", "op")
+
+
+def pieces(refs: DataFrame) -> DataFrame:
+    """(ref_id, bin, part): sequences cut into pieces of BIN characters; null and empty ones have none."""
+    size = BIN
+
+    def cut_up(batches):
+        for batch in batches:
+            for who, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                for k in range(0, -(-len(text) // size), 1024):
+                    part = [text[i : i + size] for i in range(k * size, min(len(text), (k + 1024) * size), size)]
+                    yield pa.RecordBatch.from_arrays([pa.array([who] * len(part), pa.int64()), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.string())], names=["ref_id", "bin", "part"])
+
+    return refs.select(F.col("ref_id").cast("long"), "seq").mapInArrow(cut_up, "ref_id long, bin long, part string")
+
+
+def windows(asked: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref_id, lo, hi, target): the characters from lo (0-based) up to hi of each asked window (ref_id, lo, hi). Only the pieces that
+    windows touch are joined, so no row carries a whole sequence. Windows outside the sequence have no row."""
+    each = asked.select("ref_id", "lo", "hi").where("hi > lo").distinct()
+    bins = each.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor((F.col("hi") - 1) / BIN))))
+    met = bins.join(pieces(refs), ["ref_id", "bin"]).groupBy("ref_id", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("bin", "part"))).alias("p"))
+    begin = F.col("lo") - F.col("p")[0]["bin"] * BIN
+    return met.select("ref_id", "lo", "hi", F.array_join("p.part", "").alias("t"), begin.cast("int").alias("at")).select("ref_id", "lo", "hi", F.expr("substring(t, at + 1, cast(hi - lo as int))").alias("target")).where("target <> ''")

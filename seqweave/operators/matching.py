@@ -1,33 +1,176 @@
-"""Exact matches of reads with a collection: k-mer join, islands on diagonals, maximal intervals, occurrences."""
+"""Exact matches of reads with a collection: sampled seeds, runs on diagonals, maximal intervals, occurrences.
+
+Every k letters in a row contain a seed: of their words of `word_size(k)` letters the one with the least hash, the first of equals. Equal
+k-mers have equal seeds at equal places, so reads and references are joined on the seeds' hashes alone, about one row for six
+letters; with a seed go the starts of the k-mers it stands for and their letters, and each joined pair is compared letter by
+letter. Reads are first held against the seeds of the references where these are few enough to be sent to the tasks (KNOWN);
+otherwise both are dealt out by hash.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-STRETCH = 256
-
+from .distributed import spread, stored
 
-def kmers(seqs: DataFrame, key: str, seq: str, k: int, pos: str) -> DataFrame:
-    """(key, pos, kmer) of every k characters in a row. Texts are first cut into overlapping stretches, as taking a
-    substring costs as much as the way to it."""
-    n = F.length(seq)
-    stretch = F.explode(F.sequence(F.lit(0), n - k, F.lit(STRETCH))).alias("at")
-    parts = seqs.where(n >= k).select(key, seq, stretch).select(key, "at", F.substr(seq, F.col("at") + 1, F.lit(STRETCH + k - 1)).alias("part"))
-    inner = F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("i")
-    return parts.select(key, "at", "part", inner).select(key, (F.col("at") + F.col("i")).alias(pos), F.substr("part", F.col("i") + 1, F.lit(k)).alias("kmer"))
+STRETCH = 256
+#: Letters that one step of the seed search takes together; low bits of a hash that give way to places, the same for all texts.
+PIECE, PLACES = 1 << 20, 22
+#: Distinct hashes of reference seeds that are sent to the tasks, eight bytes each.
+KNOWN = 2_000_000
+
+
+def word_size(k: int) -> int:
+    size = 1
+    while 3 * size <= k:
+        size *= 2
+    return size
+
+
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def word_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each `size` letters, a power of two."""
+    h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    n = 1
+    while n < size:
+        h = (h[:-n] ^ (h[:-n] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[n:]
+        n *= 2
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0x94D049BB133111EB)
+
+
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each `width` neighbours."""
+    n = 1
+    while 2 * n <= width:
+        x = np.minimum(x[:-n], x[n:])
+        n *= 2
+    return np.minimum(x[: len(x) - width + n], x[width - n :]) if n < width else x
+
+
+def seeds_of(codes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(hash, row, place, first and last k-mer start) of the seeds of rows that begin at `first`, and end where the next begins."""
+    size = word_size(k)
+    if len(codes) < k:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    h = word_hashes(codes, size)
+    mask = np.uint64((1 << PLACES) - 1)
+    best = least_of((h & ~mask) | np.arange(len(h), dtype=np.uint64), k - size + 1)
+    ends = np.append(first[1:], len(codes))
+    row = np.repeat(np.arange(len(first)), ends - first)[: len(best)]
+    whole = np.arange(len(best)) + k <= ends[row]
+    at = (best & mask).astype(np.int64)
+    new = np.ones(len(best), bool)
+    new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+    a = np.flatnonzero(new & whole)
+    stop = np.append(np.flatnonzero(new), len(best))
+    b = stop[np.searchsorted(stop, a, "right")] - 1
+    b = np.minimum(b, ends[row[a]] - k)
+    return h[at[a]].view(np.int64), row[a], at[a] - first[row[a]], a - first[row[a]], b - first[row[a]]
+
+
+SEEDS = "h long, id long, pos int, a int, b int, part string"
+
+
+def seeds(seqs: DataFrame, k: int, known=None) -> DataFrame:
+    """SEEDS of seqs (id, seq): hash, place, starts of the k-mers it stands for, and their letters. With known (a broadcast of sorted
+    hashes) only those among it. Null and short sequences have none; long ones are taken piece by piece."""
+
+    def find(batches):
+        wanted = known.value if known is not None else None
+
+        def solve(parts):
+            text = "".join(t for _, _, t in parts)
+            first = np.cumsum([0, *(len(t) for _, _, t in parts)])[:-1]
+            h, row, pos, a, b = seeds_of(letters(text), first, k)
+            if wanted is not None and len(h):
+                at = np.searchsorted(wanted, h)
+                hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == h) if len(wanted) else np.zeros(0, np.int64)
+                h, row, pos, a, b = (x[hit] for x in (h, row, pos, a, b))
+            cut = [parts[r][2][i : j + k] for r, i, j in zip(row.tolist(), a.tolist(), b.tolist(), strict=True)]
+            ids, base = np.array([p[0] for p in parts], np.int64)[row], np.array([p[1] for p in parts], np.int64)[row]
+            shifted = [pa.array((x + base).astype(np.int32)) for x in (pos, a, b)]
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), *shifted, pa.array(cut, pa.string())], names=["h", "id", "pos", "a", "b", "part"])
+
+        for batch in batches:
+            parts, size = [], 0
+            for who, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                for at in range(0, len(text) - k + 1, PIECE):
+                    part = text[at : at + PIECE + k - 1]
+                    if size and size + len(part) > 2 * PIECE:
+                        yield solve(parts)
+                        parts, size = [], 0
+                    parts.append((who, at, part))
+                    size += len(part)
+            if parts:
+                yield solve(parts)
+
+    return seqs.mapInArrow(find, SEEDS)
+
+
+def shared_prefix(x: str, y: str) -> int:
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    lo, hi = 0, n
+    while hi - lo > 1:  # x[:lo] == y[:lo], x[:hi] != y[:hi]
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid)
+    return lo
+
+
+RUNS = "read_id long, ref_id long, diag long, q0 long, q1 long"
+
+
+def runs(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """RUNS of common k-mers: those of a read that start from q0 to q1 are equal to those `diag` places further on in the reference. Each
+    common k-mer is in one run."""
+    size = word_size(k)
+    theirs = stored(seeds(refs.select(F.col("ref_id").cast("long").alias("id"), "seq"), k))
+    hashes = theirs.select("h").distinct()
+    few = hashes.limit(KNOWN + 1).count() <= KNOWN
+    known = reads.sparkSession.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(np.int64))) if few else None
+    ours = seeds(spread(reads.select(F.col("read_id").cast("long").alias("id"), "seq")), k, known)
+    other = theirs.select("h", F.col("id").alias("ref_id"), F.col("pos").alias("rpos"), F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("part").alias("rpart"))
+
+    def compare(batches):
+        for batch in batches:
+            out = []
+            cols = [batch.column(c).to_pylist() for c in ("id", "pos", "a", "b", "part", "ref_id", "rpos", "ra", "rb", "rpart")]
+            for who, pos, a, b, x, ref, rpos, ra, rb, y in zip(*cols, strict=True):
+                i, j = pos - a, rpos - ra
+                if x[i : i + size] != y[j : j + size]:
+                    continue
+                left = shared_prefix(x[:i][::-1], y[:j][::-1])
+                right = shared_prefix(x[i + size :], y[j + size :])
+                diag = rpos - pos
+                lo, hi = max(a, ra - diag, pos - left), min(b, rb - diag, pos + size + right - k)
+                if lo <= hi:
+                    out.append((who, ref, diag, lo, hi))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in RUNS.split(", ")])
+
+    return ours.join(other, "h").mapInArrow(compare, RUNS)
 
 
 def kmer_hits(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(read_id, qpos, ref_id, rpos) of every common k-mer."""
-    return kmers(reads, "read_id", "seq", k, "qpos").join(kmers(refs, "ref_id", "seq", k, "rpos"), "kmer").select("read_id", "qpos", "ref_id", "rpos")
+    each = runs(reads, refs, k).select("read_id", "ref_id", "diag", F.explode(F.sequence("q0", "q1")).alias("q"))
+    return each.select("read_id", F.col("q").cast("int").alias("qpos"), "ref_id", (F.col("diag") + F.col("q")).cast("int").alias("rpos"))
 
 
-def islands(hits: DataFrame, k: int) -> DataFrame:
-    """Maximal runs of hits on a diagonal: (read_id, ref_id, rpos, qs, qe)."""
-    diagonal = W.partitionBy("read_id", "ref_id", "diag").orderBy("qpos")
-    run = hits.withColumn("diag", F.col("rpos") - F.col("qpos")).withColumn("run", F.col("qpos") - F.row_number().over(diagonal))
-    out = run.groupBy("read_id", "ref_id", "diag", "run").agg(F.min("qpos").alias("qs"), (F.max("qpos") + k).alias("qe"))
-    return out.select("read_id", "ref_id", (F.col("diag") + F.col("qs")).alias("rpos"), "qs", "qe")
+def islands(found: DataFrame, k: int) -> DataFrame:
+    """Maximal matches on a diagonal: (read_id, ref_id, rpos, qs, qe); runs that follow one another are joined."""
+    diagonal = W.partitionBy("read_id", "ref_id", "diag").orderBy("q0")
+    new = F.coalesce((F.col("q0") > F.lag("q1").over(diagonal) + 1).cast("int"), F.lit(1))
+    out = found.withColumn("_new", new).withColumn("_run", F.sum("_new").over(diagonal)).groupBy("read_id", "ref_id", "diag", "_run").agg(F.min("q0").alias("qs"), (F.max("q1") + k).alias("qe"))
+    return out.select("read_id", "ref_id", (F.col("diag") + F.col("qs")).cast("int").alias("rpos"), F.col("qs").cast("int").alias("qs"), F.col("qe").cast("int").alias("qe"))
 
 
 def maximal(runs: DataFrame, reads: DataFrame) -> DataFrame:
@@ -42,7 +185,20 @@ def maximal(runs: DataFrame, reads: DataFrame) -> DataFrame:
 
 def smems(reads: DataFrame, refs: DataFrame, k: int = 25) -> DataFrame:
     """(read_id, qs, qe, occs): super-maximal exact matches of at least k characters."""
-    return maximal(islands(kmer_hits(reads, refs, k), k), reads)
+    return maximal(islands(runs(reads, refs, k), k), reads)
+
+
+def with_halves(reads: DataFrame, refs: DataFrame, k: int = 25) -> DataFrame:
+    """Super-maximal matches and, of those of at least 2k characters, both halves with all occurrences of their own: (read_id, qs, qe,
+    occs, half), half 0 for the match, 1 and 2 for its left and right part. Occurrences of a half are the diagonal matches around it."""
+    found = stored(islands(runs(reads, refs, k), k))
+    whole = maximal(found, reads).withColumn("half", F.lit(0))
+    n, mid = F.col("qe") - F.col("qs"), F.col("qs") + F.floor((F.col("qe") - F.col("qs")) / 2).cast("int")
+    both = F.explode(F.array(F.struct(F.col("qs").alias("qs"), mid.alias("qe"), F.lit(1).alias("half")), F.struct(mid.alias("qs"), F.col("qe").alias("qe"), F.lit(2).alias("half"))))
+    halves = whole.where(n >= 2 * k).select("read_id", both.alias("p")).select("read_id", "p.*")
+    around = found.select("read_id", "ref_id", "rpos", F.col("qs").alias("_qs"), F.col("qe").alias("_qe"))
+    met = halves.join(around, "read_id").where("_qs <= qs AND _qe >= qe").select("read_id", "qs", "qe", "half", "ref_id", (F.col("rpos") + F.col("qs") - F.col("_qs")).alias("rpos"))
+    return whole.unionByName(met.groupBy("read_id", "qs", "qe", "half").agg(F.collect_list(F.struct("ref_id", "rpos")).alias("occs")))
 
 
 def occurrences(mems: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import scalars as S
-from . import alignment
-from .distributed import cut
+from . import alignment, collection
+from .distributed import cut, stored
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,8 @@ def rescued(placed: DataFrame, mates: DataFrame, refs: DataFrame, model: DataFra
     last = F.when(F.col("strand") == 1, F.col("p") + F.col("pn") + most + F.col("n")).otherwise(F.col("p") - least)
     windows = asked.join(seqs, ["pair_id", "mate"]).crossJoin(F.broadcast(model)).where("mean IS NOT NULL").withColumn("lo", F.greatest(F.lit(0), first).cast("long")).withColumn("hi", last.cast("long")).where("hi > lo")
     seq = F.when(F.col("strand") == 1, S.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq")
-    near = windows.select("pair_id", "mate", "ref_id", "strand", "lo", "hi", "n", seq).join(refs.select("ref_id", F.col("seq").alias("target")), "ref_id").withColumn("target", F.expr("substring(target, cast(lo + 1 as int), cast(hi - lo as int))")).where("target <> ''")
+    sought = stored(windows.select("pair_id", "mate", "ref_id", "strand", "lo", "hi", "n", seq))
+    near = sought.join(collection.windows(sought, refs), ["ref_id", "lo", "hi"])
 
     def search(batches):
         for pdf in batches:

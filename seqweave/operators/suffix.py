@@ -1,14 +1,14 @@
 """Suffix structures of a collection as tables: suffix array, BWT, runs, F, LF, neighbours, LCP, thresholds.
 
 The text is the sequences in order of ref_id, each followed by a separator, and a terminator that is smaller than the separator; both
-are smaller than any other character. Nothing holds the text as one value: it is a table of characters.
+are smaller than any other character. The text is a table of characters, made from pieces of the sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .collection import seqidx
+from .collection import BIN, pieces, seqidx
 from .distributed import cut, ranked, running_sum
 
 SEPARATOR, TERMINATOR = 2, 1
@@ -17,7 +17,7 @@ SEPARATOR, TERMINATOR = 2, 1
 def characters(refs: DataFrame) -> DataFrame:
     """(i, c): code point c at place i of the text."""
     index = seqidx(refs, 1)
-    chars = refs.select("ref_id", F.posexplode(F.split("seq", "")).alias("k", "ch")).where("ch <> ''").select("ref_id", "k", F.ascii("ch").alias("c"))
+    chars = pieces(refs).select("ref_id", "bin", F.posexplode(F.split("part", "")).alias("j", "ch")).where("ch <> ''").select("ref_id", (F.col("bin") * BIN + F.col("j")).alias("k"), F.ascii("ch").alias("c"))
     text = index.join(chars, "ref_id").select((F.col("start") + F.col("k")).alias("i"), "c")
     seps = index.select((F.col("start") + F.col("len")).alias("i"), F.lit(SEPARATOR).alias("c"))
     end = index.agg(F.coalesce(F.max(F.col("start") + F.col("len") + 1), F.lit(0)).alias("i")).select(F.col("i").cast("long"), F.lit(TERMINATOR).alias("c"))

@@ -221,9 +221,9 @@ def mem_sam_lines(spark, sf):
     return rows.select(sinks.sam_line(rows.drop("match")).alias("line"))
 
 
-@query("SELECT item_id AS ref_id, sha256('>item' || item_id || chr(10) || regexp_replace(text, '(.{60})', '\\1' || chr(10), 'gs')) AS digest FROM benchmark WHERE length(text) % 60 <> 0")
+@query("SELECT item_id AS ref_id, sha256('>item' || item_id || chr(10) || rtrim(regexp_replace(text, '(.{60})', '\\1' || chr(10), 'gs'), chr(10))) AS digest FROM benchmark")
 def fasta_records(spark, sf):
-    return refs(spark, sf).where(F.length("seq") % 60 != 0).select("ref_id", F.sha2(sinks.fasta_text(F.col("name"), F.col("seq")), 256).alias("digest"))
+    return refs(spark, sf).select("ref_id", F.sha2(sinks.fasta_text(F.col("name"), F.col("seq")), 256).alias("digest"))
 
 
 #: Each document asks for an edit of an item: its place, the letters replaced and those put there follow from doc_id.
@@ -287,9 +287,11 @@ RUN_SQL = SA_SQL + """, r0 AS (SELECT *, CASE WHEN c = lag(c) OVER (ORDER BY ran
 r1 AS (SELECT *, sum(new) OVER (ORDER BY rank) - 1 AS run FROM r0),
 rn AS (SELECT CAST(run AS BIGINT) AS run_id, min(c) AS head, min(rank) AS start, count(*) AS len, min_by(i, rank) AS sa_first, max_by(i, rank) AS sa_last FROM r1 GROUP BY run)
 """
-LCP_SQL = SA_SQL + """, pr AS (SELECT rank, i, lag(i) OVER (ORDER BY rank) AS j FROM sa),
-lc AS (SELECT rank, coalesce((SELECT max(n) FROM (SELECT unnest(range(0, 500)) AS n) WHERE j IS NOT NULL AND substr((SELECT s FROM x), i + 1, n) = substr((SELECT s FROM x), j + 1, n)), 0) AS lcp FROM pr)
-"""
+#: Common prefixes as far as the longest text goes: bit by bit, as a prefix that is shared has all shorter ones shared.
+_LCP_STEPS = 10
+LCP_SQL = SA_SQL + ", l0 AS (SELECT rank, i, lag(i) OVER (ORDER BY rank) AS j, 0 AS n FROM sa)" + "".join(
+    f", l{k + 1} AS (SELECT rank, i, j, n + CASE WHEN j IS NOT NULL AND greatest(i, j) + n + {1 << (_LCP_STEPS - k)} <= length((SELECT s FROM x)) AND substr((SELECT s FROM x), i + n + 1, {1 << (_LCP_STEPS - k)}) = substr((SELECT s FROM x), j + n + 1, {1 << (_LCP_STEPS - k)}) THEN {1 << (_LCP_STEPS - k)} ELSE 0 END AS n FROM l{k})" for k in range(_LCP_STEPS + 1)
+) + f", lc AS (SELECT rank, n AS lcp FROM l{_LCP_STEPS + 1})\n"
 
 
 @query(SA_SQL + "SELECT rank, i FROM sa")
@@ -334,13 +336,17 @@ def run_ranks(spark, sf):
     return suffix.run_ranks(suffix.runs(transform(spark, sf)))
 
 
-@query()
+@query(LCP_SQL + "SELECT rank, CAST(lcp AS BIGINT) AS lcp FROM lc")
 def lcp_array(spark, sf):
     c = chars(spark, sf)
     return suffix.lcp(c, suffix.suffix_array(c))
 
 
-@query()
+@query(LCP_SQL + """, r0 AS (SELECT *, CASE WHEN c = lag(c) OVER (ORDER BY rank) THEN 0 ELSE 1 END AS new FROM b),
+rn AS (SELECT run AS run_id, min(c) AS head, min(rank) AS start, max(rank) + 1 AS stop FROM (SELECT *, CAST(sum(new) OVER (ORDER BY rank) - 1 AS BIGINT) AS run FROM r0) GROUP BY run),
+gp AS (SELECT *, lag(stop) OVER (PARTITION BY head ORDER BY run_id) AS lo FROM rn),
+mn AS (SELECT run_id, arg_min(rank, CAST(lcp AS BIGINT) * 1000000000 + rank) AS t FROM gp JOIN lc ON lc.rank BETWEEN gp.lo AND gp.start GROUP BY run_id)
+SELECT run_id, CAST(coalesce(t, 0) AS BIGINT) AS threshold FROM rn LEFT JOIN mn USING (run_id)""")
 def thresholds(spark, sf):
     c = chars(spark, sf)
     sa = suffix.suffix_array(c)
