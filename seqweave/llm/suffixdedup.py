@@ -13,9 +13,11 @@ other anchors, is what is removed around it.
    that compares two suffixes only beyond the prefix they are known to share with the last one put out. In the merged order,
    neighbouring suffixes are joined by falling common prefix, keeping each set ordered by left context, which gives the
    longest left agreement at every right agreement.
-4. Grams of more than HOT classes (a line in very many documents) never meet in one task. The windows of LENGTH bytes around
-   their anchors are compared by 128-bit hashes in grouped counts instead: first the core that STEP neighbouring windows share,
-   which settles most, then each window of the cores that occur again. It removes the same bytes as step 3.
+4. Grams of more than HOT classes (a line in very many documents) never meet in one task. Two anchors that agree in LENGTH bytes
+   agree in 232 from the anchor on or in 169 before it, so their classes are dealt anew by 128-bit hashes of these, and sorted as in
+   step 3. What is still in groups of more than HOT is settled by grouped counts of hashes of the windows of LENGTH bytes around
+   the anchors: first of the core that STEP neighbouring windows share, then of each window of the cores that occur again. It
+   removes the same bytes as step 3.
 
 Edge cases: null text is empty; texts shorter than LENGTH lose nothing; a string may overlap its other occurrence;
 repeated rows are occurrences of each other and give repeated results; an empty table gives no rows.
@@ -40,8 +42,8 @@ CHUNK = 1 << 19
 BITS = 30
 #: Suffixes that one merging task gets, about.
 BUCKET = 40_000
-#: Classes of a gram from which on its windows are counted instead; windows that share one core.
-HOT, STEP = 4_000, 24
+#: Classes of a gram, of some 800 bytes each, up to which they meet in one task; windows that share one core.
+HOT, STEP = 100_000, 24
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _cache: dict[int, np.ndarray] = {}
@@ -290,9 +292,9 @@ def sorted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int) -
 WINDOWS = "_k1 long, _k2 long, pos int, k int, w1 long, w2 long"
 
 
-def windows_again(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """Of asked (_k1, _k2, pos, k): those whose `width` bytes from pos - k on are in their text and also at another pos with this k."""
-    places = asked.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("pos", "k")).alias("at"))
+def window_hashes(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of asked (_k1, _k2, pos, k, width): the hash of the `width` bytes from pos - k on, where the text has them."""
+    places = asked.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("pos", "k", "width")).alias("at"))
     rows = docs.dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"]).select("_k1", "_k2", "text", "at")
 
     def digests(batches):
@@ -300,20 +302,40 @@ def windows_again(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
             data, offsets = text_bytes(batch.column(2))
             raw = memoryview(data)
             for i, at in enumerate(batch.column(3)):
-                pos, k = (at.values.field(n).to_numpy().astype(np.int64) for n in ("pos", "k"))
+                pos, k, width = (at.values.field(n).to_numpy().astype(np.int64) for n in ("pos", "k", "width"))
                 start = pos - k + offsets[i]
                 ok = (pos >= k) & (start + width <= offsets[i + 1])
-                pos, k, start = pos[ok], k[ok], start[ok]
-                w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : a + width]) for a in start.tolist()]), "<i8").reshape(-1, 2)
+                pos, k, start, width = pos[ok], k[ok], start[ok], width[ok]
+                w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : a + n]) for a, n in zip(start.tolist(), width.tolist(), strict=True)]), "<i8").reshape(-1, 2)
                 same = lambda n, m=len(pos), i=i: batch.column(n).take(pa.array(np.full(m, i)))
                 yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(pos.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
-    found = stored(rows.mapInArrow(digests, WINDOWS))
+    return stored(rows.mapInArrow(digests, WINDOWS))
+
+
+def windows_again(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """Of asked (_k1, _k2, pos, k): those whose `width` bytes from pos - k on are in their text and also at another pos with this k."""
+    found = window_hashes(docs, asked.withColumn("width", F.lit(width)))
     key = ["k", "w1", "w2"]
     again = stored(found.groupBy(*key).count().where("count > 1").select(*key))
     return found.join(again, key, "left_semi").select("_k1", "_k2", "pos", "k")
 
 
+def split_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """What sorted_reaches gives for picked (_k1, _k2, pos) of hot grams, with no more than `hot` of them in one group."""
+    right = gram + (length - gram) // 2
+    left = length - right + 1
+    both = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(right).alias("width")), F.struct(F.lit(left).alias("k"), F.lit(left).alias("width"))))
+    found = window_hashes(docs, picked.select("_k1", "_k2", "pos", both.alias("x")).select("_k1", "_k2", "pos", "x.*"))
+    key = ["k", "w1", "w2"]
+    sizes = stored(found.groupBy(*key).count().where("count > 1"))
+    met = stored(found.join(sizes, key))
+    small, rest = met.where(F.col("count") <= hot), met.where(F.col("count") > hot).select("_k1", "_k2", "pos").distinct()
+    buckets = max(1, -(-small.count() // BUCKET))
+    out = sorted_reaches(docs, small.select("_k1", "_k2", "pos", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket")), length, gram)
+    return out if rest.isEmpty() else out.unionByName(counted_reaches(docs, rest, length, gram))
+
+
 def counted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int, step: int = STEP) -> DataFrame:
     """What sorted_reaches gives for picked (_k1, _k2, pos), by counts of windows: no gram or window meets in one task."""
     last = length - gram
@@ -339,7 +361,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     picked = stored(classes.join(several, key).select("one.*", "gram", (F.col("count") > hot).alias("often")))
     often = picked.where("often").select("_k1", "_k2", "pos")
     if not often.isEmpty():
-        copies = copies.unionByName(counted_reaches(docs, often, length, gram))
+        copies = copies.unionByName(split_reaches(docs, often, length, gram, hot))
     picked = picked.where("NOT often")
     buckets = max(1, -(-picked.count() // BUCKET))
     picked = picked.select("_k1", "_k2", "pos", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("bucket"))

@@ -72,6 +72,11 @@ def test_hot_grams_are_not_merged_in_one_task(spark, monkeypatch):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.deduplicated(docs, 20, 6, hot=10).collect()}
     assert got == dict(enumerate(brute([t.encode() for t in texts], 20)))
     assert max(sizes) <= 40
+    counted = []
+    monkeypatch.setattr(S, "counted_reaches", lambda *a, f=S.counted_reaches: counted.append(1) or f(*a))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([lines[3] * 2 + random_text(1) for _ in range(40)] + texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.deduplicated(docs, 20, 6, hot=3).collect()}
+    assert got == dict(enumerate(brute([r.text.encode() for r in docs.orderBy("doc_id").collect()], 20))) and counted
 
 
 def test_query_and_clashing_columns(spark):
