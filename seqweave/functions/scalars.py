@@ -18,6 +18,21 @@ def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCATGCA"))
 
 
+def revcomp_read(seq: Column, qual: Column) -> Column:
+    """(seq, qual) of the read on the other strand: its qualities are reversed."""
+    return F.struct(revcomp(seq).alias("seq"), F.reverse(qual).alias("qual"))
+
+
+def partial_read(seq: Column, qual: Column, start: Column, length: Column) -> Column:
+    """(seq, qual) of `length` letters from the 0-based start on."""
+    return F.struct(F.substr(seq, start + 1, length).alias("seq"), F.substr(qual, start + 1, length).alias("qual"))
+
+
+def sound_mapq(mapq: Column) -> Column:
+    """mapq, or an error if it does not fit a byte."""
+    return F.when(mapq.between(0, 255) | mapq.isNull(), mapq).otherwise(F.raise_error(F.concat(F.lit("mapping quality out of range: "), mapq.cast("string"))).cast("int"))
+
+
 def nt4(seq: Column) -> Column:
     """A, C, G, T in either case as 0 to 3, anything else as 4."""
     return F.translate(F.regexp_replace(seq, "(?s)[^ACGTacgt]", "4"), "ACGTacgt", "01230123")

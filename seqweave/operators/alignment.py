@@ -1,7 +1,7 @@
 """Alignment of reads along chains: extension at both ends, gaps between anchors, CIGAR, MD, edit distance, mapping quality.
 
 Spark deals out the candidates (a chain with its read and the window of its sequence); the kernel aligns one at a time. A gap of l
-letters costs gap_open + l * gap_extend; ties are settled for the diagonal, then for a deletion.
+letters costs the less of gap_open + l * gap_extend and gap_open2 + l * gap_extend2; ties are settled for the diagonal, then for a deletion.
 """
 
 from __future__ import annotations
@@ -28,9 +28,17 @@ class AlignConfig:
     mismatch: int = 4
     gap_open: int = 4
     gap_extend: int = 2
+    gap_open2: int = 13
+    gap_extend2: int = 1
     context: int = 100
     top_scores: int = 4
     min_len: int = 25
+    per_ref: int = 1000
+    most_share: float | None = None
+    halves: bool = False
+
+    def gap(self, n: int) -> int:
+        return min(self.gap_open + n * self.gap_extend, self.gap_open2 + n * self.gap_extend2)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -43,23 +51,27 @@ def aligned(query: str, ref: str, cfg: AlignConfig = AlignConfig(), free_end: bo
     Each row is one vector operation: the best deletion ending in a column is a running
     maximum along the row."""
     q, r = _codes(query), _codes(ref)
-    n, m, first, more = len(q), len(r), cfg.gap_open + cfg.gap_extend, cfg.gap_extend
+    n, m = len(q), len(r)
+    costs = ((cfg.gap_open, cfg.gap_extend), (cfg.gap_open2, cfg.gap_extend2))
     columns = np.arange(m + 1, dtype=np.int64)
-    best, down = np.full((n + 1, m + 1), LOW, np.int64), np.full((n + 1, m + 1), LOW, np.int64)
-    side = np.full((n + 1, m + 1), LOW, np.int64)
-    side[0, 1:] = -cfg.gap_open - more * columns[1:]
-    best[0], best[0, 0] = 0 if free_start else side[0], 0
+    best = np.full((n + 1, m + 1), LOW, np.int64)
+    down, side = (np.full((2, n + 1, m + 1), LOW, np.int64) for _ in range(2))
+    for g, (start, more) in enumerate(costs):
+        side[g, 0, 1:] = -start - more * columns[1:]
+    best[0], best[0, 0] = 0 if free_start else side[:, 0].max(axis=0), 0
     unknown = ord("N")
     for i in range(1, n + 1):
-        down[i] = np.maximum(best[i - 1] - first, down[i - 1] - more)
-        now = down[i].copy()
+        for g, (start, more) in enumerate(costs):
+            down[g, i] = np.maximum(best[i - 1] - start, down[g, i - 1]) - more
+        now = down[:, i].max(axis=0)
         pair = np.where(r == q[i - 1], cfg.match, -cfg.mismatch)
         pair = np.where((r == unknown) | (q[i - 1] == unknown), 0, pair)
         now[1:] = np.maximum(now[1:], best[i - 1, :-1] + pair)
-        side[i, 1:] = np.maximum.accumulate(now[:-1] + more * columns[:-1]) - cfg.gap_open - more * columns[1:]
-        best[i] = np.maximum(now, side[i])
+        for g, (start, more) in enumerate(costs):
+            side[g, i, 1:] = np.maximum.accumulate(now[:-1] + more * columns[:-1]) - start - more * columns[1:]
+        best[i] = np.maximum(now, side[:, i].max(axis=0))
     j = int(best[n].argmax()) if free_end else m
-    score, i, ops, state = int(best[n, j]), n, [], "M"
+    score, i, ops, state, g = int(best[n, j]), n, [], "M", 0
     while i or j:
         if free_start and not i:
             ops.append("D" * j)
@@ -71,14 +83,16 @@ def aligned(query: str, ref: str, cfg: AlignConfig = AlignConfig(), free_end: bo
                     ops.append("M")
                     i, j = i - 1, j - 1
                     continue
-            state = "D" if j and best[i, j] == side[i, j] else "I"
+            state = "D" if j and best[i, j] in side[:, i, j] else "I"
+            g = int(((side if state == "D" else down)[:, i, j] != best[i, j]).argmin())
+        more = costs[g][1]
         if state == "D":
             ops.append("D")
-            state = "D" if j > 1 and side[i, j] == side[i, j - 1] - more else "M"
+            state = "D" if j > 1 and side[g, i, j] == side[g, i, j - 1] - more else "M"
             j -= 1
         else:
             ops.append("I")
-            state = "I" if i > 1 and down[i, j] == down[i - 1, j] - more else "M"
+            state = "I" if i > 1 and down[g, i, j] == down[g, i - 1, j] - more else "M"
             i -= 1
     return score, "".join(reversed(ops))
 
@@ -134,7 +148,7 @@ def described(read: str, ref: str, ops: str, cfg: AlignConfig = AlignConfig()) -
                 score += 0 if "N" in (a, b) else cfg.match if a == b else -cfg.mismatch
             i, j = i + n, j + n
             continue
-        score -= cfg.gap_open + n * cfg.gap_extend
+        score -= cfg.gap(n)
         edits += n
         if op == "D":
             md += [str(same), "^" + ref[j : j + n]]
@@ -178,9 +192,13 @@ def candidates(chains: DataFrame, reads: DataFrame, refs: DataFrame, cfg: AlignC
 
 
 def found(reads: DataFrame, refs: DataFrame, index: DataFrame, cfg: AlignConfig = AlignConfig(), chain_cfg: chaining.ChainConfig = chaining.ChainConfig()) -> DataFrame:
-    """Candidates of both strands with read_id as in `reads`, and strand."""
+    """Candidates of both strands with read_id as in `reads`, and strand. Matches keep per_ref occurrences in each sequence; with halves
+    those of long matches are seeds too; with most_share those with a larger share of their read's occurrences go."""
     both = stranded(reads)
-    mems = matching.smems(both, refs, cfg.min_len)
+    mems = matching.with_halves(both, refs, cfg.min_len).drop("half") if cfg.halves else matching.smems(both, refs, cfg.min_len)
+    mems = matching.capped(mems, cfg.per_ref)
+    if cfg.most_share is not None:
+        mems = matching.frequency_filter(mems, cfg.most_share).drop("n_occ", "share")
     out = candidates(chaining.solved(chaining.anchors(mems, index), chain_cfg), both, refs, cfg)
     return out.withColumn("strand", F.pmod("read_id", F.lit(2)).cast("int")).withColumn("read_id", F.floor(F.col("read_id") / 2))
 

@@ -42,6 +42,19 @@ def lift(located: DataFrame, segments: DataFrame) -> DataFrame:
     return located.join(segments, "ref_id").where(inside).withColumn("lifted", F.col("dst_base") + moved).drop("src_start", "src_end", "dst_start", "dst_base", "op")
 
 
+def same_region(a: DataFrame, b: DataFrame, key: str, segments: DataFrame) -> DataFrame:
+    """(key, same): whether the located rows of a and b with one key lift to the same place of the same sequence."""
+    one = lift(a, segments).select(key, F.col("ref_id").alias("_r1"), F.col("lifted").alias("_l1"))
+    two = lift(b, segments).select(key, F.col("ref_id").alias("_r2"), F.col("lifted").alias("_l2"))
+    return one.join(two, key).select(key, ((F.col("_r1") == F.col("_r2")) & (F.col("_l1") == F.col("_l2"))).alias("same"))
+
+
+def random_access(located: DataFrame, refs: DataFrame, width: str) -> DataFrame:
+    """located rows with `part`: the characters from the position on, `width` at most and none of the next sequence."""
+    asked = located.withColumn("lo", F.col("offset").cast("long")).withColumn("hi", F.least(F.col("len"), F.col("offset") + F.col(width)).cast("long"))
+    return asked.join(windows(asked, refs), ["ref_id", "lo", "hi"], "left").withColumn("part", F.coalesce("target", F.lit(""))).drop("lo", "hi", "target")
+
+
 def pieces(refs: DataFrame) -> DataFrame:
     """(ref_id, bin, part): sequences cut into pieces of BIN characters; null and empty ones have none."""
     size = BIN

@@ -217,6 +217,15 @@ def seed_cap(occ: DataFrame, cap: int) -> DataFrame:
     return occ.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
+def capped(mems: DataFrame, cap: int) -> DataFrame:
+    """mems with at most `cap` occurrences of a match in each reference; only those with more in all are taken apart."""
+    many = mems.where(F.size("occs") > cap)
+    keys = [c for c in mems.columns if c != "occs"]
+    order = W.partitionBy(*keys, "o.ref_id").orderBy("o.rpos")
+    each = many.select(*keys, F.explode("occs").alias("o")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap)
+    return mems.where(F.size("occs") <= cap).unionByName(each.groupBy(*keys).agg(F.collect_list("o").alias("occs")))
+
+
 def frequency_filter(mems: DataFrame, most: float) -> DataFrame:
     """Drops matches with more than this share of all occurrences of their read."""
     return mems.withColumn("n_occ", F.size("occs")).withColumn("share", F.col("n_occ") / F.sum("n_occ").over(W.partitionBy("read_id"))).where(F.col("share") <= most)
@@ -230,17 +239,22 @@ def direction_filter(mems: DataFrame, margin: float) -> DataFrame:
     return both.where(~(((F.col("dir") == 0) & (F.col("_m1") - F.col("_m0") > margin)) | ((F.col("dir") == 1) & (F.col("_m0") - F.col("_m1") > margin)))).drop("_m0", "_m1")
 
 
-def mem_stats(mems: DataFrame) -> DataFrame:
-    """Per read: matches, occurrences, largest and least occurrences of a match, and of a match in one reference."""
+def mem_stats(mems: DataFrame, most: float = 0.5) -> DataFrame:
+    """Per read: matches, occurrences, largest and least occurrences of a match, and of a match in one reference, and the occurrences of
+    those matches that the frequency filter with `most` drops."""
     occ = occurrences(mems).groupBy("read_id", "qs", "qe", "ref_id").count()
     seeds = occ.groupBy("read_id", "qs", "qe").agg(F.sum("count").alias("n"), F.max("count").alias("hi"), F.min("count").alias("lo"))
-    return seeds.groupBy("read_id").agg(F.count("*").alias("n_unique"), F.sum("n").alias("total"), F.max("n").alias("max_freq"), F.min("n").alias("min_freq"), F.max("hi").alias("highest_occ"), F.min("lo").alias("lowest_occ"))
+    dropped = F.col("n") > most * F.sum("n").over(W.partitionBy("read_id"))
+    seeds = seeds.withColumn("gone", F.when(dropped, F.col("n")).otherwise(F.lit(0)))
+    return seeds.groupBy("read_id").agg(F.count("*").alias("n_unique"), F.sum("n").alias("total"), F.max("n").alias("max_freq"), F.min("n").alias("min_freq"), F.max("hi").alias("highest_occ"), F.min("lo").alias("lowest_occ"), F.sum("gone").alias("filtered"))
 
 
-def averages(mems: DataFrame) -> DataFrame:
-    """Per read: mean length of its matches, the mean weighted by occurrences, and the length of all occurrences together."""
+def averages(mems: DataFrame, reads: DataFrame) -> DataFrame:
+    """Per read: mean length of its matches, the mean weighted by occurrences, the number of matches over the sum of read length by
+    match length (to six places), and the length of all occurrences together."""
     n, w = F.size("occs").cast("long"), (F.col("qe") - F.col("qs")).cast("long")
-    return mems.groupBy("read_id").agg(F.avg(w).alias("mean"), (F.sum(w * n) / F.sum(n)).alias("weighted"), F.sum(w * n).alias("total_len"))
+    sized = mems.join(reads.select("read_id", F.length("seq").alias("_n")), "read_id")
+    return sized.groupBy("read_id").agg(F.avg(w).alias("mean"), (F.sum(w * n) / F.sum(n)).alias("weighted"), F.round(F.count("*") / F.sum(F.col("_n") / w), 6).alias("harmonic"), F.sum(w * n).alias("total_len"))
 
 
 def mem_sam(mems: DataFrame, reads: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Matching statistics: for each place of a read, the longest prefix of the rest that occurs in the collection.
+"""Matching statistics: for each place of a read, the longest prefix of the rest that occurs in the collection, and a place where it does.
 
 From k characters on they follow from the maximal matches; below k the length is found by halving steps, each an equality join
 with the distinct words of the collection.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .distributed import stored
 from .matching import STRETCH
 
 
@@ -20,32 +21,37 @@ def places(reads: DataFrame, width: int) -> DataFrame:
     return whole.select("read_id", (F.col("at") + F.col("j")).alias("i"), F.substr("part", F.col("j") + 1, F.lit(width)).alias("ahead"))
 
 
-def words(refs: DataFrame, longest: int) -> DataFrame:
-    """(word): distinct substrings of the collection of 1 to `longest` characters."""
-    ends = places(refs.select(F.col("ref_id").alias("read_id"), "seq"), longest).select("ahead").distinct()
+def words(refs: DataFrame, index: DataFrame, longest: int) -> DataFrame:
+    """(word, at): substrings of the collection of 1 to `longest` characters, and the first place of each in it."""
+    ends = places(refs.select(F.col("ref_id").alias("read_id"), "seq"), longest).withColumnRenamed("read_id", "ref_id").join(index.select("ref_id", "start"), "ref_id")
+    ends = ends.groupBy("ahead").agg(F.min(F.col("start") + F.col("i")).alias("at"))
     size = F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("n")
-    return ends.select("ahead", size).select(F.substr("ahead", F.lit(1), F.col("n")).alias("word")).distinct()
+    return ends.select("ahead", "at", size).select(F.substr("ahead", F.lit(1), F.col("n")).alias("word"), "at").groupBy("word").agg(F.min("at").alias("at"))
 
 
-def short_lengths(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """(read_id, i, len) capped at k - 1: prefixes of a matching word match, so the length is found bit by bit."""
-    known = words(refs, k - 1)
-    now = places(reads, k - 1).withColumn("len", F.lit(0))
+def short_lengths(reads: DataFrame, refs: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(read_id, i, len, at) capped at k - 1: prefixes of a matching word match, so the length is found bit by bit."""
+    known = stored(words(refs, index, k - 1))
+    now = places(reads, k - 1).withColumns({"len": F.lit(0), "at": F.lit(-1).cast("long")})
     step = 1 << max(0, (k - 1).bit_length() - 1)
     while step:
         tried = now.withColumn("word", F.when(F.col("len") + step <= F.length("ahead"), F.substr("ahead", F.lit(1), F.col("len") + step)))
-        hit = known.select("word", F.lit(step).alias("_step"))
-        now = tried.join(hit, "word", "left").select("read_id", "i", "ahead", (F.col("len") + F.coalesce("_step", F.lit(0))).alias("len"))
+        hit = known.select("word", F.lit(step).alias("_step"), F.col("at").alias("_at"))
+        now = tried.join(hit, "word", "left").select("read_id", "i", "ahead", (F.col("len") + F.coalesce("_step", F.lit(0))).alias("len"), F.coalesce("_at", "at").alias("at"))
         step //= 2
-    return now.select("read_id", "i", "len")
-
-
-def matching_statistics(reads: DataFrame, refs: DataFrame, mems: DataFrame, k: int) -> DataFrame:
-    """(read_id, lengths): one length for each place, in order; mems are the maximal matches of at least k characters."""
-    covered = mems.select("read_id", F.explode(F.sequence("qs", F.col("qe") - k)).alias("i"), "qe").select("read_id", "i", (F.col("qe") - F.col("i")).alias("len"))
-    both = short_lengths(reads, refs, k).unionByName(covered).groupBy("read_id", "i").agg(F.max("len").alias("len"))
-    lengths = both.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("i", "len"))).alias("all"))
-    return lengths.select("read_id", F.col("all.len").alias("lengths"))
+    return now.select("read_id", "i", "len", "at")
+
+
+def matching_statistics(reads: DataFrame, refs: DataFrame, index: DataFrame, mems: DataFrame, k: int) -> DataFrame:
+    """(read_id, lengths, pointers): for each place, in order, the length and a place in the collection where it begins (-1 for length
+    0): the first one of the word below k characters, else of the maximal match it lies in. mems are the maximal matches of at
+    least k characters."""
+    occ = mems.select("read_id", "qs", "qe", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "o.*").join(index.select("ref_id", "start"), "ref_id")
+    first = occ.groupBy("read_id", "qs", "qe").agg(F.min(F.col("start") + F.col("rpos")).alias("p"))
+    covered = first.select("read_id", F.explode(F.sequence("qs", F.col("qe") - k)).alias("i"), "qs", "qe", "p").select("read_id", "i", (F.col("qe") - F.col("i")).alias("len"), (F.col("p") + F.col("i") - F.col("qs")).alias("at"))
+    both = short_lengths(reads, refs, index, k).unionByName(covered).groupBy("read_id", "i").agg(F.max(F.struct("len", "at")).alias("m"))
+    rows = both.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("i", "m.len", "m.at"))).alias("all"))
+    return rows.select("read_id", F.col("all.len").alias("lengths"), F.col("all.at").alias("pointers"))
 
 
 def mem_list(lengths: Column) -> Column:

@@ -58,6 +58,50 @@ def phi_inv(sa: DataFrame) -> DataFrame:
     return _neighbour(sa, -1, "next").select("i", "next")
 
 
+def phi_lcp(sa: DataFrame, lcps: DataFrame) -> DataFrame:
+    """(i, prev, lcp): the suffix before i in suffix order and what both share; null and 0 for the first."""
+    return _neighbour(sa, 1, "prev").join(lcps, "rank").select("i", "prev", "lcp")
+
+
+def phi_inv_lcp(sa: DataFrame, lcps: DataFrame) -> DataFrame:
+    """(i, next, lcp): the suffix after i in suffix order and what both share; null and 0 for the last."""
+    after = lcps.select((F.col("rank") - 1).alias("rank"), "lcp")
+    return _neighbour(sa, -1, "next").join(after, "rank", "left").select("i", "next", F.coalesce("lcp", F.lit(0).cast("long")).alias("lcp"))
+
+
+def letter_runs(run_table: DataFrame) -> DataFrame:
+    """(head, n_runs): runs of each letter."""
+    return run_table.groupBy("head").agg(F.count("*").alias("n_runs"))
+
+
+def run_select(run_table: DataFrame) -> DataFrame:
+    """(head, k, run_id): the k-th run of each letter, from 1."""
+    return run_ranks(run_table).select("head", (F.col("run_head_rank") + 1).alias("k"), "run_id")
+
+
+def letter_ranks(run_table: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (run_id, c) with head_rank and run_head_rank: places and runs of letter c before run run_id. Runs and questions share one order
+    by letter and run, so the runs of a frequent letter are dealt over tasks."""
+    rows = run_table.select(F.col("head").alias("c"), "run_id", F.lit(1).alias("kind"), "len", F.lit(1).alias("one"))
+    every = rows.unionByName(asked.select("c", "run_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("len"), F.lit(0).alias("one")).distinct())
+    order = ["c", "run_id", "kind"]
+    places = running_sum(every, "len", order, "p").where("kind = 0").select("c", "run_id", "p")
+    counts = running_sum(every, "one", order, "q").where("kind = 0").select("c", "run_id", "q")
+    total = rows.groupBy("c").agg(F.sum("len").alias("n"), F.count("*").alias("m"))
+    letters = total.select("c").unionByName(asked.select("c")).distinct().join(total, "c", "left").na.fill(0)
+    before = W.orderBy("c").rowsBetween(W.unboundedPreceding, -1)  # a row for each letter
+    base = letters.select("c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"))
+    out = asked.join(places, ["c", "run_id"]).join(counts, ["c", "run_id"]).join(F.broadcast(base), "c")
+    return out.select("run_id", "c", (F.col("p") - F.col("n0")).cast("long").alias("head_rank"), (F.col("q") - F.col("m0")).cast("long").alias("run_head_rank"))
+
+
+def threshold_offsets(run_table: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: least and largest distance of a threshold from the end of the run of the same letter before, and log2 of the largest."""
+    last = F.lag(F.col("start") + F.col("len")).over(W.partitionBy("head").orderBy("run_id"))
+    off = run_table.withColumn("lo", last).where("lo IS NOT NULL").join(found, "run_id").select((F.col("threshold") - F.col("lo")).alias("d"))
+    return off.agg(F.min("d").alias("least"), F.max("d").alias("most"), F.round(F.log2(F.max("d") + 1), 6).alias("log2_most"))
+
+
 def runs(b: DataFrame) -> DataFrame:
     """(run_id, head, start, len, sa_first, sa_last) of the runs of equal characters of the BWT."""
     prev = b.select((F.col("rank") + 1).alias("rank"), F.col("c").alias("pc"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators import alignment, chaining, collection, extending, lifting, matching, pairing, statistics, suffix
+from ..operators import alignment, chaining, collection, distributed, extending, lifting, matching, pairing, statistics, suffix
 from ..sources import sinks, variants
 
 K = 25
@@ -81,11 +81,19 @@ def lift_identity(spark, sf):
     return collection.lift(located(spark, sf), collection.identity_lift(index(spark, sf))).select("doc_id", "pos", "lifted")
 
 
-@query(LOCATED_SQL + 'SELECT a.doc_id, b.doc_id AS other, abs(a.pos - b.pos) < 10 AND a.ref_id = b.ref_id AS same FROM loc a JOIN loc b ON b.doc_id = a.doc_id + 1')
+@query(LOCATED_SQL + ', two AS (SELECT ask.doc_id, ref_id, pos + width % 3 - start AS "offset" FROM ask JOIN idx ON pos + width % 3 >= start AND pos + width % 3 < start + len) SELECT a.doc_id, a.ref_id = b.ref_id AND a."offset" = b."offset" AS same FROM loc a JOIN two b ON a.doc_id = b.doc_id')
 def same_region(spark, sf):
-    a = located(spark, sf).select("doc_id", "pos", "ref_id")
-    b = a.select(F.col("doc_id").alias("other"), (F.col("doc_id") - 1).alias("doc_id"), F.col("pos").alias("pos2"), F.col("ref_id").alias("ref2"))
-    return a.join(b, "doc_id").select("doc_id", "other", ((F.abs(F.col("pos") - F.col("pos2")) < 10) & (F.col("ref_id") == F.col("ref2"))).alias("same"))
+    """The place that a document asks for, and one up to two characters further on."""
+    places = located(spark, sf).select("doc_id", "pos", "width")
+    near = places.select("doc_id", (F.col("pos") + F.pmod("width", F.lit(3))).alias("pos"))
+    segments = collection.identity_lift(index(spark, sf))
+    return collection.same_region(collection.locate(places, index(spark, sf)), collection.locate(near, index(spark, sf)), "doc_id", segments)
+
+
+@query(LOCATED_SQL + 'SELECT doc_id, pos, name, "offset", start + "offset" AS lifted, substr(text, "offset" + 1, least(width, len - "offset")) AS part FROM loc JOIN benchmark ON item_id = ref_id')
+def random_access(spark, sf):
+    found = collection.lift(located(spark, sf), collection.identity_lift(index(spark, sf)))
+    return collection.random_access(found, refs(spark, sf), "width").select("doc_id", "pos", "name", "offset", "lifted", "part")
 
 
 DNA_SQL = "regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGTACGT'), '[^ACGT]', 'N', 'gs')"
@@ -157,9 +165,24 @@ def seed_cap(spark, sf):
     return matching.seed_cap(matching.occurrences(found(spark, sf)), 1000)
 
 
-@query(MEMS_SQL + "SELECT read_id, qs, qe, n_occ FROM (SELECT *, n_occ / sum(n_occ) OVER (PARTITION BY read_id) AS share FROM (SELECT read_id, qs, qe, count(*) AS n_occ FROM occ GROUP BY ALL)) WHERE share <= 0.5")
+HALF_SQL = MEMS_SQL + f""", hv AS (SELECT read_id, qs, qe, 0 AS half FROM mem UNION ALL SELECT read_id, qs, qs + (qe - qs) // 2, 1 FROM mem WHERE qe - qs >= {2 * K} UNION ALL SELECT read_id, qs + (qe - qs) // 2, qe, 2 FROM mem WHERE qe - qs >= {2 * K}),
+ho AS (SELECT hv.*, run.ref_id, run.rpos + hv.qs - run.qs AS rpos FROM hv JOIN run ON run.read_id = hv.read_id AND run.qs <= hv.qs AND run.qe >= hv.qe)
+"""
+
+
+def halves(spark, sf) -> DataFrame:
+    return matching.with_halves(reads(spark, sf), refs(spark, sf), K)
+
+
+@query(HALF_SQL + "SELECT read_id, qs, qe, half, ref_id, rpos FROM ho")
+def sub_seeds(spark, sf):
+    return halves(spark, sf).select("read_id", "qs", "qe", "half", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "half", "o.ref_id", "o.rpos")
+
+
+@query(HALF_SQL + "SELECT read_id, qs, qe, half, n_occ FROM (SELECT *, n_occ / sum(n_occ) OVER (PARTITION BY read_id) AS share FROM (SELECT read_id, qs, qe, half, count(*) AS n_occ FROM ho GROUP BY ALL)) WHERE share <= 0.5")
 def freq_filter(spark, sf):
-    return matching.frequency_filter(found(spark, sf), 0.5).select("read_id", "qs", "qe", F.col("n_occ").cast("long").alias("n_occ"))
+    """Among matches and their halves: a read with one short match loses it, one with a long match keeps what is rarer."""
+    return matching.frequency_filter(halves(spark, sf), 0.5).select("read_id", "qs", "qe", "half", F.col("n_occ").cast("long").alias("n_occ"))
 
 
 @query(MEMS_SQL + """, d AS (SELECT *, qs % 2 AS dir FROM mem), m AS (SELECT *, coalesce(avg(qe - qs) FILTER (dir = 0) OVER (PARTITION BY read_id), 0) AS m0, coalesce(avg(qe - qs) FILTER (dir = 1) OVER (PARTITION BY read_id), 0) AS m1 FROM d)
@@ -169,8 +192,8 @@ def direction_filter(spark, sf):
     return matching.direction_filter(with_dir, 50.0).select("read_id", "qs", "qe", "dir")
 
 
-@query(MEMS_SQL + """, s AS (SELECT read_id, qs, qe, ref_id, count(*) AS c FROM occ GROUP BY ALL), t AS (SELECT read_id, sum(c) AS n, max(c) AS hi, min(c) AS lo FROM s GROUP BY read_id, qs, qe)
-SELECT read_id, count(*) AS n_unique, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS max_freq, CAST(min(n) AS BIGINT) AS min_freq, max(hi) AS highest_occ, min(lo) AS lowest_occ FROM t GROUP BY read_id""")
+@query(MEMS_SQL + """, s AS (SELECT read_id, qs, qe, ref_id, count(*) AS c FROM occ GROUP BY ALL), t0 AS (SELECT read_id, sum(c) AS n, max(c) AS hi, min(c) AS lo FROM s GROUP BY read_id, qs, qe), t AS (SELECT *, CASE WHEN n > 0.5 * sum(n) OVER (PARTITION BY read_id) THEN n ELSE 0 END AS gone FROM t0)
+SELECT read_id, CAST(sum(gone) AS BIGINT) AS filtered, count(*) AS n_unique, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS max_freq, CAST(min(n) AS BIGINT) AS min_freq, max(hi) AS highest_occ, min(lo) AS lowest_occ FROM t GROUP BY read_id""")
 def mem_stats_csv(spark, sf):
     return matching.mem_stats(found(spark, sf))
 
@@ -188,16 +211,17 @@ def run_counters(spark, sf):
 
 # ---- matching statistics and text forms ----
 
-WORDS_SQL = MEMS_SQL + f""", pl AS (SELECT doc_id AS read_id, i, substr(text, i + 1, {K - 1}) AS ahead FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS i FROM documents)),
-wd AS (SELECT DISTINCT substr(text, i + 1, n) AS word FROM (SELECT text, i, unnest(range(1, {K})) AS n FROM (SELECT text, unnest(range(0, length(text))) AS i FROM benchmark)) WHERE i + n <= length(text)),
-sh AS (SELECT read_id, i, max(n) AS len FROM (SELECT read_id, i, ahead, unnest(range(1, length(ahead) + 1)) AS n FROM pl) JOIN wd ON substr(ahead, 1, n) = word GROUP BY ALL),
-lo AS (SELECT read_id, i, max(qe - i) AS len FROM (SELECT read_id, qe, unnest(range(qs, qe - {K - 1})) AS i FROM mem) GROUP BY ALL),
-ms AS (SELECT read_id, i, coalesce(lo.len, sh.len, 0) AS len FROM pl LEFT JOIN sh USING (read_id, i) LEFT JOIN lo USING (read_id, i))
+WORDS_SQL = MEMS_SQL.replace("WITH rd AS", INDEX_SQL.strip() + ", rd AS", 1) + f""", pl AS (SELECT doc_id AS read_id, i, substr(text, i + 1, {K - 1}) AS ahead FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS i FROM documents)),
+wd AS (SELECT substr(text, i + 1, n) AS word, min(start + i) AS ptr FROM (SELECT text, start, i, unnest(range(1, {K})) AS n FROM (SELECT text, start, unnest(range(0, length(text))) AS i FROM benchmark JOIN idx ON item_id = ref_id)) WHERE i + n <= length(text) GROUP BY 1),
+sh AS (SELECT read_id, i, max(n) AS len, arg_max(ptr, n) AS ptr FROM (SELECT read_id, i, ahead, unnest(range(1, length(ahead) + 1)) AS n FROM pl) JOIN wd ON substr(ahead, 1, n) = word GROUP BY ALL),
+fp AS (SELECT read_id, qs, qe, min(start + rpos) AS p FROM occ JOIN idx USING (ref_id) GROUP BY ALL),
+lo AS (SELECT read_id, i, max(qe - i) AS len, arg_max(p + i - qs, qe - i) AS ptr FROM (SELECT read_id, qs, qe, p, unnest(range(qs, qe - {K - 1})) AS i FROM fp) GROUP BY read_id, i),
+ms AS (SELECT read_id, i, coalesce(lo.len, sh.len, 0) AS len, coalesce(lo.ptr, sh.ptr, -1) AS ptr FROM pl LEFT JOIN sh USING (read_id, i) LEFT JOIN lo USING (read_id, i))
 """
 
 
 def statistics_of(spark, sf) -> DataFrame:
-    return statistics.matching_statistics(reads(spark, sf), refs(spark, sf), found(spark, sf), K)
+    return statistics.matching_statistics(reads(spark, sf), refs(spark, sf), index(spark, sf), found(spark, sf), K)
 
 
 @query(WORDS_SQL + """SELECT read_id, count(*) AS n, CAST(sum(len) AS BIGINT) AS total, max(len) AS longest, sha256('>' || read_id || chr(10) || string_agg(len, ' ' ORDER BY i)) AS digest FROM ms GROUP BY read_id""")
@@ -208,6 +232,12 @@ def ms_lengths(spark, sf):
     return statistics_of(spark, sf).select("read_id", F.size(n).cast("long").alias("n"), total.alias("total"), F.array_max(n).alias("longest"), F.sha2(text, 256).alias("digest"))
 
 
+@query(WORDS_SQL + """SELECT read_id, count(*) AS n, sha256('>' || read_id || chr(10) || string_agg(ptr, ' ' ORDER BY i)) AS digest FROM ms GROUP BY read_id""")
+def ms_pointers(spark, sf):
+    text = sinks.lengths_text(F.col("read_id").cast("string"), F.col("pointers"))
+    return statistics_of(spark, sf).select("read_id", F.size("pointers").cast("long").alias("n"), F.sha2(text, 256).alias("digest"))
+
+
 @query(WORDS_SQL + """, e AS (SELECT *, lag(len) OVER (PARTITION BY read_id ORDER BY i) AS prev FROM ms)
 SELECT read_id, count(*) AS n, sha256('>' || read_id || chr(10) || string_agg('(' || i || ',' || len || ')', ' ' ORDER BY i)) AS digest FROM e WHERE prev IS NULL OR len >= prev GROUP BY read_id""")
 def mem_list(spark, sf):
@@ -353,6 +383,50 @@ def thresholds(spark, sf):
     return suffix.thresholds(suffix.runs(suffix.bwt(c, sa)), suffix.lcp(c, sa))
 
 
+def with_lcp(spark, sf):
+    c = chars(spark, sf)
+    sa = suffix.suffix_array(c)
+    return sa, suffix.lcp(c, sa)
+
+
+@query(LCP_SQL + "SELECT i, j AS prev, CAST(n AS BIGINT) AS lcp FROM " + f"l{_LCP_STEPS + 1}")
+def phi_lcp(spark, sf):
+    return suffix.phi_lcp(*with_lcp(spark, sf))
+
+
+@query(LCP_SQL + "SELECT i, lead(i) OVER (ORDER BY rank) AS next, CAST(coalesce(lead(n) OVER (ORDER BY rank), 0) AS BIGINT) AS lcp FROM " + f"l{_LCP_STEPS + 1}")
+def phi_inv_lcp(spark, sf):
+    return suffix.phi_inv_lcp(*with_lcp(spark, sf))
+
+
+@query(RUN_SQL + "SELECT head, count(*) AS n_runs FROM rn GROUP BY head")
+def letter_runs(spark, sf):
+    return suffix.letter_runs(suffix.runs(transform(spark, sf)))
+
+
+@query(RUN_SQL + "SELECT head, row_number() OVER (PARTITION BY head ORDER BY run_id) AS k, run_id FROM rn")
+def run_select(spark, sf):
+    return suffix.run_select(suffix.runs(transform(spark, sf)))
+
+
+@query(RUN_SQL + """, q AS (SELECT run_id, lead(head, 1, 7) OVER (ORDER BY run_id) AS c FROM rn)
+SELECT q.run_id, q.c, CAST(coalesce(sum(rn.len), 0) AS BIGINT) AS head_rank, count(rn.run_id) AS run_head_rank FROM q LEFT JOIN rn ON rn.head = q.c AND rn.run_id < q.run_id GROUP BY q.run_id, q.c""")
+def letter_ranks(spark, sf):
+    """Before each run: places and runs of the letter of the run after it, or of a letter that does not occur."""
+    table_of = distributed.stored(suffix.runs(transform(spark, sf)))
+    after = table_of.select((F.col("run_id") - 1).alias("run_id"), F.col("head").alias("c"))
+    asked = table_of.select("run_id").join(after, "run_id", "left").select("run_id", F.coalesce("c", F.lit(7)).alias("c"))
+    return suffix.letter_ranks(table_of, asked)
+
+
+@query(ORACLES["thresholds"].replace("SELECT run_id, CAST(coalesce(t, 0) AS BIGINT) AS threshold FROM rn LEFT JOIN mn USING (run_id)", "SELECT CAST(min(t - lo) AS BIGINT) AS least, CAST(max(t - lo) AS BIGINT) AS most, round(log2(max(t - lo) + 1), 6) AS log2_most FROM gp JOIN mn USING (run_id)"))
+def threshold_offsets(spark, sf):
+    c = chars(spark, sf)
+    sa = suffix.suffix_array(c)
+    table_of = distributed.stored(suffix.runs(suffix.bwt(c, sa)))
+    return suffix.threshold_offsets(table_of, suffix.thresholds(table_of, suffix.lcp(c, sa)))
+
+
 @query(RUN_SQL + "SELECT CAST(sum(len) AS BIGINT) AS n, count(*) AS r, sum(len) / count(*) AS n_over_r, log2(sum(len) / count(*)) AS log2_n_over_r FROM rn")
 def run_summary(spark, sf):
     return suffix.summary(suffix.runs(transform(spark, sf)))
@@ -500,9 +574,9 @@ def template_lengths(spark, sf):
 
 
 @query(MEMS_SQL + """, s AS (SELECT read_id, qs, qe, count(*) AS n FROM occ GROUP BY ALL)
-SELECT read_id, avg(qe - qs) AS mean, CAST(sum((qe - qs) * n) AS DOUBLE) / sum(n) AS weighted, CAST(sum((qe - qs) * n) AS BIGINT) AS total_len FROM s GROUP BY read_id""")
+SELECT read_id, avg(qe - qs) AS mean, CAST(sum((qe - qs) * n) AS DOUBLE) / sum(n) AS weighted, round(count(*) / sum(length(seq)::DOUBLE / (qe - qs)), 6) AS harmonic, CAST(sum((qe - qs) * n) AS BIGINT) AS total_len FROM s JOIN rd USING (read_id) GROUP BY read_id""")
 def mem_averages(spark, sf):
-    return matching.averages(found(spark, sf))
+    return matching.averages(found(spark, sf), reads(spark, sf))
 
 
 @query(ORACLES["lift_segments"].replace("SELECT chrom AS name", ", seg AS (SELECT chrom AS name", 1) + """)

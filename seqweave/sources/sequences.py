@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
 def fasta(spark: SparkSession, path) -> DataFrame:
-    """(name, comment, seq): sequences of several lines are joined. An empty file gives no rows, an empty sequence ''."""
+    """(name, comment, seq): sequences of several lines are joined. An empty file gives no rows, an empty sequence ''. A FASTQ file is an
+    error."""
     rows = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''")
     record = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "")
+    record = F.when(F.col("value").startswith("@"), F.raise_error(F.lit("FASTQ where FASTA is wanted")).cast("string")).otherwise(record)
     head, body = F.split_part("r", F.lit("\n"), F.lit(1)), F.regexp_replace("r", "^[^\n]*", "")
     parts = rows.select(record.alias("r")).select(F.trim(head).alias("h"), F.regexp_replace(body, r"\s", "").alias("seq"))
     return parts.select(F.regexp_extract("h", r"^(\S*)", 1).alias("name"), F.regexp_extract("h", r"^\S*\s+(.*)$", 1).alias("comment"), "seq")

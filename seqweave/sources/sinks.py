@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import sound_mapq
+
 #: The columns of SAM, in order.
 SAM = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 #: Optional fields and their types.
@@ -15,7 +17,8 @@ MISSING = {"flag": "4", "pos": "0", "mapq": "0", "pnext": "0", "tlen": "0"}
 def sam_line(df: DataFrame) -> Column:
     """A SAM record of df's columns: the eleven of SAM and the tags among them. Missing ones take their placeholder; null tags go."""
     have = {c.lower(): c for c in df.columns}
-    core = [F.coalesce(F.col(have[c]).cast("string"), F.lit(MISSING.get(c, "*"))) if c in have else F.lit(MISSING.get(c, "*")) for c in SAM]
+    value = lambda c: sound_mapq(F.col(have[c])) if c == "mapq" else F.col(have[c])
+    core = [F.coalesce(value(c).cast("string"), F.lit(MISSING.get(c, "*"))) if c in have else F.lit(MISSING.get(c, "*")) for c in SAM]
     tags = [F.concat(F.lit(f"{t}:{kind}:"), F.col(have[t.lower()]).cast("string")) for t, kind in TAGS.items() if t.lower() in have]
     return F.concat_ws("\t", *core, *tags)
 

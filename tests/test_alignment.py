@@ -11,16 +11,15 @@ def dna(rng, n):
 
 
 def brute(q, r, free_end=False):
-    """Affine-gap score cell by cell."""
+    """Score with the cheaper of two affine gap costs, cell by cell."""
     low = -(10**9)
-    h = {(0, 0): (0, low, low)}
+    h = {(0, 0): (0, low, low, low, low)}
     for i in range(len(q) + 1):
         for j in range(len(r) + 1):
             if i or j:
-                up, left = h.get((i - 1, j), (low,) * 3), h.get((i, j - 1), (low,) * 3)
-                ins, dele = max(max(up) - 6, up[1] - 2), max(max(left) - 6, left[2] - 2)
+                up, left = h.get((i - 1, j), (low,) * 5), h.get((i, j - 1), (low,) * 5)
                 d = max(h[i - 1, j - 1]) + (2 if q[i - 1] == r[j - 1] else -4) if i and j else low
-                h[i, j] = d, ins, dele
+                h[i, j] = d, max(max(up) - 6, up[1] - 2), max(max(left) - 6, left[2] - 2), max(max(up) - 14, up[3] - 1), max(max(left) - 14, left[4] - 1)
     return max(max(h[len(q), j]) for j in range(len(r) + 1)) if free_end else max(h[len(q), len(r)])
 
 
@@ -29,7 +28,7 @@ def test_kernel_against_cells():
     for _ in range(300):
         q, r, free = dna(rng, rng.randint(0, 14)), dna(rng, rng.randint(0, 14)), rng.random() < 0.5
         if rng.random() < 0.5:
-            r = q[: len(q) // 2] + dna(rng, rng.randint(0, 3)) + q[len(q) // 2 + rng.randint(0, 3) :] + dna(rng, 2)
+            r = q[: len(q) // 2] + dna(rng, rng.choice([0, 1, 2, 3, 20])) + q[len(q) // 2 + rng.randint(0, 3) :] + dna(rng, 2)
         score, ops = A.aligned(q, r, CFG, free)
         assert score == brute(q, r, free)
         assert sum(o != "D" for o in ops) == len(q)
@@ -73,3 +72,26 @@ def test_reads_find_their_places(spark):
         used = sum(int(n) for n, op in re.findall(r"(\d+)([MID])", r.cigar) if op != "I")
         assert A.replayed(r.seq, r.cigar, r.MD) == names[i][r.pos - 1 : r.pos - 1 + used]
     assert A.found(rd.limit(0), rf, collection.seqidx(rf)).count() == 0
+
+
+def test_occurrences_are_capped_and_frequent_matches_go(spark):
+    rng = random.Random(4)
+    unit = dna(rng, 50)
+    refs = [(0, "r", "".join(unit + dna(rng, 30) for _ in range(12))), (1, "s", dna(rng, 300))]
+    rf = spark.createDataFrame(refs, "ref_id long, name string, seq string")
+    rd = spark.createDataFrame([(0, unit), (1, refs[1][2][50:150]), (2, unit + refs[1][2][20:100])], "read_id long, seq string")
+    idx = collection.seqidx(rf)
+    assert A.matching.capped(A.matching.smems(rd, rf), 5).where("read_id = 0 AND size(occs) = 5").count() == 1
+    places = lambda cfg: {(r.read_id, r.ref_id) for r in A.found(rd, rf, idx, cfg).collect()}
+    assert places(CFG) == {(0, 0), (1, 1), (2, 0), (2, 1)}
+    assert places(A.AlignConfig(most_share=0.5)) == {(2, 1)}
+    whole = {r.read_id: (r.ref_id, r.score) for r in A.found(rd, rf, idx, A.AlignConfig(halves=True)).collect() if r.read_id == 1}
+    assert whole == {1: (1, 200)}
+
+
+def test_long_gaps_take_the_second_cost():
+    rng = random.Random(5)
+    q = dna(rng, 120)
+    r = q[:60] + dna(rng, 30) + q[60:]
+    assert A.aligned(q, r, CFG)[0] == 240 - 13 - 30 and A.aligned(r, q, CFG)[0] == 240 - 13 - 30
+    assert A.aligned(q, q[:60] + "AC" + q[60:], CFG)[0] == 240 - 4 - 4

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from seqweave.functions import scalars as S
 from seqweave.operators import collection, matching, statistics
 from seqweave.sources import sequences, sinks, variants
 
@@ -87,13 +88,15 @@ def test_matching_statistics(spark):
     reads = [(i, refs[i % 3][2][40 : 40 + 30 * i] + dna(rng, 40) + "Né") for i in range(6)] + [(6, ""), (7, None), (8, "A")]
     rf = spark.createDataFrame(refs, "ref_id long, name string, seq string")
     rd = spark.createDataFrame(reads, "read_id long, seq string")
-    ms = statistics.matching_statistics(rd, rf, matching.smems(rd, rf, 8), 8)
-    got = {r.read_id: r for r in ms.select("read_id", "lengths", statistics.mem_list(F.col("lengths")).alias("mems")).collect()}
+    text = "|".join(r for _, _, r in refs)
+    ms = statistics.matching_statistics(rd, rf, collection.seqidx(rf.withColumn("name", F.lit("r")), 1), matching.smems(rd, rf, 8), 8)
+    got = {r.read_id: r for r in ms.select("read_id", "lengths", "pointers", statistics.mem_list(F.col("lengths")).alias("mems")).collect()}
     assert set(got) == {0, 1, 2, 3, 4, 5, 8}
     for i, seq in reads:
         if seq:
             want = [max(n for n in range(len(seq) - k + 1) if any(seq[k : k + n] in r for _, _, r in refs)) for k in range(len(seq))]
             assert got[i].lengths == want
+            assert all(p == -1 if n == 0 else text[p : p + n] == seq[k : k + n] for k, (n, p) in enumerate(zip(want, got[i].pointers, strict=True)))
             assert [tuple(m) for m in got[i].mems] == [(k, n) for k, n in enumerate(want) if k == 0 or n >= want[k - 1]]
 
 
@@ -105,3 +108,18 @@ def test_sam_and_lists(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "sam/records")).collect()) == ["r\t0\ta\t3\t0\t*\t*\t0\t0\t*\t*\tAS:i:7", "s\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\tMD:Z:3A0"]
     (tmp_path / "l").write_text("x 12\ny 3\n\n")
     assert [tuple(r) for r in sequences.lengths(spark, str(tmp_path / "l")).collect()] == [("x", 12), ("y", 3)]
+
+
+def test_fastq_is_no_collection(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("@r1\nACGT\n+\nIIII\n")
+    with pytest.raises(Exception, match="FASTQ where FASTA is wanted"):
+        sequences.fasta(spark, str(tmp_path / "a.fq")).collect()
+
+
+def test_reads_turned_and_cut(spark):
+    df = spark.createDataFrame([("ACGTN", "abcde"), (None, None), ("", "")], "seq string, qual string")
+    got = df.select(S.revcomp_read(F.col("seq"), F.col("qual")).alias("r"), S.partial_read(F.col("seq"), F.col("qual"), F.lit(1), F.lit(3)).alias("p")).collect()
+    assert [(tuple(x.r), tuple(x.p)) for x in got] == [(("NACGT", "edcba"), ("CGT", "bcd")), ((None, None), (None, None)), (("", ""), ("", ""))]
+    assert df.select(S.sound_mapq(F.lit(255)).alias("q")).first().q == 255
+    with pytest.raises(Exception, match="out of range"):
+        df.select(S.sound_mapq(F.lit(256))).collect()
