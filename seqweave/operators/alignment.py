@@ -36,6 +36,8 @@ class AlignConfig:
     per_ref: int = 1000
     most_share: float | None = None
     halves: bool = False
+    direction: float | None = None
+    apart: int = 0
 
     def gap(self, n: int) -> int:
         return min(self.gap_open + n * self.gap_extend, self.gap_open2 + n * self.gap_extend2)
@@ -193,13 +195,20 @@ def candidates(chains: DataFrame, reads: DataFrame, refs: DataFrame, cfg: AlignC
 
 def found(reads: DataFrame, refs: DataFrame, index: DataFrame, cfg: AlignConfig = AlignConfig(), chain_cfg: chaining.ChainConfig = chaining.ChainConfig()) -> DataFrame:
     """Candidates of both strands with read_id as in `reads`, and strand. Matches keep per_ref occurrences in each sequence; with halves
-    those of long matches are seeds too; with most_share those with a larger share of their read's occurrences go."""
+    those of long matches are seeds too; with direction (reads of pairs only, read_id = 2 * pair + mate) those of a direction that is
+    shorter on average by more; with most_share those with a larger share of their read's occurrences go; with apart, of chains
+    of one score that begin less than that apart on one sequence, the first stays."""
     both = stranded(reads)
     mems = matching.with_halves(both, refs, cfg.min_len).drop("half") if cfg.halves else matching.smems(both, refs, cfg.min_len)
     mems = matching.capped(mems, cfg.per_ref)
+    if cfg.direction is not None:
+        mems = matching.direction_filter(matching.paired_directions(mems), cfg.direction, "pair_id").drop("pair_id", "dir")
     if cfg.most_share is not None:
         mems = matching.frequency_filter(mems, cfg.most_share).drop("n_occ", "share")
-    out = candidates(chaining.solved(chaining.anchors(mems, index), chain_cfg), both, refs, cfg)
+    chains = chaining.solved(chaining.anchors(mems, index), chain_cfg)
+    if cfg.apart:
+        chains = chaining.apart(chains, cfg.apart)
+    out = candidates(chains, both, refs, cfg)
     return out.withColumn("strand", F.pmod("read_id", F.lit(2)).cast("int")).withColumn("read_id", F.floor(F.col("read_id") / 2))
 
 

@@ -129,3 +129,12 @@ def chains(mems: DataFrame, index: DataFrame, cfg: ChainConfig = ChainConfig())
 def best(found: DataFrame) -> DataFrame:
     order = W.partitionBy("read_id").orderBy(F.desc("score"), "chain")
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def apart(found: DataFrame, distance: int) -> DataFrame:
+    """found (CHAINS) without those that begin less than `distance` after another chain of their read, sequence and score: of a row of
+    such chains, each close to the one before, the first stays."""
+    first = F.col("x0") - F.element_at("anchors", 1)["w"]
+    same = W.partitionBy("read_id", "ref_id", "score").orderBy("_first", "chain")
+    gap = F.col("_first") - F.lag("_first").over(same)
+    return found.withColumn("_first", first).withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= distance)).drop("_first", "_gap")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.scalars import REVERSE, SECONDARY
 from .distributed import spread, stored
 
 STRETCH = 256
@@ -231,12 +232,19 @@ def frequency_filter(mems: DataFrame, most: float) -> DataFrame:
     return mems.withColumn("n_occ", F.size("occs")).withColumn("share", F.col("n_occ") / F.sum("n_occ").over(W.partitionBy("read_id"))).where(F.col("share") <= most)
 
 
-def direction_filter(mems: DataFrame, margin: float) -> DataFrame:
-    """Drops the direction (column dir, 0 or 1) whose matches are shorter on average by more than `margin`."""
-    read = W.partitionBy("read_id")
-    mean = lambda d: F.coalesce(F.avg(F.when(F.col("dir") == d, F.col("qe") - F.col("qs"))).over(read), F.lit(0.0))
-    both = mems.withColumn("_m0", mean(0)).withColumn("_m1", mean(1))
-    return both.where(~(((F.col("dir") == 0) & (F.col("_m1") - F.col("_m0") > margin)) | ((F.col("dir") == 1) & (F.col("_m0") - F.col("_m1") > margin)))).drop("_m0", "_m1")
+def direction_filter(mems: DataFrame, margin: float, by: str = "read_id") -> DataFrame:
+    """Drops, of each group `by`, the direction (column dir, 0 or 1) whose matches are shorter on average by more than `margin`."""
+    group = W.partitionBy(by)
+    mean = lambda d: F.coalesce(F.avg(F.when(F.col("dir") == d, F.col("qe") - F.col("qs"))).over(group), F.lit(0.0))
+    lead = mems.withColumn("_lead", mean(0) - mean(1))
+    return lead.where(F.when(F.col("dir") == 0, -F.col("_lead")).otherwise(F.col("_lead")) <= margin).drop("_lead")
+
+
+def paired_directions(mems: DataFrame) -> DataFrame:
+    """mems of stranded mates (read_id = 4 * pair + 2 * mate + strand) with pair_id and dir: 0 for the first mate forward with the second
+    reversed, 1 for the other way round."""
+    bits = F.floor(F.col("read_id") / 2) + F.col("read_id")
+    return mems.withColumn("pair_id", F.floor(F.col("read_id") / 4)).withColumn("dir", F.pmod(bits, F.lit(2)).cast("int"))
 
 
 def mem_stats(mems: DataFrame, most: float = 0.5) -> DataFrame:
@@ -257,8 +265,11 @@ def averages(mems: DataFrame, reads: DataFrame) -> DataFrame:
     return sized.groupBy("read_id").agg(F.avg(w).alias("mean"), (F.sum(w * n) / F.sum(n)).alias("weighted"), F.round(F.count("*") / F.sum(F.col("_n") / w), 6).alias("harmonic"), F.sum(w * n).alias("total_len"))
 
 
-def mem_sam(mems: DataFrame, reads: DataFrame, names: DataFrame) -> DataFrame:
-    """One secondary SAM record for each occurrence of each match: flag 256, CIGAR of one M run, the matching part of the read."""
+def mem_sam(mems: DataFrame, reads: DataFrame, names: DataFrame, stranded: bool = False) -> DataFrame:
+    """One secondary SAM record for each occurrence of each match: flag 256, CIGAR of one M run, the matching part of the read. With
+    `stranded` the ids are 2 * read_id + strand; records of strand 1 have flag 272 and the part of the reverse complement."""
     n = F.col("qe") - F.col("qs")
+    strand = F.pmod("read_id", F.lit(2)).cast("int") if stranded else F.lit(0)
+    who = F.floor(F.col("read_id") / 2) if stranded else F.col("read_id")
     rows = occurrences(mems).join(reads.select("read_id", "seq"), "read_id").join(names, "ref_id")
-    return rows.select(F.col("read_id").cast("string").alias("qname"), F.lit(256).alias("flag"), F.col("name").alias("rname"), (F.col("rpos") + 1).cast("long").alias("pos"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.substr("seq", F.col("qs") + 1, n).alias("match"))
+    return rows.select(who.cast("string").alias("qname"), (SECONDARY + REVERSE * strand).alias("flag"), F.col("name").alias("rname"), (F.col("rpos") + 1).cast("long").alias("pos"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.substr("seq", F.col("qs") + 1, n).alias("match"))

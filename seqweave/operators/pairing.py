@@ -172,3 +172,12 @@ def sam_rows(found: DataFrame, mates: DataFrame, refs: DataFrame, cfg: PairConfi
         F.col("a.md").alias("MD"),
         F.coalesce("a.rescued", F.lit(False)).alias("rescued"),
     )
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """One row over the rows of sam_rows, counted in pairs: processed; aligned, a concordant placement in the end; orphan, placed but not
+    concordant before mates were rescued; orphan_recovered, concordant thanks to a rescue. Counts of parts add up."""
+    proper, placed = F.col("flag").bitwiseAND(S.PROPER) > 0, F.col("flag").bitwiseAND(S.UNMAPPED) == 0
+    pairs = rows.groupBy("pair_id").agg(F.bool_and(proper).alias("proper"), F.bool_or(placed).alias("placed"), F.bool_or("rescued").alias("rescued"))
+    late = F.col("placed") & (~F.col("proper") | F.col("rescued"))
+    return pairs.agg(F.count("*").alias("processed"), F.count_if("proper").alias("aligned"), F.count_if(late).alias("orphan"), F.count_if(late & F.col("proper")).alias("orphan_recovered"))

@@ -185,11 +185,34 @@ def freq_filter(spark, sf):
     return matching.frequency_filter(halves(spark, sf), 0.5).select("read_id", "qs", "qe", "half", F.col("n_occ").cast("long").alias("n_occ"))
 
 
-@query(MEMS_SQL + """, d AS (SELECT *, qs % 2 AS dir FROM mem), m AS (SELECT *, coalesce(avg(qe - qs) FILTER (dir = 0) OVER (PARTITION BY read_id), 0) AS m0, coalesce(avg(qe - qs) FILTER (dir = 1) OVER (PARTITION BY read_id), 0) AS m1 FROM d)
-SELECT read_id, qs, qe, dir FROM m WHERE NOT ((dir = 0 AND m1 - m0 > 50) OR (dir = 1 AND m0 - m1 > 50))""")
+#: Both strands of the documents in their DNA-like view, under 2 * doc_id + strand, against the items in theirs. Of four documents in
+#: order of doc_id the latter two are reads of the other strand, so matches fall on either.
+STRANDS_SQL = f"""WITH rd AS (SELECT 2 * doc_id + strand AS read_id, CASE WHEN strand <> doc_id // 2 % 2 THEN reverse(translate(s, 'ACGTacgt', 'TGCATGCA')) ELSE s END AS seq FROM (SELECT doc_id, {DNA_SQL} AS s, unnest([0, 1]) AS strand FROM documents WHERE length(text) >= {K})),
+rf AS (SELECT item_id AS ref_id, {DNA_SQL} AS seq FROM benchmark WHERE length(text) >= {K}),
+""" + MEMS_SQL[MEMS_SQL.index("qk AS") :]
+
+
+def both_strands(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The documents on both strands, and their matches."""
+    view = S.dna_view(F.col("seq"))
+    other = F.pmod(F.floor(F.col("read_id") / 2), F.lit(2)) == 1
+    both = alignment.stranded(reads(spark, sf).withColumn("seq", F.when(other, S.revcomp(view)).otherwise(view)))
+    return both, matching.smems(both, refs(spark, sf).withColumn("seq", S.dna_view(F.col("seq"))), K)
+
+
+@query(STRANDS_SQL + """, d AS (SELECT read_id, read_id // 4 AS pair_id, (read_id // 2 + read_id) % 2 AS dir, qs, qe FROM mem),
+m AS (SELECT *, coalesce(avg(qe - qs) FILTER (dir = 0) OVER (PARTITION BY pair_id), 0) AS m0, coalesce(avg(qe - qs) FILTER (dir = 1) OVER (PARTITION BY pair_id), 0) AS m1 FROM d)
+SELECT pair_id, read_id, qs, qe, CAST(dir AS INTEGER) AS dir FROM m WHERE NOT ((dir = 0 AND m1 - m0 > 50) OR (dir = 1 AND m0 - m1 > 50))""")
 def direction_filter(spark, sf):
-    with_dir = found(spark, sf).withColumn("dir", F.pmod(F.col("qs"), F.lit(2)))
-    return matching.direction_filter(with_dir, 50.0).select("read_id", "qs", "qe", "dir")
+    """Documents 2i and 2i + 1 are mates."""
+    mems = matching.paired_directions(both_strands(spark, sf)[1])
+    return matching.direction_filter(mems, 50.0, "pair_id").select("pair_id", "read_id", "qs", "qe", "dir")
+
+
+@query(STRANDS_SQL + "SELECT CAST(read_id // 2 AS VARCHAR) AS qname, CAST(256 + 16 * (read_id % 2) AS INTEGER) AS flag, 'item' || ref_id AS rname, rpos + 1 AS pos, (qe - qs) || 'M' AS cigar, substr(seq, qs + 1, qe - qs) AS match FROM occ JOIN rd USING (read_id)")
+def mem_sam_strands(spark, sf):
+    both, mems = both_strands(spark, sf)
+    return matching.mem_sam(mems, both, refs(spark, sf).select("ref_id", "name"), stranded=True)
 
 
 @query(MEMS_SQL + """, s AS (SELECT read_id, qs, qe, ref_id, count(*) AS c FROM occ GROUP BY ALL), t0 AS (SELECT read_id, sum(c) AS n, max(c) AS hi, min(c) AS lo FROM s GROUP BY read_id, qs, qe), t AS (SELECT *, CASE WHEN n > 0.5 * sum(n) OVER (PARTITION BY read_id) THEN n ELSE 0 END AS gone FROM t0)
@@ -256,17 +279,19 @@ def fasta_records(spark, sf):
     return refs(spark, sf).select("ref_id", F.sha2(sinks.fasta_text(F.col("name"), F.col("seq")), 256).alias("digest"))
 
 
-#: Each document asks for an edit of an item: its place, the letters replaced and those put there follow from doc_id.
-CALLS_SQL = """WITH x AS (SELECT 'item' || b.item_id AS chrom, lang AS sample, CAST(d.doc_id % 2 + 1 AS INTEGER) AS hap, (d.doc_id * 37) % (length(b.text) - 10) + 2 AS pos, d.doc_id, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE lang IS NOT NULL AND length(b.text) > 20),
+#: Each document asks for an edit of an item: all items in turn; its place, the letters replaced and those put there follow from doc_id.
+CALLS_SQL = """WITH it AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark),
+x AS (SELECT 'item' || item_id AS chrom, coalesce(lang, 'und') AS sample, CAST(doc_id % 2 + 1 AS INTEGER) AS hap, (doc_id * 37) % length(it.text) + 1 AS pos, doc_id, it.text FROM documents d JOIN it ON k = doc_id % (SELECT count(*) FROM benchmark) WHERE length(it.text) > 0),
 calls AS (SELECT DISTINCT chrom, sample, hap, pos, substr(text, pos, 1 + doc_id % 3) AS ref, substr('ZQX', 1, 1 + (doc_id // 3) % 3) AS alt FROM x),
 v AS (SELECT * FROM (SELECT *, max(pos + length(ref)) OVER (PARTITION BY chrom, sample, hap ORDER BY pos, ref, alt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM calls) WHERE e IS NULL OR pos >= e)
 """
 
 
 def calls(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("sample"), F.pmod("doc_id", F.lit(40)).alias("ref_id"))
-    both = d.join(refs(spark, sf).where(F.length("seq") > 20), "ref_id")
-    pos = (F.col("doc_id") * 37) % (F.length("seq") - 10) + 2
+    items = distributed.ranked(refs(spark, sf), ["ref_id"], "k")
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("sample")).crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))
+    both = d.withColumn("k", F.pmod("doc_id", F.col("n"))).join(items.where(F.length("seq") > 0), "k")
+    pos = (F.col("doc_id") * 37) % F.length("seq") + 1
     ref = F.substr("seq", F.col("pos").cast("int"), (1 + F.col("doc_id") % 3).cast("int"))
     alt = F.substr(F.lit("ZQX"), F.lit(1), (1 + F.floor(F.col("doc_id") / 3) % 3).cast("int"))
     return variants.applied(both.withColumn("pos", pos).select(F.col("name").alias("chrom"), "sample", (F.col("doc_id") % 2 + 1).cast("int").alias("hap"), "pos", ref.alias("ref"), alt.alias("alt")).distinct())
@@ -556,7 +581,13 @@ def item_mates(spark, sf) -> DataFrame:
 def align_pe(spark, sf):
     docs = document_refs(spark, sf).withColumn("seq", S.dna_view(F.col("seq")))
     mates = item_mates(spark, sf)
-    return pairing.sam_rows(alignment.found(pairing.read_ids(mates), docs, collection.seqidx(docs)), mates, docs)
+    cfg = alignment.AlignConfig(direction=50.0)
+    return pairing.sam_rows(alignment.found(pairing.read_ids(mates), docs, collection.seqidx(docs), cfg), mates, docs, scores=cfg)
+
+
+@query()
+def pair_counters(spark, sf):
+    return pairing.counters(align_pe(spark, sf))
 
 
 @query("""WITH s AS (SELECT doc_id, 300 + doc_id % 200 AS score, (doc_id * 7) % 290 AS second, doc_id % 3 AS sub_n FROM labels)

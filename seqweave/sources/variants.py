@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..functions import scalars as S
+from ..operators.distributed import ranked
+from . import sequences
+
 
 def vcf(spark: SparkSession, path) -> DataFrame:
     """(chrom, pos, ref, alts, sample, genotype): one row for each record and sample; pos is 1-based. The header line with the sample
@@ -61,3 +65,30 @@ def lift_segments(refs: DataFrame, found: DataFrame) -> DataFrame:
     until = F.coalesce(F.lead("q0").over(W.partitionBy(*key).orderBy("pos")), F.col("src") + F.col("n") - F.col("dst"))
     equal = both.select(*key, F.col("src").alias("src_start"), until.alias("src_end"), F.col("dst").alias("dst_start"), F.lit("=").alias("op")).where("src_end > src_start")
     return equal.unionByName(inserted).withColumnRenamed("chrom", "name")
+
+
+def sample_names(spark: SparkSession, path) -> list[str]:
+    """The samples of the header lines, in order, each once. A header is one line of a file."""
+    heads = spark.read.text(path).where(F.col("value").startswith("#CHROM")).select(F.slice(F.split(F.regexp_replace("value", "\r$", ""), "\t"), 10, 1 << 20).alias("n"))
+    return list(dict.fromkeys(n for r in heads.distinct().collect() for n in r.n))
+
+
+def built(spark: SparkSession, fasta, vcf_path=None, samples: list[str] | int | None = None, haplotypes_of: list[int] = [1], acgt_only: bool = True) -> DataFrame:  # noqa: B006
+    """(ref_id, name, seq): the sequences of FASTA files and, with variant files, each of them as each haplotype of each sample has it,
+    called name/sample/haplotype, without variants there too. samples: names, or how many of the header's first; all by default.
+    With acgt_only other letters become A. References come first; a FASTQ file or an unknown sample is an error."""
+    refs = sequences.fasta(spark, fasta).select("name", "seq")
+    whole = refs.select(F.lit("").alias("sample"), F.lit(0).alias("hap"), "name", "seq")
+    if vcf_path is not None:
+        have = sample_names(spark, vcf_path)
+        chosen = have if samples is None else have[:samples] if isinstance(samples, int) else list(samples)
+        if unknown := [n for n in chosen if n not in have]:
+            raise ValueError(f"no such samples: {unknown}")
+        if chosen:
+            found = applied(alleles(vcf(spark, vcf_path).where(F.col("sample").isin(chosen)), haplotypes_of))
+            changed = haplotypes(refs, found).withColumnRenamed("seq", "_seq")
+            each = refs.withColumn("sample", F.explode(F.array(*map(F.lit, chosen)))).withColumn("hap", F.explode(F.array(*map(F.lit, haplotypes_of))))
+            both = each.join(changed, ["name", "sample", "hap"], "left")
+            whole = whole.unionByName(both.select("sample", "hap", F.concat_ws("/", "name", "sample", "hap").alias("name"), F.coalesce("_seq", "seq").alias("seq")))
+    out = ranked(whole, ["sample", "hap", "name"], "ref_id").select("ref_id", "name", "seq")
+    return out.withColumn("seq", S.acgt_only(F.col("seq"))) if acgt_only else out

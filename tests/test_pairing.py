@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from seqweave.operators import alignment as A, collection, extending, lifting, pairing
+from seqweave.operators import alignment as A, chaining, collection, extending, lifting, matching, pairing
 from seqweave.streaming import reads as R
 
 
@@ -51,6 +51,29 @@ def test_pairs_find_their_places(spark):
             assert A.replayed(r.seq, r.cigar, r.MD) == refs[ref][2][r.pos - 1 : r.pos + 99]
     assert (got[90, 0].flag, got[90, 1].flag, got[90, 1].seq) == (77, 141, "*")
     assert got[91, 0].flag & 2 == 0 and got[91, 0].pos == 501 and got[91, 1].flag & 4
+    count = pairing.counters(spark.createDataFrame([(p, r.flag, r.rescued) for (p, _), r in got.items()], "pair_id long, flag int, rescued boolean"))
+    assert count.first().asDict() == {"processed": 26, "aligned": 24, "orphan": 5, "orphan_recovered": 4}
+
+
+def test_direction_and_near_chains(spark):
+    mems = [(0, 0, 90), (3, 0, 80), (1, 5, 31), (2, 0, 30), (4, 0, 60), (5, 0, 30), (6, 0, 40), (9, 3, 40)]
+    df = spark.createDataFrame(mems, "read_id long, qs int, qe int")
+    kept = matching.direction_filter(matching.paired_directions(df), 50.0, "pair_id").select("read_id", "pair_id", "dir").collect()
+    # pair 0: means 85 and 28, so the second direction goes; pair 1: 60 and 35; pair 2: one direction only, of 37
+    assert sorted(map(tuple, kept)) == [(0, 0, 0), (3, 0, 0), (4, 1, 0), (5, 1, 1), (6, 1, 1), (9, 2, 1)]
+    anchors = lambda x: [{"x": x + 9, "y": 9, "w": 10}]
+    rows = [(1, 0, k, score, x + 9, anchors(x)) for k, (score, x) in enumerate([(50, 100), (50, 109), (50, 118), (50, 130), (49, 104)])] + [(2, 0, 0, 50, 105 + 9, anchors(105)), (1, 1, 0, 50, 105 + 9, anchors(105))]
+    chains = spark.createDataFrame(rows, "read_id long, ref_id long, chain int, score long, x0 long, anchors array<struct<x:long,y:long,w:long>>")
+    assert sorted((r.read_id, r.ref_id, r.chain) for r in chaining.apart(chains, 10).collect()) == [(1, 0, 0), (1, 0, 3), (1, 0, 4), (1, 1, 0), (2, 0, 0)]
+
+
+def test_near_chains_do_not_change_placements(spark):
+    rng = random.Random(12)
+    refs = spark.createDataFrame([(k, f"s{k}", dna(rng, 900)) for k in range(2)], "ref_id long, name string, seq string")
+    texts = [r.seq for r in refs.orderBy("ref_id").collect()]
+    reads = spark.createDataFrame([(p, texts[p % 2][40 * p : 40 * p + 90]) for p in range(12)], "read_id long, seq string")
+    place = lambda cfg: sorted((r.qname, r.rname, r.pos, r.cigar) for r in A.single(A.found(reads, refs, collection.seqidx(refs), cfg), reads, refs).collect())
+    assert place(A.AlignConfig(apart=10)) == place(A.AlignConfig()) and len(place(A.AlignConfig())) == 12
 
 
 def test_longest_match_extension(spark):

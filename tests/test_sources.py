@@ -82,6 +82,26 @@ def test_haplotypes_and_lift(spark, tmp_path):
         assert [lifted[q] for q in range(len(back[hap]))] == back[hap]
 
 
+def test_collection_is_built_from_variants(spark, tmp_path):
+    (tmp_path / "r.fa").write_text(">c\nACGTNACGTA\n>d\nTTTT\n")
+    (tmp_path / "v.vcf").write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\tC\nc\t2\t.\tC\tG,CT\t.\t.\t.\tGT\t0|1\t2|0\t.|.\n")
+    fa, vcf = str(tmp_path / "r.fa"), str(tmp_path / "v.vcf")
+    rows = lambda *args, **kw: [tuple(r) for r in variants.built(spark, fa, *args, **kw).orderBy("ref_id").collect()]
+    assert rows() == [(0, "c", "ACGTAACGTA"), (1, "d", "TTTT")]
+    one = rows(vcf, acgt_only=False)
+    assert [r[0] for r in one] == list(range(8)) and one[:2] == [(0, "c", "ACGTNACGTA"), (1, "d", "TTTT")]
+    assert {n: s for _, n, s in one[2:]} == {"c/A/1": "ACGTNACGTA", "d/A/1": "TTTT", "c/B/1": "ACTGTNACGTA", "d/B/1": "TTTT", "c/C/1": "ACGTNACGTA", "d/C/1": "TTTT"}
+    both = {n: s for _, n, s in rows(vcf, samples=1, haplotypes_of=[1, 2], acgt_only=False)}
+    assert both == {"c": "ACGTNACGTA", "d": "TTTT", "c/A/1": "ACGTNACGTA", "d/A/1": "TTTT", "c/A/2": "AGGTNACGTA", "d/A/2": "TTTT"}
+    assert set(both) - {"c", "d"} == {n for _, n, _ in rows(vcf, samples=["A"], haplotypes_of=[1, 2])[2:]}
+    assert rows(vcf, samples=0) == rows()
+    with pytest.raises(ValueError, match="no such samples"):
+        rows(vcf, samples=["Z"])
+    (tmp_path / "x.fq").write_text("@a\nAC\n+\nII\n")
+    with pytest.raises(Exception, match="FASTQ where FASTA"):
+        variants.built(spark, str(tmp_path / "x.fq")).collect()
+
+
 def test_matching_statistics(spark):
     rng = random.Random(4)
     refs = [(i, f"s{i}", dna(rng, 300)) for i in range(3)]
