@@ -6,7 +6,7 @@ first occurrence of a seed, and the first with the same 4 or 8 words before or a
 document's seed, or seed and words: at most five matches for each, not one for each pair, and a common phrase still meets the
 copies of its own passage. A match goes on if NEEDED of the SIDE words on one side agree, shifted by one word at most: in a passage of
 MIN_WORDS words and IDENTITY, one side of each seed is long enough for that. Seeds that very many documents hold are found in a
-bounded sample and are joined by grouped minima instead of in one task; the matches are the same.
+bounded sample and are held against grouped minima instead of meeting in one task; the matches are the same.
 
 The matches of a document with another, or with itself, are chained in order: runs on one diagonal become blocks; a Fenwick tree
 over the places in the other document gives each block its best predecessor under linear gap costs; chains are cut at gaps of
@@ -42,13 +42,15 @@ CHUNK = 1 << 20
 
 #: A seed in more documents than this, as far as a sample of about SAMPLED of them tells, is joined by grouped minima; below, its
 #: occurrences are a few megabytes in one task.
-HOT, SAMPLED, MOST_HOT = 100_000, 20_000, 100_000
+HOT, SAMPLED, MOST_HOT = 5_000, 20_000, 100_000
 
 #: `h` has 48 bits; `at` is the place in code points (start << 32 | end); `before` and `after` have BITS for each word, the nearest on top.
-#: A negative h marks a match within a document, which is known from the start: `before` is then the earlier place.
-SEEDS = "h long, id long, at long, before long, after long"
+#: A negative h marks a match within a document, which is known from the start: `before` is then the earlier place. Bits of `own`: the
+#: seed is the first of its document with this hash, and with each of CONTEXTS; OFTEN marks frequent seeds.
+SEEDS = "h long, id long, at long, before long, after long, own long"
 #: Words of `before` or `after` that make a class of contexts.
 CONTEXTS = [("after", 4), ("after", 8), ("before", 4), ("before", 8)]
+OFTEN = 2 << len(CONTEXTS)
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -73,24 +75,24 @@ def firsts(h: np.ndarray, before: np.ndarray, after: np.ndarray):
 
 
 def within(row: np.ndarray, h: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For seeds in order of their places: those that go on, and pairs (place, place before) of one seed in one row."""
+    """For seeds in order of their places: the bits of `own`, and pairs (place, place before) of one seed in one row."""
     order = np.lexsort((h, row))
     same = (row[order][1:] == row[order][:-1]) & (h[order][1:] == h[order][:-1])
-    keep = np.ones(len(h), bool)
+    own = np.full(len(h), OFTEN - 1)
     if not same.any():
-        return keep, order[:0], order[:0]
+        return own, order[:0], order[:0]
     again, last = order[1:][same], order[:-1][same]
     some = np.unique(np.concatenate([again, last]))
-    keep[again] = False
+    own[some] = 0
     group = np.unique(np.stack([row[some], h[some]]), axis=1, return_inverse=True)[1].reshape(-1)
-    for by, new, whole in firsts(group, before[some], after[some]):
-        keep[some[by[new & whole]]] = True
+    for bit, (by, new, whole) in enumerate(firsts(group, before[some], after[some])):
+        own[some[by[new & whole]]] |= 1 << bit
     good = promising(before[again], after[again], before[last], after[last])
-    return keep, again[good], last[good]
+    return own, again[good], last[good]
 
 
-def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = None, only: bool = False) -> DataFrame:
-    """SEEDS of docs (id, text), without those of sorted hashes `hot`, or with `only` just those."""
+def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = None) -> DataFrame:
+    """SEEDS of docs (id, text); those of sorted hashes `hot` are marked OFTEN."""
     shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None and len(hot) else None
 
     def pick(batches):
@@ -117,9 +119,6 @@ def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = Non
                     continue
                 at = np.unique((np.concatenate(chosen) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
                 key = (h[at] >> np.uint64(16)).view(np.int64)
-                if len(often) or only:
-                    part = np.isin(key, often) == only
-                    at, key = at[part], key[part]
                 row = np.searchsorted(w.first, at, "right") - 1
                 small = np.maximum(w.hashes >> np.uint64(64 - BITS), np.uint64(1))
                 sides = []
@@ -135,13 +134,12 @@ def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = Non
                 origin = chars[offsets[lo : hi + 1] - offsets[lo]][row]
                 place = (chars[w.starts[at]] - origin) << 32 | (chars[w.ends[at + words - 1]] - origin)
                 rows = [key, ids[lo + row], place, *sides]
-                keep, again, before = within(row, key, *sides)
-                if len(again):
-                    own = [-1 - (ids[lo + row[again]] & ((1 << 47) - 1)), rows[1][again], place[again], place[before], np.zeros(len(again), np.int64)]
-                    rows = [np.concatenate([x[keep], y]) for x, y in zip(rows, own, strict=True)]
-                else:
-                    rows = [x[keep] for x in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["h", "id", "at", "before", "after"])
+                own, again, before = within(row, key, *sides)
+                rows.append(own | np.where(np.isin(key, often), OFTEN, 0) if len(often) else own)
+                keep, none = own > 0, np.zeros(len(again), np.int64)
+                known = [-1 - (ids[lo + row[again]] & ((1 << 47) - 1)), rows[1][again], place[again], place[before], none, none]
+                rows = [np.concatenate([x[keep], y]) for x, y in zip(rows, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=[x.split()[0] for x in SEEDS.split(", ")])
 
     return docs.select("id", "text").mapInArrow(pick, SEEDS)
 
@@ -226,30 +224,32 @@ def matched(docs: DataFrame, words: int = WORDS, window: int = WINDOW, hot: int
             yield matched_rows(*rest)
 
     often = frequent(docs, words, window, hot)
-    out = seeds(docs, words, window, often).repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(run, MATCHES)
-    return out.unionByName(matched_often(stored(seeds(docs, words, window, often, only=True)))).distinct() if len(often) else out
+    found = seeds(docs, words, window, often)
+    found = stored(found) if len(often) else found
+    out = found.where(F.col("own") < OFTEN).select(*names).repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(run, MATCHES)
+    return out.unionByName(matched_often(found.where(F.col("own") >= OFTEN))) if len(often) else out
 
 
 def matched_often(found: DataFrame) -> DataFrame:
-    """MATCHES of seeds that are frequent: first occurrences are grouped minima, which are pre-aggregated and written before they are
-    joined, as a join of two plain shuffles can split a frequent seed."""
-    known, found, met = found.where("h < 0"), found.where("h >= 0"), None
-    for c, n in ((None, 0), *CONTEXTS):
+    """MATCHES of seeds that are frequent: first occurrences are grouped minima, which are pre-aggregated, and only those of classes of
+    several documents are written and joined, so no seed meets in one task, and none is shuffled while the minima are few."""
+    classes = []
+    for bit, (c, n) in enumerate([(None, 0), *CONTEXTS]):
         near = F.shiftright(c, BITS * (SIDE - n)) if c else F.lit(0).cast("long")
         whole = near.bitwiseAND(F.lit((1 << BITS) - 1)) != 0 if c else F.lit(True)  # words that lack are zeros at the far end
-        some = found.withColumn("k", near).where(whole)
-        first = stored(some.groupBy("h", "k").agg(F.min(F.struct("id", "at", "before", "after")).alias("f")))
-        own = some.groupBy("h", "k", "id").agg(F.min(F.struct("at", "before", "after")).alias("o")).select("h", "k", "id", "o.*")
-        now = own.join(first, ["h", "k"]).where("id <> f.id").select("id", F.col("f.id").alias("rid"), "at", "before", "after", F.struct("f.at", "f.before", "f.after").alias("f"))
-        met = now if met is None else met.unionByName(now)
-    flat = met.select("id", "rid", "at", F.col("f.at").alias("rat"), "before", "after", F.col("f.before").alias("before2"), F.col("f.after").alias("after2"))
+        use = whole & (F.col("own").bitwiseAND(F.lit(1 << bit)) != 0)
+        classes.append(F.struct(F.lit(bit).alias("c"), near.alias("k"), use.alias("use")))
+    some = found.select("h", "id", "at", "before", "after", F.explode(F.array(*classes)).alias("x")).where("x.use").select("h", "x.c", "x.k", "id", "at", "before", "after")
+    key = ["h", "c", "k"]
+    first = stored(some.groupBy(*key).agg(F.min(F.struct("id", "at", "before", "after")).alias("f"), F.count("*").alias("n")).where("n > 1").select(*key, "f"))
+    flat = some.join(first, key).where("id <> f.id").select("id", F.col("f.id").alias("rid"), "at", F.col("f.at").alias("rat"), "before", "after", F.col("f.before").alias("before2"), F.col("f.after").alias("after2"))
 
     def keep(batches):
         for batch in batches:
             good = promising(*(batch.column(c).to_numpy() for c in ("before", "after", "before2", "after2")))
             yield batch.select(["id", "rid", "at", "rat"]).filter(pa.array(good))
 
-    return flat.mapInArrow(keep, MATCHES).unionByName(known.select("id", F.col("id").alias("rid"), "at", F.col("before").alias("rat")))
+    return flat.mapInArrow(keep, MATCHES).distinct()
 
 
 def blocks(c0, c1, r0, r1, gap: int) -> list[list[int]]:
