@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, infill, langid, linededup, neighbours, packing, passages, pii, secrets, simhash, suffixdedup
+from . import decontaminate, infill, langid, linededup, neighbours, packing, passages, pii, secrets, simhash, suffixdedup, tokenalign
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_pii": pii.op8,
         "op9_passages": passages.op9,
         "op10_suffix_dedup": suffixdedup.op10,
+        "op11_tokenalign": tokenalign.op11,
         "op12_infill": infill.op12,
         "pipeline": corpus_pipeline.run,
     }
