@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, infill, langid, linededup, neighbours, packing, passages, pii, secrets, simhash, suffixdedup, tokenalign
+from . import decontaminate, infill, langid, linededup, neighbours, packing, passages, pii, quality, secrets, simhash, suffixdedup, tokenalign
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_suffix_dedup": suffixdedup.op10,
         "op11_tokenalign": tokenalign.op11,
         "op12_infill": infill.op12,
+        "op13_quality": quality.op13,
         "pipeline": corpus_pipeline.run,
     }
 

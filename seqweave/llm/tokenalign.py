@@ -33,11 +33,14 @@ from .common import spans_of_rows, stored, table, text_bytes
 BROADCAST = 1_000_000
 CHUNK = 1 << 20
 #: Words kept with their tokens in each worker; from this many characters without a blank a slower, equal tokenizer of A is used.
-KEPT_WORDS, LONG_RUN = 200_000, 20_000
+KEPT_WORDS, LONG_RUN = 400_000, 20_000
+_HUGE = re.compile(rf"\S{{{LONG_RUN},}}|\s{{{LONG_RUN},}}")
+#: Texts of single blanks between words are tokenized by word.
+_ODD = re.compile(r"^\s|\s |\s$")
 
 
 class Tokenizers:
-    """Ids of A and B as arrays, and the bytes of each id."""
+    """Ids of A and B, and the bytes of each id."""
 
     def __init__(self, a: str | None = None, ranks: str | None = None, b: str | None = None):
         import public_tokenizers as P
@@ -51,45 +54,87 @@ class Tokenizers:
         self.slow.encode_special_tokens = True
         self.a = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=merges, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b or P.path("piece_bpe_32k.model"))
-        self.bytes_a = [b""] * (max(merges.values()) + 1)
+        bytes_a = [b""] * (max(merges.values()) + 1)
         for token, k in merges.items():
-            self.bytes_a[k] = token
-        piece = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(piece)]
-        self.sizes_a, self.sizes_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        # a word is safe if no piece of B goes on over a blank that follows something else
-        self.by_word = not any("▁" in x.lstrip("▁") for x in piece)
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-
-    def _a(self, text: str) -> list[int]:
-        if len(text) >= LONG_RUN and re.search(rf"\S{{{LONG_RUN},}}|\s{{{LONG_RUN},}}", text):
-            return self.slow.encode(text, add_special_tokens=False).ids
-        return self.a.encode_ordinary(text)
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A for a blank and each text, and ids of B for the text."""
-        whole = [not self.by_word or re.search(r"^ |\s | $", t) is not None or len(t) >= LONG_RUN and re.search(rf"\S{{{LONG_RUN},}}", t) is not None for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        known = self.words
-        split = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        new = list({x for s in split if s for x in s if x not in known})
-        packed = lambda ids: np.array(ids, np.uint16).tobytes()
-        for x, ids in zip(new, self.b.encode(new, num_threads=1) if new else (), strict=True):
-            known[x] = packed(self.a.encode_ordinary(f" {x}")), packed(ids)
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append((np.array(self._a(f" {t}"), np.uint16), np.array(self.b.encode(t), np.uint16)))
-            else:
-                got = [known[x] for x in s]
-                out.append(tuple(np.frombuffer(b"".join([g[k] for g in got]), np.uint16) for k in (0, 1)))
-        return out
-
-    def spelled(self, a: np.ndarray, b: np.ndarray, text: bytes) -> bool:
+            bytes_a[k] = token
+        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
+        #: Of A and B: bytes, their number, and whether a word begins with the id.
+        self.bytes = bytes_a, bytes_b
+        self.sizes = tuple(np.array([len(x) for x in t], np.int32) for t in self.bytes)
+        self.begins = tuple(np.array([x[:1] == b" " for x in t]) for t in self.bytes)
+        self.by_word = not any("▁" in x.lstrip("▁") for x in pieces)  # else a piece of B goes on over a blank
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.int32)] * 2
+        self.start, self.count = ([np.zeros(0, np.int64)] * 2 for _ in range(2))
+        self.good = np.zeros(0, bool)
+
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A for a blank and the text, and of B for the text."""
+        slow = len(text) >= LONG_RUN and _HUGE.search(text)
+        a = self.slow.encode(f" {text}", add_special_tokens=False).ids if slow else self.a.encode_ordinary(f" {text}")
+        return np.array(a, np.int32), np.array(self.b.encode(text), np.int32)
+
+    def spelled(self, ids: tuple[np.ndarray, np.ndarray], text: str) -> bool:
         """Both spell a blank and the text."""
-        want = b" " + text
-        return all(int(sizes[ids].sum()) == len(want) and b"".join([table[k] for k in ids.tolist()]) == want for ids, sizes, table in ((a, self.sizes_a, self.bytes_a), (b, self.sizes_b, self.bytes_b)))
+        want = f" {text}".encode()
+        return all(b"".join(map(t.__getitem__, x.tolist())) == want for x, t in zip(ids, self.bytes, strict=True))
+
+    def _learn(self, names: list[str], ids: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray], good: np.ndarray) -> None:
+        for k in (0, 1):
+            ends = np.cumsum(counts[k]) + len(self.flat[k])
+            self.start[k] = np.concatenate([self.start[k], ends - counts[k]])
+            self.count[k] = np.concatenate([self.count[k], counts[k]])
+            self.flat[k] = np.concatenate([self.flat[k], ids[k]])
+        self.known.update(zip(names, range(len(self.good), len(self.good) + len(names)), strict=True))
+        self.good = np.concatenate([self.good, good])
+
+    def learn(self, words: list[str]) -> None:
+        """Tokens of new words, all at once: each begins with the only token of it that begins with a blank."""
+        text = " ".join(words)
+        ids = self.whole(text)
+        begins = [np.flatnonzero(b[x]) for b, x in zip(self.begins, ids, strict=True)]
+        if all(len(x) == len(words) for x in begins) and self.spelled(ids, text):
+            counts = tuple(np.diff(np.append(at, len(x))) for at, x in zip(begins, ids, strict=True))
+            self._learn(words, ids, counts, np.ones(len(words), bool))
+        elif len(words) > 1:  # one of them is odd
+            self.learn(words[: len(words) // 2])
+            self.learn(words[len(words) // 2 :])
+        else:
+            self._learn(words, ids, tuple(np.array([len(x)]) for x in ids), np.array([self.spelled(ids, text)]))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Which texts have tokens; of A and B: the ids of all these texts, and the number in each."""
+        if len(self.known) > KEPT_WORDS:
+            self.forget()
+        names = [[t] if not self.by_word or _ODD.search(t) or len(t) >= LONG_RUN and _HUGE.search(t) else t.split(" ") for t in texts]
+        odd = {t for t, n in zip(texts, names, strict=True) if n[0] == t and (not t or len(n) == 1 and (not self.by_word or _ODD.search(t) or len(t) >= LONG_RUN))}
+        new = dict.fromkeys(x for n in names for x in n if x not in self.known)
+        for x in odd:
+            new.pop(x, None)
+            if x:
+                ids = self.whole(x)
+                self._learn([x], ids, tuple(np.array([len(i)]) for i in ids), np.array([self.spelled(ids, x)]))
+            else:
+                self._learn([x], (np.zeros(0, np.int32),) * 2, (np.zeros(1, np.int64),) * 2, np.array([False]))
+        if new:
+            self.learn(list(new))
+        at = np.array([self.known[x] for n in names for x in n], np.int64)
+        first = np.cumsum([0, *map(len, names)])[:-1]
+        ok = np.logical_and.reduceat(self.good[at], first)
+        at, n = at[np.repeat(ok, np.diff(np.append(first, len(at))))], np.array([len(n) for n, good in zip(names, ok.tolist(), strict=True) if good], np.int64)
+        ids, counts = [], []
+        for k in (0, 1):
+            size = self.count[k][at]
+            ends = np.cumsum(size)
+            ids.append(self.flat[k][np.repeat(self.start[k][at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
+            counts.append(np.diff(np.concatenate([[0], ends[np.cumsum(n) - 1]])) if len(n) else np.zeros(0, np.int64))
+        for x in odd:
+            del self.known[x]  # whole texts are not kept
+        return ok, ids, counts
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -127,34 +172,29 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, rows: np.ndarray) -> np.ndarray:
         cut = at_a >= 0
         at_a, at_b, (a0, a1, b0, b1) = at_a[cut], at_b[cut], intervals[:, cut]
         cuts.append(a[at_a])
-        intervals = np.concatenate([np.stack([a0, at_a + 1, b0, at_b + 1]), np.stack([at_a + 1, a1, at_b + 1, b1])], axis=1)
+        halves = np.stack([a0, at_a + 1, at_a + 1, a1, b0, at_b + 1, at_b + 1, b1])
+        intervals = halves.reshape(2, 2, 2, -1).transpose(0, 2, 3, 1).reshape(4, -1)  # both halves side by side, in order
     return np.sort(np.concatenate(cuts))
 
 
-def links_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the tokens of A and B that overlap, in order. Between two neighbouring ends of either lies exactly one link."""
-    ends = np.union1d(a, b)
-    return np.searchsorted(a, ends), np.searchsorted(b, ends)
-
-
 class Digests:
-    """`a1,a2|b1;a3|b2,b3` of texts, and its hash."""
+    """`a1,a2|b1;a3|b2,b3` of texts."""
 
     def __init__(self, ids: int):
         self.ids = ids
         self.shown = np.array([f"{k}{mark}".encode() for mark in (",", "|", ";", "") for k in range(ids)], object)
 
-    def text(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> bytes:
-        """group_a, group_b: rising numbers of the group of each token, from 0 on."""
+    def parts(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, ends_b: np.ndarray) -> list[bytes]:
+        """Ids with what follows each, in order of groups. group_a, group_b: rising numbers of the groups; ends_b: ends of texts in b."""
         last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
         groups = int(group_a[-1]) + 1
         count_a, count_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
         out = np.empty(len(a) + len(b), np.int64)
         out[np.arange(len(a)) + (np.cumsum(count_b) - count_b)[group_a]] = a + self.ids * last_a
         mark_b = np.where(last_b, 2, 0)
-        mark_b[-1] = 3
+        mark_b[ends_b - 1] = 3
         out[np.arange(len(b)) + np.cumsum(count_a)[group_b]] = b + self.ids * mark_b
-        return b"".join(self.shown[out].tolist())
+        return self.shown[out].tolist()
 
 
 LINKED = "doc_id long, part int, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs array<int>, times array<int>"
@@ -166,19 +206,16 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_groups
 
     def work(batches):
         t = Tokenizers(**paths)
-        digests = Digests(max(len(t.bytes_a), len(t.bytes_b)))
-        width, row, part = len(t.bytes_b), 0, TaskContext.get().partitionId()
-        if width * len(t.bytes_a) >= 1 << 31:
+        digests = Digests(max(map(len, t.bytes)))
+        row, part = 0, TaskContext.get().partitionId()
+        if len(t.bytes[0]) * len(t.bytes[1]) >= 1 << 31:
             raise ValueError("pairs of ids need more than 31 bits")
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            _, offsets = text_bytes(batch.column(1))
             for lo, hi in spans_of_rows(offsets, CHUNK):
-                texts = batch.column(1).slice(lo, hi - lo).to_pylist()
-                raw = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
-                ids = t.encode([x or "" for x in texts])
-                ok = [bool(r) and t.spelled(*x, r) for r, x in zip(raw, ids, strict=True)]
-                out = aligned([x for x, good in zip(ids, ok, strict=True) if good], t, width, digests, keep_groups)
-                rows = [next(out) if good else (0, 0, 0, 0, "", "" if keep_groups else None, [], []) for good in ok]
+                ok, ids, counts = t.encode([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()])
+                out = aligned(ids, counts, t, digests, keep_groups)
+                rows = [next(out) if good else (0, 0, 0, 0, "", "" if keep_groups else None, [], []) for good in ok.tolist()]
                 n = len(rows)
                 cols = [batch.column(0).slice(lo, n), np.full(n, part), np.arange(row, row + n), *zip(*rows, strict=True)]
                 row += n
@@ -188,28 +225,36 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_groups
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(work, LINKED)
 
 
-def aligned(ids: list[tuple[np.ndarray, np.ndarray]], t: Tokenizers, width: int, digests: Digests, keep_groups: bool):
-    """A row for each (A, B) of a block of texts, which all have tokens."""
-    if not ids:
+def before(marks: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place."""
+    return np.cumsum(marks, dtype=np.int32) - marks
+
+
+def aligned(ids: list[np.ndarray], counts: list[np.ndarray], t: Tokenizers, digests: Digests, keep_groups: bool):
+    """A row for each text of a block; ids and counts as Tokenizers.encode gives them."""
+    (a, b), n = ids, len(counts[0])
+    if not n:
         return
-    all_a, all_b = (np.concatenate([x[k] for x in ids]).astype(np.int64) for k in (0, 1))
-    ends_a, ends_b = np.cumsum(t.sizes_a[all_a]), np.cumsum(t.sizes_b[all_b])
-    till_a, till_b = (np.cumsum([len(x[k]) for x in ids]) for k in (0, 1))
+    ends_a, ends_b = (np.cumsum(sizes[x], dtype=np.int32) for sizes, x in zip(t.sizes, ids, strict=True))
+    till_a, till_b = map(np.cumsum, counts)
     rows = ends_a[till_a - 1]
     cuts = shared_cuts(ends_a, ends_b, rows)
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-    link_a, link_b = links_of(ends_a, ends_b)
-    owner = np.searchsorted(till_a, link_a, "right")
-    pairs = all_a[link_a] * width + all_b[link_b]
-    distinct, times = np.unique((owner << 31) | pairs, return_counts=True)
-    of = np.searchsorted(distinct, np.arange(len(ids) + 1) << 31)
-    n_links = np.bincount(owner, minlength=len(ids))
+    at_a, at_b, at_cut = (np.zeros(int(rows[-1]) + 1, bool) for _ in range(3))
+    at_a[ends_a] = at_b[ends_b] = at_cut[cuts] = True
+    groups = before(at_cut)
+    group_a, group_b = groups[ends_a], groups[ends_b]
+    # a link lies between each two neighbouring ends of either
+    ends = np.flatnonzero(at_a | at_b)
+    link_a, link_b = before(at_a)[ends], before(at_b)[ends]
+    n_links = np.diff(np.searchsorted(ends, rows, "right"), prepend=0)
+    pairs = a[link_a].astype(np.int64) * len(t.bytes[1]) + b[link_b]
+    distinct, times = np.unique((np.repeat(np.arange(n), n_links) << 31) | pairs, return_counts=True)
+    of = np.searchsorted(distinct, np.arange(n + 1) << 31)
     pairs, times = (distinct & ((1 << 31) - 1)).astype(np.int32), times.astype(np.int32)
+    parts = digests.parts(a, b, group_a, group_b, till_b)
     a0 = b0 = g0 = 0
-    for i in range(len(ids)):
-        a1, b1 = int(till_a[i]), int(till_b[i])
-        g1 = int(group_a[a1 - 1]) + 1
-        shown = digests.text(all_a[a0:a1], all_b[b0:b1], group_a[a0:a1] - g0, group_b[b0:b1] - g0)
+    for i, (a1, b1, g1) in enumerate(zip(till_a.tolist(), till_b.tolist(), (group_a[till_a - 1] + 1).tolist(), strict=True)):
+        shown = b"".join(parts[a0 + b0 : a1 + b1])
         yield a1 - a0, b1 - b0, g1 - g0, int(n_links[i]), hashlib.sha256(shown).hexdigest(), shown.decode() if keep_groups else None, pairs[of[i] : of[i + 1]], times[of[i] : of[i + 1]]
         a0, b0, g0 = a1, b1, g1
 
