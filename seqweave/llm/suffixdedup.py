@@ -44,6 +44,8 @@ BITS = 30
 BUCKET = 40_000
 #: Classes of a gram, of some 800 bytes each, up to which they meet in one task; windows that share one core.
 HOT, STEP = 4_000, 24
+#: Bytes of a group's number before its suffixes.
+OWNER = 8
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _cache: dict[int, np.ndarray] = {}
@@ -248,10 +250,17 @@ def reaches(lefts: list[bytes], shared: list[int], length: int) -> tuple[list[in
     return left, right
 
 
+def once(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of docs (_k1, _k2, text) that places (unique _k1, _k2) has, each once, with its columns."""
+    # the few keys go first: texts that are not asked for are not dealt out
+    return docs.join(stored(places.select("_k1", "_k2")), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"])
+
+
 def sorted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int) -> DataFrame:
-    """(_k1, _k2, start, stop) removed around the picked anchors (_k1, _k2, pos, bucket) of docs (_k1, _k2, text)."""
-    places = picked.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("pos", "bucket")).alias("at"))
-    rows = docs.dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"])
+    """(_k1, _k2, start, stop) removed around the picked anchors (_k1, _k2, pos, bucket, owner) of docs (_k1, _k2, text). Suffixes are
+    sorted behind their owner, the number of their group, so groups stay apart in a bucket; an anchor stands once in a group."""
+    places = picked.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("pos", "bucket", "owner")).alias("at"))
+    rows = once(docs, places)
 
     def runs(batches):
         for batch in batches:
@@ -262,7 +271,7 @@ def sorted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int) -
                 for x in at:
                     p = x["pos"]
                     payload = struct.pack("<qqi", row["_k1"], row["_k2"], p) + text[max(0, p - (length - gram)) : p][::-1]
-                    by.setdefault(x["bucket"], []).append((text[p : p + length], payload))
+                    by.setdefault(x["bucket"], []).append((struct.pack(">q", x["owner"]) + text[p : p + length], payload))
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([front_coded(v) for v in by.values()], pa.binary())], names=["bucket", "run"])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -279,9 +288,9 @@ def sorted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int) -
             group.clear()
 
         for _, payload, shared in merged(table.column("run").to_pylist()):
-            if shared < gram:
+            if shared < OWNER + gram:
                 close()
-            group.append((payload, shared))
+            group.append((payload, shared - OWNER))
         close()
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_k1", "_k2", "start", "stop"])
@@ -295,7 +304,7 @@ WINDOWS = "_k1 long, _k2 long, pos int, k int, w1 long, w2 long"
 def window_hashes(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """Of asked (_k1, _k2, pos, k, width): the hash of the `width` bytes from pos - k on, where the text has them."""
     places = asked.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("pos", "k", "width")).alias("at"))
-    rows = docs.dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"]).select("_k1", "_k2", "text", "at")
+    rows = once(docs, places).select("_k1", "_k2", "text", "at")
 
     def digests(batches):
         for batch in batches:
@@ -332,7 +341,8 @@ def split_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int, ho
     met = stored(found.join(sizes, key))
     small, rest = met.where(F.col("count") <= hot), met.where(F.col("count") > hot).select("_k1", "_k2", "pos").distinct()
     buckets = max(1, -(-small.count() // BUCKET))
-    out = sorted_reaches(docs, small.select("_k1", "_k2", "pos", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("bucket")), length, gram)
+    owner = F.xxhash64(*key)  # tells apart both ways of an anchor, so it never meets itself
+    out = sorted_reaches(docs, small.select("_k1", "_k2", "pos", F.pmod(owner, F.lit(buckets)).cast("int").alias("bucket"), owner.alias("owner")), length, gram)
     return out if rest.isEmpty() else out.unionByName(counted_reaches(docs, rest, length, gram))
 
 
@@ -364,7 +374,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         copies = copies.unionByName(split_reaches(docs, often, length, gram, hot))
     picked = picked.where("NOT often")
     buckets = max(1, -(-picked.count() // BUCKET))
-    picked = picked.select("_k1", "_k2", "pos", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("bucket"))
+    picked = picked.select("_k1", "_k2", "pos", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("bucket"), F.col("gram").alias("owner"))
     return copies.unionByName(sorted_reaches(docs, picked, length, gram)).distinct()
 
 

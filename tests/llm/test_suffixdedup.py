@@ -95,3 +95,20 @@ def test_anchors_do_not_depend_on_the_chunk():
     one, _ = S.anchors_of(text, np.array([0, len(text)]), 400, 64)
     two, _ = S.anchors_of(long, np.array([0, 1 << 17, len(long)]), 400, 64)
     assert one.tolist() == [x - (1 << 17) for x in two.tolist() if x >= 1 << 17]
+
+
+@pytest.mark.parametrize("bucket", [S.BUCKET, 50])
+def test_no_anchor_meets_itself_at_any_threshold(spark, monkeypatch, bucket):
+    """Passages around one common line, by each way for hot grams: the same bytes go, in one bucket and in several."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line = text(90)
+    around = [(text(280), text(280)) for _ in range(12)]
+    texts = [text(rng.randint(0, 300)) + a + line + b + text(rng.randint(0, 300)) for a, b in around for _ in range(2)]
+    texts += [text(500) + line + text(500) for _ in range(40)]
+    want = dict(enumerate(brute([t.encode() for t in texts], S.LENGTH)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(S, "BUCKET", bucket)
+    for hot in (2, 5, 10**9):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.deduplicated(docs, hot=hot).collect()}
+        assert got == want, hot
