@@ -2,8 +2,8 @@
 
 Texts are cut into windows of WINDOW bytes, which together hold every byte. In each window a forward and a backward GRU read
 the bytes, and each position gets probabilities of the languages from both states; a document's probabilities are the mean over
-its positions. The network is fitted on the driver on a bounded sample: at most about PER_LANG documents of each language, one
-passage of at most PASSAGE characters from each. Labels are only read there; a prediction uses the text alone.
+its positions. The network is fitted on the driver on a bounded sample: at most PER_LANG rows of each of the MOST_LANGS commonest
+languages, one passage of at most PASSAGE characters from each. Labels are only read there; a prediction uses the text alone.
 
 Edge cases: null text and text without a letter are `und` with score 0; rows without a label teach nothing; without any
 labelled row everything is `und`; ties go to the first language in order; repeated rows give repeated results.
@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import replaced, spans_of_rows, table, text_bytes, with_schema
 
 WINDOW, HIDDEN, STEPS, BATCH, RATE = 64, 8, 500, 192, 0.02
-PER_LANG, PASSAGE = 400, 1000
+#: Rows of a language and characters of a row that teach, and languages that are learned (the commonest), at most.
+PER_LANG, PASSAGE, MOST_LANGS = 400, 1000, 100
 LANES = 2048
 PAD = 256
 #: The pipeline rejects documents whose pooled probability is below this, and `und`.
@@ -159,17 +160,15 @@ class ByteGRU:
         return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def sample(labelled: DataFrame, text: str, lang: str, key: str, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """(passage, lang) of about per_lang rows of each language, chosen by a hash: few rows whatever the table's size."""
-    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = rows.groupBy(lang).count().collect()
-    if not counts:
-        return []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, per_lang / r[1]))))
-    chance = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    start = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(6)), F.greatest(F.lit(1), F.length(text) - PASSAGE)) + 1
-    picked = rows.where(chance < F.element_at(share, F.col(lang))).select(F.substr(text, start.cast("int"), F.lit(PASSAGE)), lang)
-    return sorted(((r[0], r[1]) for r in picked.collect()), key=lambda r: (r[1], r[0]))
+def sample(labelled: DataFrame, text: str, lang: str, key: str, per_lang: int = PER_LANG, most: int = MOST_LANGS) -> list[tuple[str, str]]:
+    """(passage, lang) of per_lang rows at most of each of the `most` commonest languages: the rows with the least hashes of key and
+    text. Tasks keep per_lang rows of a language each before any is dealt out."""
+    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), text, F.lit(5)).alias("h"))
+    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    start = F.pmod(F.xxhash64("h", F.lit(6)), F.greatest(F.lit(1), F.length("text") - PASSAGE)) + 1
+    passages = rows.where(F.col("lang").isin(langs)).select(F.substr("text", start.cast("int"), F.lit(PASSAGE)).alias("text"), "lang", "h")
+    picked = passages.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("place") <= per_lang)
+    return sorted(((r.text, r.lang) for r in picked.collect()), key=lambda r: (r[1], r[0]))
 
 
 def fit(rows: list[tuple[str, str]], **options) -> tuple[list[str], ByteGRU | None]:

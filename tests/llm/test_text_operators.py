@@ -307,3 +307,12 @@ def test_langid_odd_tables(spark):
     got = Counter((r.doc_id, r.lang_pred, r.score) for r in langid.identify(few.union(few), langs, net).collect())
     assert set(got.values()) == {2} and langid.identify(few.limit(0), langs, net).count() == 0
     assert langid.trained(docs.limit(0)) == ([], None)
+
+
+def test_langid_sample_is_bounded(spark):
+    """Rows that share an id, have none, or are all the same: no more than the bound, and each language is learned."""
+    rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('text of its own ', id) as text", "'en' as lang")
+    rows = rows.union(spark.range(3000).selectExpr("9L", "concat('ein Text ', id)", "'de'")).union(spark.range(3000).selectExpr("7L", "'le texte'", "'fr'"))
+    rows = rows.union(spark.createDataFrame([(1, "x", "aa"), (2, None, "en"), (3, "text", None)], "doc_id long, text string, lang string"))
+    assert Counter(lang for _, lang in langid.sample(rows, "text", "lang", "doc_id", per_lang=50)) == {"en": 50, "de": 50, "fr": 50, "aa": 1}
+    assert {lang for _, lang in langid.sample(rows, "text", "lang", "doc_id", per_lang=50, most=2)} == {"de", "en"}
