@@ -529,11 +529,34 @@ def chains(spark, sf):
     return chaining.chains(found(spark, sf), index(spark, sf))
 
 
-@query()
+#: Anchors of each read in order; a row for each step, with score, size and start of the best chains that end with the last ten.
+BEST_CHAIN_SQL = "WITH RECURSIVE " + MEMS_SQL.removeprefix("WITH ") + """, ix AS (SELECT item_id AS ref_id, sum(length(text) + 1) OVER (ORDER BY item_id) - length(text) - 1 AS start FROM benchmark),
+an AS (SELECT read_id, start + rpos + qe - qs - 1 AS x, qe - 1 AS y, qe - qs AS w FROM occ JOIN ix USING (ref_id)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY x, y, w) AS n, avg(w) OVER (PARTITION BY read_id) AS mean FROM an),
+ln AS (SELECT b.read_id, b.n, b.n - a.n AS d, b.x - a.x AS dx, b.y - a.y AS dy, b.w, b.mean, abs((b.x - a.x) - (b.y - a.y)) AS g FROM nu a JOIN nu b ON a.read_id = b.read_id AND b.n - a.n BETWEEN 1 AND 10
+       WHERE b.x - a.x <= 500 AND b.y - a.y BETWEEN 1 AND 100),
+ga AS (SELECT read_id, n, d, CAST(least(dx, dy, w) AS BIGINT) - CASE WHEN g > 0 THEN CAST(floor((trunc(0.01::DOUBLE * g * mean) + floor(log2(g))) / 2) AS BIGINT) ELSE 0 END AS gain FROM ln),
+ls AS (SELECT nu.read_id, nu.n, x, y, w, coalesce(list([d, gain] ORDER BY d) FILTER (d IS NOT NULL), []) AS ways FROM nu LEFT JOIN ga ON ga.read_id = nu.read_id AND ga.n = nu.n GROUP BY nu.read_id, nu.n, x, y, w),
+st AS (SELECT read_id, n, x, y, w::BIGINT AS f, 1::BIGINT AS size, x AS x0, y AS y0, [[w::BIGINT, 1, x, y]] AS last FROM ls WHERE n = 1
+  UNION ALL SELECT read_id, n, x, y, f, size, x0, y0, list_concat([[f, size, x0, y0]], last)[1:10] FROM (
+    SELECT read_id, n, x, y, last, CASE WHEN top > w THEN top ELSE w END AS f, CASE WHEN top > w THEN last[back][2] + 1 ELSE 1 END AS size, CASE WHEN top > w THEN last[back][3] ELSE x END AS x0, CASE WHEN top > w THEN last[back][4] ELSE y END AS y0 FROM (
+      SELECT *, CASE WHEN len(ways) > 0 THEN ways[list_position(list_transform(ways, lambda v: last[v[1]][1] + v[2]), top)][1] END AS back FROM (
+        SELECT ls.read_id, ls.n, ls.x, ls.y, ls.w::BIGINT AS w, ls.ways, st.last, list_max(list_transform(ls.ways, lambda v: st.last[v[1]][1] + v[2])) AS top FROM st JOIN ls ON ls.read_id = st.read_id AND ls.n = st.n + 1)))),
+be AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY f DESC, n DESC) AS k FROM st WHERE f > 40)
+SELECT read_id, 0 AS chain, f AS score, CAST(size AS INTEGER) AS n_anchors, CAST(x0 AS BIGINT) AS x0, CAST(x AS BIGINT) AS x1, CAST(y0 AS BIGINT) AS y0, CAST(y AS BIGINT) AS y1 FROM be WHERE k = 1"""
+
+
+@query(BEST_CHAIN_SQL)
 def best_chain(spark, sf):
     return chaining.best(chaining.chains(found(spark, sf), index(spark, sf)))
 
 
+@query()
+def secondary_chains(spark, sf):
+    """Chains of the matches and their halves, and those that a second recurrence finds beside each anchor's best chain."""
+    return chaining.chains(halves(spark, sf).select("read_id", "qs", "qe", "occs"), index(spark, sf), chaining.ChainConfig(secondary=True))
+
+
 # ---- alignment: the items of benchmark are the reads, the documents the collection ----
 
 
