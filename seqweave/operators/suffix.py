@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .collection import BIN, pieces, seqidx
-from .distributed import cut, ranked, running_sum
+from .distributed import cut, ranked, running_sum, stored
 
 SEPARATOR, TERMINATOR = 2, 1
 
@@ -97,8 +97,7 @@ def letter_ranks(run_table: DataFrame, asked: DataFrame) -> DataFrame:
 
 def threshold_offsets(run_table: DataFrame, found: DataFrame) -> DataFrame:
     """One row: least and largest distance of a threshold from the end of the run of the same letter before, and log2 of the largest."""
-    last = F.lag(F.col("start") + F.col("len")).over(W.partitionBy("head").orderBy("run_id"))
-    off = run_table.withColumn("lo", last).where("lo IS NOT NULL").join(found, "run_id").select((F.col("threshold") - F.col("lo")).alias("d"))
+    off = gaps(run_table).join(found, "run_id").select((F.col("threshold") - F.col("lo")).alias("d"))
     return off.agg(F.min("d").alias("least"), F.max("d").alias("most"), F.round(F.log2(F.max("d") + 1), 6).alias("log2_most"))
 
 
@@ -119,6 +118,12 @@ def f_column(b: DataFrame) -> DataFrame:
     return counts.withColumn("f", F.coalesce(F.sum("n").over(W.orderBy("c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
 
+def f_column_of_runs(run_table: DataFrame) -> DataFrame:
+    """(c, f) from runs: occurrences of all smaller characters; one row for each character."""
+    counts = run_table.groupBy(F.col("head").alias("c")).agg(F.sum("len").alias("n"))
+    return counts.select("c", F.coalesce(F.sum("n").over(W.orderBy("c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("f"))
+
+
 def lf(b: DataFrame) -> DataFrame:
     """(rank, lf): the rank of the suffix that starts one place earlier."""
     return ranked(b.select("rank", "c"), ["c", "rank"], "lf").select("rank", "lf")
@@ -134,10 +139,9 @@ def run_ranks(run_table: DataFrame) -> DataFrame:
     return both.join(F.broadcast(first), "head").select("run_id", "head", (F.col("lf") - F.col("f")).alias("head_rank"), (F.col("k") - F.col("k0")).alias("run_head_rank"), "lf")
 
 
-def lcp(chars: DataFrame, sa: DataFrame) -> DataFrame:
-    """(rank, lcp) with the suffix before, by joins only: ranks of prefixes of 2^j characters are compared from long to short."""
-    levels = [chars.select("i", F.col("c").cast("long").alias("r"))]
-    n, step = sa.count(), 1
+def prefix_ranks(chars: DataFrame, n: int) -> list[DataFrame]:
+    """(i, r) for prefixes of 1, 2, 4 ... characters at every place that has so many: equal prefixes have equal ranks. Ends when all differ."""
+    levels, step = [chars.select("i", F.col("c").cast("long").alias("r"))], 1
     while step < n:
         now = levels[-1]
         ahead = now.select((F.col("i") - step).alias("i"), F.col("r").alias("s"))
@@ -146,23 +150,65 @@ def lcp(chars: DataFrame, sa: DataFrame) -> DataFrame:
         step *= 2
         if levels[-1].groupBy("r").count().where("count > 1").isEmpty():
             break
-    at = _neighbour(sa, 1, "j").where("j IS NOT NULL").select("rank", F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).cast("long").alias("lcp"))
-    for k in range(len(levels) - 1, -1, -1):
+    return levels
+
+
+def common_extensions(levels: list[DataFrame], asked: DataFrame, bound: int | None = None) -> DataFrame:
+    """asked (key, a, b) with lce: how many characters the text shares from places a and b on, at most `bound`; 0 for places outside the
+    text. a and b differ. Ranks of prefixes of 2^j characters are compared from long to short, two joins a level."""
+    at = asked.withColumn("lce", F.lit(0).cast("long"))
+    top = len(levels) - 1 if bound is None else min(len(levels) - 1, max(0, bound.bit_length() - 1))
+    for k in range(top, -1, -1):
         left = levels[k].select(F.col("i").alias("_a"), F.col("r").alias("_ra"))
         right = levels[k].select(F.col("i").alias("_b"), F.col("r").alias("_rb"))
-        at = at.join(left, F.col("a") + F.col("lcp") == F.col("_a"), "left").join(right, F.col("b") + F.col("lcp") == F.col("_b"), "left")
-        at = cut(at.withColumn("lcp", F.col("lcp") + F.when(F.col("_ra") == F.col("_rb"), F.lit(1 << k)).otherwise(F.lit(0))).select("rank", "a", "b", "lcp"))
-    return at.select("rank", "lcp").unionByName(sa.where("rank = 0").select("rank", F.lit(0).cast("long").alias("lcp")))
+        for _ in range(1 if bound is None or k < top else 2):  # a bound can hold the longest stretch twice, less one
+            at = at.join(left, F.col("a") + F.col("lce") == F.col("_a"), "left").join(right, F.col("b") + F.col("lce") == F.col("_b"), "left")
+            at = cut(at.withColumn("lce", F.col("lce") + F.when(F.col("_ra") == F.col("_rb"), F.lit(1 << k)).otherwise(F.lit(0))).select(*asked.columns, "lce"))
+    return at if bound is None else at.withColumn("lce", F.least("lce", F.lit(bound)))
+
+
+def lcp(chars: DataFrame, sa: DataFrame) -> DataFrame:
+    """(rank, lcp) with the suffix before."""
+    pairs = _neighbour(sa, 1, "j").where("j IS NOT NULL").select("rank", F.col("i").alias("a"), F.col("j").alias("b"))
+    found = common_extensions(prefix_ranks(chars, sa.count()), pairs).select("rank", F.col("lce").alias("lcp"))
+    return found.unionByName(sa.where("rank = 0").select("rank", F.lit(0).cast("long").alias("lcp")))
+
+
+def gaps(run_table: DataFrame) -> DataFrame:
+    """(run_id, start, prev, lo): each run that has one of its letter before it, with that one's number and end. Runs are numbered in one order
+    by letter, dealt by range, so those of a frequent letter do not meet in one task."""
+    numbered = ranked(run_table.select("head", "run_id", "start", "len"), ["head", "run_id"], "k")
+    before = numbered.select((F.col("k") + 1).alias("k"), F.col("head").alias("h"), F.col("run_id").alias("prev"), (F.col("start") + F.col("len")).alias("lo"))
+    return numbered.join(before, "k").where("h = head").select("run_id", "start", "prev", "lo")
+
+
+def range_minima(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (key, a, b) with m: the least of values (i, m) for i from a to b. Two stretches of a power of two cover a range; minima of
+    stretches are doubled level by level, and each level answers the ranges of its size."""
+    asked = stored(asked.withColumn("j", F.floor(F.log2((F.col("b") - F.col("a") + 1).cast("double"))).cast("int")))
+    most = asked.agg(F.max("j")).first()[0]
+    level, answers = values, None
+    for j in range(0 if most is None else most + 1):
+        if j:
+            ahead = level.select((F.col("i") - (1 << (j - 1))).alias("i"), F.col("m").alias("m2"))
+            level = cut(level.join(ahead, "i").select("i", F.least("m", "m2").alias("m")))
+        mine = asked.where(F.col("j") == j)
+        left = level.select(F.col("i").alias("a"), F.col("m").alias("m1"))
+        right = level.select((F.col("i") + (1 << j) - 1).alias("b"), F.col("m").alias("m2"))
+        found = mine.join(left, "a").join(right, "b").select("key", "a", "b", F.least("m1", "m2").alias("m"))
+        answers = found if answers is None else answers.unionByName(found)
+    return answers if answers is not None else asked.crossJoin(values.limit(0).select("m")).select("key", "a", "b", "m")
 
 
 def thresholds(run_table: DataFrame, lcps: DataFrame) -> DataFrame:
     """(run_id, threshold): the first place of the least LCP between a run and the run before of the same character; 0 for the first
-    run of a character."""
-    w = W.partitionBy("head").orderBy("run_id")
-    gaps = run_table.withColumn("lo", F.lag(F.col("start") + F.col("len")).over(w)).withColumn("hi", F.col("start"))
-    asked = gaps.where("lo IS NOT NULL").select("run_id", F.explode(F.sequence("lo", "hi")).alias("rank"))
-    least = asked.join(lcps, "rank").groupBy("run_id").agg(F.min(F.struct("lcp", "rank")).alias("m")).select("run_id", F.col("m.rank").alias("threshold"))
-    return run_table.select("run_id").join(least, "run_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0)))
+    run of a character. The runs between both are whole, so one minimum for each run and range minima over runs are enough."""
+    every = run_table.select("run_id", "start", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("rank")).join(lcps, "rank")
+    low = stored(every.groupBy("run_id").agg(F.min(F.struct("lcp", "rank")).alias("m"), F.min(F.when(F.col("rank") == F.col("start"), F.struct("lcp", "rank"))).alias("own")))
+    between = gaps(run_table).select(F.col("run_id").alias("key"), (F.col("prev") + 1).alias("a"), (F.col("run_id") - 1).alias("b"))
+    least = range_minima(low.select(F.col("run_id").alias("i"), "m"), between).select(F.col("key").alias("run_id"), "m")
+    found = least.join(low.select("run_id", "own"), "run_id").select("run_id", F.least("m", "own")["rank"].alias("threshold"))
+    return run_table.select("run_id").join(found, "run_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0)))
 
 
 def summary(run_table: DataFrame) -> DataFrame:

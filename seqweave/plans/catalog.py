@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators import alignment, chaining, collection, distributed, extending, lifting, matching, pairing, statistics, suffix
+from ..operators import alignment, chaining, collection, distributed, extending, lifting, matching, pairing, pseudo, statistics, suffix
 from ..sources import sinks, variants
 
 K = 25
@@ -452,6 +452,64 @@ def threshold_offsets(spark, sf):
     return suffix.threshold_offsets(table_of, suffix.thresholds(table_of, suffix.lcp(c, sa)))
 
 
+THRESHOLD_SQL = ORACLES["thresholds"].removesuffix("SELECT run_id, CAST(coalesce(t, 0) AS BIGINT) AS threshold FROM rn LEFT JOIN mn USING (run_id)") + """,
+th AS (SELECT run_id, head AS c, start, stop, CAST(coalesce(t, 0) AS BIGINT) AS thr, row_number() OVER (PARTITION BY head ORDER BY run_id) AS k FROM rn LEFT JOIN mn USING (run_id))
+"""
+
+
+def run_table(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Runs of the collection and their thresholds."""
+    c = chars(spark, sf)
+    sa = suffix.suffix_array(c)
+    runs = distributed.stored(suffix.runs(suffix.bwt(c, sa)))
+    return runs, suffix.thresholds(runs, suffix.lcp(c, sa))
+
+
+@query(THRESHOLD_SQL + """, q AS (SELECT DISTINCT lead(c, 1, 7) OVER (ORDER BY run_id) AS c, start AS i FROM th)
+SELECT q.c, q.i, count(th.run_id) AS n_before FROM q LEFT JOIN th ON th.c = q.c AND th.k > 1 AND th.thr < q.i GROUP BY q.c, q.i""")
+def threshold_ranks(spark, sf):
+    """Thresholds before the start of each run, of the letter of the run after it, or of a letter that does not occur."""
+    runs, found = run_table(spark, sf)
+    after = runs.select((F.col("run_id") - 1).alias("run_id"), F.col("head").alias("c"))
+    asked = runs.join(after, "run_id", "left").select(F.coalesce("c", F.lit(7)).alias("c"), F.col("start").alias("i")).distinct()
+    return pseudo.threshold_ranks(runs, found, asked)
+
+
+#: Steps of every letter from every place, then one letter of each turn after the other.
+PSEUDO_SQL = THRESHOLD_SQL.replace("WITH x AS", "WITH RECURSIVE x AS", 1) + """, nn AS (SELECT max(stop) AS n FROM th),
+sr AS (SELECT *, coalesce(sum(stop - start) OVER (PARTITION BY c ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, lead(thr, 1, (SELECT n + 1 FROM nn)) OVER (PARTITION BY c ORDER BY start) AS nthr FROM th),
+rd AS (SELECT conv_id, turn, coalesce(text, '') AS s, row_number() OVER (ORDER BY conv_id, turn) - 1 AS k FROM conversations),
+ch AS MATERIALIZED (SELECT k, t, ord(substr(s, length(s) - t, 1)) AS c FROM (SELECT k, s, CAST(unnest(range(0, length(s))) AS INTEGER) AS t FROM rd)),
+lt AS (SELECT c FROM ch UNION SELECT c FROM th),
+fc AS (SELECT lt.c, CAST(coalesce(sum(th.stop - th.start), 0) AS BIGINT) AS f FROM lt LEFT JOIN th ON th.c < lt.c GROUP BY lt.c),
+gr AS (SELECT p AS pos, c, f FROM fc, (SELECT unnest(range(0, n + 1)) AS p FROM nn)),
+tr AS MATERIALIZED (SELECT pos, gr.c, CAST(CASE WHEN start IS NULL THEN f WHEN pos < stop THEN f + before + pos - start ELSE f + before + stop - start - CASE WHEN pos < nthr THEN 1 ELSE 0 END END AS BIGINT) AS nxt, start IS NOT NULL AND pos < stop AS hit FROM gr ASOF LEFT JOIN sr ON gr.c = sr.c AND gr.pos >= sr.start),
+st AS (SELECT k, -1 AS t, (SELECT CAST(n - 1 AS BIGINT) FROM nn) AS pos, 0 AS len FROM rd
+  UNION ALL SELECT st.k, ch.t, tr.nxt, CASE WHEN tr.hit THEN len + 1 ELSE 0 END FROM st JOIN ch ON ch.k = st.k AND ch.t = st.t + 1 JOIN tr ON tr.pos = st.pos AND tr.c = ch.c)
+SELECT conv_id, turn, count(*) FILTER (t >= 0) AS n, CAST(coalesce(sum(len), 0) AS BIGINT) AS total, CAST(max(len) AS INTEGER) AS longest, sha256('>' || k || chr(10) || coalesce(string_agg(len, ' ' ORDER BY t DESC) FILTER (t >= 0), '')) AS digest FROM st JOIN rd USING (k) GROUP BY conv_id, turn, k"""
+
+
+@query(PSEUDO_SQL)
+def pseudo_lengths(spark, sf):
+    """Pseudo-lengths of every turn of a conversation in the items, and their text form under the turn's number in order."""
+    turns = distributed.ranked(table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("seq")), ["conv_id", "turn"], "read_id")
+    turns = distributed.stored(turns)
+    found = pseudo.pseudo_lengths(turns, pseudo.steps(*run_table(spark, sf))).join(turns.select("read_id", "conv_id", "turn"), "read_id")
+    n = F.col("lengths")
+    total = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
+    text = sinks.lengths_text(F.col("read_id").cast("string"), n)
+    return found.select("conv_id", "turn", F.size(n).cast("long").alias("n"), total.alias("total"), F.coalesce(F.array_max(n), F.lit(0)).alias("longest"), F.sha2(text, 256).alias("digest"))
+
+
+@query(LCP_SQL.replace("lag(i) OVER (ORDER BY rank) AS j", "lag(i, 2) OVER (ORDER BY rank) AS j") + f"SELECT i, j, CAST(least(n, 40) AS BIGINT) AS lce FROM l{_LCP_STEPS + 1} WHERE j IS NOT NULL")
+def common_extensions(spark, sf):
+    """What each suffix shares with the one two before it in suffix order, 40 characters at most."""
+    c = chars(spark, sf)
+    sa = distributed.stored(suffix.suffix_array(c))
+    two = sa.join(sa.select((F.col("rank") + 2).alias("rank"), F.col("i").alias("b")), "rank").select(F.col("i").alias("a"), "b")
+    return suffix.common_extensions(suffix.prefix_ranks(c, sa.count()), two, 40).select(F.col("a").alias("i"), F.col("b").alias("j"), "lce")
+
+
 @query(RUN_SQL + "SELECT CAST(sum(len) AS BIGINT) AS n, count(*) AS r, sum(len) / count(*) AS n_over_r, log2(sum(len) / count(*)) AS log2_n_over_r FROM rn")
 def run_summary(spark, sf):
     return suffix.summary(suffix.runs(transform(spark, sf)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import sound_mapq
+from ..operators.distributed import ranked
 
 #: The columns of SAM, in order.
 SAM = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
@@ -61,3 +62,10 @@ def mems_text(name: Column, mems: Column) -> Column:
 
 def write_csv(stats: DataFrame, path: str) -> None:
     stats.write.option("header", True).csv(path)
+
+
+def write_pseudo_lengths(found: DataFrame, path: str) -> None:
+    """found (read_id, lengths) as text in order of read_id: `>` and the read's number in that order, then its pseudo-lengths."""
+    numbered = ranked(found.select("read_id", "lengths"), ["read_id"], "_n")
+    lines = numbered.select("_n", lengths_text(F.col("_n").cast("string"), F.col("lengths")).alias("value"))
+    lines.repartitionByRange("_n").sortWithinPartitions("_n").select("value").write.text(path)
