@@ -5,6 +5,8 @@ References are the rows of benchmark, reads the rows of documents, mates neighbo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
@@ -160,11 +162,6 @@ def anti_unmatched_reads(spark, sf):
     return reads(spark, sf).join(found(spark, sf), "read_id", "left_anti").select("read_id")
 
 
-@query(MEMS_SQL + "SELECT read_id, qs, qe, ref_id, rpos FROM (SELECT *, row_number() OVER (PARTITION BY read_id, qs, qe, ref_id ORDER BY rpos) AS n FROM occ) WHERE n <= 1000")
-def seed_cap(spark, sf):
-    return matching.seed_cap(matching.occurrences(found(spark, sf)), 1000)
-
-
 HALF_SQL = MEMS_SQL + f""", hv AS (SELECT read_id, qs, qe, 0 AS half FROM mem UNION ALL SELECT read_id, qs, qs + (qe - qs) // 2, 1 FROM mem WHERE qe - qs >= {2 * K} UNION ALL SELECT read_id, qs + (qe - qs) // 2, qe, 2 FROM mem WHERE qe - qs >= {2 * K}),
 ho AS (SELECT hv.*, run.ref_id, run.rpos + hv.qs - run.qs AS rpos FROM hv JOIN run ON run.read_id = hv.read_id AND run.qs <= hv.qs AND run.qe >= hv.qe)
 """
@@ -179,12 +176,6 @@ def sub_seeds(spark, sf):
     return halves(spark, sf).select("read_id", "qs", "qe", "half", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "half", "o.ref_id", "o.rpos")
 
 
-@query(HALF_SQL + "SELECT read_id, qs, qe, half, n_occ FROM (SELECT *, n_occ / sum(n_occ) OVER (PARTITION BY read_id) AS share FROM (SELECT read_id, qs, qe, half, count(*) AS n_occ FROM ho GROUP BY ALL)) WHERE share <= 0.5")
-def freq_filter(spark, sf):
-    """Among matches and their halves: a read with one short match loses it, one with a long match keeps what is rarer."""
-    return matching.frequency_filter(halves(spark, sf), 0.5).select("read_id", "qs", "qe", "half", F.col("n_occ").cast("long").alias("n_occ"))
-
-
 #: Both strands of the documents in their DNA-like view, under 2 * doc_id + strand, against the items in theirs. Of four documents in
 #: order of doc_id the latter two are reads of the other strand, so matches fall on either.
 STRANDS_SQL = f"""WITH rd AS (SELECT 2 * doc_id + strand AS read_id, CASE WHEN strand <> doc_id // 2 % 2 THEN reverse(translate(s, 'ACGTacgt', 'TGCATGCA')) ELSE s END AS seq FROM (SELECT doc_id, {DNA_SQL} AS s, unnest([0, 1]) AS strand FROM documents WHERE length(text) >= {K})),
@@ -192,20 +183,50 @@ rf AS (SELECT item_id AS ref_id, {DNA_SQL} AS seq FROM benchmark WHERE length(te
 """ + MEMS_SQL[MEMS_SQL.index("qk AS") :]
 
 
-def both_strands(spark, sf) -> tuple[DataFrame, DataFrame]:
+def both_strands(spark, sf, k: int = K) -> tuple[DataFrame, DataFrame]:
     """The documents on both strands, and their matches."""
     view = S.dna_view(F.col("seq"))
     other = F.pmod(F.floor(F.col("read_id") / 2), F.lit(2)) == 1
     both = alignment.stranded(reads(spark, sf).withColumn("seq", F.when(other, S.revcomp(view)).otherwise(view)))
-    return both, matching.smems(both, refs(spark, sf).withColumn("seq", S.dna_view(F.col("seq"))), K)
+    return both, matching.smems(both, refs(spark, sf).withColumn("seq", S.dna_view(F.col("seq"))), k)
+
+
+def of_length(sql: str, k: int) -> str:
+    """The SQL of matches for another least length."""
+    return re.sub(rf"\b{K}\b", str(k), re.sub(rf"\b{K - 1}\b", str(k - 1), sql))
+
+
+def dna_matches(spark, sf, k: int) -> DataFrame:
+    """Matches of k letters or more between documents and items, both in their DNA-like view, where short ones repeat."""
+    view = S.dna_view(F.col("seq"))
+    return matching.smems(reads(spark, sf).withColumn("seq", view), refs(spark, sf).withColumn("seq", view), k)
+
+
+DNA_MEMS_SQL = f"""WITH rd AS (SELECT doc_id AS read_id, {DNA_SQL} AS seq FROM documents WHERE length(text) >= {K}),
+rf AS (SELECT item_id AS ref_id, {DNA_SQL} AS seq FROM benchmark WHERE length(text) >= {K}),
+""" + MEMS_SQL[MEMS_SQL.index("qk AS") :]
+#: Least lengths at which the filters below have something to drop.
+CAP_K, SHARE_K, SIDE_K = 11, 12, 12
+
+
+@query(of_length(DNA_MEMS_SQL, CAP_K) + "SELECT read_id, qs, qe, ref_id, rpos FROM (SELECT *, row_number() OVER (PARTITION BY read_id, qs, qe, ref_id ORDER BY rpos) AS n FROM occ) WHERE n <= 1")
+def seed_cap(spark, sf):
+    """One occurrence of a match in each item."""
+    return matching.seed_cap(matching.occurrences(dna_matches(spark, sf, CAP_K)), 1)
+
+
+@query(of_length(DNA_MEMS_SQL, SHARE_K) + "SELECT read_id, qs, qe, n_occ FROM (SELECT *, n_occ / sum(n_occ) OVER (PARTITION BY read_id) AS share FROM (SELECT read_id, qs, qe, count(*) AS n_occ FROM occ GROUP BY ALL)) WHERE share <= 0.1")
+def freq_filter(spark, sf):
+    """Matches that hold at most a tenth of their read's occurrences."""
+    return matching.frequency_filter(dna_matches(spark, sf, SHARE_K), 0.1).select("read_id", "qs", "qe", F.col("n_occ").cast("long").alias("n_occ"))
 
 
-@query(STRANDS_SQL + """, d AS (SELECT read_id, read_id // 4 AS pair_id, (read_id // 2 + read_id) % 2 AS dir, qs, qe FROM mem),
+@query(of_length(STRANDS_SQL, SIDE_K) + """, d AS (SELECT read_id, read_id // 4 AS pair_id, (read_id // 2 + read_id) % 2 AS dir, qs, qe FROM mem),
 m AS (SELECT *, coalesce(avg(qe - qs) FILTER (dir = 0) OVER (PARTITION BY pair_id), 0) AS m0, coalesce(avg(qe - qs) FILTER (dir = 1) OVER (PARTITION BY pair_id), 0) AS m1 FROM d)
 SELECT pair_id, read_id, qs, qe, CAST(dir AS INTEGER) AS dir FROM m WHERE NOT ((dir = 0 AND m1 - m0 > 50) OR (dir = 1 AND m0 - m1 > 50))""")
 def direction_filter(spark, sf):
     """Documents 2i and 2i + 1 are mates."""
-    mems = matching.paired_directions(both_strands(spark, sf)[1])
+    mems = matching.paired_directions(both_strands(spark, sf, SIDE_K)[1])
     return matching.direction_filter(mems, 50.0, "pair_id").select("pair_id", "read_id", "qs", "qe", "dir")
 
 
