@@ -1,15 +1,23 @@
 """Matching statistics: for each place of a read, the longest prefix of the rest that occurs in the collection, and a place where it does.
 
-From k characters on they follow from the maximal matches; below k the length is found by halving steps, each an equality join
-with the distinct words of the collection.
+From k characters on they follow from the maximal matches. Below k they follow from the words of k - 1 characters that begin at the
+places of the collection, in order: the longest prefix of a place of a read that occurs is the longer one of what it shares with
+the two words between which it falls, and the words with that prefix are neighbours. While there are at most WORDS_SENT
+distinct words they go to the tasks, and reads are only dealt out to meet their maximal matches. Beyond that the length is
+found by halving steps, each an equality join of all places with the distinct words of that length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .distributed import stored
-from .matching import STRETCH
+from .matching import STRETCH, letters
+
+#: Distinct words of the collection that go to the tasks, and places of a read that are looked up at a time.
+WORDS_SENT, AT_ONCE = 250_000, 1 << 16
 
 
 def places(reads: DataFrame, width: int) -> DataFrame:
@@ -21,17 +29,21 @@ def places(reads: DataFrame, width: int) -> DataFrame:
     return whole.select("read_id", (F.col("at") + F.col("j")).alias("i"), F.substr("part", F.col("j") + 1, F.lit(width)).alias("ahead"))
 
 
-def words(refs: DataFrame, index: DataFrame, longest: int) -> DataFrame:
-    """(word, at): substrings of the collection of 1 to `longest` characters, and the first place of each in it."""
+def word_ends(refs: DataFrame, index: DataFrame, longest: int) -> DataFrame:
+    """(ahead, at): the distinct words of `longest` characters, or less at an end of a sequence, and the first place of each."""
     ends = places(refs.select(F.col("ref_id").alias("read_id"), "seq"), longest).withColumnRenamed("read_id", "ref_id").join(index.select("ref_id", "start"), "ref_id")
-    ends = ends.groupBy("ahead").agg(F.min(F.col("start") + F.col("i")).alias("at"))
+    return ends.groupBy("ahead").agg(F.min(F.col("start") + F.col("i")).alias("at"))
+
+
+def words(ends: DataFrame) -> DataFrame:
+    """(word, at): all prefixes of the words in ends, and the first place of each."""
     size = F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("n")
     return ends.select("ahead", "at", size).select(F.substr("ahead", F.lit(1), F.col("n")).alias("word"), "at").groupBy("word").agg(F.min("at").alias("at"))
 
 
-def short_lengths(reads: DataFrame, refs: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def short_lengths(reads: DataFrame, ends: DataFrame, k: int) -> DataFrame:
     """(read_id, i, len, at) capped at k - 1: prefixes of a matching word match, so the length is found bit by bit."""
-    known = stored(words(refs, index, k - 1))
+    known = stored(words(ends))
     now = places(reads, k - 1).withColumns({"len": F.lit(0), "at": F.lit(-1).cast("long")})
     step = 1 << max(0, (k - 1).bit_length() - 1)
     while step:
@@ -42,14 +54,105 @@ def short_lengths(reads: DataFrame, refs: DataFrame, index: DataFrame, k: int) -
     return now.select("read_id", "i", "len", "at")
 
 
-def matching_statistics(reads: DataFrame, refs: DataFrame, index: DataFrame, mems: DataFrame, k: int) -> DataFrame:
+class SortedWords:
+    """Words of at most `width` letters in order, each letter a number from 1 on, with the first place of each."""
+
+    def __init__(self, words: list[str], at: np.ndarray, width: int):
+        self.width = width
+        codes = letters("".join(words))
+        self.alphabet = np.unique(codes)
+        self.kind = np.dtype(np.uint8 if len(self.alphabet) < 250 else ">u4")
+        sizes = np.array([len(w) for w in words], np.int64)
+        table = np.zeros((len(words), width), self.kind)
+        table[np.arange(width) < sizes[:, None]] = np.searchsorted(self.alphabet, codes) + 1
+        keys = self._keys(table)
+        order = np.argsort(keys, kind="stable")
+        self.table, self.keys, self.least = table[order], keys[order], [at[order]]
+
+    def _keys(self, table: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(table).view(f"S{self.width * self.kind.itemsize}").reshape(-1)
+
+    def _least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least place among words [lo, hi), by minima over stretches of powers of two."""
+        while 2 << (len(self.least) - 1) <= len(self.keys):
+            now, half = self.least[-1], 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(now[:-half], now[half:]))
+        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        out = np.empty(len(lo), np.int64)
+        for j in np.unique(level):
+            mine = level == j
+            out[mine] = np.minimum(self.least[j][lo[mine]], self.least[j][hi[mine] - (1 << int(j))])
+        return out
+
+    def numbers(self, text: str) -> np.ndarray:
+        codes = letters(text)
+        k = np.minimum(np.searchsorted(self.alphabet, codes), max(0, len(self.alphabet) - 1))
+        known = self.alphabet[k] == codes if len(self.alphabet) else np.zeros(len(codes), bool)
+        return np.where(known, k + 1, len(self.alphabet) + 1).astype(self.kind)
+
+    def longest(self, numbers: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Length and first place of the longest prefix that occurs, at the places [first, last) of a read; 0 and -1 for none."""
+        n, width = last - first, self.width
+        if not len(self.keys):
+            return np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        part = np.zeros(n + width - 1, self.kind)
+        ahead = numbers[first : min(len(numbers), last + width - 1)]
+        part[: len(ahead)] = ahead
+        asked = np.lib.stride_tricks.sliding_window_view(part, width)
+        at = np.searchsorted(self.keys, self._keys(asked))
+        length = np.zeros(n, np.int64)
+        for k in (at - 1, at):
+            there = (k >= 0) & (k < len(self.keys))
+            same = (self.table[np.clip(k, 0, len(self.keys) - 1)] == asked) & (asked > 0)
+            length = np.maximum(length, np.where(there, np.where(same.all(axis=1), width, same.argmin(axis=1)), 0))
+        inside = np.arange(width) < length[:, None]
+        top = np.iinfo(self.kind).max
+        lo = np.searchsorted(self.keys, self._keys(np.where(inside, asked, 0).astype(self.kind)))
+        hi = np.searchsorted(self.keys, self._keys(np.where(inside, asked, top).astype(self.kind)), "right")
+        hit = length > 0
+        place = np.full(n, -1, np.int64)
+        place[hit] = self._least(lo[hit], hi[hit])
+        return length, place
+
+
+def searched(reads: DataFrame, first: DataFrame, words_of: DataFrame, k: int) -> DataFrame:
+    """(read_id, lengths, pointers) with the words in the tasks; first (read_id, qs, qe, p): maximal matches and a place of each."""
+    rows = words_of.toArrow()  # at most WORDS_SENT rows of k - 1 characters
+    shared = reads.sparkSession.sparkContext.broadcast((rows.column("ahead").to_pylist(), rows.column("at").to_numpy().astype(np.int64)))
+    matches = first.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("qe", "qs", "p"))).alias("m"))  # no more than letters of the read
+    both = reads.where(F.length("seq") > 0).select("read_id", "seq").join(matches, "read_id", "left").select("read_id", "seq", "m")
+    schema = T.StructType([both.schema["read_id"], T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("pointers", T.ArrayType(T.LongType()))])
+
+    def work(batches):
+        words = SortedWords(*shared.value, k - 1)
+        for batch in batches:
+            for i, (text, found) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                numbers = words.numbers(text.as_py())
+                n = len(numbers)
+                length, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+                for lo in range(0, n, AT_ONCE):
+                    hi = min(n, lo + AT_ONCE)
+                    length[lo:hi], place[lo:hi] = words.longest(numbers, lo, hi)
+                for m in found.as_py() or ():  # later ends are longer wherever both hold
+                    here = np.arange(m["qs"], m["qe"] - k + 1)
+                    length[here], place[here] = m["qe"] - here, m["p"] + here - m["qs"]
+                lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(x, t)) for x, t in ((length.astype(np.int32), pa.int32()), (place, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *lists], names=["read_id", "lengths", "pointers"])
+
+    return both.mapInArrow(work, schema)
+
+
+def matching_statistics(reads: DataFrame, refs: DataFrame, index: DataFrame, mems: DataFrame, k: int, sent: int = WORDS_SENT) -> DataFrame:
     """(read_id, lengths, pointers): for each place, in order, the length and a place in the collection where it begins (-1 for length
     0): the first one of the word below k characters, else of the maximal match it lies in. mems are the maximal matches of at
-    least k characters."""
+    least k characters. Null and empty reads have no row."""
     occ = mems.select("read_id", "qs", "qe", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "o.*").join(index.select("ref_id", "start"), "ref_id")
     first = occ.groupBy("read_id", "qs", "qe").agg(F.min(F.col("start") + F.col("rpos")).alias("p"))
+    ends = stored(word_ends(refs, index, k - 1))
+    if ends.count() <= sent:
+        return searched(reads, first, ends, k)
     covered = first.select("read_id", F.explode(F.sequence("qs", F.col("qe") - k)).alias("i"), "qs", "qe", "p").select("read_id", "i", (F.col("qe") - F.col("i")).alias("len"), (F.col("p") + F.col("i") - F.col("qs")).alias("at"))
-    both = short_lengths(reads, refs, index, k).unionByName(covered).groupBy("read_id", "i").agg(F.max(F.struct("len", "at")).alias("m"))
+    both = short_lengths(reads, ends, k).unionByName(covered).groupBy("read_id", "i").agg(F.max(F.struct("len", "at")).alias("m"))
     rows = both.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("i", "m.len", "m.at"))).alias("all"))
     return rows.select("read_id", F.col("all.len").alias("lengths"), F.col("all.at").alias("pointers"))
 

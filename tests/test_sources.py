@@ -1,6 +1,7 @@
 import gzip
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,14 +103,17 @@ def test_collection_is_built_from_variants(spark, tmp_path):
         variants.built(spark, str(tmp_path / "x.fq")).collect()
 
 
-def test_matching_statistics(spark):
+@pytest.mark.parametrize("sent,at_once", [(10**6, 1 << 16), (10**6, 7), (0, 1 << 16)])
+def test_matching_statistics(spark, monkeypatch, sent, at_once):
+    """With the words in the tasks, in stretches of any size, and by joins."""
+    monkeypatch.setattr(statistics, "AT_ONCE", at_once)
     rng = random.Random(4)
     refs = [(i, f"s{i}", dna(rng, 300)) for i in range(3)]
     reads = [(i, refs[i % 3][2][40 : 40 + 30 * i] + dna(rng, 40) + "Né") for i in range(6)] + [(6, ""), (7, None), (8, "A")]
     rf = spark.createDataFrame(refs, "ref_id long, name string, seq string")
     rd = spark.createDataFrame(reads, "read_id long, seq string")
     text = "|".join(r for _, _, r in refs)
-    ms = statistics.matching_statistics(rd, rf, collection.seqidx(rf.withColumn("name", F.lit("r")), 1), matching.smems(rd, rf, 8), 8)
+    ms = statistics.matching_statistics(rd, rf, collection.seqidx(rf.withColumn("name", F.lit("r")), 1), matching.smems(rd, rf, 8), 8, sent)
     got = {r.read_id: r for r in ms.select("read_id", "lengths", "pointers", statistics.mem_list(F.col("lengths")).alias("mems")).collect()}
     assert set(got) == {0, 1, 2, 3, 4, 5, 8}
     for i, seq in reads:
@@ -120,6 +124,25 @@ def test_matching_statistics(spark):
             assert [tuple(m) for m in got[i].mems] == [(k, n) for k, n in enumerate(want) if k == 0 or n >= want[k - 1]]
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "".join(map(chr, range(300, 620)))])
+def test_sorted_words_against_scans(alphabet):
+    rng = random.Random(3)
+    text = "".join(rng.choice(alphabet) for _ in range(400))
+    at = {}
+    for i in range(len(text)):
+        at.setdefault(text[i : i + 6], i)
+    words = statistics.SortedWords(list(at), np.array(list(at.values())), 6)
+    read = text[50:90] + "".join(rng.choice(alphabet + "?\x00") for _ in range(60)) + text[-4:]
+    length, place = words.longest(words.numbers(read), 0, len(read))
+    for i in range(len(read)):
+        n = max(n for n in range(min(6, len(read) - i) + 1) if read[i : i + n] in text)
+        assert (length[i], place[i]) == (n, text.find(read[i : i + n]) if n else -1)
+    part = words.longest(words.numbers(read), 11, 57)
+    assert part[0].tolist() == length[11:57].tolist() and part[1].tolist() == place[11:57].tolist()
+    none = statistics.SortedWords([], np.zeros(0, np.int64), 6).longest(words.numbers(read), 0, len(read))
+    assert not none[0].any() and (none[1] == -1).all()
+
+
 def test_sam_and_lists(spark, tmp_path):
     refs = spark.createDataFrame([(1, "a", "ACGT"), (2, "b", "AC")], "ref_id long, name string, seq string")
     rows = spark.createDataFrame([("r", 0, "a", 3, 7, None), ("s", 4, None, None, None, "3A0")], "qname string, flag int, rname string, pos long, AS int, MD string")
