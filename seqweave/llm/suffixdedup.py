@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_key, spans_of_rows, stored, table, text_bytes
+from .common import discard, row_key, spans_of_rows, stored, stored_paths, table, text_bytes
 
 LENGTH, GRAM = 400, 64
 CHUNK = 1 << 19
@@ -44,8 +44,8 @@ BITS = 30
 BUCKET = 40_000
 #: Classes of a gram, of some 800 bytes each, up to which they meet in one task; windows that share one core.
 HOT, STEP = 4_000, 24
-#: Bytes of a group's number before its suffixes.
-OWNER = 8
+#: Bytes of a group's number before its suffixes; keys of rows, 16 bytes each, that go to the tasks.
+OWNER, KEYS_SENT = 8, 1_000_000
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _cache: dict[int, np.ndarray] = {}
@@ -251,9 +251,12 @@ def reaches(lefts: list[bytes], shared: list[int], length: int) -> tuple[list[in
 
 
 def once(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows of docs (_k1, _k2, text) that places (unique _k1, _k2) has, each once, with its columns."""
-    # the few keys go first: texts that are not asked for are not dealt out
-    return docs.join(stored(places.select("_k1", "_k2")), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"])
+    """Rows of docs (_k1, _k2, text) that places (unique _k1, _k2) has, each once, with its columns. The keys go first: as long as they are
+    at most KEYS_SENT they go to the tasks, and texts that are not asked for are not dealt out."""
+    places = stored(places)
+    keys = places.select("_k1", "_k2")
+    asked = docs.join(F.broadcast(keys) if keys.count() <= KEYS_SENT else keys, ["_k1", "_k2"], "left_semi")
+    return asked.dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"])
 
 
 def sorted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int) -> DataFrame:
@@ -360,10 +363,12 @@ def counted_reaches(docs: DataFrame, picked: DataFrame, length: int, gram: int,
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(_k1, _k2, start, stop): byte ranges to remove from docs (_k1, _k2, text); they may overlap."""
     key, context = ["gram"], ["gram", "c1", "c2"]
-    found = stored(anchors(docs, length, gram))
-    # written before it is joined: a join of two plain shuffles can split a hot gram
-    again = stored(found.groupBy(*key).count().where("count > 1").select(*key))
-    found = stored(found.join(again, key, "left_semi"))
+    with stored_paths() as paths:
+        every = stored(anchors(docs, length, gram))
+        # written before it is joined: a join of two plain shuffles can split a hot gram
+        again = stored(every.groupBy(*key).count().where("count > 1").select(*key))
+    found = stored(every.join(again, key, "left_semi"))
+    discard(docs.sparkSession, paths)
     classes = found.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "pos")).alias("one"))
     classes = stored(classes)
     copies = found.join(classes.where("n > 1").select(*context), context, "left_semi").select("_k1", "_k2", "start", "stop")

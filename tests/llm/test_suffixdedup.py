@@ -109,6 +109,6 @@ def test_no_anchor_meets_itself_at_any_threshold(spark, monkeypatch, bucket):
     want = dict(enumerate(brute([t.encode() for t in texts], S.LENGTH)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(S, "BUCKET", bucket)
-    for hot in (2, 5, 10**9):
+    for hot in (2, 5):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.deduplicated(docs, hot=hot).collect()}
         assert got == want, hot
