@@ -199,12 +199,16 @@ def found(reads: DataFrame, refs: DataFrame, index: DataFrame, cfg: AlignConfig
     shorter on average by more; with most_share those with a larger share of their read's occurrences go; with apart, of chains
     of one score that begin less than that apart on one sequence, the first stays."""
     both = stranded(reads)
-    mems = matching.with_halves(both, refs, cfg.min_len).drop("half") if cfg.halves else matching.smems(both, refs, cfg.min_len)
+    mems = matching.with_halves(both, refs, cfg.min_len) if cfg.halves else matching.smems(both, refs, cfg.min_len)
     mems = matching.capped(mems, cfg.per_ref)
-    if cfg.direction is not None:
-        mems = matching.direction_filter(matching.paired_directions(mems), cfg.direction, "pair_id").drop("pair_id", "dir")
-    if cfg.most_share is not None:
-        mems = matching.frequency_filter(mems, cfg.most_share).drop("n_occ", "share")
+    if cfg.direction is not None or cfg.most_share is not None:
+        mems = stored(mems)
+        kept = matching.intervals(mems)
+        if cfg.direction is not None:
+            kept = matching.direction_filter(matching.paired_directions(kept), cfg.direction, "pair_id")
+        if cfg.most_share is not None:
+            kept = matching.frequency_filter(kept, cfg.most_share)
+        mems = matching.of_matches(mems, kept)
     chains = chaining.solved(chaining.anchors(mems, index), chain_cfg)
     if cfg.apart:
         chains = chaining.apart(chains, cfg.apart)

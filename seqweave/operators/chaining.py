@@ -29,9 +29,8 @@ class ChainConfig:
 def anchors(mems: DataFrame, index: DataFrame) -> DataFrame:
     """One row for each occurrence of each match: x and y are the ends in the collection and the read, w the length; start and len are
     those of the sequence."""
-    occ = mems.select("read_id", "qs", "qe", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "o.*")
     w = F.col("qe") - F.col("qs")
-    return occ.join(index.select("ref_id", "start", "len"), "ref_id").select("read_id", "ref_id", "start", "len", (F.col("start") + F.col("rpos") + w - 1).alias("x"), (F.col("qe") - 1).alias("y"), w.alias("w"))
+    return mems.join(index.select("ref_id", "start", "len"), "ref_id").select("read_id", "ref_id", "start", "len", (F.col("start") + F.col("rpos") + w - 1).alias("x"), (F.col("qe") - 1).alias("y"), w.alias("w"))
 
 
 NEVER = -(1 << 60)

@@ -42,7 +42,7 @@ def extended(reads: DataFrame, refs: DataFrame, index: DataFrame, cfg: alignment
     under the least one, have no row."""
     both = alignment.stranded(reads)
     mems = matching.smems(both, refs, cfg.min_len)
-    occ = matching.occurrences(mems).join(matching.longest(mems), ["read_id", "qs", "qe"])
+    occ = matching.of_matches(mems, matching.longest(mems))
     w = (F.col("qe") - F.col("qs")).cast("long")
     x, y = F.col("start") + F.col("rpos") + w - 1, (F.col("qe") - 1).cast("long")
     one = occ.join(index.select("ref_id", "start", "len"), "ref_id").select("read_id", "ref_id", "start", "len", x.alias("x0"), x.alias("x1"), y.alias("y0"), y.alias("y1"), w.alias("score"), F.array(F.struct(x.alias("x"), y.alias("y"), w.alias("w"))).alias("anchors"))

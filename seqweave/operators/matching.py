@@ -17,6 +17,8 @@ from ..functions.scalars import REVERSE, SECONDARY
 from .distributed import spread, stored
 
 STRETCH = 256
+#: The columns that name a match.
+MATCH = ["read_id", "qs", "qe"]
 #: Letters that one step of the seed search takes together; low bits of a hash that give way to places, the same for all texts.
 PIECE, PLACES = 1 << 20, 22
 #: Distinct hashes of reference seeds that are sent to the tasks, eight bytes each.
@@ -175,35 +177,52 @@ def islands(found: DataFrame, k: int) -> DataFrame:
 
 
 def maximal(runs: DataFrame, reads: DataFrame) -> DataFrame:
-    """Read intervals that no other matching interval contains, with all their occurrences; intervals of N only go."""
-    found = runs.groupBy("read_id", "qs", "qe").agg(F.collect_list(F.struct("ref_id", "rpos")).alias("occs"))
+    """Rows of `runs` on read intervals that no other matching interval contains: (read_id, qs, qe, ref_id, rpos), one for each
+    occurrence, in no common row or group; intervals of N only go. Which intervals stay is decided on distinct ones; `runs` is read
+    twice, so give it stored."""
     before = W.partitionBy("read_id").orderBy("qs", F.desc("qe")).rowsBetween(W.unboundedPreceding, -1)
-    kept = found.withColumn("_reach", F.max("qe").over(before)).where("_reach IS NULL OR qe > _reach").drop("_reach")
-    seqs = reads.select("read_id", "seq")
+    each = runs.select("read_id", "qs", "qe").distinct()
+    top = each.withColumn("_reach", F.max("qe").over(before)).where("_reach IS NULL OR qe > _reach").drop("_reach")
     match = F.substr("seq", F.col("qs") + 1, F.col("qe") - F.col("qs"))
-    return kept.join(seqs, "read_id").where(match.rlike("[^N]")).drop("seq")
+    kept = top.join(reads.select("read_id", "seq"), "read_id").where(match.rlike("[^N]")).drop("seq")
+    return runs.join(kept, MATCH, "left_semi").select(*MATCH, "ref_id", "rpos")
 
 
 def smems(reads: DataFrame, refs: DataFrame, k: int = 25) -> DataFrame:
-    """(read_id, qs, qe, occs): super-maximal exact matches of at least k characters."""
-    return maximal(islands(runs(reads, refs, k), k), reads)
+    """(read_id, qs, qe, ref_id, rpos): each occurrence of each super-maximal exact match of at least k characters."""
+    return maximal(stored(islands(runs(reads, refs, k), k)), reads)
 
 
 def with_halves(reads: DataFrame, refs: DataFrame, k: int = 25) -> DataFrame:
     """Super-maximal matches and, of those of at least 2k characters, both halves with all occurrences of their own: (read_id, qs, qe,
-    occs, half), half 0 for the match, 1 and 2 for its left and right part. Occurrences of a half are the diagonal matches around it."""
+    half, ref_id, rpos), half 0 for the match, 1 and 2 for its left and right part. Occurrences of a half are the diagonal matches around it."""
     found = stored(islands(runs(reads, refs, k), k))
-    whole = maximal(found, reads).withColumn("half", F.lit(0))
+    whole = stored(maximal(found, reads).withColumn("half", F.lit(0)).select(*MATCH, "half", "ref_id", "rpos"))
     n, mid = F.col("qe") - F.col("qs"), F.col("qs") + F.floor((F.col("qe") - F.col("qs")) / 2).cast("int")
     both = F.explode(F.array(F.struct(F.col("qs").alias("qs"), mid.alias("qe"), F.lit(1).alias("half")), F.struct(mid.alias("qs"), F.col("qe").alias("qe"), F.lit(2).alias("half"))))
-    halves = whole.where(n >= 2 * k).select("read_id", both.alias("p")).select("read_id", "p.*")
+    halves = whole.select(*MATCH).distinct().where(n >= 2 * k).select("read_id", both.alias("p")).select("read_id", "p.*")
     around = found.select("read_id", "ref_id", "rpos", F.col("qs").alias("_qs"), F.col("qe").alias("_qe"))
-    met = halves.join(around, "read_id").where("_qs <= qs AND _qe >= qe").select("read_id", "qs", "qe", "half", "ref_id", (F.col("rpos") + F.col("qs") - F.col("_qs")).alias("rpos"))
-    return whole.unionByName(met.groupBy("read_id", "qs", "qe", "half").agg(F.collect_list(F.struct("ref_id", "rpos")).alias("occs")))
+    met = halves.join(around, "read_id").where("_qs <= qs AND _qe >= qe").select(*MATCH, "half", "ref_id", (F.col("rpos") + F.col("qs") - F.col("_qs")).alias("rpos"))
+    return whole.unionByName(met)
+
+
+def keys(mems: DataFrame) -> list[str]:
+    """The columns that name a match: all but those of its occurrence."""
+    return [c for c in mems.columns if c not in ("ref_id", "rpos")]
+
+
+def intervals(mems: DataFrame) -> DataFrame:
+    """Each match once with n_occ, counted where its occurrences are first."""
+    return mems.groupBy(*keys(mems)).agg(F.count("*").alias("n_occ"))
+
+
+def of_matches(mems: DataFrame, kept: DataFrame) -> DataFrame:
+    """The occurrences of the matches in `kept`."""
+    return mems.join(kept, keys(mems), "left_semi").select(*mems.columns)
 
 
 def occurrences(mems: DataFrame) -> DataFrame:
-    return mems.select("read_id", "qs", "qe", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "o.ref_id", "o.rpos")
+    return mems.select(*MATCH, "ref_id", "rpos")
 
 
 def longest(mems: DataFrame) -> DataFrame:
@@ -219,21 +238,19 @@ def seed_cap(occ: DataFrame, cap: int) -> DataFrame:
 
 
 def capped(mems: DataFrame, cap: int) -> DataFrame:
-    """mems with at most `cap` occurrences of a match in each reference; only those with more in all are taken apart."""
-    many = mems.where(F.size("occs") > cap)
-    keys = [c for c in mems.columns if c != "occs"]
-    order = W.partitionBy(*keys, "o.ref_id").orderBy("o.rpos")
-    each = many.select(*keys, F.explode("occs").alias("o")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap)
-    return mems.where(F.size("occs") <= cap).unionByName(each.groupBy(*keys).agg(F.collect_list("o").alias("occs")))
+    """mems with at most `cap` occurrences of a match in each reference, the first by place. Spark keeps `cap` of a task before it
+    deals them out (for caps up to spark.sql.optimizer.windowGroupLimitThreshold)."""
+    order = W.partitionBy(*keys(mems), "ref_id").orderBy("rpos")
+    return mems.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
-def frequency_filter(mems: DataFrame, most: float) -> DataFrame:
-    """Drops matches with more than this share of all occurrences of their read."""
-    return mems.withColumn("n_occ", F.size("occs")).withColumn("share", F.col("n_occ") / F.sum("n_occ").over(W.partitionBy("read_id"))).where(F.col("share") <= most)
+def frequency_filter(found: DataFrame, most: float) -> DataFrame:
+    """`intervals` without the matches with more than this share of all occurrences of their read, and that share."""
+    return found.withColumn("share", F.col("n_occ") / F.sum("n_occ").over(W.partitionBy("read_id"))).where(F.col("share") <= most)
 
 
 def direction_filter(mems: DataFrame, margin: float, by: str = "read_id") -> DataFrame:
-    """Drops, of each group `by`, the direction (column dir, 0 or 1) whose matches are shorter on average by more than `margin`."""
+    """Drops, of each group `by` of `intervals`, the direction (column dir, 0 or 1) whose matches are shorter on average by more than `margin`."""
     group = W.partitionBy(by)
     mean = lambda d: F.coalesce(F.avg(F.when(F.col("dir") == d, F.col("qe") - F.col("qs"))).over(group), F.lit(0.0))
     lead = mems.withColumn("_lead", mean(0) - mean(1))
@@ -260,8 +277,8 @@ def mem_stats(mems: DataFrame, most: float = 0.5) -> DataFrame:
 def averages(mems: DataFrame, reads: DataFrame) -> DataFrame:
     """Per read: mean length of its matches, the mean weighted by occurrences, the number of matches over the sum of read length by
     match length (to six places), and the length of all occurrences together."""
-    n, w = F.size("occs").cast("long"), (F.col("qe") - F.col("qs")).cast("long")
-    sized = mems.join(reads.select("read_id", F.length("seq").alias("_n")), "read_id")
+    n, w = F.col("n_occ"), (F.col("qe") - F.col("qs")).cast("long")
+    sized = intervals(mems).join(reads.select("read_id", F.length("seq").alias("_n")), "read_id")
     return sized.groupBy("read_id").agg(F.avg(w).alias("mean"), (F.sum(w * n) / F.sum(n)).alias("weighted"), F.round(F.count("*") / F.sum(F.col("_n") / w), 6).alias("harmonic"), F.sum(w * n).alias("total_len"))
 
 

@@ -146,7 +146,7 @@ def matching_statistics(reads: DataFrame, refs: DataFrame, index: DataFrame, mem
     """(read_id, lengths, pointers): for each place, in order, the length and a place in the collection where it begins (-1 for length
     0): the first one of the word below k characters, else of the maximal match it lies in. mems are the maximal matches of at
     least k characters. Null and empty reads have no row."""
-    occ = mems.select("read_id", "qs", "qe", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "o.*").join(index.select("ref_id", "start"), "ref_id")
+    occ = mems.join(index.select("ref_id", "start"), "ref_id")
     first = occ.groupBy("read_id", "qs", "qe").agg(F.min(F.col("start") + F.col("rpos")).alias("p"))
     ends = stored(word_ends(refs, index, k - 1))
     if ends.count() <= sent:

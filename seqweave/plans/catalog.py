@@ -133,7 +133,7 @@ def kmer_hits(spark, sf):
 
 @query(MEMS_SQL + "SELECT read_id, qs, qe FROM mem")
 def smem_intervals(spark, sf):
-    return found(spark, sf).select("read_id", "qs", "qe")
+    return matching.intervals(found(spark, sf)).select("read_id", "qs", "qe")
 
 
 @query(MEMS_SQL + "SELECT read_id, qs, qe, ref_id, rpos FROM occ")
@@ -173,7 +173,7 @@ def halves(spark, sf) -> DataFrame:
 
 @query(HALF_SQL + "SELECT read_id, qs, qe, half, ref_id, rpos FROM ho")
 def sub_seeds(spark, sf):
-    return halves(spark, sf).select("read_id", "qs", "qe", "half", F.explode("occs").alias("o")).select("read_id", "qs", "qe", "half", "o.ref_id", "o.rpos")
+    return halves(spark, sf)
 
 
 #: Both strands of the documents in their DNA-like view, under 2 * doc_id + strand, against the items in theirs. Of four documents in
@@ -218,7 +218,7 @@ def seed_cap(spark, sf):
 @query(of_length(DNA_MEMS_SQL, SHARE_K) + "SELECT read_id, qs, qe, n_occ FROM (SELECT *, n_occ / sum(n_occ) OVER (PARTITION BY read_id) AS share FROM (SELECT read_id, qs, qe, count(*) AS n_occ FROM occ GROUP BY ALL)) WHERE share <= 0.1")
 def freq_filter(spark, sf):
     """Matches that hold at most a tenth of their read's occurrences."""
-    return matching.frequency_filter(dna_matches(spark, sf, SHARE_K), 0.1).select("read_id", "qs", "qe", F.col("n_occ").cast("long").alias("n_occ"))
+    return matching.frequency_filter(matching.intervals(dna_matches(spark, sf, SHARE_K)), 0.1).select("read_id", "qs", "qe", "n_occ")
 
 
 @query(of_length(STRANDS_SQL, SIDE_K) + """, d AS (SELECT read_id, read_id // 4 AS pair_id, (read_id // 2 + read_id) % 2 AS dir, qs, qe FROM mem),
@@ -226,7 +226,7 @@ m AS (SELECT *, coalesce(avg(qe - qs) FILTER (dir = 0) OVER (PARTITION BY pair_i
 SELECT pair_id, read_id, qs, qe, CAST(dir AS INTEGER) AS dir FROM m WHERE NOT ((dir = 0 AND m1 - m0 > 50) OR (dir = 1 AND m0 - m1 > 50))""")
 def direction_filter(spark, sf):
     """Documents 2i and 2i + 1 are mates."""
-    mems = matching.paired_directions(both_strands(spark, sf, SIDE_K)[1])
+    mems = matching.paired_directions(matching.intervals(both_strands(spark, sf, SIDE_K)[1]))
     return matching.direction_filter(mems, 50.0, "pair_id").select("pair_id", "read_id", "qs", "qe", "dir")
 
 
@@ -633,7 +633,7 @@ def best_chain(spark, sf):
 @query()
 def secondary_chains(spark, sf):
     """Chains of the matches and their halves, and those that a second recurrence finds beside each anchor's best chain."""
-    return chaining.chains(halves(spark, sf).select("read_id", "qs", "qe", "occs"), index(spark, sf), chaining.ChainConfig(secondary=True))
+    return chaining.chains(halves(spark, sf), index(spark, sf), chaining.ChainConfig(secondary=True))
 
 
 # ---- alignment: the items of benchmark are the reads, the documents the collection ----

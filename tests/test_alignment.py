@@ -81,7 +81,7 @@ def test_occurrences_are_capped_and_frequent_matches_go(spark):
     rf = spark.createDataFrame(refs, "ref_id long, name string, seq string")
     rd = spark.createDataFrame([(0, unit), (1, refs[1][2][50:150]), (2, unit + refs[1][2][20:100])], "read_id long, seq string")
     idx = collection.seqidx(rf)
-    assert A.matching.capped(A.matching.smems(rd, rf), 5).where("read_id = 0 AND size(occs) = 5").count() == 1
+    assert A.matching.capped(A.matching.smems(rd, rf), 5).where("read_id = 0").count() == 5
     places = lambda cfg: {(r.read_id, r.ref_id) for r in A.found(rd, rf, idx, cfg).collect()}
     assert places(CFG) == {(0, 0), (1, 1), (2, 0), (2, 1)}
     assert places(A.AlignConfig(most_share=0.5)) == {(2, 1)}

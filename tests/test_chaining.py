@@ -140,7 +140,7 @@ def test_queries_against_the_slow_recurrence(spark, name, secondary):
     sf = "/root/testdata/sf0.01"
     mems = catalog.halves(spark, sf) if secondary else catalog.found(spark, sf)
     groups = {}
-    for r in C.anchors(mems.select("read_id", "qs", "qe", "occs"), catalog.index(spark, sf)).select("read_id", *(F.col(c).cast("long") for c in "xyw")).collect():
+    for r in C.anchors(mems, catalog.index(spark, sf)).select("read_id", *(F.col(c).cast("long") for c in "xyw")).collect():
         groups.setdefault(r.read_id, []).append((r.x, r.y, r.w))
     want = set()
     for r, g in groups.items():

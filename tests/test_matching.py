@@ -47,16 +47,18 @@ def test_hits_and_maximal_matches(spark, alphabet, k, monkeypatch):
         for a, b in spans:
             if not any((c, d) != (a, b) and c <= a and b <= d for c, d in spans) and set(x[a:b]) != {"N"}:
                 mems[i, a, b] = {(j, r) for j, y in enumerate(refs) if y for r in range(len(y) - (b - a) + 1) if y[r : r + b - a] == x[a:b]}
-    found = M.smems(rd, rf, k).collect()
-    assert {(m.read_id, m.qs, m.qe): {tuple(o) for o in m.occs} for m in found} == mems and len(found) == len(mems)
-    halves = {(m.read_id, m.qs, m.qe, m.half): {tuple(o) for o in m.occs} for m in M.with_halves(rd, rf, k).collect()}
+    found = [tuple(m) for m in M.smems(rd, rf, k).collect()]
+    assert set(found) == {(*m, *o) for m, occs in mems.items() for o in occs} and len(found) == len(set(found))
+    counted = {(m.read_id, m.qs, m.qe): m.n_occ for m in M.intervals(M.smems(rd, rf, k)).collect()}
+    assert counted == {m: len(occs) for m, occs in mems.items()}
+    rows = [tuple(m) for m in M.with_halves(rd, rf, k).collect()]
     slow = {(i, a, b, 0): o for (i, a, b), o in mems.items()}
     for i, a, b in mems:
         if b - a >= 2 * k:
             mid = a + (b - a) // 2
             for half, c, d in ((1, a, mid), (2, mid, b)):
                 slow[i, c, d, half] = {(j, r) for j, y in enumerate(refs) if y for r in range(len(y) - (d - c) + 1) if y[r : r + d - c] == reads[i][c:d]}
-    assert halves == slow
+    assert set(rows) == {(*m, *o) for m, occs in slow.items() for o in occs} and len(rows) == len(set(rows))
 
 
 def test_windows_are_cut_from_pieces(spark, monkeypatch):

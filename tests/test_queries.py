@@ -32,5 +32,5 @@ def test_filters_drop_and_keep(spark):
     count = lambda name: catalog.QUERIES[name](spark, sf).count()
     matches = {k: catalog.dna_matches(spark, sf, k) for k in (catalog.CAP_K, catalog.SHARE_K)}
     assert 0 < count("seed_cap") < catalog.matching.occurrences(matches[catalog.CAP_K]).count()
-    assert 0 < count("freq_filter") < matches[catalog.SHARE_K].count()
-    assert 0 < count("direction_filter") < catalog.both_strands(spark, sf, catalog.SIDE_K)[1].count()
+    assert 0 < count("freq_filter") < catalog.matching.intervals(matches[catalog.SHARE_K]).count()
+    assert 0 < count("direction_filter") < catalog.matching.intervals(catalog.both_strands(spark, sf, catalog.SIDE_K)[1]).count()
