@@ -111,22 +111,38 @@ def extended(query: str, ref: str, cfg: AlignConfig = AlignConfig()) -> str:
 
 
 def along(read: str, ref: str, steps: list[tuple[int, int, int]], cfg: AlignConfig = AlignConfig()) -> tuple[int, str]:
-    """Start in ref and operations of the read aligned along the anchors (end in ref, end in read, length) of a chain. An anchor that
-    overlaps the one before is cut at its start, or left out."""
+    """Start in ref and operations of the read aligned along the anchors (end in ref, end in read, length) of a chain. Where an anchor
+    overlaps the one before in read or ref, both are aligned anew from end to end, or, if they are long, the overlap and `context`
+    letters (TILE at most) on either side; so are further anchors that overlap a stretch of this kind, up to TILE letters in all. An
+    anchor that ends no later than the one before in read or ref, once its overlap is cut off, is left out."""
     x, y, w = steps[0]
     x0, y0 = x - w + 1, y - w + 1
     left = extended(read[:y0][::-1], ref[max(0, x0 - y0 - cfg.context) : x0][::-1], cfg)[::-1]
-    ops = [left, "M" * w]
+    ops, tail, anew = [left], w, None  # tail: letters of the pairs that end at (x, y), not yet among ops; anew: where ops of a stretch begin
     for nx, ny, nw in steps[1:]:
         sx, sy = nx - nw + 1, ny - nw + 1
         cut = max(0, x + 1 - sx, y + 1 - sy)
         if cut >= nw:
             continue
-        sx, sy = sx + cut, sy + cut
-        query, target = read[y + 1 : sy], ref[x + 1 : sx]
-        ops.append(aligned(query, target, cfg)[1] if query and target else "I" * len(query) + "D" * len(target))
-        ops.append("M" * (nw - cut))
+        if cut:
+            reach = min(TILE, cut + cfg.context)
+            back, ahead = min(tail, reach), min(nw - cut, reach)
+            bx, by, ex, ey = x + 1 - back, y + 1 - back, sx + cut + ahead, sy + cut + ahead
+            if anew and back == tail and max(ex - anew[1], ey - anew[2]) <= TILE:
+                at, bx, by = anew
+                del ops[at:]
+            else:
+                ops.append("M" * (tail - back))
+            anew = len(ops), bx, by
+            ops.append(aligned(read[by:ey], ref[bx:ex], cfg)[1])
+            tail = nw - cut - ahead
+        else:
+            query, target = read[y + 1 : sy], ref[x + 1 : sx]
+            ops.append("M" * tail)
+            ops.append(aligned(query, target, cfg)[1] if query and target else "I" * len(query) + "D" * len(target))
+            tail, anew = nw, None
         x, y = nx, ny
+    ops.append("M" * tail)
     rest = read[y + 1 :]
     ops.append(extended(rest, ref[x + 1 : x + 1 + len(rest) + cfg.context], cfg))
     return x0 - sum(o != "I" for o in left), "".join(ops)

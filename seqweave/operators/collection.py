@@ -55,9 +55,10 @@ def random_access(located: DataFrame, refs: DataFrame, width: str) -> DataFrame:
     return asked.join(windows(asked, refs), ["ref_id", "lo", "hi"], "left").withColumn("part", F.coalesce("target", F.lit(""))).drop("lo", "hi", "target")
 
 
-def pieces(refs: DataFrame) -> DataFrame:
-    """(ref_id, bin, part): sequences cut into pieces of BIN characters; null and empty ones have none."""
+def pieces(refs: DataFrame, key: str = "ref_id") -> DataFrame:
+    """(key, bin, part): sequences cut into pieces of BIN characters; null and empty ones have none."""
     size = BIN
+    kind = refs.schema[key].dataType.simpleString()
 
     def cut_up(batches):
         for batch in batches:
@@ -65,16 +66,16 @@ def pieces(refs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 for k in range(0, -(-len(text) // size), 1024):
                     part = [text[i : i + size] for i in range(k * size, min(len(text), (k + 1024) * size), size)]
-                    yield pa.RecordBatch.from_arrays([pa.array([who] * len(part), pa.int64()), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.string())], names=["ref_id", "bin", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([who] * len(part), batch.schema.field(0).type), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part, pa.string())], names=[key, "bin", "part"])
 
-    return refs.select(F.col("ref_id").cast("long"), "seq").mapInArrow(cut_up, "ref_id long, bin long, part string")
+    return refs.select(key, "seq").mapInArrow(cut_up, f"{key} {kind}, bin long, part string")
 
 
-def windows(asked: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ref_id, lo, hi, target): the characters from lo (0-based) up to hi of each asked window (ref_id, lo, hi). Only the pieces that
+def windows(asked: DataFrame, refs: DataFrame, key: str = "ref_id") -> DataFrame:
+    """(key, lo, hi, target): the characters from lo (0-based) up to hi of each asked window (key, lo, hi). Only the pieces that
     windows touch are joined, so no row carries a whole sequence. Windows outside the sequence have no row."""
-    each = asked.select("ref_id", "lo", "hi").where("hi > lo").distinct()
+    each = asked.select(key, "lo", "hi").where("hi > lo").distinct()
     bins = each.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor((F.col("hi") - 1) / BIN))))
-    met = bins.join(pieces(refs), ["ref_id", "bin"]).groupBy("ref_id", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("bin", "part"))).alias("p"))
+    met = bins.join(pieces(refs, key), [key, "bin"]).groupBy(key, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("bin", "part"))).alias("p"))
     begin = F.col("lo") - F.col("p")[0]["bin"] * BIN
-    return met.select("ref_id", "lo", "hi", F.array_join("p.part", "").alias("t"), begin.cast("int").alias("at")).select("ref_id", "lo", "hi", F.expr("substring(t, at + 1, cast(hi - lo as int))").alias("target")).where("target <> ''")
+    return met.select(key, "lo", "hi", F.array_join("p.part", "").alias("t"), begin.cast("int").alias("at")).select(key, "lo", "hi", F.expr("substring(t, at + 1, cast(hi - lo as int))").alias("target")).where("target <> ''")

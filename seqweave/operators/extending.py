@@ -53,3 +53,27 @@ def extended(reads: DataFrame, refs: DataFrame, index: DataFrame, cfg: alignment
     best = ranked.withColumn("second", F.coalesce(F.max(F.when(F.col("_k") > 1, F.col("score"))).over(read), F.lit(0))).where("_k = 1")
     mapq = binned_mapq(F.col("score"), F.col("second"), S.min_score(F.col("n")), F.col("n"), cfg.match)
     return best.select("read_id", "ref_id", "strand", "pos", "score", "second", mapq.alias("mapq"), "cigar", "md", "nm")
+
+
+def sam_rows(found: DataFrame, reads: DataFrame, refs: DataFrame) -> DataFrame:
+    """One SAM row for each read (read_id, seq, and qual if there is one) of `extended`: pos is 1-based; letters and qualities of the
+    reverse strand are turned. Reads that `found` lacks are unmapped, with mapping quality 255."""
+    named = found.join(refs.select("ref_id", F.col("name").alias("rname")), "ref_id")
+    both = reads.select("read_id", "seq", F.col("qual") if "qual" in reads.columns else F.lit(None).cast("string").alias("qual")).join(named, "read_id", "left")
+    back, on = F.col("strand") == 1, F.col("rname").isNotNull()
+    seq = F.when(back, S.revcomp(F.col("seq"))).otherwise(F.col("seq"))
+    qual = F.when(back, F.reverse("qual")).otherwise(F.col("qual"))
+    return both.select(
+        F.col("read_id").cast("string").alias("qname"),
+        F.when(~on, F.lit(S.UNMAPPED)).when(back, F.lit(S.REVERSE)).otherwise(F.lit(0)).alias("flag"),
+        F.coalesce("rname", F.lit("*")).alias("rname"),
+        F.coalesce(F.col("pos") + 1, F.lit(0)).alias("pos"),
+        F.coalesce("mapq", F.lit(255)).alias("mapq"),
+        F.coalesce("cigar", F.lit("*")).alias("cigar"),
+        F.when(on, seq).otherwise(F.lit("*")).alias("seq"),
+        F.when(on, F.coalesce(qual, F.lit("*"))).otherwise(F.lit("*")).alias("qual"),
+        F.col("score").alias("AS"),
+        F.col("nm").alias("NM"),
+        F.when(F.col("second") > 0, F.col("second")).alias("ZS"),
+        F.col("md").alias("MD"),
+    )

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators import alignment, chaining, collection, distributed, extending, lifting, matching, pairing, pseudo, statistics, suffix
+from ..operators import alignment, chaining, collection, distributed, extending, haplotypes, lifting, matching, pairing, pseudo, statistics, suffix
 from ..sources import sinks, variants
 
 K = 25
@@ -665,6 +665,48 @@ def extend_longest(spark, sf):
     return extending.extended(item_reads(spark, sf), docs, collection.seqidx(docs))
 
 
+@query()
+def extend_sam_lines(spark, sf):
+    """SAM lines of every item, extended from its longest match."""
+    items, docs = item_reads(spark, sf), document_refs(spark, sf)
+    rows = extending.sam_rows(extend_longest(spark, sf), items, docs)
+    return rows.select(sinks.sam_line(rows).alias("line"))
+
+
+#: Letters of a read on either side of a place where haplotype and reference differ; letters of an item that a long edit puts in.
+AROUND, PUT_IN = 60, 150
+
+
+def haplotype_reads(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items in their DNA-like view and their haplotypes as a collection, its lift segments, and reads: the letters around each place where
+    a haplotype follows its reference again, and those in the middle of each long insertion; every other one is of the other strand. A
+    haplotype is a language and one of two; an edit at every fifth place puts the item's first letters in, backwards."""
+    items = distributed.stored(refs(spark, sf).select("name", S.dna_view(F.coalesce("seq", F.lit(""))).alias("seq")).where("seq <> ''"))
+    edits = calls(spark, sf).select("chrom", "sample", "hap", "pos", F.length("ref").alias("n"), "alt").join(items.select(F.col("name").alias("chrom"), "seq"), "chrom")
+    ref = F.substr("seq", F.col("pos").cast("int"), F.col("n"))
+    long = F.concat(F.left(ref, F.lit(1)), F.reverse(F.left("seq", F.lit(PUT_IN))))
+    alt = F.when(F.pmod("pos", F.lit(5)) == 0, long).otherwise(S.dna_view(F.col("alt")))
+    found = distributed.stored(edits.select("chrom", "sample", "hap", "pos", ref.alias("ref"), alt.alias("alt")))
+    samples = [r["sample"] for r in found.select("sample").distinct().orderBy("sample").collect()]  # one for each language
+    coll = variants.with_haplotypes(items, found, samples, [1, 2])
+    segments = distributed.stored(variants.collection_segments(coll, found))
+    size = coll.select("ref_id", F.length("seq").cast("long").alias("n"))
+    inside = (F.col("op") == "I") & (F.col("src_end") - F.col("src_start") > 2 * AROUND)
+    mid = F.floor((F.col("src_start") + F.col("src_end")) / 2)
+    at = F.when(inside, mid).when(F.col("op") == "=", F.col("src_start"))
+    place = segments.withColumn("at", at).where("at IS NOT NULL").join(size, "ref_id")
+    place = place.select("ref_id", F.greatest(F.lit(0), F.col("at") - AROUND).cast("long").alias("lo"), F.least("n", F.col("at") + AROUND).cast("long").alias("hi")).distinct()
+    each = distributed.ranked(collection.windows(place, coll), ["ref_id", "lo", "hi"], "read_id")
+    return coll, segments, distributed.stored(each.select("read_id", F.when(F.pmod("read_id", F.lit(2)) == 1, S.revcomp(F.col("target"))).otherwise(F.col("target")).alias("seq")))
+
+
+@query()
+def align_haplotypes(spark, sf):
+    """SAM rows on the items, with OA on the haplotype and AA of equals, of the reads that haplotypes give."""
+    coll, segments, each = haplotype_reads(spark, sf)
+    return haplotypes.single(alignment.found(each, coll, collection.seqidx(coll)), each, coll, segments)
+
+
 # ---- pairs: both halves of an item, on opposite strands, in a DNA-like view of items and documents ----
 
 

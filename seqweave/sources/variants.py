@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators.distributed import ranked
+from ..operators import collection
+from ..operators.distributed import ranked, stored
 from . import sequences
 
 
@@ -19,8 +20,9 @@ def vcf(spark: SparkSession, path) -> DataFrame:
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r$", "").alias("value"))
     names = lines.where(F.col("value").startswith("#CHROM")).select("path", F.slice(F.split("value", "\t"), 10, 1 << 20).alias("names"))
     rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select("path", F.split("value", "\t").alias("f"))
-    each = rows.join(names, "path").select("f", F.posexplode("names").alias("k", "sample"))
-    return each.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("pos"), F.get("f", F.lit(3)).alias("ref"), F.split(F.get("f", F.lit(4)), ",").alias("alts"), "sample", F.split_part(F.get("f", F.col("k") + 9), F.lit(":"), F.lit(1)).alias("genotype"))
+    both = rows.join(names, "path").select("names", F.slice("f", 10, F.size("names")).alias("calls"), F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("pos"), F.get("f", F.lit(3)).alias("ref"), F.split(F.get("f", F.lit(4)), ",").alias("alts"))
+    each = both.select("chrom", "pos", "ref", "alts", F.explode(F.arrays_zip("names", "calls")).alias("s"))  # a row holds its own sample only
+    return each.select("chrom", "pos", "ref", "alts", F.col("s.names").alias("sample"), F.split_part("s.calls", F.lit(":"), F.lit(1)).alias("genotype"))
 
 
 def alleles(variants: DataFrame, haplotypes: list[int] = [1, 2]) -> DataFrame:  # noqa: B006
@@ -37,16 +39,19 @@ def applied(found: DataFrame) -> DataFrame:
 
 
 def haplotypes(refs: DataFrame, found: DataFrame) -> DataFrame:
-    """(name, sample, hap, seq) of refs (name, seq) with the alleles of each haplotype that has any. Each allele gives the reference
-    up to it and its own letters; the pieces are joined in order."""
-    w = W.partitionBy("chrom", "sample", "hap").orderBy("pos")
-    at = found.withColumn("from", F.coalesce(F.lag(F.col("pos") + F.length("ref")).over(w), F.lit(1)))
-    ref = refs.select(F.col("name").alias("chrom"), "seq")
-    piece = F.concat(F.substr("seq", F.col("from"), F.col("pos") - F.col("from")), F.col("alt"))
-    pieces = at.join(ref, "chrom").select("chrom", "sample", "hap", "pos", (F.col("pos") + F.length("ref")).alias("stop"), piece.alias("piece"))
-    joined = pieces.groupBy("chrom", "sample", "hap").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"), F.max("stop").alias("stop"))
-    rest = F.substr("seq", F.col("stop"), F.greatest(F.lit(0), F.length("seq") - F.col("stop") + 1))
-    return joined.join(ref, "chrom").select(F.col("chrom").alias("name"), "sample", "hap", F.concat(F.array_join("p.piece", ""), rest).alias("seq"))
+    """(name, sample, hap, seq) of refs (name, seq) with the alleles of each haplotype that has any. Each allele asks for the stretch of
+    the reference between the one before and itself, and the last one for the rest; the pieces are joined in order."""
+    key = ["chrom", "sample", "hap"]
+    w = W.partitionBy(*key).orderBy("pos")
+    end = F.col("pos") + F.length("ref") - 1
+    size = refs.select(F.col("name").alias("chrom"), F.coalesce(F.length("seq"), F.lit(0)).cast("long").alias("n"))
+    stretch = found.select(*key, "pos", F.coalesce(F.lag(end).over(w), F.lit(0)).cast("long").alias("lo"), (F.col("pos") - 1).alias("hi"), "alt").join(size.select("chrom"), "chrom")
+    rest = found.groupBy(*key).agg(F.max(end).cast("long").alias("lo")).join(size, "chrom").select(*key, F.lit(1 << 62).alias("pos"), "lo", F.col("n").alias("hi"), F.lit("").alias("alt"))
+    asked = stored(stretch.unionByName(rest))
+    texts = collection.windows(asked, refs.select(F.col("name").alias("chrom"), "seq"), "chrom")
+    piece = F.concat(F.coalesce("target", F.lit("")), "alt")
+    joined = asked.join(texts, ["chrom", "lo", "hi"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("p"))
+    return joined.select(F.col("chrom").alias("name"), "sample", "hap", F.array_join("p.piece", "").alias("seq"))
 
 
 def lift_segments(refs: DataFrame, found: DataFrame) -> DataFrame:
@@ -73,12 +78,37 @@ def sample_names(spark: SparkSession, path) -> list[str]:
     return list(dict.fromkeys(n for r in heads.distinct().collect() for n in r.n))
 
 
+def with_haplotypes(refs: DataFrame, found: DataFrame, samples: list[str], haplotypes_of: list[int] = [1]) -> DataFrame:  # noqa: B006
+    """(ref_id, name, base, sample, hap, seq): refs (name, seq) as hap 0 of no sample, then each of them as each haplotype has it, called
+    name/sample/haplotype, without alleles there too; base is the name in refs. Stored, so that its numbers hold."""
+    whole = refs.select(F.lit("").alias("sample"), F.lit(0).alias("hap"), "name", F.col("name").alias("base"), "seq")
+    if samples:
+        mine = found.where(F.col("sample").isin(samples) & F.col("hap").isin(haplotypes_of))
+        changed = haplotypes(refs, mine).withColumnRenamed("seq", "_seq")
+        each = refs.withColumn("sample", F.explode(F.array(*map(F.lit, samples)))).withColumn("hap", F.explode(F.array(*map(F.lit, haplotypes_of))))
+        both = each.join(changed, ["name", "sample", "hap"], "left")
+        whole = whole.unionByName(both.select("sample", "hap", F.concat_ws("/", "name", "sample", "hap").alias("name"), F.col("name").alias("base"), F.coalesce("_seq", "seq").alias("seq")))
+    return stored(ranked(whole, ["sample", "hap", "name"], "ref_id").select("ref_id", "name", "base", "sample", "hap", "seq"))
+
+
+def collection_segments(coll: DataFrame, found: DataFrame) -> DataFrame:
+    """(ref_id, target_id, src_start, src_end, dst_start, op): lift segments of every sequence of `with_haplotypes`, to the ref_id of its
+    reference; sequences without alleles map onto it as they are. Empty ones have none."""
+    refs = coll.where("hap = 0").select("name", "seq")
+    named = coll.select("ref_id", "base", "sample", "hap", F.length("seq").cast("long").alias("n"))
+    moved = lift_segments(refs, found).withColumnRenamed("name", "base").join(named, ["base", "sample", "hap"])
+    same = named.join(found.select(F.col("chrom").alias("base"), "sample", "hap").distinct(), ["base", "sample", "hap"], "left_anti").where("n > 0")
+    zero = F.lit(0).cast("long")
+    all_ = moved.select("ref_id", "base", "src_start", "src_end", "dst_start", "op").unionByName(same.select("ref_id", "base", zero.alias("src_start"), F.col("n").alias("src_end"), zero.alias("dst_start"), F.lit("=").alias("op")))
+    target = coll.where("hap = 0").select("base", F.col("ref_id").alias("target_id"))
+    return all_.join(target, "base").select("ref_id", "target_id", "src_start", "src_end", "dst_start", "op")
+
+
 def built(spark: SparkSession, fasta, vcf_path=None, samples: list[str] | int | None = None, haplotypes_of: list[int] = [1], acgt_only: bool = True) -> DataFrame:  # noqa: B006
     """(ref_id, name, seq): the sequences of FASTA files and, with variant files, each of them as each haplotype of each sample has it,
     called name/sample/haplotype, without variants there too. samples: names, or how many of the header's first; all by default.
     With acgt_only other letters become A. References come first; a FASTQ file or an unknown sample is an error."""
-    refs = sequences.fasta(spark, fasta).select("name", "seq")
-    whole = refs.select(F.lit("").alias("sample"), F.lit(0).alias("hap"), "name", "seq")
+    refs, found, chosen = sequences.fasta(spark, fasta).select("name", "seq"), None, []
     if vcf_path is not None:
         have = sample_names(spark, vcf_path)
         chosen = have if samples is None else have[:samples] if isinstance(samples, int) else list(samples)
@@ -86,9 +116,5 @@ def built(spark: SparkSession, fasta, vcf_path=None, samples: list[str] | int |
             raise ValueError(f"no such samples: {unknown}")
         if chosen:
             found = applied(alleles(vcf(spark, vcf_path).where(F.col("sample").isin(chosen)), haplotypes_of))
-            changed = haplotypes(refs, found).withColumnRenamed("seq", "_seq")
-            each = refs.withColumn("sample", F.explode(F.array(*map(F.lit, chosen)))).withColumn("hap", F.explode(F.array(*map(F.lit, haplotypes_of))))
-            both = each.join(changed, ["name", "sample", "hap"], "left")
-            whole = whole.unionByName(both.select("sample", "hap", F.concat_ws("/", "name", "sample", "hap").alias("name"), F.coalesce("_seq", "seq").alias("seq")))
-    out = ranked(whole, ["sample", "hap", "name"], "ref_id").select("ref_id", "name", "seq")
+    out = with_haplotypes(refs, found, chosen, haplotypes_of).select("ref_id", "name", "seq")
     return out.withColumn("seq", S.acgt_only(F.col("seq"))) if acgt_only else out
