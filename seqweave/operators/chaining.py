@@ -177,10 +177,20 @@ def best(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def apart(found: DataFrame, distance: int) -> DataFrame:
-    """found (CHAINS) without those that begin less than `distance` after another chain of their read, sequence and score: of a row of
-    such chains, each close to the one before, the first stays."""
+def near(found: DataFrame, distance: int) -> DataFrame:
+    """found (CHAINS) with `near`: whether a chain begins less than `distance` after another chain of its read, sequence and score. Of a
+    row of such chains, each close to the one before, only the first is not."""
     first = F.col("x0") - F.element_at("anchors", 1)["w"]
     same = W.partitionBy("read_id", "ref_id", "score").orderBy("_first", "chain")
     gap = F.col("_first") - F.lag("_first").over(same)
-    return found.withColumn("_first", first).withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= distance)).drop("_first", "_gap")
+    return found.withColumn("_first", first).withColumn("near", F.coalesce(gap < distance, F.lit(False))).drop("_first")
+
+
+def apart(found: DataFrame, distance: int) -> DataFrame:
+    """found (CHAINS) without the chains that are `near` another."""
+    return near(found, distance).where(~F.col("near")).drop("near")
+
+
+def skipped(found: DataFrame, distance: int) -> DataFrame:
+    """(read_id, chains_skipped): how many chains of each read `apart` leaves out, 0 included."""
+    return near(found, distance).groupBy("read_id").agg(F.count_if("near").alias("chains_skipped"))

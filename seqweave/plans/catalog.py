@@ -242,6 +242,15 @@ def mem_stats_csv(spark, sf):
     return matching.mem_stats(found(spark, sf))
 
 
+@query()
+def mem_stats_chains(spark, sf):
+    """Match statistics of the matches of 12 letters in the DNA-like view, with the chains that are skipped as they begin less than 10
+    letters after another of their score; reads without a chain have skipped none."""
+    mems = distributed.stored(dna_matches(spark, sf, SHARE_K))
+    skipped = chaining.skipped(chaining.solved(chaining.anchors(mems, index(spark, sf))), 10)
+    return matching.mem_stats(mems).join(skipped, "read_id", "left").fillna(0, ["chains_skipped"])
+
+
 @query(MEMS_SQL + "SELECT CAST(read_id AS VARCHAR) AS qname, 256 AS flag, 'item' || ref_id AS rname, rpos + 1 AS pos, (qe - qs) || 'M' AS cigar, substr(seq, qs + 1, qe - qs) AS match FROM occ JOIN rd USING (read_id)")
 def mem_sam_rows(spark, sf):
     return matching.mem_sam(found(spark, sf), reads(spark, sf), refs(spark, sf).select("ref_id", "name"))
