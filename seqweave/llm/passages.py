@@ -4,9 +4,9 @@ Seeds are grams of WORDS consecutive words, of which each window of WINDOW grams
 seed go six bits of each of the SIDE words before and after it. A seed that occurs again in a document is matched there with its place before, without leaving the document. Of each document the
 first occurrence of a seed, and the first with the same 4 or 8 words before or after it, go on; they are joined with the first
 document's seed, or seed and words: at most five matches for each, not one for each pair, and a common phrase still meets the
-copies of its own passage. A match goes on if NEEDED of the SIDE words on one side agree, shifted by one word at most: in a passage of
-MIN_WORDS words and IDENTITY, one side of each seed is long enough for that. Seeds that very many documents hold are found in a
-bounded sample and are held against grouped minima instead of meeting in one task; the matches are the same.
+copies of its own passage. A match goes on if `needed` of the SIDE words on one side agree, shifted by one word at most: in a passage of
+MIN_WORDS words and IDENTITY, one side of each seed is long enough for that; with `needed` 0 every match goes on. The documents of each
+seed are counted: seeds of more than `hot` are held against grouped minima instead of meeting in one task; the matches are the same.
 
 The matches of a document with another, or with itself, are chained in order: runs on one diagonal become blocks; a Fenwick tree
 over the places in the other document gives each block its best predecessor under linear gap costs; chains are cut at gaps of
@@ -40,17 +40,19 @@ GAP_COST = 0.05
 SIDE, NEEDED, BITS = 8, 4, 6
 CHUNK = 1 << 20
 
-#: A seed in more documents than this, as far as a sample of about SAMPLED of them tells, is joined by grouped minima; below, its
-#: occurrences are a few megabytes in one task.
-HOT, SAMPLED, MOST_HOT = 5_000, 20_000, 100_000
+#: A seed in more documents than this is joined by grouped minima; below, its occurrences, at most one of each class and document, are
+#: a megabyte in one task.
+HOT = 5_000
+#: Frequent seeds go to the tasks while they are at most so many; beyond that they are joined.
+OFTEN_SENT = 1_000_000
 
 #: `h` has 48 bits; `at` is the place in code points (start << 32 | end); `before` and `after` have BITS for each word, the nearest on top.
 #: A negative h marks a match within a document, which is known from the start: `before` is then the earlier place. Bits of `own`: the
-#: seed is the first of its document with this hash, and with each of CONTEXTS; OFTEN marks frequent seeds.
+#: seed is the first of its document with this hash, and with each of CONTEXTS.
 SEEDS = "h long, id long, at long, before long, after long, own long"
 #: Words of `before` or `after` that make a class of contexts.
 CONTEXTS = [("after", 4), ("after", 8), ("before", 4), ("before", 8)]
-OFTEN = 2 << len(CONTEXTS)
+EVERY = (2 << len(CONTEXTS)) - 1
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -74,11 +76,11 @@ def firsts(h: np.ndarray, before: np.ndarray, after: np.ndarray):
         yield order, new, whole[order]
 
 
-def within(row: np.ndarray, h: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def within(row: np.ndarray, h: np.ndarray, before: np.ndarray, after: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For seeds in order of their places: the bits of `own`, and pairs (place, place before) of one seed in one row."""
     order = np.lexsort((h, row))
     same = (row[order][1:] == row[order][:-1]) & (h[order][1:] == h[order][:-1])
-    own = np.full(len(h), OFTEN - 1)
+    own = np.full(len(h), EVERY)
     if not same.any():
         return own, order[:0], order[:0]
     again, last = order[1:][same], order[:-1][same]
@@ -87,16 +89,14 @@ def within(row: np.ndarray, h: np.ndarray, before: np.ndarray, after: np.ndarray
     group = np.unique(np.stack([row[some], h[some]]), axis=1, return_inverse=True)[1].reshape(-1)
     for bit, (by, new, whole) in enumerate(firsts(group, before[some], after[some])):
         own[some[by[new & whole]]] |= 1 << bit
-    good = promising(before[again], after[again], before[last], after[last])
+    good = promising(before[again], after[again], before[last], after[last], needed)
     return own, again[good], last[good]
 
 
-def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = None) -> DataFrame:
-    """SEEDS of docs (id, text); those of sorted hashes `hot` are marked OFTEN."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None and len(hot) else None
+def seeds(docs: DataFrame, words: int, window: int, needed: int = NEEDED) -> DataFrame:
+    """SEEDS of docs (id, text)."""
 
     def pick(batches):
-        often = shared.value if shared else np.zeros(0, np.int64)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = text_bytes(batch.column(1))
@@ -134,8 +134,8 @@ def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = Non
                 origin = chars[offsets[lo : hi + 1] - offsets[lo]][row]
                 place = (chars[w.starts[at]] - origin) << 32 | (chars[w.ends[at + words - 1]] - origin)
                 rows = [key, ids[lo + row], place, *sides]
-                own, again, before = within(row, key, *sides)
-                rows.append(own | np.where(np.isin(key, often), OFTEN, 0) if len(often) else own)
+                own, again, before = within(row, key, *sides, needed)
+                rows.append(own)
                 keep, none = own > 0, np.zeros(len(again), np.int64)
                 known = [-1 - (ids[lo + row[again]] & ((1 << 47) - 1)), rows[1][again], place[again], place[before], none, none]
                 rows = [np.concatenate([x[keep], y]) for x, y in zip(rows, known, strict=True)]
@@ -144,16 +144,10 @@ def seeds(docs: DataFrame, words: int, window: int, hot: np.ndarray | None = Non
     return docs.select("id", "text").mapInArrow(pick, SEEDS)
 
 
-def frequent(docs: DataFrame, words: int, window: int, hot: int) -> np.ndarray:
-    """Sorted hashes of the seeds with more than about `hot` occurrences: eight at least in a sample of documents, MOST_HOT at most.
-    They only decide which way a seed is joined."""
-    n = docs.count()
-    if n <= hot:
-        return np.zeros(0, np.int64)
-    share = max(1, n // SAMPLED)
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else docs
-    counts = seeds(some, words, window).groupBy("h").agg(F.count_distinct("id").alias("n")).where(F.col("n") > max(7, hot // share))
-    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("n")).limit(MOST_HOT).select("h").collect()], np.int64))
+def frequent(found: DataFrame, hot: int) -> DataFrame:
+    """(h) of the SEEDS that more than `hot` documents hold, by exact counts that are pre-aggregated."""
+    first = found.where((F.col("h") >= 0) & (F.col("own").bitwiseAND(F.lit(1)) != 0))
+    return first.groupBy("h").count().where(F.col("count") > hot).select("h")
 
 
 def _words(x: np.ndarray) -> np.ndarray:
@@ -171,8 +165,8 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (hit & (a != 0)).sum(axis=1)
 
 
-def promising(before: np.ndarray, after: np.ndarray, before2: np.ndarray, after2: np.ndarray) -> np.ndarray:
-    return (alike(after, after2) >= NEEDED) | (alike(before, before2) >= NEEDED)
+def promising(before: np.ndarray, after: np.ndarray, before2: np.ndarray, after2: np.ndarray, needed: int) -> np.ndarray:
+    return (alike(after, after2) >= needed) | (alike(before, before2) >= needed)
 
 
 MATCHES = "id long, rid long, at long, rat long"
@@ -184,7 +178,7 @@ def context(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return near, (near & ((1 << BITS) - 1)) != 0  # words that lack are zeros at the far end
 
 
-def matched_rows(h: np.ndarray, ids: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+def matched_rows(h: np.ndarray, ids: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray, needed: int) -> pa.RecordBatch:
     """MATCHES of whole groups of seeds, which come in order of h, id, at."""
     known = h < 0
     done = [ids[known], ids[known], at[known], before[known]]
@@ -201,36 +195,49 @@ def matched_rows(h: np.ndarray, ids: np.ndarray, at: np.ndarray, before: np.ndar
         use = own & whole & (ids[order] != ids[to])
         pairs.append(np.stack([order[use], to[use]], axis=1))
     i, j = np.unique(np.concatenate(pairs), axis=0).T
-    good = promising(before[i], after[i], before[j], after[j])
+    good = promising(before[i], after[i], before[j], after[j], needed)
     i, j = i[good], j[good]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(done, (ids[i], ids[j], at[i], at[j]), strict=True)], names=["id", "rid", "at", "rat"])
 
 
-def matched(docs: DataFrame, words: int = WORDS, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def whole_groups(batches, names: list[str]):
+    """Arrays of the columns `names` of batches in order of the first one, cut where it changes; a long group is put together once."""
+    rest: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy() for c in names]
+        edges = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+        last = int(edges[-1]) if len(edges) else 0
+        if last or (rest and rest[-1][0][-1] != now[0][0]):
+            yield [np.concatenate(x) for x in zip(*rest, [x[:last] for x in now], strict=True)]
+            rest = []
+        rest.append([x[last:] for x in now])
+    if rest:
+        yield [np.concatenate(x) for x in zip(*rest, strict=True)]
+
+
+def matched(docs: DataFrame, words: int = WORDS, window: int = WINDOW, hot: int = HOT, needed: int = NEEDED, sent: int = OFTEN_SENT) -> DataFrame:
     """MATCHES of the seeds of docs (id, text)."""
     names = ["h", "id", "at", "before", "after"]
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy() for c in names]
-            now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            edges = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
-            last = int(edges[-1]) if len(edges) else 0
-            rest = [x[last:] for x in now]
-            if last:
-                yield matched_rows(*(x[:last] for x in now))
-        if rest is not None and len(rest[0]):
-            yield matched_rows(*rest)
-
-    often = frequent(docs, words, window, hot)
-    found = seeds(docs, words, window, often)
-    found = stored(found) if len(often) else found
-    out = found.where(F.col("own") < OFTEN).select(*names).repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(run, MATCHES)
-    return out.unionByName(matched_often(found.where(F.col("own") >= OFTEN))) if len(often) else out
-
-
-def matched_often(found: DataFrame) -> DataFrame:
+        for group in whole_groups(batches, names):
+            yield matched_rows(*group, needed)
+
+    found = seeds(docs, words, window, needed)
+    often = None
+    if docs.limit(hot + 1).count() > hot:  # else no seed is in more documents
+        found = stored(found)
+        often = stored(frequent(found, hot))
+        n = often.count()
+        often = None if not n else F.broadcast(often) if n <= sent else often
+    rare = found if often is None else found.join(often, "h", "left_anti")
+    out = rare.select(*names).repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(run, MATCHES)
+    return out if often is None else out.unionByName(matched_often(found.join(often, "h", "left_semi"), needed))
+
+
+def matched_often(found: DataFrame, needed: int) -> DataFrame:
     """MATCHES of seeds that are frequent: first occurrences are grouped minima, which are pre-aggregated, and only those of classes of
     several documents are written and joined, so no seed meets in one task, and none is shuffled while the minima are few."""
     classes = []
@@ -246,7 +253,7 @@ def matched_often(found: DataFrame) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            good = promising(*(batch.column(c).to_numpy() for c in ("before", "after", "before2", "after2")))
+            good = promising(*(batch.column(c).to_numpy() for c in ("before", "after", "before2", "after2")), needed)
             yield batch.select(["id", "rid", "at", "rat"]).filter(pa.array(good))
 
     return flat.mapInArrow(keep, MATCHES).distinct()
@@ -455,10 +462,10 @@ def compared(lines: DataFrame, texts: DataFrame, margin: int, min_words: int, id
     return pairs.mapInArrow(align, PASSAGES)
 
 
-def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS, identity: float = IDENTITY, hot: int = HOT, margin: int = MARGIN) -> DataFrame:
+def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS, identity: float = IDENTITY, hot: int = HOT, margin: int = MARGIN, needed: int = NEEDED) -> DataFrame:
     """Passages of docs (id, text; ids differ) that repeat, nearly, at a place with a first occurrence of their seeds or of those in
     context, or earlier in the document."""
-    lines = stored(chained(matched(docs, words, window, hot).repartition("id").sortWithinPartitions("id", "rid", "at", "rat"), gap))
+    lines = stored(chained(matched(docs, words, window, hot, needed).repartition("id").sortWithinPartitions("id", "rid", "at", "rat"), gap))
     out = None
     while True:
         now = stored(compared(lines, docs, margin, min_words, identity))

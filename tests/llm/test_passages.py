@@ -90,7 +90,7 @@ def test_passages_with_many_edits_are_found(spark):
             planted.setdefault(rate, []).append(k)
     got = {r.doc_id: {p.rdoc for p in r.passages} for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     recall = {rate: sum(k in got[k + 1] for k in ks) / len(ks) for rate, ks in planted.items()}
-    assert recall[0.05] >= 0.98 and recall[0.10] >= 0.95 and recall[0.15] >= 0.85, recall
+    assert recall[0.05] >= 0.98 and recall[0.10] >= 0.95 and recall[0.15] >= 0.9, recall
 
 
 def test_copies_meet_when_earlier_documents_have_all_their_phrases(spark):
@@ -109,8 +109,45 @@ def test_both_ways_of_joining_seeds_give_the_same_matches(spark):
     pool = [words(rng, rng.randint(10, 60)) for _ in range(6)]
     texts = [" ".join(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(pool) if rng.random() < 0.6 else words(rng, 20))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    plain = sorted(map(tuple, P.matched(df, hot=10**6).collect()))
-    assert plain == sorted(map(tuple, P.matched(df, hot=1).collect())) and len(plain) > 100 and len(P.frequent(df, P.WORDS, P.WINDOW, 1)) > 5
+    for needed in (P.NEEDED, 0):
+        plain = sorted(map(tuple, P.matched(df, hot=10**6, needed=needed).collect()))
+        for hot in (1, 3):
+            assert plain == sorted(map(tuple, P.matched(df, hot=hot, needed=needed).collect()))
+        assert plain == sorted(map(tuple, P.matched(df, hot=1, needed=needed, sent=0).collect())) and len(plain) > 100
+
+
+def test_documents_of_each_seed_are_counted(spark):
+    rng = random.Random(13)
+    lines = [" ".join(words(rng, 5)) for _ in range(4)]  # a text of one gram has it as its seed
+    rows = [(10 * k + i, line) for k, line in enumerate(lines) for i in range(k + 1)]
+    found = P.seeds(spark.createDataFrame(rows, "id long, text string"), P.WORDS, P.WINDOW)
+    assert [P.frequent(found, hot).count() for hot in range(6)] == [4, 3, 2, 1, 0, 0]
+
+
+def test_groups_stay_whole_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    for _ in range(50):
+        h = np.sort(np.array([rng.randint(0, 6) for _ in range(rng.randint(1, 40))]))
+        table, batches = pa.table({"h": h, "x": np.arange(len(h))}), []
+        while table.num_rows:
+            n = rng.randint(0, 5)
+            batches += table.slice(0, n).combine_chunks().to_batches() or [pa.record_batch({"h": h[:0], "x": h[:0]})]
+            table = table.slice(n)
+        got = [g for g, _ in P.whole_groups(batches, ["h", "x"])]
+        assert np.concatenate(got).tolist() == h.tolist()
+        assert all(len(g) for g in got) and all(a[-1] != b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_with_none_needed_every_match_goes_on(spark):
+    rng = random.Random(15)
+    line = words(rng, 5)
+    df = spark.createDataFrame([(i, " ".join(words(rng, 9) + line + words(rng, 9))) for i in range(8)], "id long, text string")
+    options = {"window": 1}
+    assert P.matched(df, **options).count() == 0
+    assert sorted((r.id, r.rid) for r in P.matched(df, **options, needed=0).collect()) == [(i, 0) for i in range(1, 8)]
 
 
 def test_repeats_within_a_document_and_holders(spark):
