@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scalars as S
-from ..operators import alignment, chaining, collection, distributed, extending, haplotypes, lifting, matching, pairing, pseudo, statistics, suffix
+from ..operators import alignment, chaining, collection, distributed, extending, haplotypes, intervals, lifting, matching, pairing, pseudo, statistics, suffix
 from ..sources import sinks, variants
 
 K = 25
@@ -427,6 +427,57 @@ def lcp_array(spark, sf):
     return suffix.lcp(c, suffix.suffix_array(c))
 
 
+# ---- matches as intervals of the suffix array ----
+
+
+def with_intervals(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The maximal matches of the documents as intervals, from the first place of each, and the suffix array."""
+    at = found(spark, sf).join(index(spark, sf).select("ref_id", "start"), "ref_id")
+    one = at.groupBy("read_id", "qs", "qe").agg(F.min(F.col("start") + F.col("rpos")).alias("place")).withColumn("len", F.col("qe") - F.col("qs"))
+    c = chars(spark, sf)
+    sa = suffix.suffix_array(c)
+    return intervals.of_matches(one, sa, suffix.lcp(c, sa)).select("read_id", "qs", "qe", "sa_lo", "sa_hi", "n_occ"), sa
+
+
+INTERVALS_SQL = MEMS_SQL + ", " + INDEX_SQL.strip().removeprefix("WITH ") + ", " + SA_SQL[: SA_SQL.index("b AS (")].strip().removeprefix("WITH ").rstrip(",") + """,
+oc AS (SELECT read_id, qs, qe, ref_id, rpos, rank FROM occ JOIN idx USING (ref_id) JOIN sa ON i = start + rpos),
+si AS (SELECT read_id, qs, qe, min(rank) AS sa_lo, max(rank) AS sa_hi, count(*) AS n_occ FROM oc GROUP BY ALL)
+"""
+
+
+@query(INTERVALS_SQL + "SELECT read_id, qs, qe, sa_lo, sa_hi, n_occ FROM si")
+def smem_suffix_intervals(spark, sf):
+    return with_intervals(spark, sf)[0]
+
+
+@query(INTERVALS_SQL + "SELECT read_id, qs, qe, rank, ref_id, rpos FROM (SELECT *, row_number() OVER (PARTITION BY read_id, qs, qe ORDER BY rank) AS n FROM oc) WHERE n <= 2")
+def smem_first_page(spark, sf):
+    """The first two occurrences of each match in suffix order."""
+    rows, sa = with_intervals(spark, sf)
+    return intervals.page(rows, sa, index(spark, sf), 0, 2).select("read_id", "qs", "qe", "rank", "ref_id", "rpos")
+
+
+@query(INTERVALS_SQL + """SELECT read_id, count(*) AS n_unique, CAST(sum(n_occ) AS BIGINT) AS total, max(n_occ) AS max_freq, min(n_occ) AS min_freq, CAST(sum(CASE WHEN n_occ > 0.5 * t THEN n_occ ELSE 0 END) AS BIGINT) AS filtered
+FROM (SELECT *, sum(n_occ) OVER (PARTITION BY read_id) AS t FROM si) GROUP BY read_id""")
+def interval_stats(spark, sf):
+    return intervals.stats(with_intervals(spark, sf)[0])
+
+
+@query(WORDS_SQL + ", " + SA_SQL[: SA_SQL.index("b AS (")].strip().removeprefix("WITH ").rstrip(",") + """,
+e AS (SELECT *, lag(len) OVER (PARTITION BY read_id ORDER BY i) AS prev FROM ms),
+m AS (SELECT read_id, i, CAST(len AS BIGINT) AS len, substr((SELECT s FROM x), ptr + 1, len) AS w FROM e WHERE len > 0 AND (prev IS NULL OR len >= prev)),
+t AS (SELECT w, min(rank) AS lo, count(*) AS n FROM (SELECT rank, substr(s, sa.i + 1, l.len) AS w FROM sa, x, (SELECT DISTINCT len FROM m) l WHERE sa.i + l.len <= length(s)) WHERE w IN (SELECT w FROM m) GROUP BY w)
+SELECT read_id, count(*) AS n_matches, CAST(sum(n) AS BIGINT) AS total, max(n) AS most, count(*) FILTER (n = 1) AS singles, CAST(sum(lo) AS BIGINT) AS lo_sum FROM m JOIN t USING (w) GROUP BY read_id""")
+def mem_list_counts(spark, sf):
+    """Occurrences of every entry of the match list, of any length, from one place of each: no occurrence is listed."""
+    each = statistics_of(spark, sf).select("read_id", "pointers", F.explode(statistics.mem_list(F.col("lengths"))).alias("m"))
+    rows = each.where("m.len > 0").select("read_id", F.col("m.idx").alias("idx"), F.col("m.len").cast("long").alias("len"), F.get("pointers", F.col("m.idx")).alias("place"))
+    c = chars(spark, sf)
+    sa = suffix.suffix_array(c)
+    counted = intervals.of_matches(rows, sa, suffix.lcp(c, sa))
+    return counted.groupBy("read_id").agg(F.count("*").alias("n_matches"), F.sum("n_occ").alias("total"), F.max("n_occ").alias("most"), F.count_if(F.col("n_occ") == 1).alias("singles"), F.sum("sa_lo").alias("lo_sum"))
+
+
 @query(LCP_SQL + """, r0 AS (SELECT *, CASE WHEN c = lag(c) OVER (ORDER BY rank) THEN 0 ELSE 1 END AS new FROM b),
 rn AS (SELECT run AS run_id, min(c) AS head, min(rank) AS start, max(rank) + 1 AS stop FROM (SELECT *, CAST(sum(new) OVER (ORDER BY rank) - 1 AS BIGINT) AS run FROM r0) GROUP BY run),
 gp AS (SELECT *, lag(stop) OVER (PARTITION BY head ORDER BY run_id) AS lo FROM rn),
