@@ -93,10 +93,10 @@ def _answered(rows: DataFrame, least: np.ndarray, block: int, n: int) -> DataFra
 def nearest_smaller(asked: DataFrame, lcps: DataFrame, block: int = BLOCK, per_copy: int = ASKED) -> DataFrame:
     """asked (side, at, len) with found: the greatest rank up to `at` (side 0), or the least from it on (side 1), whose LCP is below
     `len`; the number of ranks where there is none. Each question once. Rank 0 has LCP 0, so side 0 always has one for len from 1 on."""
-    n = lcps.count()
+    ranks = stored(lcps.select(F.col("rank").alias("at"), F.col("lcp").cast("long").alias("value")))
+    n = ranks.count()
     block = max(block, -(-n // MOST_BLOCKS))
-    of = lambda c: F.floor(F.col(c) / block).alias("block")
-    ranks = stored(lcps.select(of("rank"), F.col("rank").alias("at"), F.col("lcp").cast("long").alias("value")))
+    ranks = ranks.withColumn("block", F.floor(F.col("at") / block))
     least = ranks.groupBy("block").agg(F.min("value").alias("m")).orderBy("block").toArrow()  # at most MOST_BLOCKS rows
     least = least.column("m").to_numpy()
 

@@ -52,15 +52,15 @@ def test_intervals_count_and_page_all_occurrences(spark):
 
 
 def test_a_frequent_match_is_one_row(spark):
-    refs = refs_of(spark, ["needle"] * 300)
+    refs = refs_of(spark, ["needle"] * 60)
     chars = suffix.characters(refs)
     sa = suffix.suffix_array(chars)
     df = spark.createDataFrame([(1, 0, 6), (1, 7, 3), (2, 1, 5)], "read_id long, place long, len long")
     found = intervals.of_matches(df, sa, suffix.lcp(chars, sa), block=64)
-    assert sorted((r.read_id, r.len, r.n_occ) for r in found.collect()) == [(1, 3, 300), (1, 6, 300), (2, 5, 300)]
+    assert sorted((r.read_id, r.len, r.n_occ) for r in found.collect()) == [(1, 3, 60), (1, 6, 60), (2, 5, 60)]
     got = {r.read_id: (r.n_unique, r.total, r.max_freq, r.min_freq, r.filtered) for r in intervals.stats(found).collect()}
-    assert got == {1: (2, 600, 300, 300, 0), 2: (1, 300, 300, 300, 300)}
-    assert intervals.page(found, sa, collection.seqidx(refs, 1), 298, 5).count() == 6
+    assert got == {1: (2, 120, 60, 60, 0), 2: (1, 60, 60, 60, 60)}
+    assert intervals.page(found, sa, collection.seqidx(refs, 1), 58, 5).count() == 6
 
 
 def test_no_matches(spark):
