@@ -31,7 +31,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # country, two digits, the rest by the country's length, whatever follows
+    # country, two digits, the rest by the country's length; no letter or digit follows
     "iban": rf"(?<![A-Za-z0-9]){_KNOWN}",
 }
 NEEDS = {"email": "@", "phone": "+"}  # texts without these have no match

@@ -68,8 +68,8 @@ def proposed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
-    """left rows with a right row of the same document at most `scope` characters away: an interval join on blocks of
-    `scope` characters, of which two such spans that start in neighbouring blocks share one."""
+    """left rows with a right row of the same document at most `scope` characters away: an interval join on blocks of 4 x `scope`
+    characters. A left row stands in every block that it reaches with `scope` on either side, so close rows share one."""
     longest = 4 * scope
     cells = lambda d: F.explode(F.sequence(F.floor((d["start"] - scope) / longest), F.floor((d["end"] + scope) / longest)))
     a = left.withColumn("cell", cells(left))
