@@ -24,12 +24,13 @@ so are rows without doc_id; an empty table gives no rows; texts of any length ar
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_key, spans_of_rows, stored, table, text_bytes
+from .common import discard, row_key, spans_of_rows, stored, stored_paths, table, text_bytes
 from .decontaminate import Words
 from .suffixdedup import window_minima
 
@@ -43,8 +44,11 @@ CHUNK = 1 << 20
 #: A seed in more documents than this is joined by grouped minima; below, its occurrences, at most one of each class and document, are
 #: a megabyte in one task.
 HOT = 5_000
-#: Frequent seeds go to the tasks while they are at most so many; beyond that they are joined.
-OFTEN_SENT = 1_000_000
+#: Frequent seeds go to the tasks while they are at most so many; beyond that they are joined. So do ids of documents whose texts are asked for.
+OFTEN_SENT = IDS_SENT = 1_000_000
+#: Seeds are written in so many parts by hash, matched part by part and deleted part by part: only one part at a time is on disk both as
+#: written and as dealt out. Matches within documents are a part of their own, which is not dealt out.
+PARTS, KNOWN = 4, -1
 
 #: `h` has 48 bits; `at` is the place in code points (start << 32 | end); `before` and `after` have BITS for each word, the nearest on top.
 #: A negative h marks a match within a document, which is known from the start: `before` is then the earlier place. Bits of `own`: the
@@ -84,9 +88,11 @@ def within(row: np.ndarray, h: np.ndarray, before: np.ndarray, after: np.ndarray
     if not same.any():
         return own, order[:0], order[:0]
     again, last = order[1:][same], order[:-1][same]
-    some = np.unique(np.concatenate([again, last]))
-    own[some] = 0
-    group = np.unique(np.stack([row[some], h[some]]), axis=1, return_inverse=True)[1].reshape(-1)
+    group = np.zeros(len(h), np.int64)
+    group[order[1:]] = np.cumsum(~same)
+    own[again] = own[last] = 0
+    some = np.flatnonzero(own == 0)
+    group = group[some]
     for bit, (by, new, whole) in enumerate(firsts(group, before[some], after[some])):
         own[some[by[new & whole]]] |= 1 << bit
     good = promising(before[again], after[again], before[last], after[last], needed)
@@ -193,8 +199,8 @@ def matched_rows(h: np.ndarray, ids: np.ndarray, at: np.ndarray, before: np.ndar
         own = new.copy()  # the first place of each document in the class
         own[1:] |= ids[order][1:] != ids[order][:-1]
         use = own & whole & (ids[order] != ids[to])
-        pairs.append(np.stack([order[use], to[use]], axis=1))
-    i, j = np.unique(np.concatenate(pairs), axis=0).T
+        pairs.append(order[use] * len(h) + to[use])
+    i, j = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(h)))
     good = promising(before[i], after[i], before[j], after[j], needed)
     i, j = i[good], j[good]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(done, (ids[i], ids[j], at[i], at[j]), strict=True)], names=["id", "rid", "at", "rat"])
@@ -225,16 +231,30 @@ def matched(docs: DataFrame, words: int = WORDS, window: int = WINDOW, hot: int
         for group in whole_groups(batches, names):
             yield matched_rows(*group, needed)
 
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.select(*names).repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(run, MATCHES)
+
     found = seeds(docs, words, window, needed)
-    often = None
-    if docs.limit(hot + 1).count() > hot:  # else no seed is in more documents
-        found = stored(found)
-        often = stored(frequent(found, hot))
+    if docs.limit(hot + 1).count() <= hot:  # then no seed is in more documents
+        return meet(found)
+    part = F.pmod("h", F.lit(PARTS)).cast("int")
+    with stored_paths() as paths:
+        found = stored(found.withColumn("part", F.when(F.col("h") < 0, KNOWN).otherwise(part)), "part")
+    out = found.where(F.col("part") == KNOWN).select("id", F.col("id").alias("rid"), "at", F.col("before").alias("rat"))
+    seen = found.where(F.col("part") >= 0)
+    with stored_paths() as often_paths:
+        often = stored(frequent(seen, hot))
         n = often.count()
-        often = None if not n else F.broadcast(often) if n <= sent else often
-    rare = found if often is None else found.join(often, "h", "left_anti")
-    out = rare.select(*names).repartition("h").sortWithinPartitions("h", "id", "at").mapInArrow(run, MATCHES)
-    return out if often is None else out.unionByName(matched_often(found.join(often, "h", "left_semi"), needed))
+        send = F.broadcast if n <= sent else lambda rows: rows
+        hot_rows = stored(seen.join(send(often), "h", "left_semi")) if n else None
+    if n:
+        out = out.unionByName(stored(matched_often(hot_rows, needed)))
+    for k in range(PARTS):
+        rare = found.where(F.col("part") == k)
+        out = out.unionByName(stored(meet(rare.join(send(often.where(part == k)), "h", "left_anti") if n else rare)))
+        discard(docs.sparkSession, [f"{paths[0]}/part={k}"])
+    discard(docs.sparkSession, often_paths)
+    return out
 
 
 def matched_often(found: DataFrame, needed: int) -> DataFrame:
@@ -399,11 +419,13 @@ def _low(text: str) -> str:
     return text.encode().lower().decode()
 
 
-def _places(text: str, n: int, from_end: bool) -> tuple[int, int]:
-    """Start and end of the first, or last, n words of text."""
-    found = list(_WORD.finditer(text))
-    found = found[len(found) - n :] if from_end else found[:n]
-    return found[0].start(), found[-1].end()
+def _reach(text: str, n: int, of: int) -> int:
+    """Where the n-th of the `of` words of text ends, found from the nearer end."""
+    if not n:
+        return 0
+    if 2 * n <= of:
+        return next(islice(_WORD.finditer(text), n - 1, None)).end()
+    return len(text) - next(islice(_WORD.finditer(text[::-1]), of - n, None)).start()
 
 
 def aligned(text: str, other: str, q: tuple[int, int], r: tuple[int, int], least: int = 0, cut: tuple[bool, bool, bool, bool] = (False,) * 4) -> tuple | None:
@@ -424,9 +446,9 @@ def aligned(text: str, other: str, q: tuple[int, int], r: tuple[int, int], least
     y = x if core == core2 else _WORD.findall(core2)
     equal = len(x) if core == core2 else common_words(x, y)
     equal += common_words(left[:i0], left2[:j0]) + common_words(right[:i1], right2[:j1])
-    start = lambda t, s, k: _places(t[: s[0]], k, True)[0] if k else s[0]
-    stop = lambda t, s, k: s[1] + (_places(t[s[1] :], k, False)[1] if k else 0)
-    return start(text, q, i0), stop(text, q, i1), start(other, r, j0), stop(other, r, j1), n, equal / max(n, len(y) + j0 + j1), more
+    start = lambda t, s, k, w: s[0] - _reach(t[: s[0]][::-1], k, len(w))
+    stop = lambda t, s, k, w: s[1] + _reach(t[s[1] :], k, len(w))
+    return start(text, q, i0, left), stop(text, q, i1, right), start(other, r, j0, left2), stop(other, r, j1, right2), n, equal / max(n, len(y) + j0 + j1), more
 
 
 PASSAGES = "id long, rid long, c0 int, c1 int, r0 int, r1 int, n_words int, identity double, more boolean"
@@ -437,7 +459,12 @@ def compared(lines: DataFrame, texts: DataFrame, margin: int, min_words: int, id
     wider margin."""
     key = ["id", "rid", "c0", "c1", "r0", "r1"]
     ask = lambda side, who, lo, hi: lines.select(*key, F.lit(side).alias("side"), F.col(who).alias("tid"), F.greatest(F.lit(0), F.col(lo) - margin).alias("lo"), (F.col(hi) + margin).alias("hi"))
-    slices = ask(0, "id", "c0", "c1").unionByName(ask(1, "rid", "r0", "r1")).join(texts.withColumnRenamed("id", "tid"), "tid")
+    texts = texts.withColumnRenamed("id", "tid")
+    asked = ask(0, "id", "c0", "c1").unionByName(ask(1, "rid", "r0", "r1"))
+    ids = stored(asked.select("tid").distinct())
+    if ids.count() <= IDS_SENT:  # texts that no chain asks for are not dealt out
+        texts = texts.join(F.broadcast(ids), "tid", "left_semi")
+    slices = asked.join(texts, "tid")
     slices = slices.select(*key, "side", F.expr("substring(text, lo + 1, hi - lo)").alias("part"))
     one = lambda side: F.max(F.when(F.col("side") == side, F.col("part")))
     pairs = slices.groupBy(*key).agg(one(0).alias("a"), one(1).alias("b"))
@@ -465,7 +492,10 @@ def compared(lines: DataFrame, texts: DataFrame, margin: int, min_words: int, id
 def found_passages(docs: DataFrame, words: int = WORDS, window: int = WINDOW, gap: int = GAP, min_words: int = MIN_WORDS, identity: float = IDENTITY, hot: int = HOT, margin: int = MARGIN, needed: int = NEEDED) -> DataFrame:
     """Passages of docs (id, text; ids differ) that repeat, nearly, at a place with a first occurrence of their seeds or of those in
     context, or earlier in the document."""
-    lines = stored(chained(matched(docs, words, window, hot, needed).repartition("id").sortWithinPartitions("id", "rid", "at", "rat"), gap))
+    with stored_paths() as paths:
+        matches = matched(docs, words, window, hot, needed)
+    lines = stored(chained(matches.repartition("id").sortWithinPartitions("id", "rid", "at", "rat"), gap))
+    discard(docs.sparkSession, paths)
     out = None
     while True:
         now = stored(compared(lines, docs, margin, min_words, identity))

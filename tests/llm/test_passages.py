@@ -1,8 +1,10 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from seqweave.llm import passages as P
+from seqweave.llm.common import stored_paths
 
 
 def words(rng, n):
@@ -150,6 +152,34 @@ def test_with_none_needed_every_match_goes_on(spark):
     assert sorted((r.id, r.rid) for r in P.matched(df, **options, needed=0).collect()) == [(i, 0) for i in range(1, 8)]
 
 
+def test_seeds_and_matches_do_not_stay_on_disk(spark, monkeypatch):
+    rng = random.Random(16)
+    pool = [words(rng, 60) for _ in range(4)]
+    texts = [" ".join(x for _ in range(3) for x in (rng.choice(pool), words(rng, 20)) for x in x) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    left, discard = [], getattr(P, "discard", None)
+
+    def record(session, paths):
+        discard(session, paths)
+        left.extend(len([x for x in os.listdir(os.path.dirname(p)) if x.startswith("part=")]) for p in paths if "/part=" in p)
+
+    monkeypatch.setattr(P, "discard", record, raising=False)
+    with stored_paths() as paths:
+        got = P.found_passages(df, hot=1)
+    assert got.count() > 30
+    still = [c for p in paths if os.path.exists(p) for c in spark.read.parquet(p).columns]
+    assert still and not {"h", "before", "at"} & set(still)
+    assert left == list(range(P.PARTS, 0, -1))  # the part of matches within documents goes last
+
+
+def test_places_of_words_from_either_end():
+    rng = random.Random(17)
+    for _ in range(200):
+        text = "".join(rng.choice("ab é.,-") for _ in range(rng.randint(0, 40)))
+        ends = [m.end() for m in P._WORD.finditer(text)]
+        assert [P._reach(text, n, len(ends)) for n in range(len(ends) + 1)] == [0, *ends]
+
+
 def test_repeats_within_a_document_and_holders(spark):
     rng = random.Random(9)
     passage, line = words(rng, 60), words(rng, 12)
