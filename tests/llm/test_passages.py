@@ -172,6 +172,16 @@ def test_seeds_and_matches_do_not_stay_on_disk(spark, monkeypatch):
     assert left == list(range(P.PARTS, 0, -1))  # the part of matches within documents goes last
 
 
+def test_many_asked_texts_give_the_same_passages(spark, monkeypatch):
+    rng = random.Random(18)
+    pool = [words(rng, 60) for _ in range(4)]
+    texts = [" ".join(x for _ in range(3) for x in (rng.choice(pool), words(rng, 20)) for x in x) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    few = sorted(map(tuple, P.found_passages(df).collect()))
+    monkeypatch.setattr(P, "IDS_SENT", 0)
+    assert few == sorted(map(tuple, P.found_passages(df).collect())) and few
+
+
 def test_places_of_words_from_either_end():
     rng = random.Random(17)
     for _ in range(200):
