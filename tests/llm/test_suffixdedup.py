@@ -112,3 +112,18 @@ def test_no_anchor_meets_itself_at_any_threshold(spark, monkeypatch, bucket):
     for hot in (2, 5):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.deduplicated(docs, hot=hot).collect()}
         assert got == want, hot
+
+
+def test_planted_passages_go_from_length_on(spark):
+    """Passages of over 50 words in two documents each: LENGTH equal bytes go, a byte less or an edit in every LENGTH bytes stays."""
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(n // 6 + 1))[:n]
+    edited = text(1200)
+    planted = {S.LENGTH: [text(S.LENGTH)] * 2, S.LENGTH - 1: [text(S.LENGTH - 1)] * 2, 1200: [edited, "".join("_" if i % 390 == 195 else x for i, x in enumerate(edited))]}
+    assert all(len(p.split()) > 50 for pair in planted.values() for p in pair)
+    # the bytes beside a passage differ, so that it is no longer than planted
+    texts = [(n, f"{text(300)}{a}{p}{b}{text(300)}") for n, pair in planted.items() for p, a, b in zip(pair, "01", "23", strict=True)] + [(0, text(900)) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    gone = lambda *length: {r.doc_id: r.n_removed for r in S.deduplicated(docs, *length).collect()}
+    assert gone() == {i: n if n == S.LENGTH else 0 for i, (n, _) in enumerate(texts)}
+    assert [gone(S.LENGTH - 1)[i] for i in range(4)] == [S.LENGTH, S.LENGTH, S.LENGTH - 1, S.LENGTH - 1]
