@@ -83,8 +83,9 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     index = fps.select("fp", F.explode(F.array(*rows)).alias("v")).select("fp", "v.*")
     left = index.where("side = 0").select("tag", "key", F.col("fp").alias("a"))
     right = index.where("side = 1").select("tag", "key", F.col("fp").alias("b"))
+    # rows are exploded, so the planner takes a side for as small as fps and would send all of it to the tasks: both are dealt out
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & ((F.col("tag").between(128, 131) & (F.col("a") < F.col("b"))) | ~F.col("tag").between(128, 131))
-    return left.join(right, ["tag", "key"]).where(near).select("a", "b")
+    return left.hint("merge").join(right.hint("merge"), ["tag", "key"]).where(near).select("a", "b")
 
 
 def _classes(found: DataFrame) -> DataFrame:

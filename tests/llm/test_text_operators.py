@@ -126,6 +126,12 @@ def test_simhash_links_complete(spark):
     assert got == want
 
 
+def test_simhash_variants_are_not_broadcast(spark):
+    """The planner sees an exploded side as small as the fingerprints; at 0.5 GB of documents it held some 15 million rows."""
+    plan = simhash.links(spark.range(100).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_langid_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(docs, *langid.trained(docs)).where(langid.held_out()).select("lang", "lang_pred").collect()
