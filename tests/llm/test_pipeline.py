@@ -105,3 +105,11 @@ def test_run_is_the_stages_in_order_and_leaves_little_behind(spark):
 def test_no_document_is_made_up(spark, sf):
     ids = {r.doc_id for r in table(spark, sf, "documents").collect()}
     assert {r.doc_id for r in C.run(spark, sf).collect()} <= ids
+
+
+def test_near_dedup_deals_out_exploded_variants(spark, monkeypatch):
+    """What near_dedup links is joined by a shuffle, however small the planner takes an exploded side for."""
+    plans, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or components(links))
+    C.near_dedup(spark, rows(spark, ODD), SF)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastExchange" not in plans[0]
