@@ -127,3 +127,16 @@ def test_planted_passages_go_from_length_on(spark):
     gone = lambda *length: {r.doc_id: r.n_removed for r in S.deduplicated(docs, *length).collect()}
     assert gone() == {i: n if n == S.LENGTH else 0 for i, (n, _) in enumerate(texts)}
     assert [gone(S.LENGTH - 1)[i] for i in range(4)] == [S.LENGTH, S.LENGTH, S.LENGTH - 1, S.LENGTH - 1]
+
+
+@pytest.mark.parametrize("sent", [S.KEYS_SENT, 0])
+def test_keys_of_texts_take_no_table_on_the_driver(spark, monkeypatch, sent):
+    """A table of a million keys for a broadcast join takes the driver some 200 MB, and several are built at a time."""
+    monkeypatch.setattr(S, "KEYS_SENT", sent)
+    rows = [(i % 40, i % 40 + (i == 7) * 1000, f"text {i % 40}") for i in range(80)]  # 7 has the first half of 47's key only
+    docs = spark.createDataFrame(rows, "_k1 long, _k2 long, text string")
+    asked = spark.createDataFrame([(i, i, [i]) for i in range(0, 60, 3)], "_k1 long, _k2 long, at array<int>")
+    got = S.once(docs, asked)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(i, i, f"text {i}", [i]) for i in range(0, 40, 3)]
+    assert S.once(docs, asked.limit(0)).count() == 0
