@@ -1,4 +1,7 @@
-"""Exact matches of reads with a collection: sampled seeds, runs on diagonals, maximal intervals, occurrences.
+"""Exact matches of reads with a collection: common k-mers or sampled seeds, runs on diagonals, maximal intervals, occurrences.
+
+A collection of at most SENT letters goes to the tasks, which look the k-mers of the reads up in a sorted table of its own and put
+the places found together to runs; reads are not dealt out. For larger ones both sides are joined on sampled seeds:
 
 Every k letters in a row contain a seed: of their words of `word_size(k)` letters the one with the least hash, the first of equals. Equal
 k-mers have equal seeds at equal places, so reads and references are joined on the seeds' hashes alone, about one row for six
@@ -23,11 +26,13 @@ MATCH = ["read_id", "qs", "qe"]
 PIECE, PLACES = 1 << 20, 22
 #: Distinct hashes of reference seeds that are sent to the tasks, eight bytes each.
 KNOWN = 2_000_000
+#: Letters of a collection that goes to the tasks as a whole, and pairs of places that one step there takes together.
+SENT, PAIRS = 1_000_000, 1 << 20
 
 
 def word_size(k: int) -> int:
     size = 1
-    while 3 * size <= k:
+    while 8 * size <= 3 * k:
         size *= 2
     return size
 
@@ -47,6 +52,15 @@ def word_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return h * np.uint64(0x94D049BB133111EB)
 
 
+def kmer_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each k letters, from those of the longest words of a power of two that begin and end them."""
+    if len(codes) < k:
+        return np.zeros(0, np.uint64)
+    size = 1 << (k.bit_length() - 1)
+    h = word_hashes(codes, size)
+    return h if size == k else (h[: len(codes) - k + 1] ^ (h[: len(codes) - k + 1] >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + h[k - size :]
+
+
 def least_of(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each `width` neighbours."""
     n = 1
@@ -100,19 +114,7 @@ def seeds(seqs: DataFrame, k: int, known=None) -> DataFrame:
             shifted = [pa.array((x + base).astype(np.int32)) for x in (pos, a, b)]
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), *shifted, pa.array(cut, pa.string())], names=["h", "id", "pos", "a", "b", "part"])
 
-        for batch in batches:
-            parts, size = [], 0
-            for who, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                for at in range(0, len(text) - k + 1, PIECE):
-                    part = text[at : at + PIECE + k - 1]
-                    if size and size + len(part) > 2 * PIECE:
-                        yield solve(parts)
-                        parts, size = [], 0
-                    parts.append((who, at, part))
-                    size += len(part)
-            if parts:
-                yield solve(parts)
+        yield from map(solve, pieces_of(batches, k))
 
     return seqs.mapInArrow(find, SEEDS)
 
@@ -128,18 +130,112 @@ def shared_prefix(x: str, y: str) -> int:
     return lo
 
 
-RUNS = "read_id long, ref_id long, diag long, q0 long, q1 long"
+def pieces_of(batches, k: int):
+    """Lists of (id, place, part) of batches (id, seq), of some PIECE letters: long texts come in parts that share k - 1 letters."""
+    parts, size = [], 0
+    for batch in batches:
+        for who, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py() or ""
+            for at in range(0, len(text) - k + 1, PIECE):
+                part = text[at : at + PIECE + k - 1]
+                if size and size + len(part) > 2 * PIECE:
+                    yield parts
+                    parts, size = [], 0
+                parts.append((who, at, part))
+                size += len(part)
+    if parts:
+        yield parts
+
+
+class Kmers:
+    """Where the k-mers of sequences begin. Of a bit for each of 16 times as many hashes most k-mers that do not occur fall out."""
+
+    def __init__(self, ids: list[int], texts: list[str], k: int):
+        self.k, self.ids, self.codes = k, np.array(ids, np.int64), letters("".join(texts))
+        edges = np.cumsum([0, *map(len, texts)])
+        self.first = edges[:-1]
+        h = kmer_hashes(self.codes, k)
+        self.row = np.repeat(np.arange(len(texts)), np.diff(edges))
+        at = np.flatnonzero(np.arange(len(h)) + k <= edges[self.row[: len(h)] + 1]) if len(texts) else np.zeros(0, np.int64)
+        order = np.argsort(h[at], kind="stable")
+        self.places = at[order]
+        self.keys, count = np.unique(h[at], return_counts=True)
+        self.begin = np.concatenate([[0], np.cumsum(count)])
+        bits = max(10, (16 * len(self.keys)).bit_length())
+        self.shift, self.seen = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.seen[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def common(self, codes: np.ndarray, edges: np.ndarray):
+        """(row, q0, q1, sequence, place of q0) of runs of common k-mers of rows between two edges of codes, as arrays; some PAIRS places at
+        a time, so a run can come in parts."""
+        h = kmer_hashes(codes, self.k)
+        at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
+        if not len(at) or not len(self.keys):
+            return
+        j = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        row = np.searchsorted(edges, at, "right") - 1
+        good = (self.keys[j] == h[at]) & (at + self.k <= edges[row + 1])
+        at, j, row = at[good], j[good], row[good]
+        count = self.begin[j + 1] - self.begin[j]
+        total, lo = np.cumsum(count), 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - count[lo] + PAIRS, "right")))
+            n = count[lo:hi]
+            q, of = np.repeat(at[lo:hi], n), np.repeat(row[lo:hi], n)
+            r = self.places[np.repeat(self.begin[j[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            same = np.ones(len(q), bool)
+            for t in range(self.k):
+                same &= codes[q + t] == self.codes[r + t]
+            q, of, r = q[same], of[same], r[same]
+            order = np.lexsort((q, r - q))
+            q, of, r = q[order], of[order], r[order]
+            who = self.row[r]
+            new = np.ones(len(q), bool)
+            new[1:] = (q[1:] != q[:-1] + 1) | (r[1:] != r[:-1] + 1) | (of[1:] != of[:-1]) | (who[1:] != who[:-1])
+            a = np.flatnonzero(new)
+            yield of[a], q[a], q[np.append(a[1:], len(q)) - 1] if len(a) else q[a], who[a], r[a]
+            lo = hi
+
+
+#: `real` tells runs with any letter but N.
+RUNS = "read_id long, ref_id long, diag long, q0 long, q1 long, real boolean"
 
 
 def runs(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """RUNS of common k-mers: those of a read that start from q0 to q1 are equal to those `diag` places further on in the reference. Each
     common k-mer is in one run."""
+    refs = refs.where(F.length("seq") >= k).select(F.col("ref_id").cast("long").alias("ref_id"), "seq")
+    few = (refs.agg(F.sum(F.length("seq").cast("long"))).first()[0] or 0) <= SENT
+    return (looked_up if few else seeded)(reads.select(F.col("read_id").cast("long").alias("id"), "seq"), refs, k)
+
+
+def looked_up(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """RUNS with all of refs in the tasks; reads (id, seq) stay where they are."""
+    rows = refs.toArrow()  # at most SENT letters
+    shared = reads.sparkSession.sparkContext.broadcast((rows.column("ref_id").to_pylist(), rows.column("seq").to_pylist()))
+
+    def find(batches):
+        index = Kmers(*shared.value, k)
+        for parts in pieces_of(batches, k):
+            codes, edges = letters("".join(t for _, _, t in parts)), np.cumsum([0, *(len(t) for _, _, t in parts)])
+            ids, base = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64) - edges[:-1]
+            known = np.concatenate([[0], np.cumsum(codes != ord("N"))])
+            for row, q0, q1, who, r in index.common(codes, edges):
+                shift = base[row]
+                columns = [ids[row], index.ids[who], r - index.first[who] - q0 - shift, q0 + shift, q1 + shift]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(known[q1 + k] > known[q0])], names=[c.split()[0] for c in RUNS.split(", ")])
+
+    return spread(reads).mapInArrow(find, RUNS)
+
+
+def seeded(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """RUNS by a join of reads (id, seq) and refs on their seeds."""
     size = word_size(k)
-    theirs = stored(seeds(refs.select(F.col("ref_id").cast("long").alias("id"), "seq"), k))
+    theirs = stored(seeds(refs.select(F.col("ref_id").alias("id"), "seq"), k))
     hashes = theirs.select("h").distinct()
     few = hashes.limit(KNOWN + 1).count() <= KNOWN
     known = reads.sparkSession.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(np.int64))) if few else None
-    ours = seeds(spread(reads.select(F.col("read_id").cast("long").alias("id"), "seq")), k, known)
+    ours = seeds(spread(reads), k, known)
     other = theirs.select("h", F.col("id").alias("ref_id"), F.col("pos").alias("rpos"), F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("part").alias("rpart"))
 
     def compare(batches):
@@ -155,9 +251,9 @@ def runs(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
                 diag = rpos - pos
                 lo, hi = max(a, ra - diag, pos - left), min(b, rb - diag, pos + size + right - k)
                 if lo <= hi:
-                    out.append((who, ref, diag, lo, hi))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in RUNS.split(", ")])
+                    out.append((who, ref, diag, lo, hi, x[lo - a : hi - a + k].strip("N") != ""))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_())], names=[c.split()[0] for c in RUNS.split(", ")])
 
     return ours.join(other, "h").mapInArrow(compare, RUNS)
 
@@ -169,35 +265,33 @@ def kmer_hits(reads: DataFrame, refs: DataFrame, k: int) -> DataFrame:
 
 
 def islands(found: DataFrame, k: int) -> DataFrame:
-    """Maximal matches on a diagonal: (read_id, ref_id, rpos, qs, qe); runs that follow one another are joined."""
+    """Maximal matches on a diagonal: (read_id, ref_id, rpos, qs, qe, real); runs that follow one another are joined."""
     diagonal = W.partitionBy("read_id", "ref_id", "diag").orderBy("q0")
     new = F.coalesce((F.col("q0") > F.lag("q1").over(diagonal) + 1).cast("int"), F.lit(1))
-    out = found.withColumn("_new", new).withColumn("_run", F.sum("_new").over(diagonal)).groupBy("read_id", "ref_id", "diag", "_run").agg(F.min("q0").alias("qs"), (F.max("q1") + k).alias("qe"))
-    return out.select("read_id", "ref_id", (F.col("diag") + F.col("qs")).cast("int").alias("rpos"), F.col("qs").cast("int").alias("qs"), F.col("qe").cast("int").alias("qe"))
+    out = found.withColumn("_new", new).withColumn("_run", F.sum("_new").over(diagonal)).groupBy("read_id", "ref_id", "diag", "_run").agg(F.min("q0").alias("qs"), (F.max("q1") + k).alias("qe"), F.max("real").alias("real"))
+    return out.select("read_id", "ref_id", (F.col("diag") + F.col("qs")).cast("int").alias("rpos"), F.col("qs").cast("int").alias("qs"), F.col("qe").cast("int").alias("qe"), "real")
 
 
-def maximal(runs: DataFrame, reads: DataFrame) -> DataFrame:
+def maximal(runs: DataFrame) -> DataFrame:
     """Rows of `runs` on read intervals that no other matching interval contains: (read_id, qs, qe, ref_id, rpos), one for each
     occurrence, in no common row or group; intervals of N only go. Which intervals stay is decided on distinct ones; `runs` is read
     twice, so give it stored."""
     before = W.partitionBy("read_id").orderBy("qs", F.desc("qe")).rowsBetween(W.unboundedPreceding, -1)
-    each = runs.select("read_id", "qs", "qe").distinct()
+    each = runs.select(*MATCH, "real").distinct()
     top = each.withColumn("_reach", F.max("qe").over(before)).where("_reach IS NULL OR qe > _reach").drop("_reach")
-    match = F.substr("seq", F.col("qs") + 1, F.col("qe") - F.col("qs"))
-    kept = top.join(reads.select("read_id", "seq"), "read_id").where(match.rlike("[^N]")).drop("seq")
-    return runs.join(kept, MATCH, "left_semi").select(*MATCH, "ref_id", "rpos")
+    return runs.join(top.where("real").drop("real"), MATCH, "left_semi").select(*MATCH, "ref_id", "rpos")
 
 
 def smems(reads: DataFrame, refs: DataFrame, k: int = 25) -> DataFrame:
     """(read_id, qs, qe, ref_id, rpos): each occurrence of each super-maximal exact match of at least k characters."""
-    return maximal(stored(islands(runs(reads, refs, k), k)), reads)
+    return maximal(stored(islands(runs(reads, refs, k), k)))
 
 
 def with_halves(reads: DataFrame, refs: DataFrame, k: int = 25) -> DataFrame:
     """Super-maximal matches and, of those of at least 2k characters, both halves with all occurrences of their own: (read_id, qs, qe,
     half, ref_id, rpos), half 0 for the match, 1 and 2 for its left and right part. Occurrences of a half are the diagonal matches around it."""
     found = stored(islands(runs(reads, refs, k), k))
-    whole = stored(maximal(found, reads).withColumn("half", F.lit(0)).select(*MATCH, "half", "ref_id", "rpos"))
+    whole = stored(maximal(found).withColumn("half", F.lit(0)).select(*MATCH, "half", "ref_id", "rpos"))
     n, mid = F.col("qe") - F.col("qs"), F.col("qs") + F.floor((F.col("qe") - F.col("qs")) / 2).cast("int")
     both = F.explode(F.array(F.struct(F.col("qs").alias("qs"), mid.alias("qe"), F.lit(1).alias("half")), F.struct(mid.alias("qs"), F.col("qe").alias("qe"), F.lit(2).alias("half"))))
     halves = whole.select(*MATCH).distinct().where(n >= 2 * k).select("read_id", both.alias("p")).select("read_id", "p.*")

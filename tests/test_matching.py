@@ -70,3 +70,28 @@ def test_windows_are_cut_from_pieces(spark, monkeypatch):
     got = {(r.ref_id, r.lo, r.hi): r.target for r in collection.windows(spark.createDataFrame(asked * 2, "ref_id long, lo long, hi long"), refs).collect()}
     want = {(i, lo, hi): t for i, lo, hi in asked if (t := (texts[i] if i < 5 else "")[lo:hi])}
     assert got == want
+
+
+@pytest.mark.parametrize("alphabet,k,piece", [("ACGTN", 11, 1 << 20), ("ACGT", 12, 40), ("AN", 8, 64), ("aé😀N", 5, 32)])
+def test_lookup_and_join_find_the_same(spark, alphabet, k, piece, monkeypatch):
+    """A small collection is looked up in the tasks: nothing is dealt out, and no pairs are made that share a part of a k-mer only."""
+    reads, refs = made(k, alphabet)
+    rd = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    rf = spark.createDataFrame(list(enumerate(refs)), "ref_id long, seq string")
+    monkeypatch.setattr(M, "PIECE", piece)
+    monkeypatch.setattr(M, "PAIRS", 7)
+    plan = M.runs(rd, rf, k)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    islands = lambda: sorted(map(tuple, M.islands(M.runs(rd, rf, k), k).collect()))
+    got = islands()
+    monkeypatch.setattr(M, "SENT", 0)
+    assert "Join" in M.runs(rd, rf, k)._jdf.queryExecution().executedPlan().toString()
+    assert got == islands() and len(got) > 100
+    assert all(real == (set(reads[i][a:b]) != {"N"}) for i, _, _, a, b, real in got)
+    monkeypatch.undo()
+    assert M.runs(rd, rf.limit(0), k).count() == M.runs(rd.limit(0), rf, k).count() == 0
+
+
+def test_candidates_of_short_matches_share_eight_letters():
+    """The words of 4 letters that stood for 11 met each other hundreds of times for each match."""
+    assert [M.word_size(k) for k in (4, 8, 11, 12, 25)] == [2, 4, 8, 8, 16]
