@@ -103,7 +103,12 @@ def solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, cfg: ChainConfig, edges:
     f, step, on = scores(gain, w, first, size)
     if cfg.secondary:
         f2, step2, _ = scores(gain, w, first, size, on)
-    for lo, hi in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+    ends = np.zeros(len(size), bool)  # of most groups no anchor ends a chain
+    ends[group[(f > cfg.min_score) | (f2 > cfg.min_score if cfg.secondary else False)]] = True
+    for lo, hi, any_ends in zip(edges.tolist(), edges[1:].tolist(), ends.tolist(), strict=False):
+        if not any_ends:
+            yield []
+            continue
         found = [(score, c, False) for score, c in taken(f[lo:hi], step[lo:hi], cfg)]
         if cfg.secondary:
             known = {tuple(c) for _, c, _ in found}

@@ -148,3 +148,13 @@ def test_queries_against_the_slow_recurrence(spark, name, secondary):
         want |= {(r, k, s, len(c), g[c[0]][0], g[c[-1]][0], g[c[0]][1], g[c[-1]][1], *[second] * secondary) for k, (s, c, second) in enumerate(slow(g, C.ChainConfig(secondary=secondary)))}
     got = [tuple(r) for r in catalog.QUERIES[name](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want) and got
+
+
+def test_groups_without_a_chain_are_passed_over(monkeypatch):
+    """Of very many groups of one short anchor none is looked into."""
+    asked, taken = [], C.taken
+    monkeypatch.setattr(C, "taken", lambda *a: asked.append(1) or taken(*a))
+    x = np.arange(1000) * 1000
+    w = np.where(np.arange(1000) == 700, 60, 12)
+    got = list(C.solve(x, x, w, C.ChainConfig(), np.arange(1001)))
+    assert len(asked) == 1 and [i for i, g in enumerate(got) if g] == [700] and got[700] == [(60, [0], False)]
