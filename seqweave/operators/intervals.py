@@ -18,6 +18,8 @@ from .distributed import stored
 
 #: Ranks of a block, blocks at most (blocks grow beyond that), and questions that meet one copy of a block.
 BLOCK, MOST_BLOCKS, ASKED = 1 << 20, 1 << 20, 1 << 22
+#: Distinct places and lengths whose intervals go to the tasks, some 110 bytes each; beyond that matches are dealt out to meet them.
+SENT = 500_000
 
 
 class Minima:
@@ -120,14 +122,15 @@ def nearest_smaller(asked: DataFrame, lcps: DataFrame, block: int = BLOCK, per_c
 def of_matches(matches: DataFrame, sa: DataFrame, lcps: DataFrame, block: int = BLOCK, per_copy: int = ASKED) -> DataFrame:
     """matches (place, len and others) with sa_lo and sa_hi, the first and last rank of the suffixes that begin with the match, and n_occ.
     `place` is any occurrence in the text, len is at least 1; matches that are null in either, or shorter, go."""
-    known = stored(matches.where("len > 0").join(sa.select(F.col("i").alias("place"), F.col("rank").alias("_rank")), "place"))
-    asked = known.select("_rank", "len").distinct()
+    known = stored(matches.where("len > 0 AND place IS NOT NULL"))
+    # few of very many matches differ in place and length: only these meet the suffix array
+    each = stored(known.select("place", "len").distinct().join(sa.select(F.col("i").alias("place"), F.col("rank").alias("_rank")), "place"))
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_rank").alias("at")), F.struct(F.lit(1).alias("side"), (F.col("_rank") + 1).alias("at")))).alias("x")
-    ends = stored(nearest_smaller(asked.select(sides, "len").select("x.*", "len"), lcps, block, per_copy))
+    ends = stored(nearest_smaller(each.select(sides, "len").select("x.*", "len"), lcps, block, per_copy))
     lo = ends.where("side = 0").select(F.col("at").alias("_rank"), "len", F.col("found").alias("sa_lo"))
     hi = ends.where("side = 1").select((F.col("at") - 1).alias("_rank"), "len", (F.col("found") - 1).alias("sa_hi"))
-    found = stored(asked.join(lo, ["_rank", "len"]).join(hi, ["_rank", "len"]))
-    out = known.join(found, ["_rank", "len"])
+    found = stored(each.join(lo, ["_rank", "len"]).join(hi, ["_rank", "len"]).select("place", "len", "sa_lo", "sa_hi"))
+    out = known.join(F.broadcast(found) if found.count() <= SENT else found, ["place", "len"])
     return out.select(*matches.columns, "sa_lo", "sa_hi", (F.col("sa_hi") - F.col("sa_lo") + 1).alias("n_occ"))
 
 

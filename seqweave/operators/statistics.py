@@ -68,24 +68,48 @@ class SortedWords:
         keys = self._keys(table)
         order = np.argsort(keys, kind="stable")
         self.table, self.keys, self.least = table[order], keys[order], [at[order]]
+        self.flat = self.small = None
+        if self.kind == np.uint8 and len(self.alphabet) and self.alphabet[-1] < 1 << 16:
+            self.small = np.full(int(self.alphabet[-1]) + 2, len(self.alphabet) + 1, np.uint8)
+            self.small[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        self.steps = self._steps() if self.kind == np.uint8 else None
+
+    def _steps(self) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first letter, letters, keys, first words) of the steps of a search: 8 letters, then 5 at a time behind the number of what came before, so
+        that a key is one number and keys are in the order of the words."""
+        out, at, group = [], 0, np.zeros(len(self.table), np.uint64)
+        while at < self.width:
+            n = 5 if at else 8
+            part = np.zeros((len(self.table), n), np.uint8)
+            part[:, : min(n, self.width - at)] = self.table[:, at : at + n]
+            key = group << np.uint64(40) if at else group
+            for j in range(n):
+                key = key | (part[:, j].astype(np.uint64) << np.uint64(8 * (n - 1 - j)))
+            known, begin, group = np.unique(key, return_index=True, return_inverse=True)
+            group = group.astype(np.uint64)
+            out.append((at, n, known, np.append(begin, len(self.table))))
+            at += n
+        return out
 
     def _keys(self, table: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(table).view(f"S{self.width * self.kind.itemsize}").reshape(-1)
 
     def _least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Least place among words [lo, hi), by minima over stretches of powers of two."""
-        while 2 << (len(self.least) - 1) <= len(self.keys):
-            now, half = self.least[-1], 1 << (len(self.least) - 1)
-            self.least.append(np.minimum(now[:-half], now[half:]))
+        if self.flat is None:
+            while 2 << (len(self.least) - 1) <= len(self.keys):
+                now, half = self.least[-1], 1 << (len(self.least) - 1)
+                self.least.append(np.minimum(now[:-half], now[half:]))
+            self.flat = np.concatenate(self.least)
+            self.offset = np.cumsum([0, *map(len, self.least)])[:-1]
         level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int64)
-        for j in np.unique(level):
-            mine = level == j
-            out[mine] = np.minimum(self.least[j][lo[mine]], self.least[j][hi[mine] - (1 << int(j))])
-        return out
+        base = self.offset[level]
+        return np.minimum(self.flat[base + lo], self.flat[base + hi - (np.int64(1) << level)])
 
     def numbers(self, text: str) -> np.ndarray:
         codes = letters(text)
+        if self.small is not None:
+            return self.small[np.minimum(codes, len(self.small) - 1)]
         k = np.minimum(np.searchsorted(self.alphabet, codes), max(0, len(self.alphabet) - 1))
         known = self.alphabet[k] == codes if len(self.alphabet) else np.zeros(len(codes), bool)
         return np.where(known, k + 1, len(self.alphabet) + 1).astype(self.kind)
@@ -95,6 +119,8 @@ class SortedWords:
         n, width = last - first, self.width
         if not len(self.keys):
             return np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        if self.steps is not None:
+            return self._stepped(numbers, first, last)
         part = np.zeros(n + width - 1, self.kind)
         ahead = numbers[first : min(len(numbers), last + width - 1)]
         part[: len(ahead)] = ahead
@@ -115,6 +141,40 @@ class SortedWords:
         return length, place
 
 
+    def _stepped(self, numbers: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """`longest` with letters packed to numbers. Places that share all letters of a step with some word go on to the next one."""
+        n = last - first
+        part = np.zeros(n + self.width + 16, np.uint64)
+        ahead = numbers[first : min(len(numbers), last + self.width + 8)]
+        part[: len(ahead)] = ahead
+        for k in (1, 2, 4):  # 8 letters from each place on
+            part = (part[:-k] << np.uint64(8 * k)) | part[k:]
+        length, lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        i, group = np.arange(n), np.zeros(n, np.uint64)
+        for at, size, known, begin in self.steps:
+            key = part[i + at] if not at else (part[i + at] >> np.uint64(24)) | (group << np.uint64(40))
+            j = np.searchsorted(known, key)
+            a, b = known[np.maximum(j - 1, 0)] ^ key, known[np.minimum(j, len(known) - 1)] ^ key
+            near = np.minimum(a, b)  # the nearer of both neighbours shares more
+            shared = sum(((near >> np.uint64(8 * t)) == 0).astype(np.int64) for t in range(size))
+            left = np.minimum(len(numbers) - first, n + self.width) - i - at  # letters that the read, or a word, still has
+            left = np.minimum(left, self.width - at)
+            on = (shared == size) & (left > size)
+            end = ~on
+            e, m = i[end], np.minimum(shared[end], left[end])
+            free = np.array([(1 << (8 * (size - t))) - 1 for t in range(size + 1)], np.uint64)[m]
+            length[e] = at + m
+            lo[e] = begin[np.searchsorted(known, key[end] & ~free)]
+            hi[e] = begin[np.searchsorted(known, key[end] | free, "right")]
+            i, group = i[on], j[on].astype(np.uint64)
+            if not len(i):
+                break
+        hit = length > 0
+        place = np.full(n, -1, np.int64)
+        place[hit] = self._least(lo[hit], hi[hit])
+        return length, place
+
+
 def searched(reads: DataFrame, first: DataFrame, words_of: DataFrame, k: int) -> DataFrame:
     """(read_id, lengths, pointers) with the words in the tasks; first (read_id, qs, qe, p): maximal matches and a place of each."""
     rows = words_of.toArrow()  # at most WORDS_SENT rows of k - 1 characters

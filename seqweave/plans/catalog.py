@@ -470,8 +470,9 @@ t AS (SELECT w, min(rank) AS lo, count(*) AS n FROM (SELECT rank, substr(s, sa.i
 SELECT read_id, count(*) AS n_matches, CAST(sum(n) AS BIGINT) AS total, max(n) AS most, count(*) FILTER (n = 1) AS singles, CAST(sum(lo) AS BIGINT) AS lo_sum FROM m JOIN t USING (w) GROUP BY read_id""")
 def mem_list_counts(spark, sf):
     """Occurrences of every entry of the match list, of any length, from one place of each: no occurrence is listed."""
-    each = statistics_of(spark, sf).select("read_id", "pointers", F.explode(statistics.mem_list(F.col("lengths"))).alias("m"))
-    rows = each.where("m.len > 0").select("read_id", F.col("m.idx").alias("idx"), F.col("m.len").cast("long").alias("len"), F.get("pointers", F.col("m.idx")).alias("place"))
+    # places are put beside the lengths before the list is dealt into rows, so that no row carries the array of all places of its read
+    beside = F.transform(statistics.mem_list(F.col("lengths")), lambda m: F.struct(m["len"].cast("long").alias("len"), F.get("pointers", m["idx"]).alias("place")))
+    rows = statistics_of(spark, sf).select("read_id", F.explode(beside).alias("m")).select("read_id", "m.len", "m.place").where("len > 0")
     c = chars(spark, sf)
     sa = suffix.suffix_array(c)
     counted = intervals.of_matches(rows, sa, suffix.lcp(c, sa))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seqweave.operators import collection, intervals, suffix
@@ -69,3 +70,24 @@ def test_no_matches(spark):
     sa = suffix.suffix_array(chars)
     empty = spark.createDataFrame([], "read_id long, place long, len long")
     assert intervals.of_matches(empty, sa, suffix.lcp(chars, sa)).count() == 0
+
+
+@pytest.mark.parametrize("sent", [intervals.SENT, 0])
+def test_equal_matches_meet_the_suffix_array_once(spark, monkeypatch, sent):
+    refs = refs_of(spark, ["banana", "bandana"])
+    chars = suffix.characters(refs)
+    sa = suffix.suffix_array(chars)
+    lcps = suffix.lcp(chars, sa)
+    ranked, write = [], intervals.stored
+
+    def watched(df):
+        out = write(df)
+        if {"place", "_rank"} <= set(out.columns):
+            ranked.append(out.count())
+        return out
+
+    monkeypatch.setattr(intervals, "stored", watched)
+    monkeypatch.setattr(intervals, "SENT", sent)
+    df = spark.range(500).selectExpr("id AS read_id", "id % 2 AS place", "2L + id % 2 AS len")
+    got = intervals.of_matches(df, sa, lcps).collect()
+    assert ranked == [2] and len(got) == 500 and {(r.place, r.len, r.n_occ) for r in got} == {(0, 2, 2), (1, 3, 3)}  # ba, ana

@@ -143,6 +143,24 @@ def test_sorted_words_against_scans(alphabet):
     assert not none[0].any() and (none[1] == -1).all()
 
 
+@pytest.mark.parametrize("alphabet,width", [("ab", 6), ("ab", 9), ("acgt", 24), ("abNé", 13), ("a", 24)])
+def test_words_packed_to_numbers_find_the_same(alphabet, width):
+    rng = random.Random(width)
+    text = "".join(rng.choice(alphabet) for _ in range(300))
+    at = {}
+    for i in range(len(text)):
+        at.setdefault(text[i : i + width], i)
+    words = statistics.SortedWords(list(at), np.array(list(at.values())), width)
+    read = "".join(rng.choice(alphabet + "z") for _ in range(300)) + text[33:120] + "z" + text[-9:]
+    steps, words_of = words.steps, lambda a, b: [x.tolist() for x in words.longest(words.numbers(read), a, b)]
+    assert [n for _, n, _, _ in steps] == [8] + [5] * -(-max(0, width - 8) // 5)
+    for a, b in ((0, len(read)), (17, 40), (len(read) - 4, len(read))):
+        words.steps = steps
+        packed = words_of(a, b)
+        words.steps = None  # the search by whole words
+        assert packed == words_of(a, b)
+
+
 def test_sam_and_lists(spark, tmp_path):
     refs = spark.createDataFrame([(1, "a", "ACGT"), (2, "b", "AC")], "ref_id long, name string, seq string")
     rows = spark.createDataFrame([("r", 0, "a", 3, 7, None), ("s", 4, None, None, None, "3A0")], "qname string, flag int, rname string, pos long, AS int, MD string")
